@@ -66,3 +66,9 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo: the fold rule of the contracts. A null id hashes as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def map_arrow(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with batches small enough for documents of any usual length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(fn, schema)

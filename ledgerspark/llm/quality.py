@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, words_of
+from .common import map_arrow, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
@@ -130,7 +130,8 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names.append("cleaned")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}" + ", cleaned string" * with_text)
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    found = map_arrow(rows, run, f"id {kind}, {SCHEMA}" + ", cleaned string" * with_text)
     return found.withColumnRenamed("id", id_col)
 
 

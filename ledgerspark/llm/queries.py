@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import bpe, mixing, quality
 
 QUERIES = {
     "op2_quality_rules": quality.query,
     "op4_source_mixing": mixing.query,
+    "op10_bpe_trie": bpe.query,
 }
 ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL}
