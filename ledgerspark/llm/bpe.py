@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -31,6 +32,20 @@ from .common import map_arrow, table, words_of
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = "</w>"
 
+#: Words of ASCII and of letters that NFC leaves alone and that have one lower-case letter each;
+#: all others take the library's own normaliser and pretokeniser.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").findall
+
+
+def _reach(tokens) -> dict[str, int]:
+    """By their last three symbols, the length of the longest token."""
+    most: dict[str, int] = {}
+    for t in tokens:
+        if len(t) > 2:
+            most[t[-3:]] = max(len(t), most.get(t[-3:], 0))
+    return most
+
 
 class TrieEncoder:
     """Encodes pieces (strings of byte symbols, the last one carrying the word end)."""
@@ -50,7 +65,7 @@ class TrieEncoder:
                 self.rank[made], self.left[made], self.right[made] = k, x, y
         self.ends = {t[: -len(END)]: k for t, k in vocab.items() if t.endswith(END)}
         self.inner = {t: k for t, k in vocab.items() if not t.endswith(END)}
-        self.longest = max(map(len, [*self.ends, *self.inner]))
+        self.inner_reach, self.end_reach = _reach(self.inner), _reach(self.ends)
         self.fits: dict[int, bool] = {}
         self.visited = 0
 
@@ -78,7 +93,8 @@ class TrieEncoder:
 
         states[i] is the last token of the encoding of the first i symbols.
         """
-        inner, ends, fits, shift, longest = self.inner, self.ends, self.fits, self.shift, self.longest
+        inner, ends, fits, shift = self.inner, self.ends, self.fits, self.shift
+        inner_reach, end_reach = self.inner_reach.get, self.end_reach.get
         if len(fits) > 500_000:
             fits.clear()
         states, sizes, before = [-1], [0], ""
@@ -91,6 +107,7 @@ class TrieEncoder:
             self.visited += n - k
             for i in range(k + 1, n + 1):
                 known = inner if i < n else ends
+                longest = (inner_reach if i < n else end_reach)(piece[i - 3 : i] if i > 2 else "", 2)
                 for j in range(i - longest if i > longest else 0, i):
                     token = known.get(piece[j:i])
                     if token is None:
@@ -131,7 +148,7 @@ class TrieEncoder:
 class WordCoder:
     """Texts to ids and back through a table of the distinct words met so far."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -141,42 +158,60 @@ class WordCoder:
         whole = Tokenizer.from_file(path)
         self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        #: Byte symbols of the characters that the short way below handles.
+        self.bytes = {c: self.cut(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x180)]}
+        self.coded = [(struct.pack("<I", k), (" " + self.trie.names.get(k, "")).encode()) for k in range(max(self.trie.vocab.values()) + 1)]
 
     def pieces(self, word: str) -> list[str]:
         """The pretokens of a word, special tokens standing for themselves."""
-        for mark in self.special:
-            if mark in word:
-                left, _, right = word.partition(mark)
-                # the first occurrence of any mark splits; the leftmost one must go first
-                first = min((word.find(m), m) for m in self.special if m in word)[1]
-                left, _, right = word.partition(first)
-                return [*self.pieces(left), first, *self.pieces(right)]
+        if "<|" in word and (marks := [(word.find(m), m) for m in self.special if m in word]):
+            left, mark, right = word.partition(min(marks)[1])
+            return [*self.pieces(left), mark, *self.pieces(right)]
         if not word:
             return []
-        if word.isascii() and word.isalpha():
-            return [word.lower()]
+        if _PLAIN(word):
+            word = word.lower()
+            if word.isascii():
+                return [word] if word.isalpha() else _CUT(word)
+            return [p.translate(self.bytes) for p in _CUT(word)]
         return [p for p, _ in self.cut(self.normalize(word))]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.cache:
-            self.known.clear()
-        cut = {w: self.pieces(w) for w in words if w not in self.known}
-        tokens = dict(self.trie.encode_all({p for ps in cut.values() for p in ps} - self.special.keys()))
-        for word, ps in cut.items():
-            ids, text = [], []
-            for p in ps:
-                if p in self.special:
-                    ids.append(self.special[p])
-                    text.append(" " + p)
+        """Put all these words in the table.
+
+        The table has a young and an old half; words that turn up again move to
+        the young half, and when that is full it becomes the old one.
+        """
+        young, old = self.known, self.old
+        if len(young) > self.cache // 2:
+            self.old, self.known = young, {}
+            young, old = self.known, self.old
+        fresh = []
+        for w in words:
+            if w not in young:
+                if (found := old.get(w)) is not None:
+                    young[w] = found
                 else:
-                    ids += tokens[p]
-                    text += [" " + self.trie.names[t] for t in tokens[p]]
-            self.known[word] = struct.pack(f"<{len(ids)}I", *ids), "".join(text).encode()
+                    fresh.append(w)
+        parts, coded = {p: (struct.pack("<I", k), (" " + p).encode()) for p, k in self.special.items()}, self.coded
+        cut = [(w, self.pieces(w)) for w in fresh]
+        for p, tokens in self.trie.encode_all({p for _, ps in cut for p in ps} - parts.keys()):
+            if len(tokens) == 1:
+                parts[p] = coded[tokens[0]]
+            else:
+                both = [coded[t] for t in tokens]
+                parts[p] = b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+        for word, ps in cut:
+            if len(ps) == 1:
+                self.known[word] = parts[ps[0]]
+            else:
+                self.known[word] = b"".join([parts[p][0] for p in ps]), b"".join([parts[p][1] for p in ps])
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian uint32, decoded text in UTF-8) of each text."""
         split = [words_of(t) for t in texts]
-        self.learn(set().union(*split) if len(self.known) + sum(map(len, split)) > self.cache else {w for ws in split for w in ws if w not in self.known})
+        self.learn(set().union(*split))
         known, out = self.known, []
         for ws in split:
             found = [known[w] for w in ws]
@@ -184,7 +219,17 @@ class WordCoder:
         return out
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 250_000) -> DataFrame:
+_CODERS: dict[tuple[str, int], WordCoder] = {}
+
+
+def coder_of(path: str, cache: int) -> WordCoder:
+    """One coder for all tasks of a Python worker."""
+    if (path, cache) not in _CODERS:
+        _CODERS[path, cache] = WordCoder(path, cache)
+    return _CODERS[path, cache]
+
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 800_000) -> DataFrame:
     """Per row: the id, ids (binary, little-endian uint32), decoded text."""
     return _mapped(docs, id_col, text_col, vocabulary, cache, "ids binary, decoded string", lambda found: [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1].decode() for x in found], pa.string())])
 
@@ -194,15 +239,14 @@ def _mapped(docs, id_col, text_col, vocabulary, cache, columns, build) -> DataFr
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         for batch in batches:
-            coder = coder or WordCoder(vocabulary, cache)
+            coder = coder_of(vocabulary, cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), *build(coder.encode(batch.column(1).to_pylist()))], names)
 
     return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 250_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 800_000) -> DataFrame:
     """encode_documents() with ids and text as SHA-256, so that no long value leaves the worker."""
 
     def build(found):

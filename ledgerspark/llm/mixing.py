@@ -160,7 +160,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return plan.select(
         F.col("__row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
         F.round(F.get("passes", F.lit(0))["position"], 9).alias("position"),
-    ).orderBy(F.col("position").asc_nulls_last())
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 _INVERSE = """CASE rank % 3
