@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_pii_spans": pii.query,
     "op2_quality_rules": quality.query,
     "op4_source_mixing": mixing.query,
+    "op6_toxicity": toxicity.query,
     "op10_bpe_trie": bpe.query,
 }
 ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL}
