@@ -38,13 +38,16 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u0
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").findall
 
 
-def _reach(tokens) -> dict[str, int]:
-    """By their last three symbols, the length of the longest token."""
-    most: dict[str, int] = {}
+def _tails(tokens) -> dict[str, tuple[int, ...]]:
+    """By their last four symbols, the lengths of the tokens that end so, longest first, and 3, 2, 1."""
+    found: dict[str, set[int]] = {}
     for t in tokens:
-        if len(t) > 2:
-            most[t[-3:]] = max(len(t), most.get(t[-3:], 0))
-    return most
+        if len(t) > 3:
+            found.setdefault(t[-4:], {1, 2, 3}).add(len(t))
+    return {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in found.items()}
+
+
+_SHORT = (3, 2, 1)
 
 
 class TrieEncoder:
@@ -65,7 +68,7 @@ class TrieEncoder:
                 self.rank[made], self.left[made], self.right[made] = k, x, y
         self.ends = {t[: -len(END)]: k for t, k in vocab.items() if t.endswith(END)}
         self.inner = {t: k for t, k in vocab.items() if not t.endswith(END)}
-        self.inner_reach, self.end_reach = _reach(self.inner), _reach(self.ends)
+        self.inner_tails, self.end_tails = _tails(self.inner), _tails(self.ends)
         self.fits: dict[int, bool] = {}
         self.visited = 0
 
@@ -94,7 +97,7 @@ class TrieEncoder:
         states[i] is the last token of the encoding of the first i symbols.
         """
         inner, ends, fits, shift = self.inner, self.ends, self.fits, self.shift
-        inner_reach, end_reach = self.inner_reach.get, self.end_reach.get
+        inner_tails, end_tails = self.inner_tails.get, self.end_tails.get
         if len(fits) > 500_000:
             fits.clear()
         states, sizes, before = [-1], [0], ""
@@ -106,16 +109,17 @@ class TrieEncoder:
             del states[k + 1 :], sizes[k + 1 :]
             self.visited += n - k
             for i in range(k + 1, n + 1):
-                known = inner if i < n else ends
-                longest = (inner_reach if i < n else end_reach)(piece[i - 3 : i] if i > 2 else "", 2)
-                for j in range(i - longest if i > longest else 0, i):
-                    token = known.get(piece[j:i])
-                    if token is None:
+                if i < n:
+                    known, sizes_here = inner, inner_tails(piece[i - 4 : i], _SHORT) if i > 3 else _SHORT
+                else:
+                    known, sizes_here = ends, end_tails(piece[i - 4 : i], _SHORT) if i > 3 else _SHORT
+                for size in sizes_here:
+                    j = i - size
+                    if j < 0 or (token := known.get(piece[j:i])) is None:
                         continue
-                    key = states[j] << shift | token if j else token
-                    if (ok := fits.get(key if j else -1 - token)) is None:
-                        ok = self.fit(states[j], token) if j else self.whole(token)
-                        fits[key if j else -1 - token] = ok
+                    key = states[j] << shift | token if j else -1 - token
+                    if (ok := fits.get(key)) is None:
+                        ok = fits[key] = self.fit(states[j], token) if j else self.whole(token)
                     if ok:
                         break
                 else:
@@ -187,13 +191,11 @@ class WordCoder:
         if len(young) > self.cache // 2:
             self.old, self.known = young, {}
             young, old = self.known, self.old
-        fresh = []
-        for w in words:
-            if w not in young:
-                if (found := old.get(w)) is not None:
-                    young[w] = found
-                else:
-                    fresh.append(w)
+        missing = words.difference(young)
+        back = missing.intersection(old)
+        for w in back:
+            young[w] = old[w]
+        fresh = missing - back
         parts, coded = {p: (struct.pack("<I", k), (" " + p).encode()) for p, k in self.special.items()}, self.coded
         cut = [(w, self.pieces(w)) for w in fresh]
         for p, tokens in self.trie.encode_all({p for _, ps in cut for p in ps} - parts.keys()):
@@ -212,10 +214,10 @@ class WordCoder:
         """(ids as little-endian uint32, decoded text in UTF-8) of each text."""
         split = [words_of(t) for t in texts]
         self.learn(set().union(*split))
-        known, out = self.known, []
+        known, out = self.known.__getitem__, []
         for ws in split:
-            found = [known[w] for w in ws]
-            out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])[1:]))
+            ids, decoded = zip(*map(known, ws)) if ws else ((), ())
+            out.append((b"".join(ids), b"".join(decoded)[1:]))
         return out
 
 

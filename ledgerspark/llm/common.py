@@ -11,27 +11,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 WORD_RE = re.compile(WORD)
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words of a text; bare str.split() would also split at other Unicode spaces."""
+    """The words of a text.
+
+    str.split() also splits at other Unicode spaces; it is right exactly if
+    nothing but the six characters went missing, which is quick to see.
+    """
     if not text:
         return []
-    if text.isascii() and not _ODD_ASCII.search(text):
-        return text.split()
+    words = text.split()
+    if len("".join(words)) + sum(map(text.count, SPACES)) == len(text):
+        return words
     return WORD_RE.findall(text)
 
 
-#: ASCII separators that str.split() treats as white space and WORD does not.
-_ODD_ASCII = re.compile("[\x1c-\x1f]")
-
-
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z only, leaving every other code point alone."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, mixing, near_dedup, pii, quality, toxicity
+from . import bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii_spans": pii.query,
     "op2_quality_rules": quality.query,
     "op4_source_mixing": mixing.query,
+    "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
     "op8_html_extraction": html_text.query,
     "op9_near_dedup": near_dedup.query,
