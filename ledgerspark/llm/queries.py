@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, toxicity
+from . import ann, bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, toxicity
 
 QUERIES = {
     "op1_pii_spans": pii.query,
     "op2_quality_rules": quality.query,
+    "op3_cross_polytope": ann.query,
     "op4_source_mixing": mixing.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
