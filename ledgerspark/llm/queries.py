@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, toxicity
+from . import ann, bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_source_mixing": mixing.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_html_extraction": html_text.query,
     "op9_near_dedup": near_dedup.query,
     "op10_bpe_trie": bpe.query,
