@@ -3,14 +3,14 @@
 A document is the set of its word shingles. Register i of its SetSketch is the
 largest of floor(1 - log_b(h)) over its elements' exponential hashes h: an
 exponentially spaced, truncated minimum. Registers merge by maximum and agree
-between two sets about as often as the sets overlap. Four registers of 16 bits
+between two sets about as often as the sets overlap. Five registers of 16 bits
 make a band; documents that share a band value are compared.
 
 Documents with equal sets become one class first. Within a bucket of classes,
-hubs (chosen in several hash orders) are compared with all members, which costs
+a hub (chosen in several hash orders) is compared with all members, which costs
 as many pairs as there are members; what components remain apart in a bucket is
-then compared across components, so that no link within a bucket is lost and a
-large group of near copies never emits all its pairs. A pair is first estimated
+then compared across components, large buckets being split by further bands
+first, so that a large group of near copies never emits all its pairs. A pair is first estimated
 by maximum likelihood from both registers and sizes, and confirmed on the full
 sets of shingles.
 
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import map_arrow, materialize, table
 from .components import components
-from .shingles import shingle_set
+from .shingles import mix, shingle_set
 
-REGISTERS, ROWS = 128, 4
-BANDS = REGISTERS // ROWS
+ROWS, BANDS = 5, 28
+REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: 32 bands of 4: a pair of similarity 0.8 shares none with probability (1 - 0.8^4)^32 < 5e-8.
+#: 28 bands of 5: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^28 < 2e-5, one of 0.3 with 0.93.
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
@@ -51,6 +51,15 @@ def registers(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def banded(sketch: np.ndarray) -> np.ndarray:
+    """One hash for the register values of each band; only equality matters, and pairs are verified."""
+    b = sketch.reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + b[:, k])
+    return h.view(np.int64)
+
+
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of each row pair of sketches, given the set sizes.
 
@@ -75,18 +84,20 @@ def key_of(elements: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: the id, the set's key, its size, its registers (four to a long)."""
+    """Per row: the id, the set's key, its size, its registers (four to a long), its hashed bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            regs = [registers(s).view(np.int64) if len(s) else None for s in sets]
+            regs = [registers(s) if len(s) else None for s in sets]
+            bands = [None if r is None else banded(r) for r in regs]
+            regs = [None if r is None else r.view(np.int64) for r in regs]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.list_(pa.int64()))], ["id", "key", "n", "regs"]
+                [batch.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "n", "regs", "bands"]
             )
 
-    return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, key binary, n long, regs array<long>")
+    return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, key binary, n long, regs array<long>, bands array<long>")
 
 
 def keyed(docs: DataFrame, text_col: str, width: int, name: str = "__key") -> DataFrame:
@@ -133,13 +144,33 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return map_arrow(full.select("u", "v", "tu", "tv"), verify, "u binary, v binary", rows=200)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int = 4, rounds: int = 3) -> DataFrame:
+def open_groups(placed: DataFrame) -> DataFrame:
+    """Entries of the groups (g) in which two components meet, with the number of pairs across components."""
+    parts = placed.groupBy("g", "root").agg(F.count("*").alias("c"))
+    groups = parts.groupBy("g").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(groups.select("g", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "g")
+
+
+def across(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a group that are of different components and of sizes that allow a link."""
+    a = entries.select("g", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    b = entries.select("g", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
+    return a.join(b, "g").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "v")
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int = 4, large: int = 64, depth: int = 2) -> DataFrame:
     """(node, root) for every class that links with another one.
 
-    Hubs are tried until what they leave to compare across components is less
-    than 20 pairs per bucket entry, or for `rounds` rounds; then those pairs follow.
+    First every member of a bucket is compared with the bucket's hub, in half of
+    the bands (a pair of similarity 0.8 shares one of these with 0.996): that
+    joins large groups of copies. Then components that meet in a bucket are
+    compared, in all bands. Where that means more than `large` pairs, the bucket
+    is split by the value of a further band, each of the others in turn: similar
+    sets that share one band share another (all but 2e-5 of those at 0.8), while
+    texts that only share a passage rarely do.
     """
-    entries = classes.where("key IS NOT NULL").select("key", "n", F.posexplode("regs").alias("band", "value"))
+    entries = classes.select("key", "n", F.posexplode("bands").alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     entries = materialize(entries.join(shared, ["band", "value"]), "buckets")
     active = entries.select("key").distinct()
@@ -147,44 +178,37 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     chosen = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(named, F.col("__of").eqNullSafe(F.col("__id")), "left_semi")
     texts = keyed(chosen.select("text"), "text", width, "key").join(active, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    links, roots = None, None
-    for turn in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(turn), F.col("band") % orders, "key").alias("o"), "key", "n")
-        hubs = entries.groupBy("band", "value").agg(F.min(order).alias("hub")).select("band", "value", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
-        stars = entries.join(hubs, ["band", "value"]).where((F.col("key") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        pairs = stars.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct()
-        if roots is not None:
-            pairs = _apart(pairs, roots)
-        found = materialize(confirmed(pairs, classes, texts, width, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = materialize(components(links), "roots")
-        placed = entries.join(roots, entries["key"] == roots["node"], "left").select("band", "value", "key", "n", F.coalesce("root", "key").alias("root"))
-        groups = placed.groupBy("band", "value", "root").agg(F.count("*").alias("c")).groupBy("band", "value").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts"))
-        open_ = groups.where("parts > 1")
-        left = open_.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("all"), F.lit(0)).alias("entries")).first()
-        if left["pairs"] <= 20 * max(left["entries"], 1):
+    asked = entries.where("band % 2 = 0")
+    order = F.struct(F.xxhash64(F.floor(F.col("band") / 2) % orders, "key").alias("o"), "key", "n")
+    hubs = asked.groupBy("band", "value").agg(F.min(order).alias("hub")).select("band", "value", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    stars = asked.join(hubs, ["band", "value"]).where((F.col("key") != F.col("hub")) & fits)
+    pairs = stars.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct()
+    links = materialize(confirmed(pairs, classes, texts, width, percent), "links")
+    roots = components(links)
+    placed = entries.join(roots, entries["key"] == roots["node"], "left").select(
+        F.xxhash64("band", "value").alias("g"), F.array("band").alias("used"), "key", "n", F.coalesce("root", "key").alias("root")
+    )
+    rest, level = None, materialize(open_groups(placed), "open")
+    for step in range(depth + 1):
+        few = level if step == depth else level.where(F.col("pairs") <= large)
+        pairs = across(few, percent)
+        rest = pairs if rest is None else rest.unionByName(pairs)
+        if step == depth or level.where(F.col("pairs") > large).isEmpty():
             break
-    if left["pairs"]:
-        rest = placed.join(open_.select("band", "value"), ["band", "value"])
-        a = rest.select("band", "value", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        b = rest.select("band", "value", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-        pairs = a.join(b, ["band", "value"]).where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
-        found = materialize(confirmed(pairs, classes, texts, width, percent), "links")
-        roots = components(links.unionByName(found))
-    return roots
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that are not in one component yet."""
-    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    return pairs.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+        finer = level.where(F.col("pairs") > large).join(classes.select("key", "bands"), "key").select("g", "used", "key", "n", "root", F.posexplode("bands").alias("i", "value"))
+        finer = finer.where(~F.array_contains("used", F.col("i"))).select(F.xxhash64("g", "i", "value").alias("g"), F.array_append("used", F.col("i")).alias("used"), "key", "n", "root")
+        level = materialize(open_groups(finer), "open")
+    found = materialize(confirmed(rest.distinct(), classes, texts, width, percent), "links")
+    if found.isEmpty():
+        return roots
+    return components(links.unionByName(found))
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, key, n (set size), component (smallest id reachable, the row's own if it is alone)."""
     rows = materialize(sketches(docs, id_col, text_col, width), "sketches")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     roots = link_classes(docs, classes, id_col, text_col, width, percent)
     placed = classes.select("key", "id").join(roots, classes["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
