@@ -268,8 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tup
     return lexicon, Classifier(kinds * 50, np.tile(model.posterior(np.array([_code(v) for v in votes])), 50), lexicon.size)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = 20_000, threshold: float = 0.3, model=None) -> DataFrame:
-    """Per row of docs: its columns, score and predicted."""
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = 20_000, threshold: float = 0.3, model=None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Per row of docs: its columns, and the score and prediction under `names`."""
+    labels = labels.select(F.col("doc_id"), F.col("toxic"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lexicon, classifier = model or train(plain, labels, max_labelled)
     at = docs.columns.index(text_col)
@@ -277,11 +278,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [classifier.score(c) for c, _ in _read(batch.column(at).to_pylist(), lexicon)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
