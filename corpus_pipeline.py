@@ -4,17 +4,51 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerspark.llm import mixing
+from ledgerspark.llm import bpe, mixing, near_dedup, pii, toxicity
 from ledgerspark.llm.common import shared_dir, table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), names=("__score", "__toxic"))
+    return scored.where(F.col("__toxic") == 0).select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, that of the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to the name of their kind."""
+    return _measured(pii.redact_documents(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    """Documents as often as their source's target asks, in training order."""
+    return _measured(mixing.mix_documents(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian uint32) and their decoded text."""
+    coded = bpe.encode_documents(docs)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("drop_toxic", drop_toxic),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("redact_personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 
 #: The stages' verdicts come from trained models, which SQL can't express.
 ORACLE_SQL = None
