@@ -1,4 +1,105 @@
 """All queries of the engine and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import metrics, procurement
+from ..operators.forest import IsolationForest
+from ..sources import tables
+from . import catalog, dialect
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name, _text in catalog.CATALOG.items():
+    QUERIES[_name] = dialect.runner(_text.replace("{SPINE}", catalog.SPINE[0]))
+    ORACLES[_name] = dialect.oracle_sql(_text.replace("{SPINE}", catalog.SPINE[1]))
+
+
+def _query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = dialect.oracle_sql(oracle)
+        return f
+
+    return keep
+
+
+_KEY = ["po_id", "order_date", "occurrence"]
+_RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio", "pair_price_ratio")
+_ROUNDED = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in _RATIOS)
+_REASON = "CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_price = 0 THEN 'zero_reference' END AS price_ratio_reason"
+
+
+@_query("d08_features", f"WITH {catalog.FEATURES} SELECT po_id, order_date, occurrence, n_item, n_pair, n_supplier, n_unit, {_ROUNDED}, {_REASON} FROM features")
+def d08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = procurement.features(procurement.occurrences(tables.purchase_lines(spark, sf_dir)))
+    return d.select(*_KEY, "n_item", "n_pair", "n_supplier", "n_unit", *[(F.round(c, 6) + 0.0).alias(c) for c in _RATIOS], "price_ratio_reason")
+
+
+@_query("d11_commercial_rank", f"""WITH {catalog.FEATURES}, s AS (SELECT *, {catalog.PERIOD} AS period, round(greatest(abs(ln(price_ratio)), abs(ln(quantity_ratio))), 9) AS score FROM features WHERE price_ratio IS NOT NULL AND quantity_ratio IS NOT NULL)
+  SELECT po_id, order_date, occurrence, period, score, row_number() OVER (PARTITION BY period ORDER BY score DESC, po_id, order_date, occurrence) AS rank FROM s""")
+def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.commercial_rank(tables.purchase_lines(spark, sf_dir)).select(*_KEY, "period", "score", "rank")
+
+
+@_query("d12_injections", f"""WITH {catalog.LINES}, s AS (SELECT * FROM (VALUES ('A', 1.5, 1), ('B', 2.0, 1), ('C', 1.0, 3), ('D', 1.0, NULL), ('E', 1.5, 3)) AS v(scenario, factor, times)),
+  d AS (SELECT po_id, part_id, supplier_id, order_date, scenario, quantity, CAST(CAST(round(unit_price, 2) AS DECIMAL(18,6)) * CAST(factor AS DECIMAL(3,1)) AS DECIMAL(20,6)) AS price1,
+    CASE WHEN times IS NULL THEN greatest(1, CAST(round(CAST(quantity AS DECIMAL(18,1)) * CAST(0.1 AS DECIMAL(2,1)), 0) AS BIGINT)) ELSE quantity * times END AS quantity1 FROM lines CROSS JOIN s)
+  SELECT scenario, count(*) AS n, CAST(sum(quantity1) AS BIGINT) AS quantity FROM d WHERE scenario <> 'D' OR quantity1 <> quantity GROUP BY scenario""")
+def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = procurement.counterfactuals(tables.purchase_lines(spark, sf_dir).withColumn("unit_price", F.round("unit_price", 2)))
+    return d.groupBy("scenario").agg(F.count("*").alias("n"), F.sum("quantity1").alias("quantity"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, docs = tables.read(spark, sf_dir, "labels"), tables.read(spark, sf_dir, "documents", ["doc_id", "n_chars", "lang"])
+    return labels.join(docs, "doc_id").select("doc_id", F.col("toxic").alias("y"), "quality", F.col("n_chars").alias("score"), "lang")
+
+
+@_query("a20_a21_ranking_quality", f"""WITH {catalog.EVALUATED}, g AS (SELECT score, {catalog.n('y = 1')} AS p, count(*) AS n FROM evaluated GROUP BY score),
+  c AS (SELECT *, CAST(sum(p) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(n) OVER (ORDER BY score DESC) AS BIGINT) AS cnt FROM g)
+  SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n - p) AS BIGINT) AS negatives, round(sum((n - p) * (tp - p / 2.0E0)) / (sum(p) * CAST(sum(n - p) AS DOUBLE)), 9) AS roc_auc,
+    round(sum(p * tp * 1.0E0 / cnt) / sum(p), 9) AS average_precision FROM c""")
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = metrics.ranking_quality(_evaluated(spark, sf_dir), "y", "score")
+    return d.select("positives", "negatives", F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+def _triage_oracle(percent: int) -> str:
+    return f"""SELECT CAST({percent} AS BIGINT) AS percent, max(k) AS k, {catalog.n('r <= k AND y = 1')} AS hits, round({catalog.n('r <= k AND y = 1')} * 1.0E0 / max(k), 9) AS precision_at_k,
+      round({catalog.n('r <= k AND y = 1')} * 1.0E0 / nullif({catalog.n('y = 1')}, 0), 9) AS capture, round({catalog.n('r <= k AND y = 1')} * 1.0E0 / max(k) / ({catalog.n('y = 1')} * 1.0E0 / count(*)), 9) AS lift,
+      max(b) AS boundary_score, {catalog.n('score = b')} AS tied, {catalog.n('score = b AND r <= k')} AS tied_selected
+      FROM (SELECT *, min(CASE WHEN r <= k THEN score END) OVER () AS b FROM (SELECT *, CAST(least(total, (total * {percent} + 99) // 100) AS BIGINT) AS k FROM ranked) x) y"""
+
+
+@_query("d03_triage", f"WITH {catalog.EVALUATED}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS total FROM evaluated) " + " UNION ALL ".join(_triage_oracle(p) for p in (1, 5, 10)))
+def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.triage(_evaluated(spark, sf_dir), "doc_id", "score", "y")
+
+
+@_query("d04_u01_overlap", f"""WITH {catalog.EVALUATED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) <= 50 AS ia, row_number() OVER (ORDER BY quality DESC, doc_id) <= 50 AS ib FROM evaluated),
+  t AS (SELECT {catalog.n('ia AND ib')} AS common, {catalog.n('ia AND NOT ib')} AS only_a, {catalog.n('ib AND NOT ia')} AS only_b, count(*) AS either, {catalog.n('ia AND NOT ib AND y = 1')} AS gained, {catalog.n('ib AND NOT ia AND y = 1')} AS forgone FROM r WHERE ia OR ib)
+  SELECT *, round(common / 50.0E0, 9) AS overlap, round(common * 1.0E0 / either, 9) AS jaccard, gained - forgone AS net FROM t""")
+def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.overlap(_evaluated(spark, sf_dir), "doc_id", "score", "quality", "y", 50)
+
+
+@_query("m01_m02_isolation_forest")
+def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all lines by an Isolation Forest grown on the development period."""
+    d = procurement.features(procurement.occurrences(tables.purchase_lines(spark, sf_dir)))
+    d = d.where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull() & F.col("price_iqr_distance").isNotNull())
+    columns = ["price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio"]
+    d = d.select(*_KEY, *columns, procurement.period(F.col("order_date")).alias("period"))
+    model = IsolationForest(trees=100).fit(d.where("period = 'development'"), columns)
+    return model.score(d).select(*_KEY, "period", F.round("anomaly_score", 9).alias("anomaly_score"))
+
+
+@_query("m03_m05_supplier_model")
+def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median imputation, scaling, logistic regression and random forest against the majority class."""
+    from ..operators.models import compare
+
+    return compare(_evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double")), ["length", "quality"], "y", "doc_id")
