@@ -17,6 +17,7 @@ length. No document leaves its task; caches are emptied beyond ``cache`` words.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -212,6 +213,8 @@ class WordCoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian uint32, decoded text in UTF-8) of each text."""
+        # the table holds a million small objects and no cycles: collecting would only scan it
+        gc.disable()
         split = [words_of(t) for t in texts]
         self.learn(set().union(*split))
         known, out = self.known.__getitem__, []
