@@ -93,7 +93,10 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull() & F.col("price_iqr_distance").isNotNull())
     columns = ["price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio"]
     d = d.select(*_KEY, *columns, procurement.period(F.col("order_date")).alias("period"))
-    model = IsolationForest(trees=100).fit(d.where("period = 'development'"), columns)
+    learn = d.where("period = 'development'")
+    if learn.isEmpty():  # no line has enough history there: nothing can be scored
+        return d.limit(0).select(*_KEY, "period", F.lit(None).cast("double").alias("anomaly_score"))
+    model = IsolationForest(trees=100).fit(learn, columns)
     return model.score(d).select(*_KEY, "period", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
