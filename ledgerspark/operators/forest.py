@@ -52,7 +52,10 @@ class IsolationForest:
         self.columns = columns
         total = df.count()
         want = min(total, self.trees * self.sample)
-        drawn = df.select(*[F.col(c).cast("double") for c in columns]).orderBy(F.xxhash64(F.lit(self.seed), *columns)).limit(want)
+        h = F.xxhash64(F.lit(self.seed), *columns)
+        share = min(1.0, (want + 10 * want**0.5 + 10) / max(total, 1))  # what can be among them, before the order
+        rows = df.select(*[F.col(c).cast("double") for c in columns])
+        drawn = rows.where(F.pmod(h, F.lit(1 << 31)) <= F.lit(int(share * (1 << 31)))).orderBy(h).limit(want)
         x = np.array([tuple(r) for r in drawn.collect()], float).reshape(-1, len(columns))
         if not len(x) or not np.isfinite(x.astype(np.float32)).all():
             raise ValueError("training rows must exist and be finite")
