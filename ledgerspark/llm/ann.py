@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import map_arrow, materialize, table
+from .common import drawn, map_arrow, materialize, table
 
 
 class Rotations:
@@ -109,8 +109,8 @@ def nearest(
     if n < small:
         rotations.tables, count = 1, 2 * rotations.width
     else:
-        drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()])
-        count = calibrate(rotations, drawn, k, aim)
+        some = np.array([r["v"] for r in drawn(rows, n, sample, "vec_id").select("v").collect()])
+        count = calibrate(rotations, some, k, aim)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

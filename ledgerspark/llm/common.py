@@ -70,3 +70,14 @@ def map_arrow(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow with batches small enough for documents of any usual length."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
+
+
+def drawn(df: DataFrame, total: int, want: int, *columns: str) -> DataFrame:
+    """About `want` rows (at most so many) of the `total` rows of df, by hash of the columns.
+
+    The share that can be among them is filtered first, so that no task gathers
+    `want` rows from every partition.
+    """
+    h = F.xxhash64(F.lit(97), *columns)
+    share = min(1.0, (want + 10 * want**0.5 + 10) / max(total, 1))
+    return df.where(F.pmod(h, F.lit(1 << 31)) <= F.lit(int(share * (1 << 31)))).orderBy(h, *columns).limit(want)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, map_arrow, table
+from .common import drawn, fold, map_arrow, table
 
 #: Insults that need no corpus to be known.
 SEEDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown clowns bastard filth vermin imbecile retard jerk".split())
@@ -100,7 +100,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
     """text and toxic of the training rows, at most max_labelled ids: those with the smallest hash."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # max_labelled ids of 16 bytes: a proven bound for the broadcast
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = drawn(known, known.count(), max_labelled, "doc_id")
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
