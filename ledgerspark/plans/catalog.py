@@ -195,8 +195,33 @@ CATALOG = {
     "v10_snapshot_check": f"WITH {VERSIONS} SELECT owner, count(*) AS late FROM versions WHERE recorded > DATE '1998-01-01' GROUP BY owner",
     "v14_latest": f"WITH {VERSIONS} SELECT owner, version_id, status, cents FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY revision_no DESC) AS k FROM versions) x WHERE k = 1",
     "v18_idempotency": "WITH seen AS (SELECT o_custkey AS k, o_orderpriority AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) SELECT b.k, CASE WHEN a.h = b.h THEN 'replay' ELSE 'conflict' END AS answer, count(*) AS n FROM seen a JOIN seen b ON a.k = b.k AND a.r = 1 AND b.r > 1 GROUP BY b.k, CASE WHEN a.h = b.h THEN 'replay' ELSE 'conflict' END",
+    "v17_history_page": f"WITH {VERSIONS} SELECT version_id, owner, revision_no, recorded FROM versions WHERE owner <= 50 ORDER BY recorded DESC, version_id DESC LIMIT 21",
+    "v20_create_or_verify": "SELECT c_custkey, CASE WHEN o_custkey IS NULL THEN 'create' ELSE 'verify' END AS action FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey",
+    # more of the inventory
+    "p17_row_comparison": "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) < (CAST(50 AS BIGINT), CAST(1000 AS BIGINT))",
+    "p21_subgroup_state": f"WITH {SUPPLIERS} SELECT state, count(*) AS n FROM (SELECT CASE WHEN metric IS NULL THEN 'unknown' WHEN metric > 50 THEN 'present' ELSE 'reference' END AS state FROM base) x GROUP BY state",
+    "p23_tukey_flags": f"WITH {SUPPLIERS}, q AS (SELECT PCTL(metric, 0.25) AS q1, PCTL(metric, 0.75) AS q3 FROM base) SELECT user_id, CASE WHEN record_count >= 3 THEN metric > q3 + 1.5 * (q3 - q1) END AS high FROM base CROSS JOIN q",
+    "j20_missing_by_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL",
+    "j05_one_to_one": "SELECT count(*) AS violations FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) x",
+    "j07_aligned_lookup": "SELECT l.doc_id, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
+    "w06_running_share": "WITH s AS (SELECT c_mktsegment, c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_acctbal > 0) SELECT c_custkey, round(CAST(sum(v) OVER (PARTITION BY c_mktsegment ORDER BY v DESC, c_custkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY c_mktsegment) AS DOUBLE), 9) AS share FROM s",
+    "w09_replacement_rank": f"WITH {EVALUATED}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS before_rank FROM evaluated), c AS (SELECT doc_id, score * 2 AS new_score, before_rank FROM r WHERE mod(doc_id, 10) = 0) SELECT c.doc_id, CAST(c.before_rank AS BIGINT) AS before_rank, count(r.doc_id) + 1 AS after_rank FROM c LEFT JOIN r ON r.doc_id <> c.doc_id AND (r.score > c.new_score OR (r.score = c.new_score AND r.doc_id < c.doc_id)) GROUP BY c.doc_id, c.before_rank",
+    "w11_lag_chain": f"WITH {VERSIONS} SELECT owner, version_id, supersedes FROM versions WHERE revision_no > 1",
+    "a30_directions": f"WITH {FEATURES} SELECT category, {n('price_ratio < 1')} AS below, {n('price_ratio = 1')} AS equal, {n('price_ratio > 1')} AS above FROM features WHERE price_ratio IS NOT NULL GROUP BY category",
+    "a32_paired_effects": f"WITH {LINES} SELECT category, count(*) AS n, {n('greatest(1, floor(quantity / 10)) < quantity')} AS decreased, CASE WHEN count(*) >= 10 THEN {n('quantity * 3 > 100')} END AS large_after FROM lines GROUP BY GROUPING SETS ((category), ())",
+    "a48_skewness": "WITH m AS (SELECT avg(c_acctbal) AS m, count(*) AS n, stddev_pop(c_acctbal) AS s FROM customer) SELECT round(sum(power((c_acctbal - m) / s, 3)) / max(n) * sqrt(CAST(max(n) AS DOUBLE) * (max(n) - 1)) / (max(n) - 2), 6) + 0 AS skew FROM customer CROSS JOIN m",
+    "a51_fold_deltas": f"WITH {EVALUATED}, f AS (SELECT mod(doc_id, 5) AS fold, avg(CASE WHEN y = p THEN 1.0E0 ELSE 0.0E0 END) AS a, avg(CASE WHEN y = 0 THEN 1.0E0 ELSE 0.0E0 END) AS b FROM evaluated GROUP BY mod(doc_id, 5)) SELECT round(avg(a - b), 9) AS mean_delta, round(stddev_samp(a - b), 9) AS std_delta, round(min(a - b), 9) AS low, round(max(a - b), 9) AS high FROM f",
+    "a53_nine_points": "SELECT " + ", ".join(f"round(PCTL(o_totalprice, {q}), 4) AS q{k}" for k, q in enumerate((0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1))) + " FROM orders",
+    "a55_boundary_ties": f"WITH {EVALUATED}, r AS (SELECT quality, row_number() OVER (ORDER BY quality DESC, doc_id) AS k FROM evaluated), b AS (SELECT min(quality) AS q FROM r WHERE k <= 30) SELECT {n('quality = q')} AS tied, {n('quality = q AND k <= 30')} AS tied_selected FROM r CROSS JOIN b",
+    "t08_stratified_sample": f"WITH {LINES} SELECT item, po_id, part_id FROM (SELECT item, po_id, part_id, row_number() OVER (PARTITION BY item ORDER BY HEX256('9:' || po_id || ':' || CAST(part_id AS STRING)), supplier_id, day) AS k FROM lines) x WHERE k <= 5",
+    "t09_bootstrap": f"WITH {EVALUATED}, b AS (SELECT explode_b AS b FROM (SELECT {{BOOT}} AS explode_b) y), w AS (SELECT b, y, p, CASE WHEN u < 3679 THEN 0 WHEN u < 7358 THEN 1 WHEN u < 9197 THEN 2 WHEN u < 9810 THEN 3 ELSE 4 END AS k FROM (SELECT b.b, y, p, mod(doc_id * 7919 + b.b * 104729 + doc_id * b.b * 31, 10007) AS u FROM evaluated CROSS JOIN b) z), s AS (SELECT b, sum(CASE WHEN y = p THEN k ELSE 0 END) * 1.0E0 / sum(k) AS acc FROM w GROUP BY b) SELECT count(*) AS draws, round(PCTL(acc, 0.025), 9) AS low, round(PCTL(acc, 0.975), 9) AS high FROM s",
+    "t10_permutation": f"WITH {EVALUATED}, a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM evaluated), b AS (SELECT y, row_number() OVER (ORDER BY HEX256('p:' || CAST(doc_id AS STRING)), doc_id) AS i FROM evaluated) SELECT a.doc_id, b.y FROM a JOIN b ON a.i = b.i",
+    "u03_union_all": "SELECT side, count(*) AS n FROM (SELECT 'customer' AS side, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) x GROUP BY side",
+    "f13_strings": "SELECT s_suppkey, lower(s_name) AS name, lpad(CAST(s_suppkey AS STRING), 6, '0') AS padded FROM supplier",
+    "f36_price_text": "SELECT DISTINCT CAST(regexp_extract(t, '^([0-9]+)', 1) AS BIGINT) * 100 + CAST(rpad(regexp_extract(t, '[.]([0-9]+)$', 1), 2, '0') AS BIGINT) AS cents FROM (SELECT CAST(CAST(l_quantity AS DECIMAL(9,2)) AS STRING) AS t FROM lineitem) x",
     # streaming twins in batch form
     "x_tumbling_day": "SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n FROM events GROUP BY CAST(ts AS DATE), event_type",
 }
 #: The one expression that has no common form: a row per day.
 SPINE = ("explode(sequence(a, date_add(a, CAST(k AS INT)), interval 1 day))", "unnest(generate_series(a, a + CAST(k AS INT), interval 1 day))")
+BOOT = ("explode(sequence(CAST(1 AS BIGINT), CAST(200 AS BIGINT)))", "unnest(generate_series(CAST(1 AS BIGINT), CAST(200 AS BIGINT)))")

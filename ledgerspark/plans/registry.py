@@ -12,8 +12,8 @@ from . import catalog, dialect
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name, _text in catalog.CATALOG.items():
-    QUERIES[_name] = dialect.runner(_text.replace("{SPINE}", catalog.SPINE[0]))
-    ORACLES[_name] = dialect.oracle_sql(_text.replace("{SPINE}", catalog.SPINE[1]))
+    QUERIES[_name] = dialect.runner(_text.replace("{SPINE}", catalog.SPINE[0]).replace("{BOOT}", catalog.BOOT[0]))
+    ORACLES[_name] = dialect.oracle_sql(_text.replace("{SPINE}", catalog.SPINE[1]).replace("{BOOT}", catalog.BOOT[1]))
 
 
 def _query(name: str, oracle: str | None = None):
