@@ -54,13 +54,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows out evenly when the scan yields fewer partitions than there are cores."""
-    spark = df.sparkSession
-    n = least or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
-
-
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo: the fold rule of the contracts. A null id hashes as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
