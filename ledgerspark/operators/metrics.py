@@ -66,3 +66,25 @@ def overlap(df: DataFrame, ident: str, a: str, b: str, label: str, k: int) -> Da
     pos = F.col(label) == 1
     t = d.agg(n(F.col("ia") & F.col("ib")).alias("common"), n(F.col("ia") & ~F.col("ib")).alias("only_a"), n(F.col("ib") & ~F.col("ia")).alias("only_b"), F.count("*").alias("either"), n(F.col("ia") & ~F.col("ib") & pos).alias("gained"), n(F.col("ib") & ~F.col("ia") & pos).alias("forgone"))
     return t.withColumns({"overlap": F.round(F.col("common") / k, 9), "jaccard": F.round(F.try_divide("common", "either"), 9), "net": F.col("gained") - F.col("forgone")})
+
+
+def replacement_rank(d: DataFrame, key: str, score: str, changed: Column) -> DataFrame:
+    """W09 for every row: its rank, and its rank if its score alone became `changed`; both counted, whole-number scores and keys.
+
+    Rows above are counted by score, those of the same score by key; rows of the
+    own key do not stand in its way.
+    """
+    rows = d.select(F.col(key).alias("doc_id"), F.col(score).cast("long").alias("s"), changed.cast("long").alias("t")).withColumn("row", F.monotonically_increasing_id())
+    held = rows.select("doc_id", "row", F.col("s").alias("at"), F.lit(1).alias("real"))
+    asked = rows.select("doc_id", "row", F.col("t").alias("at"), F.lit(0).alias("real"))
+    both = held.unionByName(asked)
+    by_score = both.groupBy("at").agg(F.sum("real").alias("c"))
+    above = by_score.select("at", F.coalesce(F.sum("c").over(W.orderBy(F.desc_nulls_last("at")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    tied = F.coalesce(F.sum("real").over(W.partitionBy("at").orderBy("doc_id").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("real"))).over(W.partitionBy("doc_id").orderBy(-F.col("at")).rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    same = F.row_number().over(W.partitionBy("at", "doc_id", "real").orderBy("row")) - 1
+    placed = both.withColumn("tied", tied).withColumn("own", own).withColumn("same", same)
+    placed = placed.join(above, placed["at"].eqNullSafe(above["at"])).select("doc_id", "row", "real", placed["at"].alias("at"), (F.col("above") + F.col("tied")).alias("ahead"), "own", "same")
+    before = placed.where("real = 1").select("row", "doc_id", (F.col("ahead") + F.col("same") + 1).alias("before_rank"))
+    after = placed.where("real = 0").select("row", F.when(F.col("at").isNull(), 1).otherwise(F.col("ahead") - F.col("own") + 1).alias("after_rank"))
+    return before.join(after, "row").select("doc_id", F.col("before_rank").cast("long").alias("before_rank"), F.col("after_rank").cast("long").alias("after_rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 DAYS, LEAST = 90, 20
@@ -80,3 +82,88 @@ def counterfactuals(lines: DataFrame) -> DataFrame:
     quantity = F.when(F.col("times").isNull(), tenth).otherwise(F.col("quantity0") * F.col("times"))
     d = d.withColumns({"price1": price, "quantity1": quantity})
     return d.where((F.col("scenario") != "D") | (F.col("quantity1") != F.col("quantity0"))).withColumn("total1", (F.col("price1") * F.col("quantity1").cast("decimal(14,0)")).cast("decimal(34,6)"))
+
+
+def available_from(line_day: Column, part: Column) -> Column:
+    """J13's second clock: the day on which a line becomes known."""
+    return line_day + F.pmod(part, F.lit(30))
+
+
+def two_clock_counts(lines: DataFrame) -> DataFrame:
+    """J13 for every line: the lines of its item dated in the 90 days before and known before its day.
+
+    A line counts from the day after it is known to the ninetieth after its date,
+    so the count of a day is a running sum of such starts and ends by item and day.
+    """
+    d = lines.withColumn("day", F.unix_date("order_date"))
+    known, last = available_from(F.col("day"), F.col("part_id")) + 1, F.col("day") + DAYS
+    ends = d.where(known <= last).select("item", F.explode(F.array(F.struct(known.alias("day"), F.lit(1).alias("x")), F.struct((last + 1).alias("day"), F.lit(-1).alias("x")))).alias("e")).select("item", "e.day", "e.x")
+    days = d.select("item", F.col("day").cast("long").alias("day"), F.lit(0).alias("x")).unionByName(ends).groupBy("item", "day").agg(F.sum("x").alias("x"))
+    counts = days.select("item", "day", F.sum("x").over(W.partitionBy("item").orderBy("day")).alias("n"))
+    return d.join(counts, ["item", "day"]).select("po_id", "part_id", "supplier_id", F.col("day").cast("long").alias("day"), "n")
+
+
+def exclusion_reasons(lines: DataFrame) -> DataFrame:
+    """P20 over all pairs of operation and line of one item: reason, n; self > outside > not available > incomparable.
+
+    Pairs are counted by day and item, those of an id with itself by windows over
+    the id; no pair is made.
+    """
+    kind = F.when(F.pmod("part_id", F.lit(3)) == 0, 0).when(F.col("unit") != "A", 1).otherwise(2)
+    kinds = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)) for k in range(3)]
+    d = lines.where(F.col("item").isNotNull()).select("po_id", "item", F.unix_date("order_date").alias("day"), kind.alias("kind"))
+    daily = d.groupBy("item", "day").agg(F.count("*").alias("ops"), *[c.alias(f"k{k}") for k, c in enumerate(kinds)])
+    inside = daily.select("item", "ops", *[F.coalesce(F.sum(f"k{k}").over(window("item")), F.lit(0)).alias(f"k{k}") for k in range(3)])
+    inside = inside.groupBy("item").agg(F.sum("ops").alias("ops"), *[F.sum(F.col("ops") * F.col(f"k{k}")).alias(f"k{k}") for k in range(3)])
+    inside = inside.agg(F.sum(F.col("ops") * F.col("ops")).alias("pairs"), *[F.sum(f"k{k}").alias(f"k{k}") for k in range(3)])
+    own = d.where(F.col("po_id").isNotNull()).select(F.count("*").over(W.partitionBy("item", "po_id")).alias("own"), *[F.coalesce(c.over(window("item", "po_id")), F.lit(0)).alias(f"o{k}") for k, c in enumerate(kinds)])
+    own = own.agg(F.sum("own").alias("own"), *[F.sum(f"o{k}").alias(f"o{k}") for k in range(3)])
+    t = inside.crossJoin(own)
+    left = [F.col(f"k{k}") - F.col(f"o{k}") for k in range(3)]
+    counted = {"self": F.col("own"), "outside_window": F.col("pairs") - F.col("own") - left[0] - left[1] - left[2], "not_available": left[0], "incomparable": left[1], "comparable": left[2]}
+    return t.select(F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), c.cast("long").alias("n")) for r, c in counted.items()])).alias("x")).select("x.*").where("n > 0")
+
+
+def price_references(lines: DataFrame, span: int = 45) -> DataFrame:
+    """D15 for every line: the references of its item by both clocks, without its own id, and their exact median.
+
+    A line is sent to the blocks of `span` days that can refer to it; a block
+    sorts the references of a day once for all its operations.
+    """
+    day = F.unix_date("order_date").cast("long")
+    d = lines.where(F.col("item").isNotNull() & F.col("order_date").isNotNull()).select("item", day.alias("day"), available_from(day, F.col("part_id")).alias("known"), "po_id", "part_id", "supplier_id", F.round(F.col("unit_price") * 100).cast("long").alias("cents"))
+    at = lambda c: F.floor(c / span)
+    ops = d.withColumn("block", at(F.col("day")))
+    refs = d.select(*[F.col(c).alias(f"r_{c}") for c in d.columns], F.explode(F.sequence(at(F.col("day") + 1), at(F.col("day") + DAYS))).alias("r_block"))
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, r = left["day"].to_numpy(), {c: right[f"r_{c}"].to_numpy() for c in ("day", "known", "supplier_id")}
+        price = right["r_cents"].to_numpy(zero_copy_only=False).astype(float)
+        ids = {}
+        for k, i in enumerate(right["r_po_id"].to_pylist()):
+            ids.setdefault(i, []).append(k)
+        own = left["po_id"].to_pylist()
+        out = np.zeros((len(own), 3), np.int64)
+        twice = np.full(len(own), np.nan)
+
+        def measure(k):
+            p = price[k]
+            p = p[~np.isnan(p)]
+            return (len(k), len(np.unique(r["day"][k])), len(np.unique(r["supplier_id"][k]))), np.rint(2 * np.median(p)) if len(p) else np.nan
+
+        for x in np.unique(asked):
+            fits = (r["day"] >= x - DAYS) & (r["day"] < x) & (r["known"] < x)
+            every = np.flatnonzero(fits)
+            shared = measure(every)
+            for j in np.flatnonzero(asked == x):
+                mine = [k for k in ids.get(own[j], ()) if fits[k]] if own[j] is not None else []
+                out[j], twice[j] = measure(np.setdiff1d(every, mine, assume_unique=True)) if mine else shared
+        made = {c: pa.array(out[:, k]) for k, c in enumerate(("n", "dates", "suppliers"))}
+        return pa.table({c: left[c] for c in ("po_id", "part_id", "supplier_id", "day", "cents")} | made | {"twice": pa.array(twice, pa.float64(), from_pandas=True)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("po_id", "part_id", "supplier_id", "day", "cents")) + ", n long, dates long, suppliers long, twice double"
+    t = ops.groupBy("item", "block").cogroup(refs.groupBy("r_item", "r_block")).applyInArrow(block, schema)
+    enough, twice = F.col("n") >= LEAST, F.col("twice").cast("long")
+    percent = F.round(F.try_divide((2 * F.col("cents") - twice) * 100.0, twice), 6) + 0.0
+    return t.select("po_id", "part_id", "supplier_id", "day", "n", "dates", "suppliers", F.when(~enough, F.lit("insufficient_history")).alias("reason"), F.when(enough, twice).alias("twice_median_cents"), F.when(enough, percent).alias("percent_difference"))

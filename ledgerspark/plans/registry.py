@@ -86,6 +86,26 @@ def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.overlap(_evaluated(spark, sf_dir), "doc_id", "score", "quality", "y", 50)
 
 
+@_query("d15_price_all")
+def d15_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.price_references(tables.purchase_lines(spark, sf_dir))
+
+
+@_query("j13_two_clocks_all")
+def j13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.two_clock_counts(tables.purchase_lines(spark, sf_dir))
+
+
+@_query("p20_exclusion_reasons_all")
+def p20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.exclusion_reasons(tables.purchase_lines(spark, sf_dir))
+
+
+@_query("w09_replacement_rank_all")
+def w09_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.replacement_rank(_evaluated(spark, sf_dir), "doc_id", "score", F.col("score") * 2)
+
+
 @_query("m01_m02_isolation_forest")
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all lines by an Isolation Forest grown on the development period."""
