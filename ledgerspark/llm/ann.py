@@ -17,7 +17,8 @@ sent to each block, so no bucket meets in one task and none is cut short.
 
 Defined cases: vectors that are null, zero, of another length than the longest,
 or hold null or non-finite components take no part; rows with the same id and
-vector count once; ties go to the smaller id; an empty table gives no rows.
+vector count once, and an id with several
+vectors takes one place, by its best; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,13 +105,10 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], schema)
     size, n, most, least = sizes[0]
-    rows = rows.where(F.size("v") == size)
+    rows = rows.where(F.size("v") == size).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
     rotations = Rotations(size, most, least < most * (1 - 1e-6), tables)
     if n < small:
         rotations.tables, count = 1, 2 * rotations.width
-    else:
-        some = np.array([r["v"] for r in drawn(rows, n, sample, "vec_id").select("v").collect()])
-        count = calibrate(rotations, some, k, aim)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +118,9 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), pa.array(list(rotations.codes(x)), pa.list_(pa.int32()))], ["vec_id", "v", "q", "codes"])
 
     coded = materialize(map_arrow(rows, code, "vec_id long, v binary, q boolean, codes array<int>", rows=4000), "codes")
+    if n >= small:
+        some = np.array([np.frombuffer(r["v"], float) for r in drawn(coded, coded.count(), sample, "vec_id", "v").select("v").collect()])
+        count = calibrate(rotations, some, k, aim)
     # one row per table and signed axis
     counts = {(r["t"], r["axis"]): r["count"] for r in coded.select(F.posexplode("codes").alias("t", "axis")).groupBy("t", "axis").count().collect()}
 
@@ -142,16 +143,21 @@ def nearest(
         out = ([], [], [])
         if left.num_rows and right.num_rows:
             ids = np.array(right["vec_id"])
-            c = np.frombuffer(b"".join(right["v"].to_pylist()), float).reshape(-1, size)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            c = np.frombuffer(b"".join(right["v"].to_pylist()), float).reshape(-1, size)[order]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             asked = np.array(left["query_id"])
             every = np.frombuffer(b"".join(left["v"].to_pylist()), float).reshape(-1, size)
             for at in range(0, len(asked), 512):
                 q = every[at : at + 512]
                 score = q @ c.T
                 score[asked[at : at + 512, None] == ids[None, :]] = -np.inf
-                bound = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+                # an id may have several vectors: the k-th place is counted over ids
+                by_id = np.maximum.reduceat(score, starts, axis=1) if len(starts) < len(ids) else score
+                bound = np.partition(by_id, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(q), -np.inf)
                 # all that could be among the best k, measured again in one fixed order of addition
-                near = score >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None] if len(ids) > k else score > -np.inf
+                near = score >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None] if len(starts) > k else score > -np.inf
                 for i in range(len(q)):
                     pick = np.flatnonzero(near[i] & (score[i] > -np.inf))
                     exact = (c[pick] * q[i]).sum(1)
@@ -172,7 +178,7 @@ def nearest(
     stored = stored.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("t") * 65536 + F.col("axis"))).cast("int"))
     keys = ["t", "axis", "part"]
     found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
-    flat = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).dropDuplicates(["query_id", "vec_id"])
+    flat = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

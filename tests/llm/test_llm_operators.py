@@ -100,6 +100,24 @@ def test_nearest_is_exact_when_small(spark):
         assert [k for k, _ in found] == want and found[0][1] == pytest.approx(s[want[0]])
 
 
+def test_nearest_gives_k_ids_when_rows_repeat(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (60, 6))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    other = r.normal(0, 1, (60, 30, 6))  # an id with thirty more vectors each
+    for name, more in (("rows", rows * 25), ("vectors", rows + [(k, [float(c) for c in v]) for k in range(30) for v in other[k]])):
+        best = defaultdict(lambda: defaultdict(lambda: -np.inf))
+        for q, v in more:
+            if q in (40, 59):
+                for i, w in more:
+                    if i != q:
+                        best[q][i] = max(best[q][i], float(np.dot(v, w)))
+        got = defaultdict(list)
+        for q in ann.nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), F.col("vec_id").isin(40, 59)).orderBy("query_id", "rank").collect():
+            got[q["query_id"]].append(q["vec_id"])
+        assert dict(got) == {q: sorted(best[q], key=lambda i: (-round(best[q][i], 9), i))[:20] for q in (40, 59)}, name
+
+
 def test_nearest_recall_with_probes():
     r = np.random.default_rng(5)
     x = r.normal(0, 1, (4000, 32))
