@@ -32,10 +32,11 @@ from .common import map_arrow, materialize, table
 from .components import components
 from .shingles import mix, shingle_set
 
-ROWS, BANDS = 5, 28
-REGISTERS = ROWS * BANDS
+ROWS, BANDS = 5, 41
+#: Those of the bands and three more, so that four fill each long.
+REGISTERS = ROWS * BANDS + 3
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: 28 bands of 5: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^28 < 2e-5, one of 0.3 with 0.93.
+#: 41 bands of 5: a pair of similarity 0.8 shares fewer than three with probability 1.9e-5, and none with 9e-8.
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
@@ -53,7 +54,7 @@ def registers(elements: np.ndarray) -> np.ndarray:
 
 def banded(sketch: np.ndarray) -> np.ndarray:
     """One hash for the register values of each band; only equality matters, and pairs are verified."""
-    b = sketch.reshape(BANDS, ROWS).astype(np.uint64)
+    b = sketch[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + b[:, k])
@@ -162,13 +163,15 @@ def across(entries: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int = 4, large: int = 64, depth: int = 2) -> DataFrame:
     """(node, root) for every class that links with another one.
 
-    First every member of a bucket is compared with the bucket's hub, in half of
+    First every member of a bucket is compared with the bucket's hub, in a third of
     the bands (a pair of similarity 0.8 shares one of these with 0.996): that
     joins large groups of copies. Then components that meet in a bucket are
     compared, in all bands. Where that means more than `large` pairs, the bucket
-    is split by the value of a further band, each of the others in turn: similar
-    sets that share one band share another (all but 2e-5 of those at 0.8), while
-    texts that only share a passage rarely do.
+    is split by the value of a further band, each of the later ones in turn, and
+    again up to `depth` times; the last parts are compared whatever their size.
+    So a pair that shares depth + 1 bands is compared in buckets of any size, and
+    all but 1.9e-5 of those at 0.8 share three. One that shares fewer is compared
+    only if its bucket, or the part by both bands, is small.
     """
     entries = classes.select("key", "n", F.posexplode("bands").alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -178,8 +181,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     chosen = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(named, F.col("__of").eqNullSafe(F.col("__id")), "left_semi")
     texts = keyed(chosen.select("text"), "text", width, "key").join(active, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "texts")
-    asked = entries.where("band % 2 = 0")
-    order = F.struct(F.xxhash64(F.floor(F.col("band") / 2) % orders, "key").alias("o"), "key", "n")
+    asked = entries.where("band % 3 = 0")
+    order = F.struct(F.xxhash64(F.floor(F.col("band") / 3) % orders, "key").alias("o"), "key", "n")
     hubs = asked.groupBy("band", "value").agg(F.min(order).alias("hub")).select("band", "value", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
     fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     stars = asked.join(hubs, ["band", "value"]).where((F.col("key") != F.col("hub")) & fits)
@@ -187,7 +190,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     links = materialize(confirmed(pairs, classes, texts, width, percent), "links")
     roots = components(links)
     placed = entries.join(roots, entries["key"] == roots["node"], "left").select(
-        F.xxhash64("band", "value").alias("g"), F.array("band").alias("used"), "key", "n", F.coalesce("root", "key").alias("root")
+        F.xxhash64("band", "value").alias("g"), F.col("band").alias("last"), "key", "n", F.coalesce("root", "key").alias("root")
     )
     rest, level = None, materialize(open_groups(placed), "open")
     for step in range(depth + 1):
@@ -196,8 +199,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
         rest = pairs if rest is None else rest.unionByName(pairs)
         if step == depth or level.where(F.col("pairs") > large).isEmpty():
             break
-        finer = level.where(F.col("pairs") > large).join(classes.select("key", "bands"), "key").select("g", "used", "key", "n", "root", F.posexplode("bands").alias("i", "value"))
-        finer = finer.where(~F.array_contains("used", F.col("i"))).select(F.xxhash64("g", "i", "value").alias("g"), F.array_append("used", F.col("i")).alias("used"), "key", "n", "root")
+        finer = level.where(F.col("pairs") > large).join(classes.select("key", "bands"), "key").select("g", "last", "key", "n", "root", F.posexplode("bands").alias("i", "value"))
+        finer = finer.where(F.col("i") > F.col("last")).select(F.xxhash64("g", "i", "value").alias("g"), F.col("i").alias("last"), "key", "n", "root")
         level = materialize(open_groups(finer), "open")
     found = materialize(confirmed(rest.distinct(), classes, texts, width, percent), "links")
     if found.isEmpty():

@@ -282,6 +282,24 @@ def test_near_duplicates_against_brute_force(spark, cases):
     assert near_dedup.group_documents(empty(spark)).isEmpty()
 
 
+def test_similar_sets_share_enough_bands_for_crowded_buckets():
+    r = np.random.default_rng(3)
+    least = []
+    for _ in range(4000):
+        x = r.integers(0, 2**63, 180).astype(np.uint64)  # 160 of 200 in common
+        a, b = (near_dedup.banded(near_dedup.registers(s)) for s in (x, np.concatenate([x[20:], r.integers(0, 2**63, 20).astype(np.uint64)])))
+        least.append(int((a == b).sum()))
+    assert min(least) >= 3
+
+
+def test_split_buckets_link_what_whole_ones_do(spark, cases, monkeypatch):
+    d, _ = cases
+    found = lambda: sorted(map(tuple, near_dedup.group_documents(d, width=4).select("id", "n", "component").collect()), key=repr)
+    whole = found()
+    monkeypatch.setattr(near_dedup.link_classes, "__defaults__", (4, 0, 2))  # large=0: every bucket is split
+    assert found() == whole
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(2)
     x = r.integers(0, 2**63, 3000).astype(np.uint64)
