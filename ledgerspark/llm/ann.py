@@ -9,8 +9,7 @@ inner product the smallest angle.
 
 The number of probes is the least that finds ``aim`` of the true neighbours of
 sample queries within a sample of at most ``sample`` rows (the only use of that
-sample; every row is indexed). With fewer than ``small`` rows all axes are
-probed, which is exact.
+sample; every row is indexed), whatever the table's size.
 
 Buckets with more than ``block`` rows are cut into blocks and their queries are
 sent to each block, so no bucket meets in one task and none is cut short.
@@ -78,11 +77,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def calibrate(rotations: Rotations, sample: np.ndarray, k: int, aim: float, queries: int = 200) -> int:
     """The least number of probes per table that finds `aim` of the k nearest of sample queries."""
+    if len(sample) < 2:
+        return 1
     picked = np.arange(0, len(sample), max(1, len(sample) // queries))[:queries]
     codes = rotations.codes(sample)
     score = sample[picked] @ sample.T
     score[np.arange(len(picked)), picked] = -np.inf
-    best = np.argpartition(-score, min(k, len(sample) - 1) - 1, axis=1)[:, :k]
+    k = min(k, len(sample) - 1)
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
     needed = np.full(best.shape, 2 * rotations.width)
     for t in range(rotations.tables):
         order = rotations.probes(sample[picked], t, 2 * rotations.width)
@@ -92,7 +94,7 @@ def calibrate(rotations: Rotations, sample: np.ndarray, k: int, aim: float, quer
 
 
 def nearest(
-    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 3, sample: int = 20_000, small: int = 3_000, aim: float = 0.96, block: int = 4096
+    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 3, sample: int = 20_000, aim: float = 0.96, block: int = 4096
 ) -> DataFrame:
     """The k nearest rows found for each row that is_query (a condition): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -100,15 +102,13 @@ def nearest(
     good = v.isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.coalesce(good, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("most"), F.min(norm).alias("least")).orderBy(F.desc("size")).limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.max(norm).alias("most"), F.min(norm).alias("least")).orderBy(F.desc("size")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    size, n, most, least = sizes[0]
+    size, most, least = sizes[0]
     rows = rows.where(F.size("v") == size).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
     rotations = Rotations(size, most, least < most * (1 - 1e-6), tables)
-    if n < small:
-        rotations.tables, count = 1, 2 * rotations.width
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +118,8 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), pa.array(list(rotations.codes(x)), pa.list_(pa.int32()))], ["vec_id", "v", "q", "codes"])
 
     coded = materialize(map_arrow(rows, code, "vec_id long, v binary, q boolean, codes array<int>", rows=4000), "codes")
-    if n >= small:
-        some = np.array([np.frombuffer(r["v"], float) for r in drawn(coded, coded.count(), sample, "vec_id", "v").select("v").collect()])
-        count = calibrate(rotations, some, k, aim)
+    some = np.array([np.frombuffer(r["v"], float) for r in drawn(coded, coded.count(), sample, "vec_id", "v").select("v").collect()])
+    count = calibrate(rotations, some, k, aim)
     # one row per table and signed axis
     counts = {(r["t"], r["axis"]): r["count"] for r in coded.select(F.posexplode("codes").alias("t", "axis")).groupBy("t", "axis").count().collect()}
 

@@ -113,11 +113,28 @@ def test_nearest_gives_k_ids_when_rows_repeat(spark):
                     if i != q:
                         best[q][i] = max(best[q][i], float(np.dot(v, w)))
         got = defaultdict(list)
-        for q in ann.nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), F.col("vec_id").isin(40, 59)).orderBy("query_id", "rank").collect():
+        for q in ann.nearest(spark.createDataFrame(more, "vec_id long, embedding array<double>"), F.col("vec_id").isin(40, 59), aim=1.0).orderBy("query_id", "rank").collect():
             got[q["query_id"]].append(q["vec_id"])
         assert dict(got) == {q: sorted(best[q], key=lambda i: (-round(best[q][i], 9), i))[:20] for q in (40, 59)}, name
 
 
+def test_nearest_probes_alike_at_every_size(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    counts, fit = [], ann.calibrate
+    monkeypatch.setattr(ann, "calibrate", lambda *a: counts.append(fit(*a)) or counts[-1])
+    for n in (300, 3500):
+        x = r.normal(0, 1, (n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.nearest(d, F.col("vec_id") % 10 == 0).collect()
+        score = x @ x.T - 9 * np.eye(n)
+        best = {k: set(np.argsort(-score[k])[:20].tolist()) for k in range(0, n, 10)}
+        assert sum(q["vec_id"] in best[q["query_id"]] for q in got) / (20 * len(best)) > 0.9
+    assert len(counts) == 2 and all(0 < c < 64 for c in counts)
+    for n in (1, 2):
+        assert ann.nearest(d.where(F.col("vec_id") < n), F.lit(True)).count() == n * (n - 1)
+
+
 def test_nearest_recall_with_probes():
     r = np.random.default_rng(5)
     x = r.normal(0, 1, (4000, 32))
