@@ -104,8 +104,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def mine(sample: DataFrame, least: int = 4, odds: float = 2.0, most: int = 400) -> Lexicon:
-    """Tokens that lean to toxic documents: counted in the workers, the best kept."""
+def mine(sample: DataFrame, least: int = 4, odds: float = 2.0) -> Lexicon:
+    """Tokens that lean to toxic documents: counted in the workers, all kept that pass; the labelled sample bounds their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = Counter(), Counter()
@@ -125,7 +125,7 @@ def mine(sample: DataFrame, least: int = 4, odds: float = 2.0, most: int = 400)
         return Lexicon({})
     lean = F.log((F.col("bad") + 0.5) / (total["bad"] + 1)) - F.log((F.col("good") + 0.5) / (total["good"] + 1))
     best = counts.where((F.col("token") != "\n") & (F.col("bad") >= least)).withColumn("lean", lean).where(F.col("lean") >= odds)
-    rows = best.orderBy(F.desc(F.col("lean") * F.sqrt("bad")), "token").limit(most).collect()
+    rows = best.orderBy("token").collect()
     return Lexicon({r["token"]: r["lean"] for r in rows})
 
 

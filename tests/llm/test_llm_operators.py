@@ -229,6 +229,13 @@ def test_toxicity_held_out(spark, cases):
     assert toxicity.score_documents(d, y.limit(0)).count() == 400 and toxicity.score_documents(d.limit(0), y).isEmpty()
 
 
+def test_toxicity_keeps_every_token_that_passes(spark):
+    words = [f"{a}{b}{c}rimo" for a in "bdfgklmn" for b in "aeiou" for c in "bdfgklmnprst"]
+    rows = [(" ".join(words[k % 40 :: 40]), 1) for k in range(200)] + [("plain harmless prose", 0)] * 200
+    got = toxicity.mine(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(words) == 480 and set(words) <= set(got.index)
+
+
 def test_suffix_dedup_against_brute_force(spark, cases):
     d, rows = cases
     got = defaultdict(list)
