@@ -96,19 +96,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further candidates that overlap no base span; of overlapping ones the first stays."""
+    """Further candidates that overlap no base span; they may overlap one another."""
     if not _DIGIT.search(text):
         return []
     found = [(m.start(), 4, m.end()) for m in _SECRET.finditer(text) if _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0])]
     found += [(m.start(), 5, m.end()) for m in _IBAN.finditer(text)]
     found += [(m.start(), 6, m.end()) for m in _SSN.finditer(text)]
-    out, end, b = [], 0, 0
+    out, b = [], 0
     for s, k, e in sorted(found, key=lambda x: (x[0], -x[1])):
         while b < len(base) and base[b][2] <= s:
             b += 1
-        if s >= end and not (b < len(base) and base[b][0] < e):
+        if not (b < len(base) and base[b][0] < e):
             out.append((s, k, e))
-            end = e
     return out
 
 
@@ -252,7 +251,11 @@ def spans_of(text: str | None, weights: np.ndarray | None, threshold: float = 0.
     if wide:
         key = np.array([_key(k, *votes(text, k, s, e)) for s, k, e in wide], np.int64)
         keep = _features(*_unkey(key)) @ weights >= np.log(threshold / (1 - threshold))
-        wide = [x for x, y in zip(wide, keep) if y]
+        accepted, wide, end = [x for x, y in zip(wide, keep) if y], [], 0
+        for s, k, e in accepted:  # of overlapping ones the first stays
+            if s >= end:
+                wide.append((s, k, e))
+                end = e
     return base, sorted(base + wide)
 
 

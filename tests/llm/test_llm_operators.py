@@ -71,6 +71,17 @@ def test_pii_learns_secrets_and_redacts(spark):
     assert pii.find_spans(d.limit(0)).isEmpty()
 
 
+def test_pii_rejected_run_does_not_hide_a_number():
+    # by these weights only iban (5) and ssn (6) are accepted, or secrets (4) as well
+    weights = np.zeros(len(pii.KINDS) + 3 * pii.N_VOTERS + 12)
+    weights[:7] = [-1, -1, -1, -1, -1, 1, 1]
+    for text, inner in (("ref/123-45-6789/ab", (4, 6, 15)), ("iban/DE89370400440532013000", (5, 5, 27))):
+        assert pii.spans_of(text, weights)[1] == [inner]
+        also = weights.copy()
+        also[4] = 1
+        assert pii.spans_of(text, also)[1] == [(0, 4, len(text))]
+
+
 def test_quality(spark, cases):
     d, rows = cases
     got = quality.clean_lines(d).collect()
