@@ -208,23 +208,28 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
     return components(links.unionByName(found))
 
 
-def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, key, n (set size), component (smallest id reachable, the row's own if it is alone)."""
+def rooted(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """group_documents with the key that names the group (root), which unrelated rows of one id do not share."""
     rows = materialize(sketches(docs, id_col, text_col, width), "sketches")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     roots = link_classes(docs, classes, id_col, text_col, width, percent)
     placed = classes.select("key", "id").join(roots, classes["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     names = placed.groupBy("root").agg(F.min("id").alias("component"))
-    found = placed.join(names, "root").select("key", "component")
-    return rows.select("id", "key", "n").join(found, "key", "left").select("id", "key", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    found = placed.join(names, "root").select("key", "component", "root")
+    return rows.select("id", "key", "n").join(found, "key", "left").select("id", "key", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "root")
+
+
+def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: id, key, n (set size), component (smallest id reachable, the row's own if it is alone)."""
+    return rooted(docs, id_col, text_col, width, percent).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: that of the smallest id; rows with empty sets all stay."""
-    groups = group_documents(docs, id_col, text_col, width=width, percent=percent)
+    groups = rooted(docs, id_col, text_col, width, percent)
     kept = groups.where(F.col("key").isNotNull() & F.col("id").eqNullSafe(F.col("component")))
-    kept = kept.groupBy(F.coalesce(F.col("component").cast("string"), F.hex("key")).alias("g")).agg(F.min("key").alias("k"), F.first("id").alias("i"))
+    kept = kept.groupBy("root").agg(F.min("key").alias("k"), F.first("id").alias("i"))
     rows = keyed(docs, text_col, width)
     blank = rows.where("__key IS NULL").drop("__key")
     chosen = rows.join(kept, (F.col("__key") == F.col("k")) & F.col(id_col).eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["__key", id_col]).drop("__key")

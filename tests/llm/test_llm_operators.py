@@ -317,6 +317,14 @@ def test_near_duplicates_against_brute_force(spark, cases):
     assert near_dedup.group_documents(empty(spark)).isEmpty()
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    r = random.Random(9)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b)])
+
+
 def test_similar_sets_share_enough_bands_for_crowded_buckets():
     r = np.random.default_rng(3)
     least = []
