@@ -3,20 +3,27 @@
 A document is the set of its word shingles. Register i of its SetSketch is the
 largest of floor(1 - log_b(h)) over its elements' exponential hashes h: an
 exponentially spaced, truncated minimum. Registers merge by maximum and agree
-between two sets about as often as the sets overlap. Five registers of 16 bits
-make a band; documents that share a band value are compared.
-
-Documents with equal sets become one class first. Within a bucket of classes,
-a hub (chosen in several hash orders) is compared with all members, which costs
-as many pairs as there are members; what components remain apart in a bucket is
-then compared across components, large buckets being split by further bands
-first, so that a large group of near copies never emits all its pairs. A pair is first estimated
-by maximum likelihood from both registers and sizes, and confirmed on the full
-sets of shingles.
+between two sets about as often as the sets overlap. Five registers make a
+band; documents that share a band value meet in that value's bucket.
+
+Documents with equal sets become one class first. Then buckets are worked off
+by hubs. In each round a bucket's hub, its member that meets most others over
+all its buckets, is compared with the members of other components; it has then
+met all of them and leaves. Components that links join are contracted, buckets
+with one component left are closed, and the number of hubs doubles from round
+to round. Members that provably link with nobody leave too: of the shingles
+that x shares with anyone in an open bucket there are c(x), so a link with y
+needs min(c(x), c(y)) to be large enough for both sizes. Once the pairs that are
+left are no more than the buckets' entries, they are compared at once. So every
+pair of a bucket is compared, excluded by its sizes, or already joined; a large
+group of near copies costs a few rows per copy and never all its pairs.
+
+A pair is first estimated by maximum likelihood from both registers and sizes,
+and confirmed on the full sets of shingles.
 
 Defined cases: null, blank or empty texts have empty sets and link with nothing;
 equal rows fall into one class; a null id has no say in a component's id; an
-empty table gives an empty result.
+empty table gives an empty result; columns keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -27,16 +34,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import map_arrow, materialize, table
+from .common import forget, map_arrow, materialize, table
 from .components import components
-from .shingles import mix, shingle_set
+from .shingles import shingle_set
 
-ROWS, BANDS = 5, 41
-#: Those of the bands and three more, so that four fill each long.
-REGISTERS = ROWS * BANDS + 3
+ROWS, BANDS = 5, 34
+REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: 41 bands of 5: a pair of similarity 0.8 shares fewer than three with probability 1.9e-5, and none with 9e-8.
+#: 34 bands of 5: a pair of similarity 0.8 shares none with probability 1.4e-6, one of 0.85 with 6e-9.
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _SEED.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
@@ -52,15 +59,6 @@ def registers(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-def banded(sketch: np.ndarray) -> np.ndarray:
-    """One hash for the register values of each band; only equality matters, and pairs are verified."""
-    b = sketch[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + b[:, k])
-    return h.view(np.int64)
-
-
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of each row pair of sketches, given the set sizes.
 
@@ -84,156 +82,160 @@ def key_of(elements: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else None
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: the id, the set's key, its size, its registers (four to a long), its hashed bands."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            regs = [registers(s) if len(s) else None for s in sets]
-            bands = [None if r is None else banded(r) for r in regs]
-            regs = [None if r is None else r.view(np.int64) for r in regs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "n", "regs", "bands"]
-            )
-
-    return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, key binary, n long, regs array<long>, bands array<long>")
-
-
-def keyed(docs: DataFrame, text_col: str, width: int, name: str = "__key") -> DataFrame:
-    """docs with the key of each row's set."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
+def sketched(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """docs with its columns as c0, c1, ... and of each row the set's key, its size, its registers (packed) and a row number.
 
+    Written to the shared folder, so that a row keeps its number.
+    """
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(shingle_set(t, width)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
+            sets = [shingle_set(t, width) for t in batch.column(at).to_pylist()]
+            more = [pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "regs"])
 
-    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    schema = StructType([*plain.schema.fields, StructField("key", BinaryType()), StructField("n", LongType()), StructField("regs", BinaryType())])
+    return materialize(map_arrow(plain, run, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets overlap enough: by size, by likelihood, then in full."""
+    """The pairs (u, v) whose sets overlap enough: by likelihood, then in full. The roots ru, rv go along."""
     slack = percent / 100 - 5 * np.sqrt(0.16 / REGISTERS)
+    kept = ["u", "v", "ru", "rv"]
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.array(batch.column(c).to_pylist(), np.int64).view(np.uint16) for c in ("ra", "rb"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                hit = likely(a, b, na, nb) >= slack
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(likely(a, b, na, nb) >= slack)) for c in kept], kept)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = batch.column("tu").to_pylist(), batch.column("tv").to_pylist()
             sets = {t: shingle_set(t, width) for t in {*left, *right}}
             hit = []
             for x, y in ((sets[a], sets[b]) for a, b in zip(left, right)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
-
-    side = lambda k, n, r: classes.select(F.col("key").alias(k), F.col("n").alias(n), F.col("regs").alias(r))
-    rows = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v").select("u", "v", "na", "nb", "ra", "rb")
-    near = map_arrow(rows, estimate, "u binary, v binary")
-    near = materialize(near, "near")
-    full = near.join(texts.select(F.col("key").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("tv")), "v")
-    return map_arrow(full.select("u", "v", "tu", "tv"), verify, "u binary, v binary", rows=200)
-
-
-def open_groups(placed: DataFrame) -> DataFrame:
-    """Entries of the groups (g) in which two components meet, with the number of pairs across components."""
-    parts = placed.groupBy("g", "root").agg(F.count("*").alias("c"))
-    groups = parts.groupBy("g").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-    return placed.join(groups.select("g", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "g")
-
-
-def across(entries: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a group that are of different components and of sizes that allow a link."""
-    a = entries.select("g", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    b = entries.select("g", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    return a.join(b, "g").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "v")
-
-
-def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int = 4, large: int = 64, depth: int = 2) -> DataFrame:
-    """(node, root) for every class that links with another one.
-
-    First every member of a bucket is compared with the bucket's hub, in a third of
-    the bands (a pair of similarity 0.8 shares one of these with 0.996): that
-    joins large groups of copies. Then components that meet in a bucket are
-    compared, in all bands. Where that means more than `large` pairs, the bucket
-    is split by the value of a further band, each of the later ones in turn, and
-    again up to `depth` times; the last parts are compared whatever their size.
-    So a pair that shares depth + 1 bands is compared in buckets of any size, and
-    all but 1.9e-5 of those at 0.8 share three. One that shares fewer is compared
-    only if its bucket, or the part by both bands, is small.
-    """
-    entries = classes.select("key", "n", F.posexplode("bands").alias("band", "value"))
-    shared = entries.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    entries = materialize(entries.join(shared, ["band", "value"]), "buckets")
-    active = entries.select("key").distinct()
-    named = classes.join(active, "key").select(F.col("id").alias("__id")).distinct()
-    chosen = docs.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(named, F.col("__of").eqNullSafe(F.col("__id")), "left_semi")
-    texts = keyed(chosen.select("text"), "text", width, "key").join(active, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
-    asked = entries.where("band % 3 = 0")
-    order = F.struct(F.xxhash64(F.floor(F.col("band") / 3) % orders, "key").alias("o"), "key", "n")
-    hubs = asked.groupBy("band", "value").agg(F.min(order).alias("hub")).select("band", "value", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
-    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    stars = asked.join(hubs, ["band", "value"]).where((F.col("key") != F.col("hub")) & fits)
-    pairs = stars.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct()
-    links = materialize(confirmed(pairs, classes, texts, width, percent), "links")
-    roots = components(links)
-    placed = entries.join(roots, entries["key"] == roots["node"], "left").select(
-        F.xxhash64("band", "value").alias("g"), F.col("band").alias("last"), "key", "n", F.coalesce("root", "key").alias("root")
-    )
-    rest, level = None, materialize(open_groups(placed), "open")
-    for step in range(depth + 1):
-        few = level if step == depth else level.where(F.col("pairs") <= large)
-        pairs = across(few, percent)
-        rest = pairs if rest is None else rest.unionByName(pairs)
-        if step == depth or level.where(F.col("pairs") > large).isEmpty():
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit, pa.bool_())) for c in kept], kept)
+
+    schema = "u long, v long, ru long, rv long"
+    side = lambda k, n, r: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("regs").alias(r))
+    rows = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v")
+    near = materialize(map_arrow(rows.select(*kept, "na", "nb", "ra", "rb"), estimate, schema), "near")
+    full = near.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v")
+    links = materialize(map_arrow(full.select(*kept, "tu", "tv"), verify, schema, rows=200), "links")
+    forget(near)
+    return links
+
+
+def still_open(entries: DataFrame) -> DataFrame:
+    """Entries of the buckets in which two components meet."""
+    mixed = entries.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo < hi").drop("lo", "hi")
+    return entries.drop("least").join(mixed, "value")
+
+
+def shared_sizes(entries: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(cid, shared): how many shingles of each class another class of these entries has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingle_set(text, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cid)), pa.array(s.view(np.int64))], ["cid", "shingle"])
+
+    left = texts.join(entries.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
+    single = map_arrow(left, run, "cid long, shingle long").groupBy("shingle").agg(F.min("cid").alias("cid"), F.count("*").alias("c")).where("c = 1")
+    return single.groupBy("cid").agg(F.count("*").alias("alone"))
+
+
+def fits(n, m, percent: int):
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """(cid, root) for every class (cid: the row that stands for it, n, regs)."""
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
+    entries = classes.select("cid", "n", F.explode(bands).alias("value"))
+    counted = entries.groupBy("value").agg(F.count("*").alias("met")).where("met > 1")
+    shared = materialize(entries.join(counted, "value"), "buckets")
+    total = shared.count()
+    central = shared.groupBy("cid").agg(F.sum("met").alias("weight"))
+    texts = materialize(rows.select(F.col("row").alias("cid"), F.col(text).alias("text")).join(central.select("cid"), "cid", "left_semi"), "texts")
+    left = materialize(shared.join(central, "cid").select("value", "cid", "n", "weight", F.col("cid").alias("root")), "open")
+    forget(shared)
+    roots, hubs_each = classes.select("cid", F.col("cid").alias("root")), 1
+
+    def contract(left: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        moved = components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).withColumnRenamed("root", "moved_to").withColumnRenamed("node", "root")
+        follow = lambda d: d.join(moved, "root", "left").withColumn("root", F.coalesce("moved_to", "root")).drop("moved_to")
+        return follow(left), follow(roots)
+
+    while total:
+        slot = F.pmod(F.xxhash64(F.lit(hubs_each), "cid"), F.lit(hubs_each))
+        hubs = left.groupBy("value", slot.alias("slot")).agg(F.max(F.struct("weight", "cid", "n", "root")).alias("hub")).select("value", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root"))
+        hubs = materialize(hubs, "hubs")
+        met = left.join(hubs, "value").where((F.col("root") != F.col("hub_root")) & fits(F.col("n"), F.col("hub_n"), percent))
+        pairs = met.select(F.least("cid", "hub").alias("u"), F.greatest("cid", "hub").alias("v"), F.least("root", "hub_root").alias("ru"), F.greatest("root", "hub_root").alias("rv")).distinct()
+        links = confirmed(pairs, classes, texts, width, percent)
+        rest = left.join(hubs.select("value", F.col("hub").alias("cid")), ["value", "cid"], "left_anti")
+        rest, roots = contract(rest, roots, links)
+        before, left = left, materialize(still_open(rest), "open")
+        forget(before, hubs, links)
+        if left.isEmpty():
+            break
+        alone = shared_sizes(left, texts, width)
+        known = left.join(alone, "cid", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("c") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+        before, left = left, materialize(still_open(known.drop("alone")), "open")
+        forget(before)
+        per_root = left.groupBy("value", "root").agg(F.count("*").alias("c"))
+        size = F.col("c").cast("double")
+        pairs_left = per_root.groupBy("value").agg(((F.sum(size) * F.sum(size) - F.sum(size * size)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if pairs_left <= total:
+            a = left.select("value", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("root").alias("ru"))
+            b = left.select("value", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("root").alias("rv"))
+            can = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.least("cu", "cv") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
+            pairs = a.join(b, "value").where(can).select("u", "v", "ru", "rv").distinct()
+            roots = contract(left, roots, confirmed(pairs, classes, texts, width, percent))[1]
+            forget(left)
             break
-        finer = level.where(F.col("pairs") > large).join(classes.select("key", "bands"), "key").select("g", "last", "key", "n", "root", F.posexplode("bands").alias("i", "value"))
-        finer = finer.where(F.col("i") > F.col("last")).select(F.xxhash64("g", "i", "value").alias("g"), F.col("i").alias("last"), "key", "n", "root")
-        level = materialize(open_groups(finer), "open")
-    found = materialize(confirmed(rest.distinct(), classes, texts, width, percent), "links")
-    if found.isEmpty():
-        return roots
-    return components(links.unionByName(found))
-
-
-def rooted(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """group_documents with the key that names the group (root), which unrelated rows of one id do not share."""
-    rows = materialize(sketches(docs, id_col, text_col, width), "sketches")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+        hubs_each *= 2
+        left = left.drop("c", "least")
+    forget(texts)
+    return roots
+
+
+def rooted(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and per class: key, id (the smallest), cid, root (the cid of one class of its group)."""
+    rows = sketched(docs, text_col, width)
+    of = f"c{docs.columns.index(id_col)}"
+    first = F.struct(F.col(of).isNull().alias("none"), F.col(of).alias("id"), "row", "n", "regs")
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.id", F.col("first.row").alias("cid"), "first.n", "first.regs")
     classes = materialize(classes, "classes")
-    roots = link_classes(docs, classes, id_col, text_col, width, percent)
-    placed = classes.select("key", "id").join(roots, classes["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
-    names = placed.groupBy("root").agg(F.min("id").alias("component"))
-    found = placed.join(names, "root").select("key", "component", "root")
-    return rows.select("id", "key", "n").join(found, "key", "left").select("id", "key", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"), "root")
+    roots = link_classes(rows, classes, f"c{docs.columns.index(text_col)}", width, percent)
+    return rows, classes.select("key", "id", "cid").join(roots, "cid")
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, key, n (set size), component (smallest id reachable, the row's own if it is alone)."""
-    return rooted(docs, id_col, text_col, width, percent).drop("root")
+    rows, placed = rooted(docs, id_col, text_col, width, percent)
+    names = placed.groupBy("root").agg(F.min("id").alias("component"))
+    found = placed.join(names, "root").select("key", "component")
+    rows = rows.select(F.col(f"c{docs.columns.index(id_col)}").alias("id"), "key", "n")
+    blank = rows.where("key IS NULL").select("id", "key", "n", F.col("id").alias("component"))
+    return rows.where("key IS NOT NULL").join(found, "key").select("id", "key", "n", "component").unionByName(blank)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group: that of the smallest id; rows with empty sets all stay."""
-    groups = rooted(docs, id_col, text_col, width, percent)
-    kept = groups.where(F.col("key").isNotNull() & F.col("id").eqNullSafe(F.col("component")))
-    kept = kept.groupBy("root").agg(F.min("key").alias("k"), F.first("id").alias("i"))
-    rows = keyed(docs, text_col, width)
-    blank = rows.where("__key IS NULL").drop("__key")
-    chosen = rows.join(kept, (F.col("__key") == F.col("k")) & F.col(id_col).eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["__key", id_col]).drop("__key")
-    return chosen.unionByName(blank)
+    rows, placed = rooted(docs, id_col, text_col, width, percent)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cid")).alias("best")).select(F.col("best.cid").alias("row"))
+    chosen = rows.where("key IS NOT NULL").join(best, "row", "left_semi").unionByName(rows.where("key IS NULL"))
+    return chosen.select(*[F.col(f"c{k}") for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

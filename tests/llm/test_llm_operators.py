@@ -288,12 +288,12 @@ def test_html():
     assert wrong <= 0.02 * sum(len(y) for _, y in held)
 
 
-def test_near_duplicates_against_brute_force(spark, cases):
-    d, rows = cases
+def components_by_brute_force(rows, width=4):
+    """(id, set size, smallest id reachable) of each row, and the number of groups."""
     sets = []
     for _, t, *_ in rows:
         w = WORD_RE.findall(lower_ascii(t or ""))
-        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     root = list(range(len(rows)))
 
     def find(k):
@@ -308,13 +308,43 @@ def test_near_duplicates_against_brute_force(spark, cases):
     lowest = {}
     for k, (i, *_) in enumerate(rows):
         lowest[find(k)] = min((x for x in (i, lowest.get(find(k))) if x is not None), default=None)
-    want = sorted(((i, len(sets[k]), lowest[find(k)]) for k, (i, *_) in enumerate(rows)), key=repr)
+    return sorted(((i, len(sets[k]), lowest[find(k)]) for k, (i, *_) in enumerate(rows)), key=repr), len({find(k) for k in range(len(rows)) if sets[k]}) + sum(not s for s in sets)
+
+
+def test_near_duplicates_against_brute_force(spark, cases):
+    d, rows = cases
+    want, groups = components_by_brute_force(rows)
     got = sorted(((q["id"], q["n"], q["component"]) for q in near_dedup.group_documents(d, width=4).collect()), key=repr)
     assert got == want
     kept = near_dedup.drop_near_duplicates(d, width=4)
-    groups = len({find(k) for k in range(len(rows)) if sets[k]})
-    assert kept.columns == d.columns and kept.count() == groups + sum(not s for s in sets)
-    assert near_dedup.group_documents(empty(spark)).isEmpty()
+    assert kept.columns == d.columns and kept.count() == groups
+    assert near_dedup.group_documents(empty(spark)).isEmpty() and near_dedup.drop_near_duplicates(empty(spark)).isEmpty()
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Copies far and near around a base, a chain in which only neighbours link, and a shared passage."""
+    r = random.Random(12)
+    words = lambda n: prose(r, n).split()
+    base, rows = words(90), []
+    for k in range(120):
+        t = list(base)
+        for _ in range(k % 9):
+            t[r.randrange(len(t))] = f"edit{r.randrange(10 ** 6)}"
+        rows.append(" ".join(t))
+    chain = words(160)
+    rows += [" ".join(chain[4 * k : 4 * k + 80]) for k in range(20)]
+    passage = words(40)
+    rows += [" ".join(passage + words(r.randint(2, 60))) for _ in range(60)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_dedup.group_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
+    assert sorted(((q["id"], q["n"], q["component"]) for q in got.collect()), key=repr) == components_by_brute_force(rows)[0]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(1, "one two three four five six", 7, b"x", 3), (2, "one two three four five six", 8, b"y", 4), (3, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int, key binary, c0 int")
+    assert sorted(map(tuple, near_dedup.drop_near_duplicates(d).collect())) == [tuple(rows[0][:3]) + (bytearray(b"x"), 3), rows[2]]
 
 
 def test_unrelated_texts_of_one_id_both_stay(spark):
@@ -325,22 +355,14 @@ def test_unrelated_texts_of_one_id_both_stay(spark):
     assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b)])
 
 
-def test_similar_sets_share_enough_bands_for_crowded_buckets():
+def test_similar_sets_share_a_band():
     r = np.random.default_rng(3)
-    least = []
-    for _ in range(4000):
+    shared = []
+    for _ in range(3000):
         x = r.integers(0, 2**63, 180).astype(np.uint64)  # 160 of 200 in common
-        a, b = (near_dedup.banded(near_dedup.registers(s)) for s in (x, np.concatenate([x[20:], r.integers(0, 2**63, 20).astype(np.uint64)])))
-        least.append(int((a == b).sum()))
-    assert min(least) >= 3
-
-
-def test_split_buckets_link_what_whole_ones_do(spark, cases, monkeypatch):
-    d, _ = cases
-    found = lambda: sorted(map(tuple, near_dedup.group_documents(d, width=4).select("id", "n", "component").collect()), key=repr)
-    whole = found()
-    monkeypatch.setattr(near_dedup.link_classes, "__defaults__", (4, 0, 2))  # large=0: every bucket is split
-    assert found() == whole
+        a, b = (near_dedup.registers(v).reshape(near_dedup.BANDS, -1) for v in (x, np.concatenate([x[20:], r.integers(0, 2**63, 20).astype(np.uint64)])))
+        shared.append(int((a == b).all(1).sum()))
+    assert min(shared) >= 1 and abs(np.mean(shared) - near_dedup.BANDS * 0.8**5) < 0.2
 
 
 def test_sketches_merge_and_estimate():
@@ -356,6 +378,8 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {q["node"]: q["root"] for q in components.components(edges).collect()}
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100}
+    with pytest.raises(RuntimeError):
+        components.components(edges, most=1)
 
 
 def test_bpe_equals_the_library(spark, cases):
