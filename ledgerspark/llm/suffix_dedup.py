@@ -8,72 +8,98 @@ LF mappings; after `width` rounds the blocks that have not split are exactly the
 sets of suffixes with a common prefix of `width` (their LCP intervals), and no
 suffix of the merged text was sorted again.
 
-To spread that over a cluster, equal strings have to meet:
+To spread that over a cluster, equal strings have to meet. Documents are dealt
+once into batches of some megabytes, kept as a table bucketed by batch, so that
+the passes below move no text.
 1. The anchor of a string is its lowest-hashed 16-byte window, so equal strings
-   have equal anchors. Strings with consecutive starts and one anchor make a
-   passage. Anchors are counted as packed arrays; only those met in two
-   documents matter (no repeat can be missed by that).
-2. Passages of such anchors, equal ones reduced to one with its smallest id, are
-   dealt out by anchor; each task merges the transforms of its passages' shards.
-3. For each passage the smallest id of each of its strings goes back to the
-   documents, which cut what a smaller id has.
-Documents are dealt into batches by hash, so hot passages are reduced within a
-batch before any shuffle and no group is gathered whole.
+   have equal anchors; strings with consecutive starts and one anchor make a
+   passage. A batch asks for each of its anchors (32 bits and a route) whether
+   two documents have it; the answers come back in the order of the questions.
+2. Of passages with such anchors a batch sends the anchor, a 64-bit hash of the
+   passage, and its smallest id. Passages are numbered. An anchor with one
+   passage everywhere is settled: the smallest id holds for all its strings.
+3. The bytes of every other distinct passage are sent once, by one batch, and
+   the transforms of all passages of an anchor are merged in one task.
+4. The smallest id of each string goes back to the batches, which cut.
+An anchor met more than `crowd` times has its passages cut into pieces of four
+starts, whose anchor is the hash of all bytes that the four strings share; that
+spreads the contexts of a very common passage over many tasks.
 
 Defined cases: null and empty texts have no bytes; rows with equal ids do not
 cut each other, whatever their texts; a null id is larger than all others;
-texts below 50 bytes stay whole; an empty table gives an empty result.
+texts below 50 bytes stay whole; an empty table gives an empty result; very long
+texts cost memory in proportion to themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_arrow, materialize, table
+from .common import forget, map_arrow, materialize, shared_dir, table
 from .shingles import mix
 
 _U = np.uint64
-_B = _U(0x100000001B3)
 GRAM = 16
-_BITS = _U(24)
-_LOW = _U((1 << 24) - 1)
-_PIECE = 1 << 22
-
-
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte windows."""
-    h, step, power = raw.astype(_U) + _U(1), 1, _B
-    while step < GRAM:
-        h = h[:-step] * power + h[step:]
-        step, power = 2 * step, _U(int(power) ** 2 % 2**64)
-    return mix(h)
-
-
-def passages(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, number of starts) of the passages, in order; every start is in exactly one."""
-    out = []
-    reach = width - GRAM + 1
-    for at in range(0, max(0, len(raw) - width + 1), _PIECE):
-        part = raw[at : at + _PIECE + width - 1]
-        h = gram_hashes(part)
-        key = (h & ~_LOW) | np.arange(len(h), dtype=_U)
+_BLOCK = 1 << 15
+_STEP = 4
+_LAST = np.iinfo(np.int64).max
+#: Bytes of a batch's texts on average; anchors of a route on average.
+BATCH_BYTES, ROUTE_ANCHORS = 2 << 20, 1 << 20
+
+
+def runs(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first start, position of the anchor) of each run of starts with one anchor: the leftmost window of least hash."""
+    total, reach = len(raw) - width + 1, width - GRAM + 1
+    firsts, places, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], -1
+    index = np.arange(_BLOCK + width, dtype=_U)
+    for at in range(0, total, _BLOCK):
+        h, step, power = raw[at : at + _BLOCK + width - 1].astype(np.uint32) + np.uint32(1), 1, 0x01000193
+        while step < GRAM:
+            h = h[:-step] * np.uint32(power) + h[step:]
+            step, power = 2 * step, power * power % 2**32
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        key = (h.astype(_U) << _U(32)) | index[: len(h)]
         size = 1
         while 2 * size <= reach:
             key = np.minimum(key[:-size], key[size:])
             size *= 2
         if size < reach:
             key = np.minimum(key[: len(key) - (reach - size)], key[reach - size :])
-        pos = (key & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
-        out.append((h[pos[first]], first + at, np.diff(np.append(first, len(pos)))))
-    if not out:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        place = (key & _U(2**32 - 1)).astype(np.int64) + at
+        first = np.flatnonzero(np.concatenate([[place[0] != last], place[1:] != place[:-1]]))
+        firsts.append(first + at)
+        places.append(place[first])
+        last = place[-1]
+    return np.concatenate(firsts), np.concatenate(places)
+
+
+def passages(raw: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its position, first start, number of starts, document) of the passages of texts laid end to end.
+
+    ends has the texts' bounds, from 0 on; every start of a whole string is in exactly one passage.
+    """
+    firsts, places = runs(raw, width)
+    if not len(firsts):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, _U), none, none, none, none
+    cuts = np.unique(np.concatenate([firsts, ends[:-1], np.maximum(ends[1:] - width + 1, ends[:-1])]))
+    cuts = cuts[cuts < len(raw) - width + 1]
+    doc = np.searchsorted(ends, cuts, "right") - 1
+    count = np.diff(np.append(cuts, len(raw) - width + 1))
+    whole = cuts + width <= ends[doc + 1]
+    place = places[np.searchsorted(firsts, cuts, "right") - 1][whole]
+    words = raw[place[:, None] + np.arange(GRAM)].view("<u8").astype(_U)
+    anchor = mix(words[:, 0] * _U(0x9E3779B97F4A7C15) + mix(words[:, 1] + _U(1)))
+    return anchor, place, cuts[whole], count[whole], doc[whole]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -144,138 +170,262 @@ def lowest_ids(texts: list[bytes], ids: np.ndarray, width: int, shard: int = 1 <
     return np.split(low[classes[at]], np.cumsum(counts)[:-1])
 
 
-_LAST = np.iinfo(np.int64).max
+def joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes laid end to end, and their bounds."""
+    a = pc.fill_null(pa.concat_arrays([c.cast(pa.large_binary()) for c in texts.chunks] or [pa.array([], pa.large_binary())]), b"")
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    raw = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None and ends[-1] else np.zeros(0, np.uint8)
+    return raw[ends[0] : ends[-1]], ends - ends[0]
+
+
+class Routes:
+    """The upper bits of a hash choose one of 2^bits routes; its next 32 bits stand for it there."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def split(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(route of each part, bounds of the parts, the 32 bits) of sorted hashes."""
+        route = (sorted_hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sorted_hashes), np.int64)
+        at = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]])) if len(route) else np.zeros(0, np.int64)
+        return route[at], np.append(at, len(route)), (sorted_hashes >> _U(32 - self.bits)).astype(np.uint32)
+
+
+def _blobs(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+
+
+def _whole(blobs, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def anchors_of(raw, ends, width) -> tuple:
+    """The passages, the distinct anchors in order, and in how many documents of the batch (255 at most) each is."""
+    found = passages(raw, ends, width)
+    order = np.lexsort((found[4], found[0]))
+    a, d = found[0][order], found[4][order]
+    new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+    other = new | np.concatenate([[True], d[1:] != d[:-1]]) if len(a) else new
+    group = np.cumsum(new) - 1
+    return found, a[new], np.minimum(np.bincount(group[other], minlength=int(new.sum())), 255).astype(np.uint8)
+
+
+def ask(group: pa.Table, width: int, routes: Routes) -> pa.Table:
+    """For each route the batch's anchors that go there."""
+    _, anchors, counts = anchors_of(*joined(group["text"]), width)
+    route, bounds, rest = routes.split(anchors)
+    return pa.table({"route": pa.array(route, pa.int64()), "batch": pa.array(np.full(len(route), group["batch"][0].as_py()), pa.int64()), "anchors": _blobs(bounds, rest), "counts": _blobs(bounds, counts)})
+
+
+def answer(group: pa.Table, crowd: int) -> pa.Table:
+    """For each question 0 (one document has the anchor), 1 (several have it) or 2 (more than `crowd`)."""
+    rests = group["anchors"].to_pylist()
+    rest, count = _whole(rests, np.uint32), _whole(group["counts"].to_pylist(), np.uint8)
+    _, inverse = np.unique(rest, return_inverse=True)
+    met = np.bincount(inverse, weights=count)[inverse]
+    told = (met > 1).astype(np.uint8) + (met > crowd)
+    bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in rests])])
+    return pa.table({"batch": group["batch"], "kind": pa.array(np.zeros(len(rests), np.int32)), "key": group["route"], "first": _blobs(bounds, told.astype(np.uint8)), "second": pa.nulls(len(rests), pa.binary()), "third": pa.nulls(len(rests), pa.binary())})
+
+
+ANSWER = "batch long, kind int, key long, first binary, second binary, third binary"
+
+
+class Batch:
+    """A batch's texts, and its passages that may repeat elsewhere, crowded ones in pieces."""
+
+    def __init__(self, docs: pa.Table, answers: pa.Table, width: int):
+        self.width = width
+        self.number = docs["batch"][0].as_py()
+        self.ids = docs["id"].to_numpy() if not docs["id"].null_count else np.array([_LAST if i is None else i for i in docs["id"].to_pylist()], np.int64)
+        self.raw, self.ends = joined(docs["text"])
+        self.data = self.raw.tobytes()
+        self.answers = {k: answers.filter(pc.equal(answers["kind"], k)).sort_by("key") for k in range(3)}
+        (a, place, start, count, doc), anchors, _ = anchors_of(self.raw, self.ends, width)
+        told = _whole(self.answers[0]["first"].to_pylist(), np.uint8)
+        of = told[np.searchsorted(anchors, a)] if len(a) else np.zeros(0, np.uint8)
+        one = of == 1
+        more = self.pieces(place[of == 2], start[of == 2], count[of == 2], doc[of == 2])
+        self.anchor = np.concatenate([a[one], more[0]])
+        self.start, self.count, self.doc = (np.concatenate([x, y]) for x, y in zip((start[one], count[one], doc[one]), more[1:]))
+        data = self.data
+        self.hash = np.array([xxhash.xxh3_64_intdigest(data[s : s + n + width - 1]) for s, n in zip(self.start.tolist(), self.count.tolist())], _U)
+        order = np.lexsort((self.ids[self.doc], self.hash, self.anchor))
+        x, h = self.anchor[order], self.hash[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (h[1:] != h[:-1])]) if len(x) else np.zeros(0, bool)
+        #: Of the distinct passages one occurrence, that of the smallest id; and of each occurrence its distinct passage.
+        self.first = order[new]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def pieces(self, place, start, count, doc) -> tuple:
+        """(anchor, start, count, document): passages of crowded anchors by four starts, anchored by the bytes these share."""
+        out = ([], [], [], [])
+        data, width = self.data, self.width
+        for p, s, n, d in zip(place.tolist(), start.tolist(), count.tolist(), doc.tolist()):
+            at = s
+            while at < s + n:
+                step = (p - at) // _STEP  # the anchor lies step * _STEP to step * _STEP + 3 bytes behind these starts
+                size = min(s + n - at, p - at - step * _STEP + 1)
+                shared = data[p - step * _STEP : p - step * _STEP - _STEP + 1 + width]
+                for column, value in zip(out, (xxhash.xxh3_64_intdigest(shared, seed=step), at, size, d)):
+                    column.append(value)
+                at += size
+        return np.array(out[0], _U), *(np.array(x, np.int64) for x in out[1:])
+
+    def bytes_of(self, k: int) -> bytes:
+        return self.data[self.start[k] : self.start[k] + self.count[k] + self.width - 1]
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct passage: its smallest id, its state (0 settled, 1 other passages share its anchor, 2 its bytes are asked for here), its number."""
+        got = self.answers[1]
+        low, state = _whole(got["first"].to_pylist(), np.int64), _whole(got["second"].to_pylist(), np.uint8)
+        label = np.full(len(state), -1)
+        label[state > 0] = _whole(got["third"].to_pylist(), np.int64)
+        return low, state, label
+
+
+def offer(docs: pa.Table, answers: pa.Table, width: int, routes: Routes) -> pa.Table:
+    """For each route the batch's distinct passages: 32 bits of the anchor, hash, smallest id."""
+    if not docs.num_rows:
+        return pa.table({"route": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("anchors", "hashes", "lows")}})
+    b = Batch(docs, answers, width)
+    route, bounds, rest = routes.split(b.anchor[b.first])
+    return pa.table({
+        "route": pa.array(route, pa.int64()), "batch": pa.array(np.full(len(route), b.number), pa.int64()),
+        "anchors": _blobs(bounds, rest), "hashes": _blobs(bounds, b.hash[b.first]), "lows": _blobs(bounds, b.ids[b.doc[b.first]]),
+    })
+
+
+def number(group: pa.Table) -> pa.Table:
+    """Numbers a route's distinct passages; settles those whose anchor has no other, asks one batch for the bytes of the rest."""
+    rests = group["anchors"].to_pylist()
+    rest, h, low = _whole(rests, np.uint32), _whole(group["hashes"].to_pylist(), _U), _whole(group["lows"].to_pylist(), np.int64)
+    order = np.lexsort((low, h, rest))
+    r, x = rest[order], h[order]
+    first_r = np.concatenate([[True], r[1:] != r[:-1]])
+    first = first_r | np.concatenate([[True], x[1:] != x[:-1]])
+    which, anchor = np.cumsum(first) - 1, np.cumsum(first_r) - 1
+    mixed = np.bincount(anchor[first])[anchor] > 1
+    lows, state, label = (np.empty(len(order), kind) for kind in (np.int64, np.uint8, np.int64))
+    lows[order] = low[order][first][which]  # sorted by id within a passage
+    state[order] = mixed.astype(np.uint8) + (mixed & first)
+    label[order] = (np.int64(group["route"][0].as_py()) << 36) + which
+    bounds = np.concatenate([[0], np.cumsum([len(b) // 4 for b in rests])])
+    labels = pa.array([label[a:b][state[a:b] > 0].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+    return pa.table({"batch": group["batch"], "kind": pa.array(np.ones(len(rests), np.int32)), "key": group["route"], "first": _blobs(bounds, lows), "second": _blobs(bounds, state), "third": labels})
+
+
+def send(docs: pa.Table, answers: pa.Table, width: int, tasks: int) -> pa.Table:
+    """The passages that the batch was asked for, with the task that merges their anchor."""
+    if not docs.num_rows:
+        return pa.table({"task": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})
+    b = Batch(docs, answers, width)
+    low, state, label = b.settled()
+    asked = np.flatnonzero(state == 2)
+    at = b.first[asked]
+    return pa.table({
+        "task": pa.array((mix(b.anchor[at]) % _U(tasks)).astype(np.int64)), "label": pa.array(label[asked], pa.int64()),
+        "low": pa.array(low[asked], pa.int64()), "passage": pa.array([b.bytes_of(k) for k in at.tolist()], pa.binary()),
+    })
+
+
+def merge(group: pa.Table, width: int) -> pa.Table:
+    """The smallest id of each string of each passage, by merging the transforms of all passages of the task."""
+    lows = lowest_ids(group["passage"].to_pylist(), group["low"].to_numpy(), width)
+    return pa.table({"label": group["label"], "lows": pa.array([x.tobytes() for x in lows], pa.binary())})
+
+
+def cut(docs: pa.Table, answers: pa.Table, width: int, with_text: bool) -> pa.Table:
+    """The figures of the batch's documents after cutting what a smaller id has."""
+    out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+    if docs.num_rows:
+        b = Batch(docs, answers, width)
+        low, state, label = b.settled()
+        edge = np.zeros(len(b.raw) + 1, np.int32)
+        own = b.ids[b.doc]
+        hit = np.flatnonzero((state[b.which] == 0) & (low[b.which] < own))
+        np.add.at(edge, b.start[hit], 1)
+        np.add.at(edge, b.start[hit] + b.count[hit] + width - 1, -1)
+        merged = dict(zip(b.answers[2]["key"].to_pylist(), b.answers[2]["first"].to_pylist()))
+        for k in np.flatnonzero(state[b.which] > 0).tolist():
+            at = b.start[k] + np.flatnonzero(np.frombuffer(merged[label[b.which[k]]], np.int64) < own[k])
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + width, -1)
+        covered = np.concatenate([np.cumsum(edge[:-1]) > 0, [False]])
+        for k, i in enumerate(docs["id"].to_pylist()):
+            s, e = b.ends[k], b.ends[k + 1]
+            gone = covered[s:e]
+            kept = b.raw[s:e][~gone].tobytes()
+            out["id"].append(i)
+            out["n_bytes"].append(int(e - s))
+            out["n_removed"].append(int(gone.sum()))
+            out["n_spans"].append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            if with_text:
+                out["kept"].append(kept)
+    kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items() if with_text or k != "kept"})
 
 
-def _raws(texts: list[str | None]) -> list[np.ndarray]:
-    return [np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
-
-
-def _packed(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The values of each group as one packed array."""
-    order = np.argsort(groups, kind="stable")
-    g, v = groups[order], values[order]
-    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
-    return g[cut], [x.tobytes() for x in np.split(v, cut[1:])] if len(cut) else []
-
-
-def repeated_anchors(rows: DataFrame, width: int, parts: int) -> DataFrame:
-    """(batch, anchors): packed, those anchors of the batch's documents that two documents have."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            homes = batch.column(0).to_numpy()
-            found = [np.unique(passages(r, width)[0]) for r in _raws(batch.column(2).to_pylist())]
-            a = np.concatenate(found) if found else np.zeros(0, _U)
-            home = np.repeat(homes, [len(x) for x in found])
-            order = np.argsort(a, kind="stable")
-            a, home = a[order], home[order]
-            same = a[1:] == a[:-1]
-            often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            # met twice right here: the answer is known, and one question stays for other batches
-            one = ~often | (often & ~np.concatenate([[False], same]))
-            q = np.stack([a[one], home[one].astype(_U) * _U(2) + often[one].astype(_U)], 1)
-            key, blobs = _packed((a[one] % _U(parts)).astype(np.int64), q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key), pa.array(blobs, pa.binary())], ["kind", "route", "blob"])
-            key, blobs = _packed(home[often], a[often])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(blobs, pa.binary())], ["kind", "route", "blob"])
-
-    def answer(group: pa.Table) -> pa.Table:
-        q = np.concatenate([np.frombuffer(b, _U).reshape(-1, 2) for b in group["blob"].to_pylist()])
-        order = np.argsort(q[:, 0], kind="stable")
-        q = q[order]
-        same = q[1:, 0] == q[:-1, 0]
-        hit = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, blobs = _packed((q[hit, 1] >> _U(1)).astype(np.int64), q[hit, 0])
-        return pa.table({"route": pa.array(key, pa.int64()), "blob": pa.array(blobs, pa.binary())})
-
-    asked = materialize(map_arrow(rows, ask, "kind int, route long, blob binary"), "anchors")
-    answered = asked.where("kind = 0").groupBy("route").applyInArrow(answer, "route long, blob binary")
-    return answered.unionByName(asked.where("kind = 1").select("route", "blob")).withColumnRenamed("route", "batch")
-
-
-def _of_batch(docs: pa.Table, answers: pa.Table, width: int):
-    """Per document of a batch: id, bytes, and its passages with repeated anchors (anchor, start, count)."""
-    shared = np.unique(np.concatenate([np.frombuffer(b, _U) for b in answers["blob"].to_pylist()] or [np.zeros(0, _U)]))
-    for i, raw in zip(docs["id"].to_pylist(), _raws(docs["text"].to_pylist())):
-        a, start, count = passages(raw, width)
-        if len(shared) and len(a):
-            hit = shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a
-        else:
-            hit = np.zeros(len(a), bool)
-        yield i, raw, a[hit], start[hit], count[hit]
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, batch_rows: int = 1200, with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with_text)."""
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """(batch, id, text) as a table bucketed by batch, the number of its buckets, and the bytes of all texts.
+
+    A row's batch is drawn from its place, so that equal rows do not gather.
+    """
     spark = docs.sparkSession
-    total = docs.count()
-    batches = max(1, total // batch_rows)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches)
-    rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).alias("batch"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shared = materialize(repeated_anchors(rows, width, parts), "shared")
-
-    def split(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
-        best: dict[tuple[int, bytes], int] = {}
-        for i, raw, a, start, count in _of_batch(docs_of, answers, width):
-            data, d = raw.tobytes(), _LAST if i is None else i
-            for x, s, n in zip(a.tolist(), start.tolist(), count.tolist()):
-                key = (x, data[s : s + n + width - 1])
-                if d < best.get(key, _LAST + 1):
-                    best[key] = d
-        batch = docs_of["batch"][0].as_py() if docs_of.num_rows else 0
-        return pa.table({
-            "batch": pa.array([batch] * len(best), pa.int64()), "anchor": pa.array(np.array([k[0] for k in best], _U).view(np.int64)),
-            "passage": pa.array([k[1] for k in best], pa.binary()), "low": pa.array(list(best.values()), pa.int64()),
-        })
-
-    found = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(split, "batch long, anchor long, passage binary, low long")
-    found = materialize(found, "passages")
-    # one row per passage, wherever it was met; its batches get the answer by a join
-    distinct = found.groupBy("anchor", "passage").agg(F.min("low").alias("low"))
-    tasks = max(parts, 1)
-
-    def merge(group: pa.Table) -> pa.Table:
-        texts, low, anchor = group["passage"].to_pylist(), group["low"].to_numpy(), group["anchor"].to_numpy()
-        _, inverse, counts = np.unique(anchor, return_inverse=True, return_counts=True)
-        many = np.flatnonzero(counts[inverse] > 1)
-        out = [np.full(len(t) - width + 1, d) for t, d in zip(texts, low)]  # a passage that nothing differs from is all its own
-        if len(many):
-            for j, lows in zip(many.tolist(), lowest_ids([texts[j] for j in many], low[many], width)):
-                out[j] = lows
-        return pa.table({"anchor": pa.array(anchor), "passage": pa.array(texts, pa.binary()), "lows": pa.array([x.astype(np.int64).tobytes() if (x != x[0]).any() else x[:1].astype(np.int64).tobytes() for x in out], pa.binary())})
-
-    merged = distinct.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(merge, "anchor long, passage binary, lows binary")
-    answers = found.select("batch", "anchor", "passage").join(merged, ["anchor", "passage"]).select("batch", "passage", "lows")
-
-    def cut(docs_of: pa.Table, lows_of: pa.Table) -> pa.Table:
-        lows = dict(zip(lows_of["passage"].to_pylist(), lows_of["lows"].to_pylist()))
-        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for i, raw in zip(docs_of["id"].to_pylist(), _raws(docs_of["text"].to_pylist())):
-            data, d = raw.tobytes(), _LAST if i is None else i
-            gone = np.zeros(len(raw) + 1, np.int32)
-            if lows:
-                _, start, count = passages(raw, width)
-                for s, n in zip(start.tolist(), count.tolist()):
-                    if (low := lows.get(data[s : s + n + width - 1])) is not None:
-                        cutting = np.frombuffer(low, np.int64) < d
-                        if cutting.any():
-                            at = s + (np.flatnonzero(cutting) if len(cutting) == n else np.arange(n))
-                            gone[at] += 1
-                            np.subtract.at(gone, np.minimum(at + width, len(raw)), 1)
-            covered = np.cumsum(gone[:-1]) > 0
-            kept = raw[~covered].tobytes()
-            out["id"].append(i)
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(int(covered.sum()))
-            out["n_spans"].append(int((np.diff(np.concatenate([[0], covered.astype(np.int8)])) == 1).sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept)
-        kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items() if with_text or k != "kept"})
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = max(1, size // BATCH_BYTES)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size >> 28))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
+    name = f"dealt_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows.repartition(buckets, "batch").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "batch").saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.table(name), buckets, size
+
+
+def each_group(f, **options):
+    def run(group: pa.Table) -> pa.Table:
+        return f(group, **options)
+
+    return run
 
+
+def each_batch(f, **options):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return f(docs, answers, **options)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, crowd: int = 4096, with_text: bool = False) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with_text)."""
+    rows, tasks, size = dealt(docs, id_col, text_col)
+    routes = Routes(max(tasks, size // (18 * ROUTE_ANCHORS)).bit_length())
+    batches = lambda answers: rows.groupBy("batch").cogroup(answers.groupBy("batch"))
+    asked = rows.groupBy("batch").applyInArrow(each_group(ask, width=width, routes=routes), "route long, batch long, anchors binary, counts binary")
+    told = materialize(asked.groupBy("route").applyInArrow(each_group(answer, crowd=crowd), ANSWER), "told")
+    offered = batches(told).applyInArrow(each_batch(offer, width=width, routes=routes), "route long, batch long, anchors binary, hashes binary, lows binary")
+    numbered = materialize(offered.groupBy("route").applyInArrow(number, ANSWER), "numbered")
+    told = told.unionByName(numbered)
+    sent = batches(told).applyInArrow(each_batch(send, width=width, tasks=tasks), "task long, label long, low long, passage binary")
+    merged = materialize(sent.groupBy("task").applyInArrow(each_group(merge, width=width), "label long, lows binary"), "merged")
+
+    def labels(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in found:
+            for batch, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                label = np.frombuffer(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), batch)), pa.array(label)], ["batch", "label"])
+
+    back = map_arrow(numbered.select("batch", "third"), labels, "batch long, label long").join(merged, "label")
+    back = back.select("batch", F.lit(2).alias("kind"), F.col("label").alias("key"), F.col("lows").alias("first"), F.lit(None).cast("binary").alias("second"), F.lit(None).cast("binary").alias("third"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return batches(told.unionByName(back)).applyInArrow(each_batch(cut, width=width, with_text=with_text), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

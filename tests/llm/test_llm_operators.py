@@ -247,17 +247,13 @@ def test_toxicity_keeps_every_token_that_passes(spark):
     assert len(words) == 480 and set(words) <= set(got.index)
 
 
-def test_suffix_dedup_against_brute_force(spark, cases):
-    d, rows = cases
-    got = defaultdict(list)
-    for q in suffix_dedup.remove_repeats(d, batch_rows=9).collect():
-        got[q["doc_id"]].append((q["n_bytes"], q["n_removed"], q["n_spans"], q["kept_sha256"]))
-    first = {}
+def removed_by_brute_force(rows):
+    """Per id, the sorted figures of its rows."""
+    first, want = {}, defaultdict(list)
     data = [(float("inf") if i is None else i, i, (t or "").encode()) for i, t, *_ in rows]
     for o, _, b in data:
         for k in range(len(b) - 49):
             first[b[k : k + 50]] = min(o, first.get(b[k : k + 50], o))
-    want = defaultdict(list)
     for o, i, b in data:
         gone = [False] * len(b)
         for k in range(len(b) - 49):
@@ -265,10 +261,48 @@ def test_suffix_dedup_against_brute_force(spark, cases):
                 gone[k : k + 50] = [True] * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want[i].append((len(b), sum(gone), sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    return {k: sorted(v) for k, v in want.items()}
+
+
+def removed(d, **options):
+    got = defaultdict(list)
+    for q in suffix_dedup.remove_repeats(d, **options).collect():
+        got[q["doc_id"]].append((q["n_bytes"], q["n_removed"], q["n_spans"], q["kept_sha256"]))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_suffix_dedup_against_brute_force(spark, cases, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
+    d, rows = cases
+    assert removed(d, crowd=crowd) == removed_by_brute_force(rows)
     assert suffix_dedup.remove_repeats(empty(spark)).isEmpty()
 
 
+def test_suffix_dedup_of_one_passage_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    r = random.Random(21)
+    passage = prose(r, 30)
+    rows = [(k, prose(r, r.randint(0, 20)) + passage[r.randint(0, 9) :] + "é" * (k % 3) + prose(r, r.randint(0, 20))) for k in range(90)] + [(3, passage), (4, passage[:50]), (5, passage[:49])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(d, crowd=10) == removed(d) == removed_by_brute_force(rows)
+
+
+def test_passages_cover_every_start_once():
+    r = random.Random(3)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.choice([0, 3, 49, 50, 51, 400, 70_000]))) for _ in range(25)]
+    ends = np.cumsum([0] + [len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    anchor, place, start, count, doc = suffix_dedup.passages(raw, ends, 50)
+    at = np.concatenate([np.arange(s, s + n) for s, n in zip(start, count)])
+    want = np.concatenate([np.arange(ends[k], ends[k + 1] - 49) for k in range(len(texts))])
+    assert (at == want).all() and ((place >= start + count - 1) & (place + 16 <= start + 50)).all()
+    named = dict()
+    for a, s, n in zip(anchor.tolist(), start.tolist(), count.tolist()):
+        for k in range(s, s + n):
+            assert named.setdefault(raw[k : k + 50].tobytes(), a) == a
+
+
 def test_merged_transforms_find_equal_prefixes():
     r = random.Random(6)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(12, 40))) for _ in range(60)]
