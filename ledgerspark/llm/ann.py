@@ -1,23 +1,28 @@
 """Nearest neighbours by cross-polytope hashing with multiprobe and exact reranking.
 
 A fast pseudo-rotation (three rounds of random signs and a Hadamard transform)
-turns a vector; its code is the nearest signed axis. Each table has its own
-rotation. Every vector lies in one bucket per table; a query looks into the
-buckets of the axes it leans to most. All candidates met are ranked by the
-exact inner product. Where norms differ, one more coordinate makes the largest
-inner product the smallest angle.
+turns a vector; its digit is the nearest signed axis. A table's code is made of
+digits with rotations of their own, the last one over fewer axes, so that it has
+about log2(rows / 8) bits: buckets stay small however many rows there are. Every
+vector lies in one bucket per table; a query looks into the buckets whose axes it
+leans to most, over all digits. All candidates met are ranked by the exact inner
+product. Where norms differ, one more coordinate makes the largest inner product
+the smallest angle.
 
 The number of probes is the least that finds ``aim`` of the true neighbours of
 sample queries within a sample of at most ``sample`` rows (the only use of that
-sample; every row is indexed), whatever the table's size.
-
-Buckets with more than ``block`` rows are cut into blocks and their queries are
-sent to each block, so no bucket meets in one task and none is cut short.
-
-Defined cases: vectors that are null, zero, of another length than the longest,
-or hold null or non-finite components take no part; rows with the same id and
-vector count once, and an id with several
-vectors takes one place, by its best; ties go to the smaller id; an empty table gives no rows.
+sample; every row is indexed), whatever the table's size. Where more than
+``most`` probes would be needed, the code is made shorter.
+
+Buckets lie in groups by the leading bits of their code. A group with more than
+``block`` rows is cut into blocks by hash and its queries are sent to each block,
+so no bucket meets in one task and none is cut short.
+
+Defined cases: vectors that are null, zero, of another length than the commonest
+(the longer one at a tie), or hold null or non-finite components take no part;
+rows with the same id and vector count once, and an id with several vectors takes
+one place, by its best; ties go to the smaller id; a null id takes no part; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,161 +32,213 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import drawn, map_arrow, materialize, table
 
 
-class Rotations:
-    """The pseudo-rotations of all tables, for vectors of `size` components and at most `norm` long."""
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The normalised fast Hadamard transform of each row."""
+    n, width, h = len(x), x.shape[1], 1
+    x = x.copy()
+    while h < width:
+        y = x.reshape(n, width // (2 * h), 2, h)
+        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, width)
+        h *= 2
+    return x / np.sqrt(width)
+
+
+class Codes:
+    """The codes of all tables, for vectors of `size` components and at most `norm` long."""
 
-    def __init__(self, size: int, norm: float, extend: bool, tables: int, seed: int = 11):
-        self.size, self.norm, self.extend, self.tables = size, norm, extend, tables
+    def __init__(self, size: int, norm: float, extend: bool, tables: int, bits: int, seed: int = 11):
+        self.size, self.norm, self.extend, self.tables, self.bits = size, norm, extend, tables, bits
         self.width = 1 << (size + extend - 1).bit_length()
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
+        full = self.width.bit_length()
+        #: Of each digit the number of axes, each of two signs; the last digit has the bits that are left.
+        self.axes = [1 << (min(full, bits - at) - 1) for at in range(0, bits, full)]
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, max(1, len(self.axes)), 3, self.width))
 
-    def turned(self, v: np.ndarray, t: int, query: bool) -> np.ndarray:
+    def turned(self, v: np.ndarray, t: int, digit: int, query: bool) -> np.ndarray:
         x = np.zeros((len(v), self.width))
         length = np.linalg.norm(v, axis=1, keepdims=True)
         x[:, : self.size] = v / length if query else v / self.norm
         if self.extend and not query:
             x[:, self.size] = np.sqrt(np.maximum(0, 1 - (length[:, 0] / self.norm) ** 2))
-        for signs in self.signs[t]:
+        for signs in self.signs[t, digit]:
             x = hadamard(x * signs)
-        return x
+        return x[:, : self.axes[digit]]
 
-    def codes(self, v: np.ndarray) -> np.ndarray:
-        """The nearest signed axis of each row, per table: axis, or width + axis if negative."""
-        out = np.empty((len(v), self.tables), np.int32)
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The code of each row in each table: per digit the nearest axis, or axes + axis if its sign is negative."""
+        out = np.zeros((len(v), self.tables), np.int64)
         for t in range(self.tables):
-            x = self.turned(v, t, False)
-            axis = np.abs(x).argmax(1)
-            out[:, t] = axis + self.width * (x[np.arange(len(x)), axis] < 0)
+            for digit, axes in enumerate(self.axes):
+                x = self.turned(v, t, digit, False)
+                axis = np.abs(x).argmax(1)
+                out[:, t] = out[:, t] * (2 * axes) + axis + axes * (x[np.arange(len(x)), axis] < 0)
         return out
 
     def probes(self, v: np.ndarray, t: int, count: int) -> np.ndarray:
-        """The `count` signed axes that each query leans to most, in table t."""
-        x = self.turned(v, t, True)
-        return np.argsort(-np.hstack([x, -x]), axis=1, kind="stable")[:, :count].astype(np.int32)
-
-
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The normalised fast Hadamard transform of each row."""
-    n, width, h = len(x), x.shape[1], 1
-    x = x.copy()
-    while h < width:
-        y = x.reshape(n, width // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, width)
-        h *= 2
-    return x / np.sqrt(width)
-
-
-def calibrate(rotations: Rotations, sample: np.ndarray, k: int, aim: float, queries: int = 200) -> int:
-    """The least number of probes per table that finds `aim` of the k nearest of sample queries."""
+        """The `count` codes of table t that each query leans to most (all, if there are fewer), best first.
+
+        The lean to a code is the sum over its digits of the coordinate on the
+        axis, times the length that the largest of so many coordinates has.
+        """
+        score, code = np.zeros((len(v), 1)), np.zeros((len(v), 1), np.int64)
+        for digit, axes in enumerate(self.axes):
+            x = self.turned(v, t, digit, True) * np.sqrt(2 * np.log(2 * axes))
+            score = (score[:, :, None] + np.hstack([x, -x])[:, None, :]).reshape(len(v), -1)
+            code = (code[:, :, None] * (2 * axes) + np.arange(2 * axes)).reshape(len(v), -1)
+            if score.shape[1] > count:  # sums of digits: the best codes begin with the best beginnings
+                best = np.argpartition(-score, count - 1, axis=1)[:, :count]
+                score, code = np.take_along_axis(score, best, 1), np.take_along_axis(code, best, 1)
+        order = np.lexsort((code, -score))
+        return np.take_along_axis(code, order, 1)
+
+
+def calibrate(codes: Codes, sample: np.ndarray, k: int, aim: float, most: int, queries: int = 200) -> int | None:
+    """The least number of probes per table, up to `most`, that finds `aim` of the k nearest of sample queries."""
     if len(sample) < 2:
         return 1
     picked = np.arange(0, len(sample), max(1, len(sample) // queries))[:queries]
-    codes = rotations.codes(sample)
     score = sample[picked] @ sample.T
     score[np.arange(len(picked)), picked] = -np.inf
     k = min(k, len(sample) - 1)
     best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    needed = np.full(best.shape, 2 * rotations.width)
-    for t in range(rotations.tables):
-        order = rotations.probes(sample[picked], t, 2 * rotations.width)
-        place = np.argsort(order, axis=1)
-        needed = np.minimum(needed, np.take_along_axis(place, codes[best, t], 1) + 1)
-    return int(np.quantile(needed, aim, method="higher"))
+    own = codes.of(sample)
+    needed = np.full(best.shape, most + 1)
+    for t in range(codes.tables):
+        probes = codes.probes(sample[picked], t, most)
+        for row, (codes_tried, codes_wanted) in enumerate(zip(probes, own[best, t])):
+            order = np.argsort(codes_tried)
+            at = np.minimum(np.searchsorted(codes_tried[order], codes_wanted), len(order) - 1)
+            place = order[at]
+            needed[row] = np.minimum(needed[row], np.where(codes_tried[place] == codes_wanted, place + 1, most + 1))
+    found = int(np.quantile(needed, aim, method="higher"))
+    return found if found <= most else None
+
+
+def fitted(size: int, norm: float, extend: bool, tables: int, rows: int, sample: np.ndarray, k: int, aim: float, most: int) -> tuple[Codes, int]:
+    """The longest code of at most log2(rows / 8) bits that reaches the aim, and its number of probes."""
+    bits = max(1, (rows // 8).bit_length() - 1)
+    while True:
+        codes = Codes(size, norm, extend, tables, bits)
+        count = calibrate(codes, sample, k, aim, most)
+        if count is not None:
+            return codes, count
+        bits -= 1
 
 
 def nearest(
-    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 3, sample: int = 20_000, aim: float = 0.96, block: int = 4096
+    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 8, sample: int = 20_000, aim: float = 0.95, block: int = 8192, most: int = 2048
 ) -> DataFrame:
     """The k nearest rows found for each row that is_query (a condition): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     v = F.col(vector_col)
+    kind = vectors.schema[vector_col].dataType
+    packed = np.dtype("f4" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "f8")
     good = v.isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.coalesce(good, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.max(norm).alias("most"), F.min(norm).alias("least")).orderBy(F.desc("size")).limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
+    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.max(norm).alias("most"), F.min(norm).alias("least"), F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("size")).limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], schema)
-    size, most, least = sizes[0]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, longest, shortest, _ = sizes[0]
     rows = rows.where(F.size("v") == size).groupBy("vec_id", "v").agg(F.max("q").alias("q"))
-    rotations = Rotations(size, most, least < most * (1 - 1e-6), tables)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.stack([np.asarray(r.values) for r in batch.column(1)])
-                packed = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), pa.array(list(rotations.codes(x)), pa.list_(pa.int32()))], ["vec_id", "v", "q", "codes"])
+            x = [np.asarray(r.values, packed).tobytes() for r in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["vec_id", "v", "q"])
+
+    def unpack(blobs) -> np.ndarray:
+        return np.frombuffer(b"".join(blobs.to_pylist()), packed).reshape(-1, size).astype(float)
+
+    stored = materialize(map_arrow(rows, pack, "vec_id long, v binary, q boolean", rows=4000), "vectors")
+    total = stored.count()
+    some = np.array([np.frombuffer(r["v"], packed) for r in drawn(stored, total, sample, "vec_id", "v").select("v").collect()], float)
+    codes, count = fitted(size, longest, shortest < longest * (1 - 1e-6), tables, total, some, k, aim, most)
+    rest = codes.bits - min(codes.bits, max(0, (total // block).bit_length()))  # bits of a code behind its group's
 
-    coded = materialize(map_arrow(rows, code, "vec_id long, v binary, q boolean, codes array<int>", rows=4000), "codes")
-    some = np.array([np.frombuffer(r["v"], float) for r in drawn(coded, coded.count(), sample, "vec_id", "v").select("v").collect()])
-    count = calibrate(rotations, some, k, aim)
-    # one row per table and signed axis
-    counts = {(r["t"], r["axis"]): r["count"] for r in coded.select(F.posexplode("codes").alias("t", "axis")).groupBy("t", "axis").count().collect()}
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = codes.of(unpack(batch.column(1)))
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(own[:, t] >> rest), pa.array(own[:, t]), batch.column(0), batch.column(1)], ["t", "lead", "code", "vec_id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(-1, size)
-            for t in range(rotations.tables):
-                axes = rotations.probes(x, t, count)
-                parts = np.array([[-(-counts.get((t, a), 0) // block) for a in range(2 * rotations.width)]])[0][axes]
-                row = np.repeat(np.repeat(np.arange(len(x)), axes.shape[1]), parts.ravel())
-                axis = np.repeat(axes.ravel(), parts.ravel())
-                part = np.arange(len(row)) - np.repeat(np.cumsum(parts.ravel()) - parts.ravel(), parts.ravel())
+            x = unpack(batch.column(1))
+            for t in range(tables):
+                probes = np.sort(codes.probes(x, t, count), axis=1)
+                row, lead, lists = [], [], []
+                for i, codes_tried in enumerate(probes):
+                    at = np.flatnonzero(np.concatenate([[True], np.diff(codes_tried >> rest) != 0]))
+                    row += [i] * len(at)
+                    lead += (codes_tried[at] >> rest).tolist()
+                    lists += np.split(codes_tried, at[1:])
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t), pa.int32()), pa.array(axis, pa.int32()), pa.array(part, pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick)], ["t", "axis", "part", "query_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t), pa.int32()), pa.array(lead, pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lists, pa.list_(pa.int64()))], ["t", "lead", "query_id", "v", "codes"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best candidates of this block for each query that looks into it."""
-        out = ([], [], [])
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
-            ids = np.array(right["vec_id"])
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            c = np.frombuffer(b"".join(right["v"].to_pylist()), float).reshape(-1, size)[order]
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            asked = np.array(left["query_id"])
-            every = np.frombuffer(b"".join(left["v"].to_pylist()), float).reshape(-1, size)
-            for at in range(0, len(asked), 512):
-                q = every[at : at + 512]
-                score = q @ c.T
-                score[asked[at : at + 512, None] == ids[None, :]] = -np.inf
-                # an id may have several vectors: the k-th place is counted over ids
-                by_id = np.maximum.reduceat(score, starts, axis=1) if len(starts) < len(ids) else score
-                bound = np.partition(by_id, -k, axis=1)[:, -k] if len(starts) > k else np.full(len(q), -np.inf)
-                # all that could be among the best k, measured again in one fixed order of addition
-                near = score >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None] if len(starts) > k else score > -np.inf
-                for i in range(len(q)):
-                    pick = np.flatnonzero(near[i] & (score[i] > -np.inf))
-                    exact = (c[pick] * q[i]).sum(1)
-                    best = np.lexsort((ids[pick], -exact))
-                    found: dict[int, float] = {}
-                    for j in best:
-                        found.setdefault(int(ids[pick[j]]), float(exact[j]))
-                        if len(found) == k:
-                            break
-                    out[0].append(int(asked[at + i]))
-                    out[1].append(list(found))
-                    out[2].append(list(found.values()))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float64()))})
-
-    queries = map_arrow(coded.where("q").select("vec_id", "v").dropDuplicates(), ask, "t int, axis int, part int, query_id long, v binary", rows=500)
-    parts = F.create_map(*[x for (t, a), c in sorted(counts.items()) for x in (F.lit(t * 65536 + a), F.lit(-(-c // block)))]) if counts else F.create_map()
-    stored = coded.select("vec_id", "v", F.posexplode("codes").alias("t", "axis")).where(F.col("t") < rotations.tables)
-    stored = stored.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("t") * 65536 + F.col("axis"))).cast("int"))
-    keys = ["t", "axis", "part"]
-    found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
-    flat = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            own = np.array(right["code"])
+            order = np.argsort(own, kind="stable")
+            own, ids, c = own[order], np.array(right["vec_id"])[order], unpack(right["v"])[order]
+            asked, q = np.array(left["query_id"]), unpack(left["v"])
+            lists = left["codes"].combine_chunks()
+            tried = np.asarray(lists.flatten())
+            of = np.repeat(np.arange(len(asked)), np.asarray(lists.value_lengths()))
+            low, high = np.searchsorted(own, tried, "left"), np.searchsorted(own, tried, "right")
+            found, at = [out], 0
+            bounds = np.flatnonzero(np.diff(of, append=-1)) + 1  # a query's candidates stay together
+            ends = np.cumsum(high - low)[bounds - 1]
+            for cut in [*(np.flatnonzero(np.diff(ends // 50_000)) + 1).tolist(), len(bounds)]:
+                part = slice(at, bounds[cut - 1] if cut else 0)
+                at = part.stop
+                n = (high - low)[part]
+                if n.sum():
+                    which = np.repeat(of[part], n)
+                    pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
+                    found.append(best_of(asked[which], ids[pick], (c[pick] * q[which]).sum(1), k))
+            out = tuple(np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
+
+    keys = ["t", "lead", "part"]
+    indexed = map_arrow(stored.select("vec_id", "v"), place, "t int, lead long, code long, vec_id long, v binary", rows=4000)
+    large = indexed.groupBy("t", "lead").agg(F.count("*").alias("c")).select("t", "lead", F.ceil(F.col("c") / block).cast("int").alias("parts")).where("parts > 1")
+    large = materialize(large, "large")
+    parts = F.coalesce("parts", F.lit(1))
+    indexed = indexed.join(large, ["t", "lead"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), parts).cast("int")).select(*keys, "code", "vec_id", "v")
+    queries = map_arrow(stored.where("q").select("vec_id", "v"), ask, "t int, lead long, query_id long, v binary, codes array<long>", rows=500)
+    queries = queries.join(large, ["t", "lead"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*keys, "query_id", "v", "codes")
+    found = queries.groupBy(*keys).cogroup(indexed.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    flat = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the k best other ids, each with its best score."""
+    other = query != ids
+    query, ids, score = query[other], ids[other], score[other]
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    one = np.concatenate([[True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
+    query, ids, score = query[one], ids[one], score[one]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.searchsorted(query, query)
+    best = np.arange(len(query)) - first < k
+    return query[best], ids[best], score[best]
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, F.col("vec_id") % 20 == 0)
