@@ -14,12 +14,14 @@ with one component left are closed, and the number of hubs doubles from round
 to round. Members that provably link with nobody leave too: of the shingles
 that x shares with anyone in an open bucket there are c(x), so a link with y
 needs min(c(x), c(y)) to be large enough for both sizes. Once the pairs that are
-left are no more than the buckets' entries, they are compared at once. So every
-pair of a bucket is compared, excluded by its sizes, or already joined; a large
-group of near copies costs a few rows per copy and never all its pairs.
+left are no more than a fixed number for each entry, they are met at once. So
+every pair of a bucket is compared, excluded for certain, or already joined; a
+large group of near copies costs a few rows per copy and never all its pairs.
 
-A pair is first estimated by maximum likelihood from both registers and sizes,
-and confirmed on the full sets of shingles.
+A set also has a parity bitmap: the bits in which two bitmaps differ are at most
+as many as the shingles in which the sets differ, which excludes pairs for
+certain. What is left is estimated by maximum likelihood from both registers and
+sizes, and confirmed on the full sets of shingles.
 
 Defined cases: null, blank or empty texts have empty sets and link with nothing;
 equal rows fall into one class; a null id has no say in a component's id; an
@@ -59,6 +61,22 @@ def registers(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+WORDS = 16
+BITS = [f"b{k}" for k in range(WORDS)]
+
+
+def parities(elements: np.ndarray) -> np.ndarray:
+    """For each of 1,024 cells whether an odd number of elements falls in it, as 16 longs."""
+    odd = np.bincount((elements >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def may_link(a: str, b: str, na, nb, percent: int):
+    """Whether the bitmaps (columns under these prefixes) allow sets of these sizes to be similar enough."""
+    differ = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in BITS), F.lit(0))
+    return differ * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of each row pair of sketches, given the set sizes.
 
@@ -83,7 +101,7 @@ def key_of(elements: np.ndarray) -> bytes | None:
 
 
 def sketched(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """docs with its columns as c0, c1, ... and of each row the set's key, its size, its registers (packed) and a row number.
+    """docs with its columns as c0, c1, ... and of each row the set's key, its size, registers (packed), bitmap and a row number.
 
     Written to the shared folder, so that a row keeps its number.
     """
@@ -94,14 +112,15 @@ def sketched(docs: DataFrame, text_col: str, width: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(at).to_pylist()]
             more = [pa.array([key_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "key", "n", "regs"])
+            bits = np.array([parities(s) for s in sets], np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, *[pa.array(bits[:, k]) for k in range(WORDS)]], [*batch.schema.names, "key", "n", "regs", *BITS])
 
-    schema = StructType([*plain.schema.fields, StructField("key", BinaryType()), StructField("n", LongType()), StructField("regs", BinaryType())])
+    schema = StructType([*plain.schema.fields, StructField("key", BinaryType()), StructField("n", LongType()), StructField("regs", BinaryType()), *[StructField(c, LongType()) for c in BITS]])
     return materialize(map_arrow(plain, run, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets overlap enough: by likelihood, then in full. The roots ru, rv go along."""
+    """The pairs (u, v) whose sets overlap enough: by bitmaps, by likelihood, then in full. The roots ru, rv go along."""
     slack = percent / 100 - 5 * np.sqrt(0.16 / REGISTERS)
     kept = ["u", "v", "ru", "rv"]
 
@@ -123,8 +142,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hit, pa.bool_())) for c in kept], kept)
 
     schema = "u long, v long, ru long, rv long"
-    side = lambda k, n, r: classes.select(F.col("cid").alias(k), F.col("n").alias(n), F.col("regs").alias(r))
-    rows = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v")
+    side = lambda k, x: classes.select(F.col("cid").alias(k), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"), *[F.col(c).alias(x + c) for c in BITS])
+    rows = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(may_link("a", "b", F.col("na"), F.col("nb"), percent))
     near = materialize(map_arrow(rows.select(*kept, "na", "nb", "ra", "rb"), estimate, schema), "near")
     full = near.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v")
     links = materialize(map_arrow(full.select(*kept, "tu", "tv"), verify, schema, rows=200), "links")
@@ -157,8 +176,11 @@ def fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """(cid, root) for every class (cid: the row that stands for it, n, regs)."""
+def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int, each: int = 32) -> DataFrame:
+    """(cid, root) for every class (cid: the row that stands for it, n, regs, bitmap).
+
+    Pairs are met at once when there are at most `each` for every entry of a bucket.
+    """
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     entries = classes.select("cid", "n", F.explode(bands).alias("value"))
     counted = entries.groupBy("value").agg(F.count("*").alias("met")).where("met > 1")
@@ -195,11 +217,12 @@ def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, per
         per_root = left.groupBy("value", "root").agg(F.count("*").alias("c"))
         size = F.col("c").cast("double")
         pairs_left = per_root.groupBy("value").agg(((F.sum(size) * F.sum(size) - F.sum(size * size)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if pairs_left <= total:
-            a = left.select("value", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("root").alias("ru"))
-            b = left.select("value", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("root").alias("rv"))
-            can = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.least("cu", "cv") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent)
-            pairs = a.join(b, "value").where(can).select("u", "v", "ru", "rv").distinct()
+        if pairs_left <= each * total:
+            of = left.join(classes.select("cid", *BITS), "cid")
+            side = lambda k, x: of.select("value", F.col("cid").alias(k), *[F.col(c).alias(x + c) for c in ("n", "c", "root", *BITS)])
+            can = (F.col("u") < F.col("v")) & (F.col("aroot") != F.col("broot")) & (F.least("ac", "bc") * (100 + percent) >= (F.col("an") + F.col("bn")) * percent)
+            pairs = side("u", "a").join(side("v", "b"), "value").where(can & may_link("a", "b", F.col("an"), F.col("bn"), percent))
+            pairs = pairs.select("u", "v", F.col("aroot").alias("ru"), F.col("broot").alias("rv")).distinct()
             roots = contract(left, roots, confirmed(pairs, classes, texts, width, percent))[1]
             forget(left)
             break
@@ -213,8 +236,8 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
     """The sketched rows, and per class: key, id (the smallest), cid, root (the cid of one class of its group)."""
     rows = sketched(docs, text_col, width)
     of = f"c{docs.columns.index(id_col)}"
-    first = F.struct(F.col(of).isNull().alias("none"), F.col(of).alias("id"), "row", "n", "regs")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.id", F.col("first.row").alias("cid"), "first.n", "first.regs")
+    first = F.struct(F.col(of).isNull().alias("none"), F.col(of).alias("id"), "row", "n", "regs", *BITS)
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.id", F.col("first.row").alias("cid"), "first.n", "first.regs", *[f"first.{c}" for c in BITS])
     classes = materialize(classes, "classes")
     roots = link_classes(rows, classes, f"c{docs.columns.index(text_col)}", width, percent)
     return rows, classes.select("key", "id", "cid").join(roots, "cid")

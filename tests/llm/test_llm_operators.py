@@ -95,14 +95,14 @@ def test_quality(spark, cases):
     assert quality.judge("a b\na b\n\n c")["n_dup_lines"] == 1
 
 
-def test_nearest_is_exact_when_small(spark):
+def test_nearest_with_aim_one_is_exact_where_all_rows_are_the_sample(spark):
     r = np.random.default_rng(4)
     x = r.normal(0, 1, (60, 6)) * r.uniform(0.5, 2, (60, 1))
     x[10] = x[11] = x[12]
     rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
     odd = [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, [float("nan")] * 6), (104, [1.0]), (5, rows[5][1])]
     got = defaultdict(list)
-    for q in ann.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for q in ann.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, aim=1.0).orderBy("query_id", "rank").collect():
         got[q["query_id"]].append((q["vec_id"], q["score"]))
     assert sorted(got) == [0, 20, 40]
     for i, found in got.items():
@@ -129,36 +129,42 @@ def test_nearest_gives_k_ids_when_rows_repeat(spark):
         assert dict(got) == {q: sorted(best[q], key=lambda i: (-round(best[q][i], 9), i))[:20] for q in (40, 59)}, name
 
 
-def test_nearest_probes_alike_at_every_size(spark, monkeypatch):
+def test_nearest_against_brute_force_below_and_above_the_sample(spark, monkeypatch):
     r = np.random.default_rng(6)
-    counts, fit = [], ann.calibrate
-    monkeypatch.setattr(ann, "calibrate", lambda *a: counts.append(fit(*a)) or counts[-1])
-    for n in (300, 3500):
-        x = r.normal(0, 1, (n, 32))
+    fits, fit = [], ann.fitted
+    monkeypatch.setattr(ann, "fitted", lambda *a: fits.append(fit(*a)) or fits[-1])
+    for n, sample in ((300, 20_000), (6000, 3000)):
+        x = r.normal(0, 1, (n, 24)) + 1.5 * r.normal(0, 1, (40, 24))[np.arange(n) % 40]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-        got = ann.nearest(d, F.col("vec_id") % 10 == 0).collect()
+        d = spark.createDataFrame([(k, v.tolist(), k, "x", 0.5) for k, v in enumerate(x)], "vec_id long, embedding array<double>, rank long, v string, score double")
+        got = ann.nearest(d, F.col("vec_id") % 20 == 0, sample=sample, block=500).collect()
         score = x @ x.T - 9 * np.eye(n)
-        best = {k: set(np.argsort(-score[k])[:20].tolist()) for k in range(0, n, 10)}
+        best = {k: set(np.argsort(-score[k])[:20].tolist()) for k in range(0, n, 20)}
         assert sum(q["vec_id"] in best[q["query_id"]] for q in got) / (20 * len(best)) > 0.9
-    assert len(counts) == 2 and all(0 < c < 64 for c in counts)
-    for n in (1, 2):
-        assert ann.nearest(d.where(F.col("vec_id") < n), F.lit(True)).count() == n * (n - 1)
+        assert all(q["score"] == pytest.approx(score[q["query_id"], q["vec_id"]], abs=1e-12) for q in got)
+        codes, count = fits[-1]
+        own, tried = codes.of(x), [codes.probes(x[::20], t, count) for t in range(codes.tables)]
+        reranked = np.mean([np.any([np.isin(own[:, t], tried[t][i]) for t in range(codes.tables)], 0).mean() for i in range(0, n // 20, 5)])
+        assert reranked < (0.8 if n < 1000 else 0.35)
+    assert len(fits[0][0].axes) == 1 and fits[1][0].bits > fits[0][0].bits
+    for n in (0, 1, 2):
+        assert ann.nearest(d.where(F.col("vec_id") < n), F.lit(True)).count() == max(0, n * (n - 1))
 
 
-def test_nearest_recall_with_probes():
+def test_one_vector_of_another_length_does_no_harm(spark):
+    r = np.random.default_rng(7)
+    rows = [(k, r.normal(0, 1, 64).tolist()) for k in range(100)] + [(100, r.normal(0, 1, 65).tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), aim=1.0).collect()
+    assert len(got) == 2000 and all(q["query_id"] < 100 and q["vec_id"] < 100 for q in got)
+
+
+def test_probes_come_best_first():
     r = np.random.default_rng(5)
-    x = r.normal(0, 1, (4000, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rot = ann.Rotations(32, 1.0, False, 3)
-    count, codes = ann.calibrate(rot, x[:2000], 20, 0.96), rot.codes(x)
-    hit = 0
-    for i in range(0, 4000, 100):
-        s = x @ x[i]
-        s[i] = -9
-        best = np.argsort(-s)[:20]
-        hit += sum(any(codes[b, t] in set(rot.probes(x[i : i + 1], t, count)[0]) for t in range(3)) for b in best)
-    assert hit / (40 * 20) > 0.9 and np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), 1)
+    x = r.normal(0, 1, (50, 32))
+    codes = ann.Codes(32, float(np.linalg.norm(x, axis=1).max()), False, 2, 9)
+    whole = codes.probes(x, 1, 512)
+    assert codes.axes == [32, 4] and all(sorted(w) == list(range(512)) for w in whole) and (codes.probes(x, 1, 20) == whole[:, :20]).all()
+    assert (codes.of(x)[:, 1] == whole[:, 0]).mean() > 0.9 and np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
 
 
 def test_mixing(spark, cases):
@@ -355,7 +361,7 @@ def test_near_duplicates_against_brute_force(spark, cases):
     assert near_dedup.group_documents(empty(spark)).isEmpty() and near_dedup.drop_near_duplicates(empty(spark)).isEmpty()
 
 
-def test_crowded_buckets_lose_no_link(spark):
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """Copies far and near around a base, a chain in which only neighbours link, and a shared passage."""
     r = random.Random(12)
     words = lambda n: prose(r, n).split()
@@ -371,8 +377,10 @@ def test_crowded_buckets_lose_no_link(spark):
     rows += [" ".join(passage + words(r.randint(2, 60))) for _ in range(60)]
     r.shuffle(rows)
     rows = list(enumerate(rows))
-    got = near_dedup.group_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4)
-    assert sorted(((q["id"], q["n"], q["component"]) for q in got.collect()), key=repr) == components_by_brute_force(rows)[0]
+    d, want = spark.createDataFrame(rows, "doc_id long, text string"), components_by_brute_force(rows)[0]
+    assert sorted(((q["id"], q["n"], q["component"]) for q in near_dedup.group_documents(d, width=4).collect()), key=repr) == want
+    monkeypatch.setattr(near_dedup.link_classes, "__defaults__", (0,))  # hubs to the end
+    assert sorted(((q["id"], q["n"], q["component"]) for q in near_dedup.group_documents(d, width=4).collect()), key=repr) == want
 
 
 def test_columns_of_any_name_are_kept(spark):
@@ -399,6 +407,15 @@ def test_similar_sets_share_a_band():
     assert min(shared) >= 1 and abs(np.mean(shared) - near_dedup.BANDS * 0.8**5) < 0.2
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    r = np.random.default_rng(4)
+    for n in (5, 150, 5000):
+        x = r.integers(0, 2**64, n, dtype=np.uint64)
+        a, b = np.unique(x[: n * 4 // 5]), np.unique(x[n // 3 :])
+        differ = sum(int(v).bit_count() for v in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+        assert 0 < differ <= len(np.setxor1d(a, b))
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(2)
     x = r.integers(0, 2**63, 3000).astype(np.uint64)
@@ -419,12 +436,17 @@ def test_components(spark):
 def test_bpe_equals_the_library(spark, cases):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe.VOCABULARY)
+    t = Tokenizer.from_file(bpe.located(bpe.VOCABULARY))
     d, rows = cases
     extra = ["a<|endoftext|>b <|startoftext|><|endoftext|>", "it's I'M we'LL x\xa0y\x1cz é ½ ２ 🙂👍🏽 İstanbul ǅ", "aaaaaaaa" * 40, "</w> ẛʼn ﬁ ﻿ ŉ ß"]
-    coder = bpe.WordCoder(bpe.VOCABULARY, cache=60)
+    coder = bpe.WordCoder(bpe.VOCABULARY, cache=20_000)
     for x in [r[1] or "" for r in rows] + extra:
         e = t.encode(x, add_special_tokens=False)
         assert coder.encode([x])[0] == (struct.pack(f"<{len(e.ids)}I", *e.ids), t.decode(e.ids, skip_special_tokens=False).encode())
-    got = bpe.digests(d).collect()
-    assert len(got) == len(rows) and bpe.encode_documents(empty(spark)).isEmpty()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, x, *_ in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t.decode(ids, skip_special_tokens=False).encode())))
+    assert sorted(map(tuple, bpe.digests(d).collect()), key=repr) == sorted(want, key=repr)
+    assert bpe.encode_documents(empty(spark)).isEmpty()

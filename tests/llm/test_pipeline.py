@@ -56,7 +56,7 @@ def test_stages(spark, tmp_path):
     weights = {"s0": 5, "s1": 2, "s2": 1}
     total = sum(sizes.values())
     assert all(abs(taken[s] - total * x / 8) <= 1 for s, x in weights.items())
-    t = Tokenizer.from_file(bpe.VOCABULARY)
+    t = Tokenizer.from_file(bpe.located(bpe.VOCABULARY))
     mixed = sorted(q["text"] for q in seen["mix_sources"].collect())
     want = sorted(struct.pack(f"<{len(e)}I", *e) for e in (t.encode(x, add_special_tokens=False).ids for x in mixed))
     assert sorted(bytes(q["ids"]) for q in seen["encode"].collect()) == want
