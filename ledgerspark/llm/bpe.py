@@ -12,7 +12,8 @@ back. Only whether two tokens may stand side by side is simulated, and kept.
 Defined cases: a null or empty text has no tokens; special-token strings in a
 text are encoded as special tokens, as the library does; equal rows are encoded
 alike; white space is dropped; a text without white space is one word of any
-length. No document leaves its task; caches are emptied beyond ``cache`` words.
+length; an empty table gives an empty result. No document leaves its task; the
+table of words that a worker keeps is bounded by ``cache`` bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, table, words_of
 
-#: Where the public vocabulary files lie; a parameter of every function here.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary file, a parameter of every function here: a path, or the bare name of a public vocabulary.
+VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 
 #: Words of ASCII and of letters that NFC leaves alone and that have one lower-case letter each;
@@ -150,12 +151,27 @@ class TrieEncoder:
         return self.fit(x, y) and self.whole(x) and self.whole(y)
 
 
+def located(vocabulary: str) -> str:
+    """Where the file lies on this machine, which may be any executor."""
+    if "/" in vocabulary:
+        return vocabulary
+    import public_tokenizers
+
+    return str(public_tokenizers.path(vocabulary))
+
+
+#: What a word of the table takes besides its characters: a string, a tuple, two byte strings, its place in a dict.
+_ENTRY = 280
+CACHE = 144 << 20
+
+
 class WordCoder:
     """Texts to ids and back through a table of the distinct words met so far."""
 
-    def __init__(self, path: str, cache: int = 800_000):
+    def __init__(self, vocabulary: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        path = located(vocabulary)
         spec = json.load(open(path, encoding="utf-8"))
         model, self.cache = spec["model"], cache
         self.trie = TrieEncoder(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
@@ -164,6 +180,7 @@ class WordCoder:
         self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.size = 0
         #: Byte symbols of the characters that the short way below handles.
         self.bytes = {c: self.cut(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x180)]}
         self.coded = [(struct.pack("<I", k), (" " + self.trie.names.get(k, "")).encode()) for k in range(max(self.trie.vocab.values()) + 1)]
@@ -189,14 +206,15 @@ class WordCoder:
         the young half, and when that is full it becomes the old one.
         """
         young, old = self.known, self.old
-        if len(young) > self.cache // 2:
-            self.old, self.known = young, {}
+        if self.size > self.cache // 2:
+            self.old, self.known, self.size = young, {}, 0
             young, old = self.known, self.old
         missing = words.difference(young)
         back = missing.intersection(old)
         for w in back:
-            young[w] = old[w]
+            young[w] = old.pop(w)
         fresh = missing - back
+        self.size += _ENTRY * len(missing) + 4 * sum(map(len, missing))
         parts, coded = {p: (struct.pack("<I", k), (" " + p).encode()) for p, k in self.special.items()}, self.coded
         cut = [(w, self.pieces(w)) for w in fresh]
         for p, tokens in self.trie.encode_all({p for _, ps in cut for p in ps} - parts.keys()):
@@ -213,8 +231,16 @@ class WordCoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian uint32, decoded text in UTF-8) of each text."""
-        # the table holds a million small objects and no cycles: collecting would only scan it
+        # the table holds many small objects and no cycles: collecting would only scan it
+        collecting = gc.isenabled()
         gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         split = [words_of(t) for t in texts]
         self.learn(set().union(*split))
         known, out = self.known.__getitem__, []
@@ -234,7 +260,7 @@ def coder_of(path: str, cache: int) -> WordCoder:
     return _CODERS[path, cache]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 800_000) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = CACHE) -> DataFrame:
     """Per row: the id, ids (binary, little-endian uint32), decoded text."""
     return _mapped(docs, id_col, text_col, vocabulary, cache, "ids binary, decoded string", lambda found: [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1].decode() for x in found], pa.string())])
 
@@ -251,7 +277,7 @@ def _mapped(docs, id_col, text_col, vocabulary, cache, columns, build) -> DataFr
     return map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = 800_000) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, cache: int = CACHE) -> DataFrame:
     """encode_documents() with ids and text as SHA-256, so that no long value leaves the worker."""
 
     def build(found):
