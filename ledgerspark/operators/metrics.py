@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from .profile import running
 
 
 def confusion(df: DataFrame, label: str, predicted: str, *by: str) -> DataFrame:
@@ -19,10 +21,9 @@ def confusion(df: DataFrame, label: str, predicted: str, *by: str) -> DataFrame:
 
 
 def score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct score, highest first, with running counts: ties share a threshold."""
+    """One row per distinct score with running counts, highest first: ties share a threshold."""
     groups = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("n"))
-    run = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    return groups.withColumns({"tp": F.sum("p").over(run), "all": F.sum("n").over(run)})
+    return running(groups, {"p": "tp", "n": "all"}, score, descending=True)
 
 
 def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -35,6 +36,14 @@ def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
     return t.select("positives", "negatives", F.try_divide("area", F.col("positives") * F.col("negatives").cast("double")).alias("roc_auc"), F.try_divide("precision_sum", "positives").alias("average_precision"))
 
 
+def ranked(df: DataFrame, ident: str, score: str, name: str) -> DataFrame:
+    """Ranks 1, 2, 3, ... by score, highest first, ids breaking ties; only rows of one score meet in a task."""
+    counts = df.groupBy(F.col(score).alias("__at")).agg(F.count("*").alias("__c"))
+    above = running(counts, {"__c": "__upto"}, "__at", descending=True).select("__at", (F.col("__upto") - F.col("__c")).alias("__above"))
+    inside = F.row_number().over(W.partitionBy(score).orderBy(ident))
+    return df.withColumn("__inside", inside).join(above, F.col(score) == F.col("__at")).withColumn(name, (F.col("__above") + F.col("__inside")).cast("long")).drop("__at", "__above", "__inside")
+
+
 def budget(n, percent: int):
     """ceil(n * percent / 100) in integers, at most n."""
     return F.least(n, F.floor((n * percent + 99) / 100))
@@ -42,14 +51,13 @@ def budget(n, percent: int):
 
 def triage(df: DataFrame, ident: str, score: str, label: str, percents=(1, 5, 10)) -> DataFrame:
     """What a fixed budget of the highest scores catches; ids break ties."""
-    rank = F.row_number().over(W.orderBy(F.desc(score), F.asc(ident)))
     total = df.agg(F.count("*").alias("rows"), F.sum((F.col(label) == 1).cast("long")).alias("positives"))
-    ranked = df.withColumn("rank", rank.cast("long")).crossJoin(total)  # one row
+    ranks = ranked(df, ident, score, "rank").crossJoin(total)  # one row
     out = None
     for p in percents:
         k = budget(F.col("rows"), p).cast("long")
-        chosen = ranked.where(F.col("rank") <= k).groupBy("rows", "positives").agg(F.count("*").alias("k"), F.sum((F.col(label) == 1).cast("long")).alias("hits"), F.min(score).alias("boundary_score"))
-        ties = ranked.join(F.broadcast(chosen.select("boundary_score", "k")), F.col(score) == F.col("boundary_score")).agg(F.count("*").alias("tied"), F.sum((F.col("rank") <= F.col("k")).cast("long")).alias("tied_selected"))
+        chosen = ranks.where(F.col("rank") <= k).groupBy("rows", "positives").agg(F.count("*").alias("k"), F.sum((F.col(label) == 1).cast("long")).alias("hits"), F.min(score).alias("boundary_score"))
+        ties = ranks.join(F.broadcast(chosen.select("boundary_score", "k")), F.col(score) == F.col("boundary_score")).agg(F.count("*").alias("tied"), F.sum((F.col("rank") <= F.col("k")).cast("long")).alias("tied_selected"))
         row = chosen.crossJoin(ties).select(
             F.lit(p).cast("long").alias("percent"), "k", "hits", F.round(F.col("hits") / F.col("k"), 9).alias("precision_at_k"), F.round(F.try_divide("hits", "positives"), 9).alias("capture"),
             F.round(F.try_divide(F.col("hits") / F.col("k"), F.col("positives") / F.col("rows")), 9).alias("lift"), "boundary_score", "tied", "tied_selected",
@@ -60,8 +68,9 @@ def triage(df: DataFrame, ident: str, score: str, label: str, percents=(1, 5, 10
 
 def overlap(df: DataFrame, ident: str, a: str, b: str, label: str, k: int) -> DataFrame:
     """Two rankings' top k, compared in one pass of membership flags."""
-    ra, rb = (F.row_number().over(W.orderBy(F.desc(c), F.asc(ident))) for c in (a, b))
-    d = df.withColumns({"ra": ra, "rb": rb}).withColumns({"ia": F.col("ra") <= k, "ib": F.col("rb") <= k}).where("ia OR ib")
+    top = lambda c, name: df.orderBy(F.desc(c), F.asc(ident)).limit(k).select(F.col(ident).alias(f"__{name}"), F.lit(1).alias(name))
+    both = df.join(top(a, "ra"), F.col(ident) == F.col("__ra"), "left").join(top(b, "rb"), F.col(ident) == F.col("__rb"), "left")
+    d = both.withColumns({"ia": F.col("ra").isNotNull(), "ib": F.col("rb").isNotNull()}).where("ia OR ib")
     n = lambda c: F.sum(c.cast("long"))
     pos = F.col(label) == 1
     t = d.agg(n(F.col("ia") & F.col("ib")).alias("common"), n(F.col("ia") & ~F.col("ib")).alias("only_a"), n(F.col("ib") & ~F.col("ia")).alias("only_b"), F.count("*").alias("either"), n(F.col("ia") & ~F.col("ib") & pos).alias("gained"), n(F.col("ib") & ~F.col("ia") & pos).alias("forgone"))

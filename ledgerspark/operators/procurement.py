@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from ..sources import tables
 
 DAYS, LEAST = 90, 20
 #: Half-open periods; a date outside all of them has none.
@@ -36,23 +39,118 @@ def ratio(value: Column, reference: Column, support: Column, zero: str = "zero_r
     return F.when(enough, F.try_divide(value, reference)), reason
 
 
-def features(lines: DataFrame) -> DataFrame:
-    """The nine features with reasons and support, as windows: rows of equal keys are sorted once each."""
-    d = lines.withColumn("day", F.unix_date("order_date"))
-    for name, keys in (("item", ("item",)), ("pair", ("item", "supplier_id")), ("supplier", ("supplier_id",)), ("unit", ("unit",))):
-        d = d.withColumn(f"n_{name}", F.count("*").over(window(*keys)))
-    item, pair = window("item"), window("item", "supplier_id")
-    quartiles = F.percentile("unit_price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(item)
-    d = d.withColumn("q", quartiles).withColumn("median_quantity", F.percentile("quantity", 0.5).over(item)).withColumn("median_total", F.percentile("line_total", 0.5).over(item))
-    d = d.withColumn("pair_median", F.percentile("unit_price", 0.5).over(pair))
-    d = d.withColumns({"median_price": F.col("q")[1], "iqr": F.col("q")[2] - F.col("q")[0]})
+METRICS = ("unit_price", "quantity", "line_total")
+#: The six features and which reference divides them.
+RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio", "pair_price_ratio")
+
+
+def blocks(day: Column, span: int) -> Column:
+    return F.floor(day / span)
+
+
+def order_statistics(values: np.ndarray) -> tuple[float, float, float, float]:
+    """Quartiles, and the median distance from the median (MAD)."""
+    q1, q2, q3 = np.quantile(values, (0.25, 0.5, 0.75))
+    return q1, q2, q3, float(np.median(np.abs(values - q2)))
+
+
+def trailing_references(lines: DataFrame, span: int = 30) -> DataFrame:
+    """lines (with `day`) and the statistics of their item's lines of the 90 days before, where there are LEAST of them.
+
+    A line is sent to the blocks of `span` days that can refer to it, so a task
+    holds an item's lines of span + 90 days and not its whole history. A block
+    sorts the references of a day once for all lines of that day; the counts and
+    medians by supplier come from one sort by supplier and day.
+    """
+    d = lines.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    ops = d.withColumn("block", blocks(F.col("day"), span))
+    refs = d.select(F.col("item").alias("r_item"), F.col("day").alias("r_day"), F.col("supplier_id").alias("r_supplier_id"), *[F.col(c).cast("double").alias(f"r_{c}") for c in METRICS],
+                    F.explode(F.sequence(blocks(F.col("day") + 1, span), blocks(F.col("day") + DAYS, span))).alias("r_block"))
+    made = ["q1", "median_price", "q3", "mad_price", "median_quantity", "median_total", "pair_median"]
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        out, counts = np.full((n, len(made)), np.nan), np.zeros((n, 2), np.int64)
+        if n and right.num_rows:
+            day, at = right["r_day"].to_numpy(), left["day"].to_numpy()
+            price, quantity, total = (right[f"r_{c}"].to_numpy(zero_copy_only=False) for c in METRICS)
+            order = np.argsort(day, kind="stable")
+            day, price, quantity, total = day[order], price[order], quantity[order], total[order]
+            for x in np.unique(at):
+                mine = at == x
+                low, high = np.searchsorted(day, (x - DAYS, x))
+                counts[mine, 0] = high - low
+                if high - low >= LEAST:
+                    p, q, t = (v[low:high][~np.isnan(v[low:high])] for v in (price, quantity, total))
+                    if len(p):
+                        out[mine, :4] = order_statistics(p)
+                    out[mine, 4:6] = [np.median(v) if len(v) else np.nan for v in (q, t)]
+            _, code = np.unique(np.array([*left["supplier_id"].to_pylist(), *right["r_supplier_id"].to_pylist()], object).astype(str), return_inverse=True)
+            width = int(max(day[-1], at.max())) + DAYS + 2
+            floor = int(min(day[0], at.min())) - DAYS - 1
+            step = width - floor
+            key = code[n:][order] * step + (day - floor)
+            by = np.argsort(key, kind="stable")
+            key, paired = key[by], price[by]
+            own = code[:n] * step + (at - floor)
+            low, high = np.searchsorted(key, own - DAYS), np.searchsorted(key, own)
+            counts[:, 1] = high - low
+            for j in np.flatnonzero(counts[:, 1] >= LEAST).tolist():
+                v = paired[low[j] : high[j]]
+                v = v[~np.isnan(v)]
+                out[j, 6] = np.median(v) if len(v) else np.nan
+        columns = {c: left[c] for c in left.column_names if c != "block"}
+        return pa.table(columns | {"n_item": pa.array(counts[:, 0]), "n_pair": pa.array(counts[:, 1])} | {c: pa.array(out[:, k], from_pandas=True) for k, c in enumerate(made)})
+
+    schema = StructType([*d.schema.fields, StructField("n_item", LongType()), StructField("n_pair", LongType()), *[StructField(c, DoubleType()) for c in made]])
+    return ops.groupBy("item", "block").cogroup(refs.groupBy("r_item", "r_block")).applyInArrow(block, schema)
+
+
+def trailing_support(lines: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Per day and keys the number of lines of the 90 days before, from counts by day: no key gathers its lines."""
+    daily = lines.where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(F.count("*").alias("c"))
+    return daily.select(*keys, "day", F.coalesce(F.sum("c").over(window(*keys) if keys else W.partitionBy(F.lit(0)).orderBy("day").rangeBetween(-DAYS, -1)), F.lit(0)).alias(name))
+
+
+def features(lines: DataFrame, covered_from=None) -> DataFrame:
+    """The nine features, their reasons, MAD and all support counts of every line.
+
+    covered_from (a date) says from when on the history is complete; lines whose
+    90 days begin before it have the reason `incomplete_coverage` and no feature.
+    Lines without an item or a date have no references and are left out.
+    """
+    d = lines.withColumn("day", F.unix_date("order_date").cast("long"))
+    for name, keys in (("n_supplier", ("supplier_id",)), ("n_unit", ("unit",)), ("n_window", ())):
+        found = trailing_support(d, name, *keys).toDF(*[f"of_{k}" for k in keys], "of_day", name)
+        same = F.col("day") == F.col("of_day")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        d = d.join(found, same).drop("of_day", *[f"of_{k}" for k in keys])
+    d = trailing_references(d).withColumn("iqr", F.col("q3") - F.col("q1"))
     price, n = F.col("unit_price"), F.col("n_item")
     made = {
         "price_ratio": ratio(price, F.col("median_price"), n), "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n, "zero_iqr"),
         "relative_iqr": ratio(F.col("iqr"), F.col("median_price"), n), "quantity_ratio": ratio(F.col("quantity"), F.col("median_quantity"), n),
         "total_ratio": ratio(F.col("line_total"), F.col("median_total"), n), "pair_price_ratio": ratio(price, F.col("pair_median"), F.col("n_pair")),
     }
-    return d.withColumns({k: v for k, (v, _) in made.items()}).withColumns({f"{k}_reason": r for k, (_, r) in made.items()}).drop("q")
+    if covered_from is not None:
+        short = F.date_sub("order_date", DAYS) < F.lit(covered_from)
+        made = {k: (F.when(~short, v), F.when(short, F.lit("incomplete_coverage")).otherwise(r)) for k, (v, r) in made.items()}
+    return d.withColumns({k: v for k, (v, _) in made.items()}).withColumns({f"{k}_reason": r for k, (_, r) in made.items()})
+
+
+def eligibility(featured: DataFrame) -> DataFrame:
+    """Rows, eligible and excluded ones by reason, per period and per period and category; empty periods too."""
+    spark = featured.sparkSession
+    d = featured.withColumn("period", period(F.col("order_date")))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    counts = [F.count("*").alias("n"), n(F.col("price_ratio").isNotNull()).alias("eligible"), n(F.col("price_ratio_reason") == "insufficient_history").alias("insufficient"), n(F.col("price_ratio_reason") == "zero_reference").alias("zero")]
+    parts = d.groupBy("period", "category").agg(*counts)
+    names = ("n", "eligible", "insufficient", "zero")
+    whole = parts.groupBy("period").agg(*[F.sum(c).alias(c) for c in names]).withColumn("category", F.lit(None).cast("string"))
+    every = spark.createDataFrame([(name,) for name, *_ in PERIODS], "period string")
+    found = every.join(parts.unionByName(whole), "period", "left").fillna(0, list(names))
+    return found.select("period", "category", "n", "eligible", (F.col("n") - F.col("eligible")).alias("excluded"), "insufficient", "zero")
 
 
 def commercial_deviation(price: Column, quantity: Column) -> Column:
@@ -84,6 +182,94 @@ def counterfactuals(lines: DataFrame) -> DataFrame:
     return d.where((F.col("scenario") != "D") | (F.col("quantity1") != F.col("quantity0"))).withColumn("total1", (F.col("price1") * F.col("quantity1").cast("decimal(14,0)")).cast("decimal(34,6)"))
 
 
+def matrices(featured: DataFrame) -> DataFrame:
+    """The lines with all five model features, numbered from 0 within their period by date, id and occurrence.
+
+    The lines of the days before are counted by day, so that only the lines of
+    one day and period are ordered together.
+    """
+    five = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio")
+    d = featured.withColumn("period", period(F.col("order_date")))
+    for c in five:
+        d = d.where(F.col(c).isNotNull())
+    daily = d.groupBy("period", "order_date").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("period").orderBy("order_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    daily = daily.select(F.col("period").alias("of_period"), F.col("order_date").alias("of_date"), before.alias("before"))
+    own = F.row_number().over(W.partitionBy("period", "order_date").orderBy("po_id", "occurrence")) - 1
+    numbered = d.withColumn("own", own).join(daily, F.col("period").eqNullSafe(F.col("of_period")) & (F.col("order_date") == F.col("of_date")))
+    return numbered.withColumn("index", F.col("before") + F.col("own")).drop("own", "before", "of_period", "of_date")
+
+
+def changed(featured: DataFrame) -> DataFrame:
+    """Lines with references under each scenario: price1, quantity1; those that a scenario would not change are left out."""
+    table = featured.sparkSession.createDataFrame(SCENARIOS, "scenario string, factor double, times int")
+    tenth = F.greatest(F.lit(1), F.round(F.col("quantity").cast("decimal(18,1)") * F.lit("0.1").cast("decimal(2,1)"), 0).cast("bigint"))
+    d = featured.crossJoin(F.broadcast(table))  # five rows: the scenario table is the bound
+    d = d.withColumns({"price1": F.col("unit_price") * F.col("factor"), "quantity1": F.when(F.col("times").isNull(), tenth).otherwise(F.col("quantity") * F.col("times"))})
+    return d.where((F.col("scenario") != "D") | (F.col("quantity1") != F.col("quantity")))
+
+
+def counterfactual_features(featured: DataFrame) -> DataFrame:
+    """The features of changed lines against the frozen references of the unchanged ones."""
+    price, n = F.col("price1"), F.col("n_item")
+    total = F.col("price1") * F.col("quantity1")
+    return changed(featured).withColumns({
+        "price_ratio": ratio(price, F.col("median_price"), n)[0], "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n)[0], "quantity_ratio": ratio(F.col("quantity1"), F.col("median_quantity"), n)[0],
+        "total_ratio": ratio(total, F.col("median_total"), n)[0], "pair_price_ratio": ratio(price, F.col("pair_median"), F.col("n_pair"))[0],
+    })
+
+
+def rule_experiment(featured: DataFrame) -> DataFrame:
+    """The rule's score of every line of the evaluation periods before and after each scenario."""
+    d = featured.where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull()).withColumn("period", period(F.col("order_date")))
+    d = d.where(F.col("period").isin("validation", "retrospective")).withColumn("before", F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9))
+    after = commercial_deviation(F.col("price1") / F.col("median_price"), F.col("quantity1") / F.col("median_quantity"))
+    return changed(d).withColumn("after", F.round(after, 9)).select("po_id", "order_date", "occurrence", "period", "category", "scenario", "before", "after")
+
+
+def paired_effects(pairs: DataFrame, least: int = 10) -> DataFrame:
+    """Effects per period and scenario, and per category where it has `least` pairs."""
+    delta = F.col("after") - F.col("before")
+    n = lambda c: F.sum(c.cast("long"))
+    def report(*keys: str) -> DataFrame:
+        return pairs.groupBy(*keys).agg(F.count("*").alias("valid"), n(delta > 0).alias("increased"), n(delta < 0).alias("decreased"), F.avg(delta).alias("mean_delta"), F.percentile(delta, 0.5).alias("median_delta"))
+
+    both = report("period", "scenario", "category").unionByName(report("period", "scenario").withColumn("category", F.lit(None).cast("string")))
+    shown = F.col("category").isNull() | (F.col("valid") >= least)
+    rounded = {"increased": F.col("increased"), "decreased": F.col("decreased"), "mean_delta": F.round("mean_delta", 6) + 0.0, "median_delta": F.round("median_delta", 6) + 0.0}
+    return both.select("period", "scenario", "category", "valid", *[F.when(shown, c).alias(k) for k, c in rounded.items()])
+
+
+#: What has to agree between an operation and its references, besides the constant currency and price basis.
+GROUP_KEYS = ("item", "specification", "unit", "packaging", "payment_terms", "zone", "same_only")
+
+
+def comparable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with all keys of comparability."""
+    li = tables.read(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_shipdate"])
+    part, orders = tables.read(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"]), tables.read(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    d = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return d.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("po_id"), F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("day"), F.col("l_partkey").alias("part_id"),
+        F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long").alias("cents"), F.col("p_brand").alias("item"),
+        F.col("p_type").alias("specification"), F.col("l_returnflag").alias("unit"), (F.col("l_partkey") % 3).alias("packaging"), F.col("o_orderpriority").alias("payment_terms"), F.col("l_linestatus").alias("zone"), (F.col("l_linenumber") % 2 == 0).alias("same_only"),
+    )
+
+
+def comparable_prices(lines: DataFrame) -> DataFrame:
+    """P19 with D15: references that agree in every key, known by both clocks, with their support and exact median.
+
+    A reference goes to the one or two 90-day blocks that can refer to it, so the
+    join is on all keys and the block, and dates only refine it.
+    """
+    ops = lines.withColumn("block", blocks(F.col("day"), DAYS))
+    refs = lines.select(*GROUP_KEYS, *[F.col(c).alias(f"r_{c}") for c in ("po_id", "day", "supplier_id", "quantity", "cents")], available_from(F.col("day"), F.col("part_id")).alias("known"), F.explode(F.sequence(blocks(F.col("day") + 1, DAYS), blocks(F.col("day") + DAYS, DAYS))).alias("block"))
+    day = F.col("day")
+    met = ops.join(refs, [*GROUP_KEYS, "block"]).where((F.col("r_po_id") != F.col("po_id")) & (F.col("r_day") >= day - DAYS) & (F.col("r_day") < day) & (F.col("known") < day) & (~F.col("same_only") | (F.col("quantity") == F.col("r_quantity"))))
+    found = met.groupBy("po_id", "part_id", "supplier_id", "day", "cents").agg(F.count("*").alias("n"), F.count_distinct("r_day").alias("dates"), F.count_distinct("r_supplier_id").alias("suppliers"), F.percentile("r_cents", 0.5).alias("median"))
+    return found.withColumn("twice_median_cents", (2 * F.col("median")).cast("long")).drop("median")
+
+
 def available_from(line_day: Column, part: Column) -> Column:
     """J13's second clock: the day on which a line becomes known."""
     return line_day + F.pmod(part, F.lit(30))

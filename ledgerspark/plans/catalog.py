@@ -131,7 +131,6 @@ CATALOG = {
     "a19_confusion": f"WITH {EVALUATED}, c AS (SELECT {n('y = 1 AND p = 1')} AS tp, {n('y = 0 AND p = 1')} AS fp, {n('y = 1 AND p = 0')} AS fn, {n('y = 0 AND p = 0')} AS tn FROM evaluated) SELECT tp, fp, fn, tn, round(coalesce(tp * 1.0E0 / nullif(tp + fp, 0), 0.0E0), 9) AS precision_1, round(coalesce(tp * 1.0E0 / nullif(tp + fn, 0), 0.0E0), 9) AS recall_1 FROM c",
     "a22_metrics_by_group": f"WITH {EVALUATED} SELECT lang, quality, count(*) AS n, {n('y = 1 AND p = 1')} AS tp, {n('p = 1')} AS alerts FROM evaluated GROUP BY GROUPING SETS ((lang), (quality))",
     "a23_selection_profile": f"WITH {INVOICES}, t AS (SELECT fraud_type, count(*) AS c FROM invoices WHERE amount > 50000 GROUP BY fraud_type), r AS (SELECT *, rank() OVER (ORDER BY c DESC) AS k, sum(c) OVER () AS total FROM t) SELECT fraud_type, c, round(c * 1.0E0 / CAST(total AS DOUBLE), 9) AS share FROM r WHERE k = 1",
-    "a26_eligibility": f"WITH {FEATURES} SELECT period, category, count(*) AS n, {n('price_ratio IS NOT NULL')} AS eligible, {n('n_item < 20')} AS insufficient FROM (SELECT *, {PERIOD} AS period FROM features) x GROUP BY GROUPING SETS ((period), (period, category))",
     "a27_score_summary": "SELECT count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(PCTL(l_extendedprice, 0.01), 6) AS p01, round(PCTL(l_extendedprice, 0.5), 6) AS p50, round(PCTL(l_extendedprice, 0.99), 6) AS p99 FROM lineitem",
     "a28_upper_tail": f"WITH {LINES}, q AS (SELECT PCTL(line_total, 0.95) AS p95, PCTL(line_total, 0.99) AS p99 FROM lines WHERE order_date < DATE '1996-01-01') SELECT unit, {n('line_total >= p95')} AS above_p95, {n('line_total >= p99')} AS above_p99 FROM lines CROSS JOIN q WHERE order_date >= DATE '1996-01-01' GROUP BY unit",
     "a29_group_counts": f"WITH {LINES} SELECT category, item, unit, CAST(month(order_date) AS INT) AS m, count(*) AS n, {n('quantity >= 45')} AS chosen FROM lines GROUP BY GROUPING SETS ((category), (item), (unit), (CAST(month(order_date) AS INT)))",
@@ -186,7 +185,6 @@ CATALOG = {
       t AS (SELECT po_id, part_id, supplier_id, day, cents, count(*) AS n, count(DISTINCT ref_day) AS dates, count(DISTINCT ref_supplier) AS suppliers, CAST(2 * PCTL(ref, 0.5) AS BIGINT) AS twice FROM refs GROUP BY po_id, part_id, supplier_id, day, cents)
       SELECT po_id, part_id, supplier_id, day, n, dates, suppliers, CASE WHEN n < 20 THEN 'insufficient_history' END AS reason, CASE WHEN n >= 20 THEN twice END AS twice_median_cents, CASE WHEN n >= 20 THEN round((2 * cents - twice) * 100.0E0 / twice, 6) + 0 END AS percent_difference FROM t""",
     "d16_supplier_base": f"WITH {SUPPLIERS} SELECT user_id, metric, record_count, target, part FROM split",
-    "d20_fences": f"WITH {FEATURES} SELECT item, count(*) AS n, {n('n_item >= 20 AND unit_price > q3 + 1.5 * (q3 - q1)')} AS high, {n('n_item < 20')} AS ineligible FROM features GROUP BY item",
     # versions
     "v04_chain_audit": f"WITH {VERSIONS} SELECT count(*) AS broken FROM versions a LEFT JOIN versions b ON a.supersedes = b.version_id WHERE a.revision_no > 1 AND (b.revision_no IS NULL OR b.revision_no <> a.revision_no - 1 OR b.owner <> a.owner)",
     "v05_head_diff": f"WITH {VERSIONS}, head AS (SELECT owner, max(revision_no) AS r FROM versions GROUP BY owner) SELECT v.owner, v.status FROM versions v JOIN head h ON v.owner = h.owner AND v.revision_no = h.r JOIN customer ON c_custkey = v.owner WHERE v.status IS DISTINCT FROM CASE WHEN c_acctbal < 0 THEN 'P' ELSE 'O' END",
@@ -207,7 +205,6 @@ CATALOG = {
     "w06_running_share": "WITH s AS (SELECT c_mktsegment, c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_acctbal > 0) SELECT c_custkey, round(CAST(sum(v) OVER (PARTITION BY c_mktsegment ORDER BY v DESC, c_custkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY c_mktsegment) AS DOUBLE), 9) AS share FROM s",
     "w09_replacement_rank": f"WITH {EVALUATED}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS before_rank FROM evaluated), c AS (SELECT doc_id, score * 2 AS new_score, before_rank FROM r WHERE mod(doc_id, 10) = 0) SELECT c.doc_id, CAST(c.before_rank AS BIGINT) AS before_rank, count(r.doc_id) + 1 AS after_rank FROM c LEFT JOIN r ON r.doc_id <> c.doc_id AND (r.score > c.new_score OR (r.score = c.new_score AND r.doc_id < c.doc_id)) GROUP BY c.doc_id, c.before_rank",
     "w11_lag_chain": f"WITH {VERSIONS} SELECT owner, version_id, supersedes FROM versions WHERE revision_no > 1",
-    "a30_directions": f"WITH {FEATURES} SELECT category, {n('price_ratio < 1')} AS below, {n('price_ratio = 1')} AS equal, {n('price_ratio > 1')} AS above FROM features WHERE price_ratio IS NOT NULL GROUP BY category",
     "a32_paired_effects": f"WITH {LINES} SELECT category, count(*) AS n, {n('greatest(1, floor(quantity / 10)) < quantity')} AS decreased, CASE WHEN count(*) >= 10 THEN {n('quantity * 3 > 100')} END AS large_after FROM lines GROUP BY GROUPING SETS ((category), ())",
     "a48_skewness": "WITH m AS (SELECT avg(c_acctbal) AS m, count(*) AS n, stddev_pop(c_acctbal) AS s FROM customer) SELECT round(sum(power((c_acctbal - m) / s, 3)) / max(n) * sqrt(CAST(max(n) AS DOUBLE) * (max(n) - 1)) / (max(n) - 2), 6) + 0 AS skew FROM customer CROSS JOIN m",
     "a51_fold_deltas": f"WITH {EVALUATED}, f AS (SELECT mod(doc_id, 5) AS fold, avg(CASE WHEN y = p THEN 1.0E0 ELSE 0.0E0 END) AS a, avg(CASE WHEN y = 0 THEN 1.0E0 ELSE 0.0E0 END) AS b FROM evaluated GROUP BY mod(doc_id, 5)) SELECT round(avg(a - b), 9) AS mean_delta, round(stddev_samp(a - b), 9) AS std_delta, round(min(a - b), 9) AS low, round(max(a - b), 9) AS high FROM f",

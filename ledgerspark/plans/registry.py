@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import metrics, procurement
 from ..operators.forest import IsolationForest
@@ -16,7 +16,7 @@ for _name, _text in catalog.CATALOG.items():
     ORACLES[_name] = dialect.oracle_sql(_text.replace("{SPINE}", catalog.SPINE[1]).replace("{BOOT}", catalog.BOOT[1]))
 
 
-def _query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if oracle:
@@ -29,22 +29,64 @@ def _query(name: str, oracle: str | None = None):
 _KEY = ["po_id", "order_date", "occurrence"]
 _RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio", "pair_price_ratio")
 _ROUNDED = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in _RATIOS)
-_REASON = "CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_price = 0 THEN 'zero_reference' END AS price_ratio_reason"
-
-
-@_query("d08_features", f"WITH {catalog.FEATURES} SELECT po_id, order_date, occurrence, n_item, n_pair, n_supplier, n_unit, {_ROUNDED}, {_REASON} FROM features")
+_REASONS = """
+  CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_price = 0 THEN 'zero_reference' END AS price_ratio_reason,
+  CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN q3 - q1 = 0 THEN 'zero_iqr' END AS price_iqr_distance_reason,
+  CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_price = 0 THEN 'zero_reference' END AS relative_iqr_reason,
+  CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_quantity = 0 THEN 'zero_reference' END AS quantity_ratio_reason,
+  CASE WHEN n_item < 20 THEN 'insufficient_history' WHEN median_total = 0 THEN 'zero_reference' END AS total_ratio_reason,
+  CASE WHEN n_pair < 20 THEN 'insufficient_history' WHEN pair_median = 0 THEN 'zero_reference' END AS pair_price_ratio_reason"""
+
+
+@query("d08_features", f"""WITH {catalog.FEATURES},
+  more AS (SELECT *, count(*) OVER (ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) AS n_window,
+    CASE WHEN n_item >= 20 THEN mad(unit_price) OVER (PARTITION BY item ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) END AS mad_price FROM features)
+  SELECT po_id, order_date, occurrence, n_item, n_pair, n_supplier, n_unit, n_window, round(mad_price, 9) AS mad_price, {_ROUNDED}, {_REASONS} FROM more""")
 def d08(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = procurement.features(procurement.occurrences(tables.purchase_lines(spark, sf_dir)))
-    return d.select(*_KEY, "n_item", "n_pair", "n_supplier", "n_unit", *[(F.round(c, 6) + 0.0).alias(c) for c in _RATIOS], "price_ratio_reason")
+    return d.select(*_KEY, "n_item", "n_pair", "n_supplier", "n_unit", "n_window", F.round("mad_price", 9).alias("mad_price"), *[(F.round(c, 6) + 0.0).alias(c) for c in _RATIOS], *[f"{c}_reason" for c in _RATIOS])
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.features(procurement.occurrences(tables.purchase_lines(spark, sf_dir)))
+
+
+def _count(condition) -> Column:
+    return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+
 
+@query("a26_eligibility", f"""WITH {catalog.FEATURES}, f AS (SELECT *, {catalog.PERIOD} AS period FROM features),
+  p AS (SELECT * FROM (VALUES ('warmup'), ('development'), ('validation'), ('retrospective')) v(period)),
+  g AS (SELECT period, category, count(*) AS n, {catalog.n('price_ratio IS NOT NULL')} AS eligible, {catalog.n('n_item < 20')} AS insufficient, {catalog.n('n_item >= 20 AND median_price = 0')} AS zero FROM f GROUP BY GROUPING SETS ((period), (period, category)))
+  SELECT p.period, category, coalesce(n, 0) AS n, coalesce(eligible, 0) AS eligible, coalesce(n - eligible, 0) AS excluded, coalesce(insufficient, 0) AS insufficient, coalesce(zero, 0) AS zero FROM p LEFT JOIN g ON p.period = g.period""")
+def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return procurement.eligibility(features(spark, sf_dir))
 
-@_query("d11_commercial_rank", f"""WITH {catalog.FEATURES}, s AS (SELECT *, {catalog.PERIOD} AS period, round(greatest(abs(ln(price_ratio)), abs(ln(quantity_ratio))), 9) AS score FROM features WHERE price_ratio IS NOT NULL AND quantity_ratio IS NOT NULL)
+
+@query("d20_fences", f"WITH {catalog.FEATURES} SELECT item, count(*) AS n, {catalog.n('n_item >= 20 AND unit_price > q3 + 1.5 * (q3 - q1)')} AS high, {catalog.n('n_item < 20')} AS ineligible FROM features GROUP BY item")
+def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high = (F.col("n_item") >= 20) & (F.col("unit_price") > F.col("q3") + 1.5 * F.col("iqr"))
+    return features(spark, sf_dir).groupBy("item").agg(F.count("*").alias("n"), _count(F.coalesce(high, F.lit(False))).alias("high"), _count(F.col("n_item") < 20).alias("ineligible"))
+
+
+@query("a30_directions", f"""WITH {catalog.FEATURES} SELECT category, {catalog.n('price_ratio < 1')} AS below, {catalog.n('price_ratio = 1')} AS equal, {catalog.n('price_ratio > 1')} AS above,
+  {catalog.n('abs(ln(price_ratio)) > abs(ln(quantity_ratio))')} AS price_leads, {", ".join(f"round(quantile_cont(price_ratio, {q}), 6) AS q{k}" for k, q in enumerate((0, 0.25, 0.5, 0.75, 1)))} FROM features WHERE price_ratio IS NOT NULL GROUP BY category""")
+def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions, which ratio leads, and five-number summary of the price ratio."""
+    d = features(spark, sf_dir).where(F.col("price_ratio").isNotNull())
+    x = F.col("price_ratio")
+    leads = F.abs(F.ln(x)) > F.abs(F.ln("quantity_ratio"))
+    five = [F.round(F.percentile(x, q), 6).alias(f"q{k}") for k, q in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))]
+    return d.groupBy("category").agg(_count(x < 1).alias("below"), _count(x == 1).alias("equal"), _count(x > 1).alias("above"), _count(F.coalesce(leads, F.lit(False))).alias("price_leads"), *five)
+
+
+@query("d11_commercial_rank", f"""WITH {catalog.FEATURES}, s AS (SELECT *, {catalog.PERIOD} AS period, round(greatest(abs(ln(price_ratio)), abs(ln(quantity_ratio))), 9) AS score FROM features WHERE price_ratio IS NOT NULL AND quantity_ratio IS NOT NULL)
   SELECT po_id, order_date, occurrence, period, score, row_number() OVER (PARTITION BY period ORDER BY score DESC, po_id, order_date, occurrence) AS rank FROM s""")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procurement.commercial_rank(tables.purchase_lines(spark, sf_dir)).select(*_KEY, "period", "score", "rank")
 
 
-@_query("d12_injections", f"""WITH {catalog.LINES}, s AS (SELECT * FROM (VALUES ('A', 1.5, 1), ('B', 2.0, 1), ('C', 1.0, 3), ('D', 1.0, NULL), ('E', 1.5, 3)) AS v(scenario, factor, times)),
+@query("d12_injections", f"""WITH {catalog.LINES}, s AS (SELECT * FROM (VALUES ('A', 1.5, 1), ('B', 2.0, 1), ('C', 1.0, 3), ('D', 1.0, NULL), ('E', 1.5, 3)) AS v(scenario, factor, times)),
   d AS (SELECT po_id, part_id, supplier_id, order_date, scenario, quantity, CAST(CAST(round(unit_price, 2) AS DECIMAL(18,6)) * CAST(factor AS DECIMAL(3,1)) AS DECIMAL(20,6)) AS price1,
     CASE WHEN times IS NULL THEN greatest(1, CAST(round(CAST(quantity AS DECIMAL(18,1)) * CAST(0.1 AS DECIMAL(2,1)), 0) AS BIGINT)) ELSE quantity * times END AS quantity1 FROM lines CROSS JOIN s)
   SELECT scenario, count(*) AS n, CAST(sum(quantity1) AS BIGINT) AS quantity FROM d WHERE scenario <> 'D' OR quantity1 <> quantity GROUP BY scenario""")
@@ -53,17 +95,17 @@ def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("scenario").agg(F.count("*").alias("n"), F.sum("quantity1").alias("quantity"))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, docs = tables.read(spark, sf_dir, "labels"), tables.read(spark, sf_dir, "documents", ["doc_id", "n_chars", "lang"])
     return labels.join(docs, "doc_id").select("doc_id", F.col("toxic").alias("y"), "quality", F.col("n_chars").alias("score"), "lang")
 
 
-@_query("a20_a21_ranking_quality", f"""WITH {catalog.EVALUATED}, g AS (SELECT score, {catalog.n('y = 1')} AS p, count(*) AS n FROM evaluated GROUP BY score),
+@query("a20_a21_ranking_quality", f"""WITH {catalog.EVALUATED}, g AS (SELECT score, {catalog.n('y = 1')} AS p, count(*) AS n FROM evaluated GROUP BY score),
   c AS (SELECT *, CAST(sum(p) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(n) OVER (ORDER BY score DESC) AS BIGINT) AS cnt FROM g)
   SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n - p) AS BIGINT) AS negatives, round(sum((n - p) * (tp - p / 2.0E0)) / (sum(p) * CAST(sum(n - p) AS DOUBLE)), 9) AS roc_auc,
     round(sum(p * tp * 1.0E0 / cnt) / sum(p), 9) AS average_precision FROM c""")
 def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = metrics.ranking_quality(_evaluated(spark, sf_dir), "y", "score")
+    d = metrics.ranking_quality(evaluated(spark, sf_dir), "y", "score")
     return d.select("positives", "negatives", F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
 
 
@@ -74,39 +116,39 @@ def _triage_oracle(percent: int) -> str:
       FROM (SELECT *, min(CASE WHEN r <= k THEN score END) OVER () AS b FROM (SELECT *, CAST(least(total, (total * {percent} + 99) // 100) AS BIGINT) AS k FROM ranked) x) y"""
 
 
-@_query("d03_triage", f"WITH {catalog.EVALUATED}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS total FROM evaluated) " + " UNION ALL ".join(_triage_oracle(p) for p in (1, 5, 10)))
+@query("d03_triage", f"WITH {catalog.EVALUATED}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS total FROM evaluated) " + " UNION ALL ".join(_triage_oracle(p) for p in (1, 5, 10)))
 def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.triage(_evaluated(spark, sf_dir), "doc_id", "score", "y")
+    return metrics.triage(evaluated(spark, sf_dir), "doc_id", "score", "y")
 
 
-@_query("d04_u01_overlap", f"""WITH {catalog.EVALUATED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) <= 50 AS ia, row_number() OVER (ORDER BY quality DESC, doc_id) <= 50 AS ib FROM evaluated),
+@query("d04_u01_overlap", f"""WITH {catalog.EVALUATED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) <= 50 AS ia, row_number() OVER (ORDER BY quality DESC, doc_id) <= 50 AS ib FROM evaluated),
   t AS (SELECT {catalog.n('ia AND ib')} AS common, {catalog.n('ia AND NOT ib')} AS only_a, {catalog.n('ib AND NOT ia')} AS only_b, count(*) AS either, {catalog.n('ia AND NOT ib AND y = 1')} AS gained, {catalog.n('ib AND NOT ia AND y = 1')} AS forgone FROM r WHERE ia OR ib)
   SELECT *, round(common / 50.0E0, 9) AS overlap, round(common * 1.0E0 / either, 9) AS jaccard, gained - forgone AS net FROM t""")
 def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.overlap(_evaluated(spark, sf_dir), "doc_id", "score", "quality", "y", 50)
+    return metrics.overlap(evaluated(spark, sf_dir), "doc_id", "score", "quality", "y", 50)
 
 
-@_query("d15_price_all")
+@query("d15_price_all")
 def d15_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procurement.price_references(tables.purchase_lines(spark, sf_dir))
 
 
-@_query("j13_two_clocks_all")
+@query("j13_two_clocks_all")
 def j13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procurement.two_clock_counts(tables.purchase_lines(spark, sf_dir))
 
 
-@_query("p20_exclusion_reasons_all")
+@query("p20_exclusion_reasons_all")
 def p20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procurement.exclusion_reasons(tables.purchase_lines(spark, sf_dir))
 
 
-@_query("w09_replacement_rank_all")
+@query("w09_replacement_rank_all")
 def w09_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.replacement_rank(_evaluated(spark, sf_dir), "doc_id", "score", F.col("score") * 2)
+    return metrics.replacement_rank(evaluated(spark, sf_dir), "doc_id", "score", F.col("score") * 2)
 
 
-@_query("m01_m02_isolation_forest")
+@query("m01_m02_isolation_forest")
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all lines by an Isolation Forest grown on the development period."""
     d = procurement.features(procurement.occurrences(tables.purchase_lines(spark, sf_dir)))
@@ -120,9 +162,12 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(d).select(*_KEY, "period", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
-@_query("m03_m05_supplier_model")
+@query("m03_m05_supplier_model")
 def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median imputation, scaling, logistic regression and random forest against the majority class."""
     from ..operators.models import compare
 
-    return compare(_evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double")), ["length", "quality"], "y", "doc_id")
+    return compare(evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double")), ["length", "quality"], "y", "doc_id")
+
+
+from . import inventory  # noqa: E402, F401  its queries register themselves here
