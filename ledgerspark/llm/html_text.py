@@ -11,8 +11,11 @@ to ``train``.
 
 Defined cases: null, empty or blank html gives an empty text of 0 characters;
 unclosed and stray tags are closed at the next block, as browsers do, and cost
-time in proportion to the page; equal rows give equal texts; scripts, styles,
-templates and comments never become blocks.
+time in proportion to the page; a comment or declaration that is not closed runs
+to the page's end; equal rows give equal texts; scripts, styles, templates and
+comments never become blocks; white space is what str.split() takes for it,
+no-break spaces too; an empty table gives an empty result; only the columns to
+keep and the html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript", "svg", "iframe", "head", "title", "textarea", "select")}
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())

@@ -2,14 +2,18 @@
 
 Each line with a word is tested on its own: navigation (several short entries
 between separators, or lists of links), boilerplate (phrases of notices and
-calls to act), symbol noise, and missing punctuation on long lines. Lines that
+calls to act, in four languages), symbol noise, and punctuation: too much (half
+of the words end in ! or ?) or, on long lines, hardly any and none at the end.
+Lines that
 fail are removed; a document is rejected if it then keeps less than
 ``min_kept`` of its word characters. The base rules (too few words, too many
 repeated three-word windows) reject before the method is asked.
 
 Defined cases: a null or empty text has no words and fails the base rules; equal
-rows are judged alike; a line without words is neither failed nor counted; no
-document leaves its task, so long texts cost memory in proportion to themselves.
+rows are judged alike; a line without words is neither failed nor counted; an
+empty table gives an empty result; only the id and the text are read, whatever
+other columns there are; no document leaves its task, so long texts cost time
+and memory in proportion to themselves.
 """
 
 from __future__ import annotations
@@ -21,17 +25,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, table, words_of
+from .common import SPACES, map_arrow, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
 _END = (".", "!", "?", "…", ":", ";", '"', "'", ")", "]", "”", "’", "»", "。", "！", "？")
+_SHOUT = ("!", "?", "！", "？")
 _NAV = re.compile(r"\s[|»›>·•/]\s")
-#: Phrases that mark notices and calls to act rather than prose.
+# Phrases of notices and calls to act, in the corpus' four languages.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "sign up", "log in",
     "subscribe to", "click here", "read more", "share this", "follow us", "powered by", "lorem ipsum", "enable javascript",
     "skip to content", "back to top", "use of cookies", "add to cart",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "utilisation de cookies", "cliquez ici",
+    "lire la suite", "abonnez-vous", "suivez-nous", "se connecter", "ajouter au panier", "retour en haut",
+    "alle rechte vorbehalten", "datenschutzerklärung", "impressum", "nutzungsbedingungen", "verwendung von cookies", "hier klicken",
+    "weiterlesen", "newsletter abonnieren", "folgen sie uns", "jetzt anmelden", "in den warenkorb", "nach oben",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "uso de cookies", "haga clic aquí",
+    "leer más", "suscríbete", "síguenos", "iniciar sesión", "añadir al carrito", "volver arriba",
 )
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE)
 
@@ -45,7 +56,9 @@ def line_fails(line: str, words: list[str]) -> str | None:
         return "boilerplate"
     if 4 * len(_SYMBOL.findall(line)) > n and n >= 4:
         return "symbols"
-    if n >= 12 and not line.rstrip().endswith(_END) and not any(w.endswith(_END) or w.endswith(",") for w in words):
+    if n >= 4 and 2 * sum(w.endswith(_SHOUT) for w in words) >= n:
+        return "punctuation"
+    if n >= 12 and not line.rstrip(SPACES).endswith(_END) and 40 * sum(w.endswith(_END) for w in words) < n:
         return "punctuation"
     return None
 

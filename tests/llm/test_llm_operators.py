@@ -95,6 +95,40 @@ def test_quality(spark, cases):
     assert quality.judge("a b\na b\n\n c")["n_dup_lines"] == 1
 
 
+def test_line_rules_in_four_languages():
+    for line in ("Todos los derechos reservados.", "Alle Rechte vorbehalten", "Tous droits réservés - site", "© All rights reserved"):
+        assert quality.line_fails(line, line.split()) == "boilerplate"
+    shout = " ".join(f"WORD{k}!!" for k in range(9))
+    bare = " ".join(f"word{k}" for k in range(30))
+    assert quality.line_fails(shout, shout.split()) == quality.line_fails(bare, bare.split()) == "punctuation"
+    assert quality.line_fails(bare + ".", (bare + ".").split()) is None and quality.line_fails("A short title", ["A", "short", "title"]) is None
+    verdict = quality.judge("\n".join(f"{bare} {k}" for k in range(3)))
+    assert verdict["n_failed_lines"] == 3 and not verdict["kept"]
+
+
+def quality_by_plain_code(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of the contract, word by word."""
+    text = text or ""
+    w = WORD_RE.findall(text)
+    lines = [x for x in text.split("\n") if WORD_RE.search(x)]
+    windows = defaultdict(list)
+    for k in range(len(w) - 2):
+        windows[tuple(w[k : k + 3])].append(k)
+    repeated = {k + j for at in windows.values() if len(at) > 1 for k in at for j in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+
+
+def test_quality_query_equals_plain_code(spark, cases):
+    d, rows = cases
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = sorted(([q["doc_id"], *(q[c] for c in columns)] for q in quality.clean_lines(d, with_text=False).collect()), key=repr)
+    assert got == sorted(([i, *quality_by_plain_code(t)] for i, t, *_ in rows), key=repr)
+    texts = {q["doc_id"]: q["text"] for q in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for q in quality.query(spark, "/root/testdata/sf0.001").collect():
+        assert tuple(q[c] for c in columns) == quality_by_plain_code(texts[q["doc_id"]]) and not (q["base_failed"] and q["kept"])
+    assert quality.clean_lines(empty(spark)).isEmpty()
+
+
 def test_nearest_with_aim_one_is_exact_where_all_rows_are_the_sample(spark):
     r = np.random.default_rng(4)
     x = r.normal(0, 1, (60, 6)) * r.uniform(0.5, 2, (60, 1))
@@ -312,9 +346,9 @@ def test_passages_cover_every_start_once():
 def test_merged_transforms_find_equal_prefixes():
     r = random.Random(6)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(12, 40))) for _ in range(60)]
-    lows = suffix_dedup.lowest_ids(texts, np.arange(60), 8, shard=64)
-    for t, low in zip(texts, lows):
-        assert low.tolist() == [min(k for k, u in enumerate(texts) if t[s : s + 8] in u) for s in range(len(t) - 8 + 1)]
+    lows, bounds = suffix_dedup.lowest_ids(texts, np.arange(60), 8, shard=64)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        assert lows[a:b].tolist() == [min(k for k, u in enumerate(texts) if t[s : s + 8] in u) for s in range(len(t) - 8 + 1)]
 
 
 def test_html():
@@ -328,6 +362,28 @@ def test_html():
     assert wrong <= 0.02 * sum(len(y) for _, y in held)
 
 
+def test_html_extraction_through_spark(spark):
+    page = "<nav><a href='/a'>Home</a></nav><article><h1>One title here</h1><p>Some words of an article, ending here.</p></article>"
+    rows = [(k, f"u{k}", p, "x", 7) for k, p in enumerate([page, page, None, "", "<p>", "<!" * 20000 + page, "a < b <! unclosed", page * 50])] + [(None, None, page, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((tuple(q) for q in html_text.extract(d).collect()), key=repr)
+    model = html_text.default_model()
+    assert got == sorted(((i, u, html_text.main_text(p, model), len(html_text.main_text(p, model))) for i, u, p, *_ in rows), key=repr)
+    assert html_text.main_text(page, model) == "One title here\n\nSome words of an article, ending here." and html_text.extract(d.limit(0)).isEmpty()
+
+
+def test_unclosed_declarations_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_text.blocks_of("<!" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(400_000) < 1
+
+
 def components_by_brute_force(rows, width=4):
     """(id, set size, smallest id reachable) of each row, and the number of groups."""
     sets = []
