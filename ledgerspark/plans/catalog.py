@@ -99,15 +99,13 @@ CATALOG = {
     "p14_null_safe": "SELECT count(*) AS n FROM events a WHERE nullif(event_type, 'click') IS DISTINCT FROM nullif(event_type, 'view')",
     "p15_exactly_one": "SELECT count(*) AS n FROM orders WHERE (CASE WHEN nullif(o_orderstatus, 'F') IS NULL THEN 0 ELSE 1 END + CASE WHEN nullif(o_orderstatus, 'O') IS NULL THEN 0 ELSE 1 END) = 1",
     "p16_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
-    "p20_exclusion_reasons": f"WITH {LINES}, ops AS (SELECT po_id, item, day, part_id FROM lines WHERE part_id = 7 AND quantity >= 40), tested AS (SELECT CASE WHEN l.po_id = o.po_id THEN 'self' WHEN l.day < o.day - 90 OR l.day >= o.day THEN 'outside_window' WHEN mod(l.part_id, 3) = 0 THEN 'not_available' WHEN l.unit <> 'A' THEN 'incomparable' ELSE 'comparable' END AS reason FROM ops o JOIN lines l ON l.item = o.item) SELECT reason, count(*) AS n FROM tested GROUP BY reason",
     "p22_outcome": f"WITH {EVALUATED} SELECT doc_id, CASE WHEN y = 1 AND p = 1 THEN 'TP' WHEN y = 0 AND p = 1 THEN 'FP' WHEN y = 1 THEN 'FN' ELSE 'TN' END AS outcome FROM evaluated",
-    "p24_min_support": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity = 10 GROUP BY l_suppkey HAVING count(*) >= 10",
+    "p24_min_support": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 30",
     # joins
     "j01_left_attributes": "SELECT l_orderkey, l_linenumber, l_partkey, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0",
     "j08_reconcile": "SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'unexpected' ELSE 'missing' END AS finding FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL OUTER JOIN (SELECT c_custkey AS k FROM customer WHERE mod(c_custkey, 5) <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL",
     "j09_split_overlap": f"WITH {INVOICES} SELECT count(*) AS n FROM (SELECT supplier_id FROM invoices WHERE split = 'train' INTERSECT SELECT supplier_id FROM invoices WHERE split = 'test') x",
     "j10_range_join": f"WITH {LINES}, daily AS (SELECT item, day, count(*) AS c, count(DISTINCT supplier_id) AS s FROM lines GROUP BY item, day) SELECT a.item, a.day, CAST(sum(b.c) AS BIGINT) AS n FROM daily a JOIN daily b ON a.item = b.item AND b.day >= a.day - 90 AND b.day < a.day GROUP BY a.item, a.day",
-    "j13_two_clocks": f"WITH {LINES}, ops AS (SELECT po_id, item, day, part_id, supplier_id FROM lines WHERE quantity = 50 AND mod(part_id, 20) = 1) SELECT o.po_id, o.part_id, o.supplier_id, o.day, count(*) AS n FROM ops o JOIN lines l ON l.item = o.item AND l.day >= o.day - 90 AND l.day < o.day AND l.day + mod(l.part_id, 30) < o.day GROUP BY o.po_id, o.part_id, o.supplier_id, o.day",
     "d21_near_pairs": f"WITH {LINES} SELECT a.po_id AS first_id, b.po_id AS second_id, b.day - a.day AS gap, a.line_total = b.line_total AS same_total FROM lines a JOIN lines b ON a.part_id = b.part_id AND a.supplier_id = b.supplier_id AND a.unit = b.unit AND a.quantity = b.quantity AND b.day - a.day <= 3 AND (a.day < b.day OR (a.day = b.day AND a.po_id < b.po_id))",
     "j16_group_share": f"WITH {LINES}, g AS (SELECT item, unit, sum(quantity) AS q FROM lines GROUP BY item, unit) SELECT item, unit, round(CAST(q AS DOUBLE) / CAST(sum(q) OVER (PARTITION BY item) AS DOUBLE), 9) AS share FROM g",
     "j17_first_last_quarter": f"WITH {LINES}, q AS (SELECT item, CAST(date_trunc('quarter', order_date) AS DATE) AS quarter, count(*) AS n FROM lines GROUP BY item, CAST(date_trunc('quarter', order_date) AS DATE)), e AS (SELECT min(quarter) AS a, max(quarter) AS b FROM q) SELECT x.item, x.n AS n_first, y.n AS n_last FROM q x JOIN q y ON x.item = y.item JOIN e ON x.quarter = e.a AND y.quarter = e.b",
@@ -180,10 +178,6 @@ CATALOG = {
     "d01_features": f"WITH {FEATURED} SELECT invoice_id, split, is_fraud, round(log_amount, 6) AS log_amount, supplier_frequency, country_frequency, round(amount_vs_supplier_mean, 6) AS amount_vs_supplier_mean, round(supplier_amount_zscore, 5) + 0 AS supplier_amount_zscore, department_frequency, round(amount_vs_department_mean, 6) AS amount_vs_department_mean, supplier_department_frequency, payment_terms_days, invoice_type_encoded, round(dow_sin, 6) + 0 AS dow_sin, round(month_cos, 6) + 0 AS month_cos, is_weekend FROM featured",
     "d06_global_share": f"WITH {INVOICES}, r AS (SELECT country, row_number() OVER (ORDER BY amount DESC, invoice_id, invoice_date) AS k, count(*) OVER () AS total FROM inv), s AS (SELECT country, count(*) AS n, {n('k <= (total * 5 + 99) / 100')} AS chosen FROM r GROUP BY country) SELECT country, n, chosen, round(chosen * 1.0E0 / n, 9) AS share FROM s",
     "d07_selection_types": f"WITH {INVOICES}, r AS (SELECT fraud_type, is_fraud, row_number() OVER (ORDER BY amount DESC, invoice_id, invoice_date) AS k FROM invoices WHERE split = 'test') SELECT fraud_type, count(*) AS n, {n('k <= 100')} AS chosen, {n('k <= 100 AND is_fraud = 1')} AS hits FROM r GROUP BY GROUPING SETS ((fraud_type), ())",
-    "d15_price": f"""WITH {LINES}, ops AS (SELECT po_id, part_id, supplier_id, item, day, quantity, CAST(round(unit_price * 100) AS BIGINT) AS cents FROM lines WHERE mod(part_id, 50) = 3 AND quantity >= 48),
-      refs AS (SELECT o.po_id, o.part_id, o.supplier_id, o.day, o.cents, CAST(round(l.unit_price * 100) AS BIGINT) AS ref, l.supplier_id AS ref_supplier, l.day AS ref_day FROM ops o JOIN lines l ON l.item = o.item AND l.po_id <> o.po_id AND l.day >= o.day - 90 AND l.day < o.day AND l.day + mod(l.part_id, 30) < o.day),
-      t AS (SELECT po_id, part_id, supplier_id, day, cents, count(*) AS n, count(DISTINCT ref_day) AS dates, count(DISTINCT ref_supplier) AS suppliers, CAST(2 * PCTL(ref, 0.5) AS BIGINT) AS twice FROM refs GROUP BY po_id, part_id, supplier_id, day, cents)
-      SELECT po_id, part_id, supplier_id, day, n, dates, suppliers, CASE WHEN n < 20 THEN 'insufficient_history' END AS reason, CASE WHEN n >= 20 THEN twice END AS twice_median_cents, CASE WHEN n >= 20 THEN round((2 * cents - twice) * 100.0E0 / twice, 6) + 0 END AS percent_difference FROM t""",
     "d16_supplier_base": f"WITH {SUPPLIERS} SELECT user_id, metric, record_count, target, part FROM split",
     # versions
     "v04_chain_audit": f"WITH {VERSIONS} SELECT count(*) AS broken FROM versions a LEFT JOIN versions b ON a.supersedes = b.version_id WHERE a.revision_no > 1 AND (b.revision_no IS NULL OR b.revision_no <> a.revision_no - 1 OR b.owner <> a.owner)",
@@ -193,7 +187,7 @@ CATALOG = {
     "v10_snapshot_check": f"WITH {VERSIONS} SELECT owner, count(*) AS late FROM versions WHERE recorded > DATE '1998-01-01' GROUP BY owner",
     "v14_latest": f"WITH {VERSIONS} SELECT owner, version_id, status, cents FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY revision_no DESC) AS k FROM versions) x WHERE k = 1",
     "v18_idempotency": "WITH seen AS (SELECT o_custkey AS k, o_orderpriority AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) SELECT b.k, CASE WHEN a.h = b.h THEN 'replay' ELSE 'conflict' END AS answer, count(*) AS n FROM seen a JOIN seen b ON a.k = b.k AND a.r = 1 AND b.r > 1 GROUP BY b.k, CASE WHEN a.h = b.h THEN 'replay' ELSE 'conflict' END",
-    "v17_history_page": f"WITH {VERSIONS} SELECT version_id, owner, revision_no, recorded FROM versions WHERE owner <= 50 ORDER BY recorded DESC, version_id DESC LIMIT 21",
+    "v17_history_page": f"WITH {VERSIONS} SELECT version_id, owner, revision_no, recorded FROM versions ORDER BY recorded DESC, version_id DESC LIMIT 21",
     "v20_create_or_verify": "SELECT c_custkey, CASE WHEN o_custkey IS NULL THEN 'create' ELSE 'verify' END AS action FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey",
     # more of the inventory
     "p17_row_comparison": "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) < (CAST(50 AS BIGINT), CAST(1000 AS BIGINT))",
@@ -203,7 +197,6 @@ CATALOG = {
     "j05_one_to_one": "SELECT count(*) AS violations FROM (SELECT doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) x",
     "j07_aligned_lookup": "SELECT l.doc_id, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     "w06_running_share": "WITH s AS (SELECT c_mktsegment, c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_acctbal > 0) SELECT c_custkey, round(CAST(sum(v) OVER (PARTITION BY c_mktsegment ORDER BY v DESC, c_custkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY c_mktsegment) AS DOUBLE), 9) AS share FROM s",
-    "w09_replacement_rank": f"WITH {EVALUATED}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS before_rank FROM evaluated), c AS (SELECT doc_id, score * 2 AS new_score, before_rank FROM r WHERE mod(doc_id, 10) = 0) SELECT c.doc_id, CAST(c.before_rank AS BIGINT) AS before_rank, count(r.doc_id) + 1 AS after_rank FROM c LEFT JOIN r ON r.doc_id <> c.doc_id AND (r.score > c.new_score OR (r.score = c.new_score AND r.doc_id < c.doc_id)) GROUP BY c.doc_id, c.before_rank",
     "w11_lag_chain": f"WITH {VERSIONS} SELECT owner, version_id, supersedes FROM versions WHERE revision_no > 1",
     "a32_paired_effects": f"WITH {LINES} SELECT category, count(*) AS n, {n('greatest(1, floor(quantity / 10)) < quantity')} AS decreased, CASE WHEN count(*) >= 10 THEN {n('quantity * 3 > 100')} END AS large_after FROM lines GROUP BY GROUPING SETS ((category), ())",
     "a48_skewness": "WITH m AS (SELECT avg(c_acctbal) AS m, count(*) AS n, stddev_pop(c_acctbal) AS s FROM customer) SELECT round(sum(power((c_acctbal - m) / s, 3)) / max(n) * sqrt(CAST(max(n) AS DOUBLE) * (max(n) - 1)) / (max(n) - 2), 6) + 0 AS skew FROM customer CROSS JOIN m",

@@ -38,10 +38,10 @@ def test_price_counts_and_reasons_of_all_lines(spark):
             kind = np.where(own, "self", np.where(~inside, "outside_window", np.where(g.part_id % 3 == 0, "not_available", np.where(g.unit != "A", "incomparable", "comparable"))))
             reasons.update(kind.tolist())
     same = lambda a, b: sorted((tuple(map(plain, r)) for r in a), key=repr) == sorted((tuple(map(plain, r)) for r in b), key=repr)
-    got = registry.QUERIES["d15_price_all"](spark, SF).collect()
+    got = registry.QUERIES["d15_price"](spark, SF).collect()
     assert len(got) == total and same(got, price)
-    assert same(registry.QUERIES["j13_two_clocks_all"](spark, SF).collect(), clocks)
-    assert {r["reason"]: r["n"] for r in registry.QUERIES["p20_exclusion_reasons_all"](spark, SF).collect()} == dict(reasons)
+    assert same(registry.QUERIES["j13_two_clocks"](spark, SF).collect(), clocks)
+    assert {r["reason"]: r["n"] for r in registry.QUERIES["p20_exclusion_reasons"](spark, SF).collect()} == dict(reasons)
 
 
 def test_replacement_rank_of_all_rows(spark):
@@ -56,6 +56,6 @@ def test_replacement_rank_of_all_rows(spark):
         want.append((i, place + 1, ahead + 1))
     spread = lambda x: (sorted((i, b) for i, b, _ in x), sorted((i, a) for i, _, a in x))
     assert spread([tuple(q) for q in got]) == spread(want)
-    whole = {q["doc_id"]: tuple(q) for q in registry.QUERIES["w09_replacement_rank_all"](spark, SF).collect()}
+    whole = {q["doc_id"]: tuple(q) for q in registry.QUERIES["w09_replacement_rank"](spark, SF).collect()}
     part = registry.QUERIES["w09_replacement_rank"](spark, SF).collect()
     assert len(whole) > 5 * len(part) > 0 and all(whole[q["doc_id"]] == tuple(q) for q in part)
