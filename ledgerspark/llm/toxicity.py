@@ -3,20 +3,25 @@
 1. Lexicons: from labelled training rows (at most ``max_labelled``, those with
    the smallest hash of their id), words and word beginnings that lean to
    toxic documents are mined; a fixed seed list joins them.
-2. Voters: each lexicon and pattern votes +1, 0 or -1 on every document of the
-   corpus. Only counts per vote pattern leave the workers (3^7 patterns at most,
-   by known label).
+2. Voters: seven that read lexicons and five that read patterns of their own
+   (orders and threats, disguised spelling, shouting, exclamations, address) vote
+   +1, 0 or -1 on every document of the corpus. Only counts per vote pattern
+   leave the workers (3^12 patterns at most, by known label).
 3. Label model: expectation-maximisation over these counts fits, per class, each
    voter's behaviour given its neighbour in a dependency tree, chosen by
    class-conditional mutual information (Chow and Liu): accuracies and
    correlations together. Known labels are held fixed.
-4. Classifier: logistic regression on lexicon hits, trained on the posteriors of
-   the labelled sample's documents.
+4. Classifier: logistic regression on lexicon hits and patterns, trained on the
+   posterior labels of all documents of the corpus (a known label is its own
+   posterior, and counts among its vote pattern's), by gradients that the workers
+   sum.
 
 Defined cases: a null or empty text has no hits and gets the classifier's base
 score; labels that are null or contradict each other for one id (the larger
 counts) never crash; without any training labels the seed list alone votes;
-equal rows get equal scores; language, source and id are no inputs.
+equal rows get equal scores; language, source and id are no inputs; an empty
+table gives an empty result; a column of docs that has the name of an output
+gives way to it.
 """
 
 from __future__ import annotations
@@ -27,17 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drawn, fold, map_arrow, table
+from .common import drawn, fold, forget, map_arrow, materialize, table
 
 #: Insults that need no corpus to be known.
 SEEDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown clowns bastard filth vermin imbecile retard jerk".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|usted|ihr)\b[^.!?\n]{0,12}$", re.I)
+# Orders, threats and dismissals, in the corpus' four languages.
+_ORDER = re.compile(r"shut up|get lost|go away|go to hell|drop dead|i hate|hate you|kill you|screw you|halt die klappe|halt's maul|verschwinde|ich hasse|ferme-la|tais-toi|va-t'en|je te hais|je déteste|cállate|lárgate|te odio|vete al", re.I)
+#: Letters of a word given way to signs: id1ot, stup!d, l0ser, tr@sh.
+_DISGUISED = re.compile(r"(?<![\w@.])[a-z]+[01345@$!*]+[a-z]+(?![\w@.])", re.I)
+_PLAINED = str.maketrans("01345@$!*", "oieasasii")
+_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 #: Lengths of word beginnings that are mined, besides whole words.
 STEMS = (4, 5, 6)
-N_VOTERS = 7
+N_VOTERS = 12
+#: Columns of the classifier besides the lexicon's: seeds, several hits, several strong ones, and the five patterns.
+PATTERNS = 8
 
 
 def words(text: str) -> list[str]:
@@ -55,7 +69,7 @@ class Lexicon:
     def __init__(self, odds: dict[str, float]):
         self.odds = odds
         self.index = {t: k for k, t in enumerate(sorted(odds))}
-        self.size = len(self.index) + 3
+        self.size = len(self.index) + PATTERNS
 
     def hits(self, vocabulary: set[str]) -> dict[str, list[str]]:
         """The words of a batch that hit anything, with what they hit."""
@@ -69,19 +83,26 @@ class Lexicon:
     def document(self, text: str, ws: list[str], hits: dict[str, list[str]]) -> tuple[list[int], tuple[int, ...]]:
         """Classifier columns set, and votes."""
         here = hits.keys() & set(ws)
+        base = len(self.index)
+        ordered = _ORDER.search(text) is not None
+        disguised = any(w.translate(_PLAINED).lower() in SEEDS for w in _DISGUISED.findall(text))
+        capitals = 4 * len(_CAPITALS.findall(text)) >= len(ws) > 0
+        exclaimed = 8 * text.count("!") >= len(ws) > 0
         if not here:
-            return [], (-1, -1, -1, -1, -1, -1, 0)
+            cols = [base + k for k, on in ((3, ordered), (4, disguised), (5, capitals), (6, exclaimed)) if on]
+            return cols, (-1, -1, -1, -1, -1, -1, 0, 1 if ordered else 0, 1 if disguised else 0, 1 if capitals else 0, 1 if exclaimed else 0, -1)
         found = {t for w in here for t in hits[w]}
         seeds = sum(w in SEEDS for w in here)
         strong = [t for t in found if self.odds[t] >= 4]
         stems = [t for t in found if t.endswith("*")]
         most = max((self.odds[t] for t in found), default=0.0)
-        aimed = 0
+        aimed, lower = False, text.lower()
         for w in here:
-            at = text.lower().find(w)
-            if at >= 0 and _ADDRESSED.search(text[max(0, at - 16) : at]):
-                aimed = 1
+            at = lower.find(w)
+            if at >= 0 and _ADDRESSED.search(lower[max(0, at - 16) : at]):
+                aimed = True
                 break
+        dense = 20 * sum(w in here for w in ws) >= len(ws)
         votes = (
             1 if seeds else -1,
             1 if any(not t.endswith("*") for t in strong) else 0 if found else -1,
@@ -89,11 +110,15 @@ class Lexicon:
             1 if any(len(t) > 5 for t in stems) else -1,
             1 if len(here) >= 2 else 0,
             1 if most >= 4 else 0 if most >= 2.5 else -1,
-            aimed,
+            1 if aimed else 0,
+            1 if ordered else 0,
+            1 if disguised else 0,
+            1 if capitals else 0,
+            1 if exclaimed else 0,
+            1 if dense else 0,
         )
-        cols = sorted(self.index[t] for t in found)
-        base = len(self.index)
-        return cols + [base] * (seeds > 0) + [base + 1] * (len(here) >= 2) + [base + 2] * (len(strong) >= 2), votes
+        flags = (seeds > 0, len(here) >= 2, len(strong) >= 2, ordered, disguised, capitals, exclaimed, aimed)
+        return sorted(self.index[t] for t in found) + [base + k for k, on in enumerate(flags) if on], votes
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -194,85 +219,102 @@ class LabelModel:
 
 
 class Classifier:
-    """Logistic regression on lexicon columns."""
-
-    def __init__(self, rows: list[list[int]], soft: np.ndarray, size: int, ridge: float = 1.0, rounds: int = 40):
-        # rows with the same columns are one row of more weight
-        groups: dict[tuple[int, ...], list[float]] = {}
-        for r, y in zip(rows, soft):
-            g = groups.setdefault(tuple(r), [0.0, 0.0])
-            g[0] += 1
-            g[1] += float(y)
-        x = np.zeros((len(groups), size + 1))
-        x[:, -1] = 1
-        for k, cols in enumerate(groups):
-            x[k, list(cols)] = 1
-        n, y = np.array([g for g in groups.values()]).T if groups else (np.zeros(0), np.zeros(0))
-        self.w = np.zeros(size + 1)
-        penalty = np.full(size + 1, ridge)
-        penalty[-1] = 1e-3
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
-            hessian = (x * (n * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ x + np.diag(penalty)
-            step = np.linalg.solve(hessian, x.T @ (n * p - y) + penalty * self.w)
-            self.w -= np.clip(step, -3, 3)
-            if np.abs(step).max() < 1e-7:
-                break
+    """Logistic regression on columns that are there or not; the last weight is the constant's."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights
 
     def score(self, cols: list[int]) -> float:
         return float(1 / (1 + np.exp(-(self.w[-1] + self.w[cols].sum()))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple[Lexicon, Classifier]:
-    """max_labelled bounds the labelled rows that the lexicons and the classifier are fitted on."""
+def _sums(cols: pa.Array, n: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature bound of the log loss over rows of columns with counts and summed labels."""
+    lengths = np.asarray(pa.compute.fill_null(cols.value_lengths(), 0))
+    flat, row = np.asarray(cols.flatten(), np.int64), np.repeat(np.arange(len(n)), lengths)
+    score = w[-1] + np.bincount(row, w[flat], len(n))
+    p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    out = np.zeros((2, len(w)))
+    pull, bend = n * p - y, n * np.maximum(p * (1 - p), 0.01) * (lengths + 1)
+    np.add.at(out[0], flat, pull[row])
+    np.add.at(out[1], flat, bend[row])
+    out[:, -1] = pull.sum(), bend.sum()
+    return out
+
+
+def fit(rows: DataFrame, size: int, ridge: float = 1.0, rounds: int = 25) -> Classifier:
+    """rows: cols, n, y (summed posterior labels). Each round the workers sum gradients, the driver takes a damped step.
+
+    The step of a column is its gradient over a bound of the curvature, so that the loss does not rise.
+    """
+    w, speed = np.zeros(size + 1), np.zeros(size + 1)
+    penalty = np.full(size + 1, ridge)
+    penalty[-1] = 1e-3
+    for _ in range(rounds):
+        at = w + 0.5 * speed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, size + 1))
+            for batch in batches:
+                total += _sums(batch.column(0), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy(), at)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+        got = np.array([r["sums"] for r in map_arrow(rows, run, "sums array<double>", rows=20_000).collect()])
+        gradient, bend = got.sum(0).reshape(2, size + 1) if len(got) else np.zeros((2, size + 1))
+        new = at - np.clip((gradient + penalty * at) / (bend + penalty), -2, 2)
+        speed, w = new - w, new
+        if np.abs(speed).max() < 1e-4:
+            break
+    return Classifier(w)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trust: float = 5.0) -> tuple[Lexicon, Classifier]:
+    """max_labelled bounds the labelled rows that the lexicons are mined from and the label model knows."""
     sample = labelled_rows(docs, labels, max_labelled)
     lexicon = mine(sample)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts.update(_code(v) for _, v in _read(batch.column(0).to_pylist(), lexicon))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _read(batch.column(0).to_pylist(), lexicon)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([_code(v) for _, v in found], pa.int64()), batch.column(1).cast(pa.int64())], ["cols", "key", "toxic"]
-            )
-
-    everything = sorted((r["key"], r["n"]) for r in map_arrow(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect())
-    # bounded by max_labelled rows of a few integers
-    known = map_arrow(sample.select("text", "toxic"), features, "cols array<int>, key long, toxic long").groupBy("cols", "key", "toxic").count().collect()
-    gold: Counter = Counter()
-    for r in known:
-        gold[r["key"], r["toxic"]] += r["count"]
-    free = Counter(dict(everything))
-    for (k, _), n in gold.items():
-        free[k] = max(0, free[k] - n)
-    rows = sorted([(k, n, -1) for k, n in free.items() if n] + [(k, n, y) for (k, y), n in gold.items()])
-    if not rows:
-        return lexicon, Classifier([], np.zeros(0), lexicon.size)
-    key, n, y = np.array(rows, np.int64).T
-    model = LabelModel(key, n.astype(float), y)
-    if known:
-        known = sorted(((list(r["cols"]), r["key"], r["toxic"], r["count"]) for r in known))
-        soft = model.posterior(np.array([k for _, k, _, _ in known]))
-        # a posterior of the votes, moved halfway to the known label
-        soft = 0.5 * soft + 0.5 * np.array([t for _, _, t, _ in known])
-        reps = np.array([c for *_, c in known])
-        return lexicon, Classifier([c for (c, *_), r in zip(known, reps) for _ in range(r)], np.repeat(soft, reps), lexicon.size)
-    base = len(lexicon.index)
-    kinds = [[], [base], [base, base + 1]]
-    votes = [(-1, -1, -1, -1, -1, -1, 0), (1, -1, -1, -1, 0, -1, 0), (1, -1, -1, -1, 1, -1, 0)]
-    return lexicon, Classifier(kinds * 50, np.tile(model.posterior(np.array([_code(v) for v in votes])), 50), lexicon.size)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = 20_000, threshold: float = 0.3, model=None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([_code(v) for _, v in found], pa.int64()), batch.column(1)], ["cols", "key", "gold"])
+
+    # the label of a training row goes along (-1: unknown); rows with the same columns, votes and label are one row
+    golden = F.broadcast(sample.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("gold")))
+    marked = docs.join(golden, "doc_id", "left").select("text", F.coalesce("gold", F.lit(-1)).alias("gold"))
+    rows = materialize(map_arrow(marked, features, "cols array<int>, key long, gold int").groupBy("cols", "key", "gold").agg(F.count("*").alias("n")), "hits")
+    patterns = sorted((r["key"], r["gold"], r["n"]) for r in rows.groupBy("key", "gold").agg(F.sum("n").alias("n")).collect())
+    if not patterns:
+        forget(rows)
+        return lexicon, Classifier(np.zeros(lexicon.size + 1))
+    key, gold, n = np.array(patterns, np.int64).T
+    model = LabelModel(key, n.astype(float), gold)
+    # known labels of a pattern weigh against its posterior, which counts as `trust` documents
+    agree, known_n = Counter(), Counter()
+    for k, g, c in patterns:
+        if g >= 0:
+            agree[k] += g * c
+            known_n[k] += c
+    posterior = {k: (trust * p + agree[k]) / (trust + known_n[k]) for k, p in zip(key.tolist(), model.posterior(key).tolist())}
+
+    def soften(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            soft = np.array([posterior[k] for k in batch.column(1).to_pylist()])
+            known = batch.column(2).to_numpy()
+            soft = np.where(known >= 0, known, soft)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(soft * batch.column(3).to_numpy())], ["cols", "n", "y"])
+
+    targets = materialize(map_arrow(rows, soften, "cols array<int>, n long, y double", rows=20_000), "posteriors")
+    classifier = fit(targets, lexicon.size)
+    forget(rows, targets)
+    return lexicon, classifier
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = 20_000, threshold: float = 0.3, model=None, names: tuple[str, str] = ("score", "predicted"), label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """Per row of docs: its columns, and the score and prediction under `names`."""
-    labels = labels.select(F.col("doc_id"), F.col("toxic"))
+    labels = labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("toxic"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lexicon, classifier = model or train(plain, labels, max_labelled)
+    docs = docs.drop(*[c for c in names if c not in (id_col, text_col)])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
