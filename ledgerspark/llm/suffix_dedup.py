@@ -103,27 +103,45 @@ def passages(raw: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The starts of text's rotations, sorted by at least `depth` symbols (prefix doubling from eight)."""
+    """The starts of text's rotations, sorted by at least `depth` symbols (prefix doubling from five)."""
     n = len(text)
-    key = np.zeros(n, _U)
-    for k in range(8):
-        key = (key << _U(8)) | np.roll(text, -k).astype(_U)
-    h = 8
+    low, index = _U(n.bit_length()), np.arange(n, dtype=_U)
+    mask, h = (_U(1) << low) - _U(1), 5 if n < 1 << 18 else 2
+    wide = text.astype(_U)
+    key = wide
+    for k in range(1, h):
+        key = (key << _U(9)) | np.concatenate([wide[k:], wide[:k]])
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
-        rank = np.empty(n, _U)
-        rank[order] = np.cumsum(new).astype(_U)
-        if h >= depth or new.sum() == n - 1:
+        both = np.sort((key << low) | index)  # the place rides along
+        order = (both & mask).astype(np.int64)
+        both >>= low
+        rank = np.zeros(n, _U)
+        rank[order[1:]] = np.cumsum(both[1:] != both[:-1]).astype(_U)
+        if h >= depth or rank.max(initial=0) == n - 1:
             return order
-        key = rank * _U(n) + np.roll(rank, -h)
+        key = rank * _U(n) + np.concatenate([rank[h % n :], rank[: h % n]])
         h *= 2
 
 
+def several(symbol: np.ndarray, lf: np.ndarray, radix: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of `steps` LF steps as one number, the last step's leading, and where the steps lead."""
+    code, back, taken = None, None, 0
+    part, size = (symbol, lf), 1
+    while steps:
+        if steps & 1:
+            code, back = part if code is None else (part[0][back] * _U(radix**taken) + code, part[1][back])
+            taken += size
+        steps >>= 1
+        if steps:
+            part, size = (part[0][part[1]] * _U(radix**size) + part[0], part[1][part[1]]), 2 * size
+    return code, back
+
+
 def merged_classes(shards: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(class, LCP-interval size) of every rotation start of the concatenated shards: equal classes share `width` symbols.
 
     Each shard is a text of its own (symbols 1 to 256, with 0 ending each passage).
+    A round of refinement takes as many symbols at once as a word has room for.
     """
     bwt, lf, starts, base = [], [], [], 0
     for text in shards:
@@ -135,39 +153,43 @@ def merged_classes(shards: list[np.ndarray], width: int) -> tuple[np.ndarray, np
         starts.append(order + base)
         base += len(text)
     bwt, lf, starts = np.concatenate(bwt), np.concatenate(lf), np.concatenate(starts)
+    used = np.zeros(257, bool)
+    used[bwt] = True
+    radix, symbol = int(used.sum()), (np.cumsum(used) - 1).astype(_U)[bwt]
+    low = _U(base.bit_length())
+    each = min(width, max(1, int((63 - int(low)) / np.log2(max(radix, 2)))))
     # the interleave: positions in the shards' transforms, first shard by shard
-    now, block = np.arange(base), np.zeros(base, np.int32)
-    for _ in range(width):
-        symbol = bwt[now]
-        order = np.argsort(symbol, kind="stable")
-        now, symbol, block = lf[now[order]], symbol[order], block[order]
-        split = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+    now, block, index = np.arange(base), np.zeros(base, np.int32), np.arange(base, dtype=_U)
+    rounds = [several(symbol, lf, radix, each)] * (width // each) + ([several(symbol, lf, radix, width % each)] if width % each else [])
+    for symbols, back in rounds:
+        key = np.sort((symbols[now] << low) | index)  # stable: a place breaks ties
+        order = (key & ((_U(1) << low) - _U(1))).astype(np.int64)
+        key >>= low
+        now, block = back[now[order]], block[order]
+        split = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
         block = np.concatenate([[0], np.cumsum(split, dtype=np.int32)]).astype(np.int32)
     classes = np.empty(base, np.int64)
     classes[starts[now]] = block
     return classes, np.bincount(block)
 
 
-def lowest_ids(texts: list[bytes], ids: np.ndarray, width: int, shard: int = 1 << 16) -> list[np.ndarray]:
-    """For each text, for each of its `width`-byte strings, the lowest id of all texts that hold it."""
-    shards, part, size = [], [], 0
-    for t in texts:
-        part.append(np.append(np.frombuffer(t, np.uint8).astype(np.uint16) + 1, np.uint16(0)))
-        size += len(t) + 1
-        if size >= shard:
-            shards.append(np.concatenate(part))
-            part, size = [], 0
-    if part:
-        shards.append(np.concatenate(part))
+def lowest_ids(texts: list[bytes], ids: np.ndarray, width: int, shard: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """For each `width`-byte string of each text, text by text, the lowest id of all texts that hold it; and the texts' bounds there."""
     lengths = np.array([len(t) + 1 for t in texts])
-    classes, sizes = merged_classes(shards, width)
-    begin = np.cumsum(lengths) - lengths
+    ends = np.cumsum(lengths)
+    symbols = np.zeros(ends[-1], np.uint16)
+    inside = np.ones(ends[-1], bool)
+    inside[ends - 1] = False  # 0 ends each text
+    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    last = np.flatnonzero(np.append(np.diff(ends // shard) > 0, True))
+    classes, sizes = merged_classes(np.split(symbols, ends[last[:-1]]), width)
     counts = lengths - width
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    own = np.repeat(ids, counts)
+    bounds = np.append(0, np.cumsum(counts))
+    at = np.repeat(ends - lengths - bounds[:-1], counts) + np.arange(bounds[-1])
+    of = classes[at]
     low = np.full(len(sizes), np.iinfo(np.int64).max)
-    np.minimum.at(low, classes[at], own)
-    return np.split(low[classes[at]], np.cumsum(counts)[:-1])
+    np.minimum.at(low, of, np.repeat(ids, counts))
+    return low[of], bounds
 
 
 def joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,21 +343,37 @@ def number(group: pa.Table) -> pa.Table:
 def send(docs: pa.Table, answers: pa.Table, width: int, tasks: int) -> pa.Table:
     """The passages that the batch was asked for, with the task that merges their anchor."""
     if not docs.num_rows:
-        return pa.table({"task": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})
+        return pa.table({"task": pa.array([], pa.int64()), "anchor": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})
     b = Batch(docs, answers, width)
     low, state, label = b.settled()
     asked = np.flatnonzero(state == 2)
     at = b.first[asked]
     return pa.table({
-        "task": pa.array((mix(b.anchor[at]) % _U(tasks)).astype(np.int64)), "label": pa.array(label[asked], pa.int64()),
+        "task": pa.array((mix(b.anchor[at]) % _U(tasks)).astype(np.int64)), "anchor": pa.array(b.anchor[at].view(np.int64)), "label": pa.array(label[asked], pa.int64()),
         "low": pa.array(low[asked], pa.int64()), "passage": pa.array([b.bytes_of(k) for k in at.tolist()], pa.binary()),
     })
 
 
-def merge(group: pa.Table, width: int) -> pa.Table:
-    """The smallest id of each string of each passage, by merging the transforms of all passages of the task."""
-    lows = lowest_ids(group["passage"].to_pylist(), group["low"].to_numpy(), width)
-    return pa.table({"label": group["label"], "lows": pa.array([x.tobytes() for x in lows], pa.binary())})
+def merge(group: pa.Table, width: int, symbols: int = 1 << 16) -> pa.Table:
+    """The smallest id of each string of each passage, by merging the transforms of all passages of an anchor.
+
+    Anchors are merged some at a time, about `symbols` symbols together (or one
+    anchor's, if it has more); passages of different anchors share no string.
+    """
+    group = group.sort_by("anchor")
+    texts, low, anchor = group["passage"].to_pylist(), group["low"].to_numpy(), group["anchor"].to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    size = np.cumsum([len(t) + 1 for t in texts])[np.append(begin[1:], len(texts)) - 1]
+    ends = np.append(begin[1:], len(texts))
+    last = np.flatnonzero(np.append(np.diff(size // symbols) > 0, True))
+    out, at = [], 0
+    for end in ends[last].tolist():
+        lows, bounds = lowest_ids(texts[at:end], low[at:end], width)
+        same = np.minimum.reduceat(lows, bounds[:-1]) == np.maximum.reduceat(lows, bounds[:-1])
+        data = lows.tobytes()
+        out += [data[8 * a : 8 * a + 8 if one else 8 * b] for a, b, one in zip(bounds[:-1].tolist(), bounds[1:].tolist(), same.tolist())]  # the same for all strings: once
+        at = end
+    return pa.table({"label": group["label"], "lows": pa.array(out, pa.binary())})
 
 
 def cut(docs: pa.Table, answers: pa.Table, width: int, with_text: bool) -> pa.Table:
@@ -344,14 +382,22 @@ def cut(docs: pa.Table, answers: pa.Table, width: int, with_text: bool) -> pa.Ta
     if docs.num_rows:
         b = Batch(docs, answers, width)
         low, state, label = b.settled()
-        edge = np.zeros(len(b.raw) + 1, np.int32)
-        own = b.ids[b.doc]
-        hit = np.flatnonzero((state[b.which] == 0) & (low[b.which] < own))
+        merged = dict(zip(b.answers[2]["key"].to_pylist(), b.answers[2]["first"].to_pylist()))
+        lows = [merged[x] if x >= 0 else b"" for x in label.tolist()]
+        one = np.array([len(x) == 8 for x in lows], bool)
+        low = low.copy()
+        low[one] = _whole([x for x in lows if len(x) == 8], np.int64)
+        whole = one | (state == 0)  # one id for all strings of the passage
+        own, edge = b.ids[b.doc], np.zeros(len(b.raw) + 1, np.int32)
+        hit = np.flatnonzero(whole[b.which] & (low[b.which] < own))
         np.add.at(edge, b.start[hit], 1)
         np.add.at(edge, b.start[hit] + b.count[hit] + width - 1, -1)
-        merged = dict(zip(b.answers[2]["key"].to_pylist(), b.answers[2]["first"].to_pylist()))
-        for k in np.flatnonzero(state[b.which] > 0).tolist():
-            at = b.start[k] + np.flatnonzero(np.frombuffer(merged[label[b.which[k]]], np.int64) < own[k])
+        parts = np.flatnonzero(~whole[b.which])
+        if len(parts):
+            n = b.count[parts]
+            each = _whole([lows[k] for k in b.which[parts].tolist()], np.int64)
+            at = np.repeat(b.start[parts] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at = at[each < np.repeat(own[parts], n)]
             np.add.at(edge, at, 1)
             np.add.at(edge, at + width, -1)
         covered = np.concatenate([np.cumsum(edge[:-1]) > 0, [False]])
@@ -413,7 +459,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     offered = batches(told).applyInArrow(each_batch(offer, width=width, routes=routes), "route long, batch long, anchors binary, hashes binary, lows binary")
     numbered = materialize(offered.groupBy("route").applyInArrow(number, ANSWER), "numbered")
     told = told.unionByName(numbered)
-    sent = batches(told).applyInArrow(each_batch(send, width=width, tasks=tasks), "task long, label long, low long, passage binary")
+    sent = batches(told).applyInArrow(each_batch(send, width=width, tasks=tasks), "task long, anchor long, label long, low long, passage binary")
     merged = materialize(sent.groupBy("task").applyInArrow(each_group(merge, width=width), "label long, lows binary"), "merged")
 
     def labels(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
