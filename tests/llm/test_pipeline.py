@@ -9,6 +9,30 @@ from ledgerspark.llm import bpe
 from ledgerspark.llm.common import words_of
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, ties, repeated rows, very long texts, clashing column names."""
+    sf = str(tmp_path / "odd")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key string, toxic int, size long"
+    long = " ".join(f"word{k % 977} and" for k in range(30_000)) + " mail@example.org"
+    rows = [(k, t, None, s, 1, 0.5, k, "k", 0, 1) for k, (t, s) in enumerate([(long, "a"), ("one two three four five six", "b"), ("one two three four five six", "b"), ("", "b"), (None, None), ("you idiot you stupid moron", "a")])]
+    rows += [rows[1], (None, "one two three four five six", None, None, None, None, None, None, None, None), (None,) * 10]
+    docs = spark.createDataFrame(rows, schema)
+    for d in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, sf)
+            found = out.collect()
+            assert name == "encode" or out.columns == docs.columns
+            assert found or d is not docs
+            if d is not docs:
+                assert not found
+        if d is docs:
+            kept = corpus_pipeline.drop_near_duplicates(spark, d, sf).collect()
+            assert sorted((str(q["doc_id"]) for q in kept), key=str) == sorted(["0", "1", "3", "4", "5", "None"])
+            clean = {q["doc_id"]: q for q in corpus_pipeline.redact_personal_data(spark, d, sf).collect() if q["doc_id"] is not None}
+            assert clean[0]["text"].endswith(" [EMAIL]") and clean[4]["text"] is None and clean[0]["n_chars"] == len(clean[0]["text"])
+
+
 def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer
 
