@@ -16,7 +16,7 @@ def folds(df: DataFrame, label: str, ident: str, k: int = 5, seed: int = 42) ->
     return df.withColumn("fold", F.row_number().over(W.partitionBy(label).orderBy(order, ident)) % k)
 
 
-def compare(df: DataFrame, columns: list[str], label: str, ident: str) -> DataFrame:
+def compare(df: DataFrame, columns: list[str], label: str, ident: str, trees: int = 100) -> DataFrame:
     """Fold 0 is held out: macro F1 and confusion counts of three models on it."""
     d = folds(df, label, ident).withColumns({c: F.col(c).cast("double") for c in columns})
     train, test = d.where("fold <> 0"), d.where("fold = 0")
@@ -24,10 +24,37 @@ def compare(df: DataFrame, columns: list[str], label: str, ident: str) -> DataFr
     prepare = [Imputer(strategy="median", inputCols=columns, outputCols=[f"{c}_filled" for c in columns]), VectorAssembler(inputCols=[f"{c}_filled" for c in columns], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
     models = {
         "logistic": LogisticRegression(featuresCol="x", labelCol=label, regParam=1.0 / max(n, 1), standardization=False, maxIter=1000),
-        "forest": RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=20, seed=42),
+        "forest": RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, seed=42),
     }
     out = confusion(test.withColumn("p", F.lit(train.groupBy(label).count().orderBy(F.desc("count"), label).first()[0])), label, "p").withColumn("model", F.lit("majority"))
     for name, model in models.items():
         scored = Pipeline(stages=[*prepare, model]).fit(train).transform(test)
         out = out.unionByName(confusion(scored.withColumn("p", F.col("prediction").cast("int")), label, "p").withColumn("model", F.lit(name)))
     return out
+
+
+def decided(df: DataFrame, probability: str, name: str = "p") -> DataFrame:
+    """1 above one half; equality is 0."""
+    return df.withColumn(name, (F.col(probability) > 0.5).cast("int"))
+
+
+def cross_validated(df: DataFrame, columns: list[str], label: str, ident: str, k: int = 5, trees: int = 100) -> DataFrame:
+    """Per model and fold the metrics of the fold held out, and each column's coefficient or importance there.
+
+    Everything that is learned, medians and scales included, is learned from the other folds.
+    """
+    d = folds(df, label, ident, k).withColumns({c: F.col(c).cast("double") for c in columns})
+    filled = [f"{c}_filled" for c in columns]
+    out = None
+    for fold in range(k):
+        train, test = d.where(F.col("fold") != fold), d.where(F.col("fold") == fold)
+        n = train.count()
+        prepare = [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
+        for name, model in (("logistic", LogisticRegression(featuresCol="x", labelCol=label, regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)), ("forest", RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, seed=42))):
+            fitted = Pipeline(stages=[*prepare, model]).fit(train)
+            last = fitted.stages[-1]
+            told = last.coefficients.toArray() if name == "logistic" else last.featureImportances.toArray()
+            scored = fitted.transform(test).withColumn("p", F.col("prediction").cast("int"))
+            row = confusion(scored, label, "p").select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "f1_macro", "balanced_accuracy", *[F.lit(float(v)).alias(f"weight_{c}") for c, v in zip(columns, told)])
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -1,12 +1,13 @@
 """One SQL text for two engines: the few calls that differ are written as macros.
 
-Spark runs the text over temporary views of the Parquet tables, so that column
-pruning and filter pushdown reach the scans; the twin is the oracle.
+Spark runs the text over the Parquet tables, so that column pruning and filter
+pushdown reach the scans; the twin is the oracle.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +41,17 @@ def oracle_sql(text: str) -> str:
 
 
 def runner(text: str):
-    """The query function of a text."""
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    """The query function of a text. Its tables are views of names of their own, which go once the plan is made."""
+    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in used:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(spark_sql(text))
+        names = {t: f"{t}_{uuid.uuid4().hex}" for t in used}
+        for t, name in names.items():
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(name)
+        try:
+            return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", lambda m: m[1] + m[2] + names[m[3]], spark_sql(text)))
+        finally:
+            for name in names.values():
+                spark.catalog.dropTempView(name)
 
     return run

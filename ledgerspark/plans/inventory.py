@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import functions as X
-from ..operators import invoices, metrics, procurement, profile
+from ..operators import invoices, metrics, models, procurement, profile, store, versions
 from ..sources import tables
 from . import catalog
 from .registry import evaluated, features, query
@@ -537,3 +537,100 @@ def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that agree in every key of comparability, with equal quantity where only that is comparable."""
     return procurement.comparable_prices(procurement.comparable_keys(spark, sf_dir))
+
+
+# the versioned store
+
+_VERSIONS = """versions AS (SELECT o_orderkey AS version_id, o_custkey AS owner, CAST(o_orderdate AS DATE) AS recorded, o_orderstatus AS status, round(o_totalprice * 100)::BIGINT AS cents,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision_no FROM orders)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as revisions of their customers."""
+    d = tables.read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice"])
+    number = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
+    return d.select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("owner"), F.col("o_orderdate").cast("date").alias("recorded"), F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), number.alias("revision_no"))
+
+
+@query("v03_normalised_payloads", """SELECT CASE o_orderkey % 5 WHEN 0 THEN 'po_date' WHEN 1 THEN 'fields' WHEN 2 THEN 'amount' END AS fault, count(*) AS n,
+    CAST(sum(CASE WHEN o_orderkey % 5 > 2 THEN length('{"description":"order ' || o_orderkey || '","po_date":"' || strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || '","quantity":"2.000000","unit_price":"3.500000","amount":"7.000000"}') ELSE 0 END) AS BIGINT) AS size FROM orders GROUP BY 1""")
+def v03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line payloads in one form; wrong dates, unknown fields and too fine amounts are named."""
+    d = tables.read(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    i = F.col("o_orderkey") % 5
+    day = F.when(i == 0, "2026-02-30").otherwise(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"))
+    fields = [F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"), day.alias("po_date"), F.lit("2").alias("quantity"), F.lit("3.50").alias("unit_price"), F.when(i == 2, "1.0000001").otherwise("7").alias("amount"), F.when(i == 1, "x").alias("note")]
+    clean = store.normalised(d.select(F.to_json(F.struct(*fields)).alias("payload")), "line")
+    return clean.groupBy("fault").agg(F.count("*").alias("n"), F.sum(F.when(F.col("fault").isNull(), F.length("payload")).otherwise(0)).alias("size"))
+
+
+@query("v06_audit_events", f"WITH {_VERSIONS} SELECT version_id, CASE WHEN revision_no = 1 THEN 'create' ELSE 'revise' END AS operation, strftime(recorded, '%Y-%m-%dT00:00:00.000Z') AS at FROM versions")
+def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.audit_events(_versions(spark, sf_dir))
+
+
+@query("v07_identities", """SELECT 'orders' AS namespace, o_orderkey AS external, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_custkey END AS entity, CASE o_orderkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'refused' WHEN 2 THEN 'resolved' ELSE 'registered' END AS answer FROM orders""")
+def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known with the same, with another and without an entity, and new ones without a claim."""
+    d = tables.read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]).select(F.lit("orders").alias("namespace"), F.col("o_orderkey").alias("external"), F.col("o_custkey").alias("entity"))
+    m = F.col("external") % 4
+    known = d.where(m < 3).withColumn("entity", F.when(m < 2, F.col("entity")))
+    incoming = d.withColumn("entity", F.when(m == 3, F.lit(None)).when(m == 1, F.col("entity") + 1).otherwise(F.col("entity")))
+    return store.identities(known, incoming)
+
+
+@query("v08_observations", "SELECT 'tables' AS source, n_regionkey AS external, sha256(n_name) AS content_hash, n_name AS content FROM nation")
+def v08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations appended once each, though half of them were there and all come twice."""
+    d = tables.read(spark, sf_dir, "nation").select(F.lit("tables").alias("source"), F.col("n_regionkey").alias("external"), F.col("n_name").alias("content"))
+    before = d.where("external < 2").withColumn("content_hash", F.sha2("content", 256))
+    return store.observe(before, d.unionByName(d)).select("source", "external", "content_hash", "content")
+
+
+@query("v11_snapshot_digests", f"WITH {_VERSIONS}, m AS (SELECT owner % 20 AS snapshot_id, owner, max(revision_no) AS revision_no FROM versions WHERE recorded <= DATE '1996-01-01' GROUP BY owner) SELECT snapshot_id, count(*) AS members, sha256(to_json(list({{'owner': owner, 'revision_no': revision_no}} ORDER BY owner))::VARCHAR) AS digest FROM m GROUP BY snapshot_id")
+def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as of a day, each with the digest of its ordered members."""
+    members = versions.latest(_versions(spark, sf_dir), "1996-01-01").withColumn("snapshot_id", F.col("owner") % 20)
+    return store.snapshot_digest(members)
+
+
+@query("v15_receipt_faults", "SELECT o_custkey || '/' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS key, CASE o_orderkey % 50 WHEN 0 THEN 'body' ELSE 'hash' END AS fault FROM orders QUALIFY o_orderkey % 50 < 2")
+def v15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts rebuilt from their versions; some bodies and hashes were changed."""
+    v = _versions(spark, sf_dir)
+    i = F.col("version_id") % 50
+    issued = store.receipts(v).withColumns({"body": F.when(i == 0, F.replace("body", F.lit("revision"), F.lit("version"))).otherwise(F.col("body")), "hash": F.when(i == 1, F.reverse("hash")).otherwise(F.col("hash"))})
+    return store.receipt_faults(issued, v)
+
+
+@query("v16_receipt_lookup", "WITH k AS (SELECT o_custkey || '/' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS key FROM orders), a AS (SELECT c_custkey || '/3' AS key FROM customer) SELECT a.key, CASE WHEN k.key IS NULL THEN 'absent' ELSE 'found' END AS answer FROM a LEFT JOIN k ON a.key = k.key")
+def v16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = tables.read(spark, sf_dir, "customer", ["c_custkey"]).select(F.concat(F.col("c_custkey").cast("string"), F.lit("/3")).alias("key"))
+    return store.lookup(store.receipts(_versions(spark, sf_dir)), asked).select("key", "answer")
+
+
+@query("v18_idempotent_create", "WITH s AS (SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders GROUP BY o_custkey), i AS (SELECT c_custkey AS k, c_custkey % 3 AS m FROM customer) SELECT i.k, CASE WHEN s.k IS NULL THEN 'created' WHEN m = 0 THEN 'replay' ELSE 'conflict' END AS answer FROM i LEFT JOIN s ON i.k = s.k")
+def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are new, come again with the same content, or with another."""
+    seen = tables.read(spark, sf_dir, "orders", ["o_custkey"]).select(F.col("o_custkey").alias("k"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("content")).distinct()
+    c = tables.read(spark, sf_dir, "customer", ["c_custkey"])
+    incoming = c.select(F.col("c_custkey").alias("k"), F.sha2(F.concat(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("?")), 256).alias("content"))
+    return versions.idempotent(seen, incoming, "k", "content").select("k", "answer")
+
+
+@query("v20_provisioning", "SELECT n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'create' WHEN n_nationkey % 5 = 0 THEN 'conflict' ELSE 'keep' END AS answer FROM nation")
+def v20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries to create, to keep, or in conflict with what the catalogue has."""
+    d = tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    there = d.where("n_nationkey < 20").withColumn("n_name", F.when(F.col("n_nationkey") % 5 == 0, "other").otherwise(F.col("n_name")))
+    return store.provision(there, d, "n_nationkey").select("n_nationkey", "answer")
+
+
+# models
+
+
+@query("m07_m08_cross_validation", None)
+def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds with their own preparation, and the importance of each column."""
+    d = evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double"))
+    return models.cross_validated(d, ["length", "quality"], "y", "doc_id")
