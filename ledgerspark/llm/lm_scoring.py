@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import drawn, fold, lower_ascii, map_arrow, materialize, table, words_of
 
 END = "\n"  # no word holds a line feed
-OWN, TAIL = 48, 48
+OWN, TAIL = 208, 48
 CLASSES, BEGIN = OWN + TAIL, OWN + TAIL
 CONTEXT, WIDTH = 2, 12
 

@@ -42,11 +42,14 @@ SEEDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|usted|ihr)\b[^.!?\n]{0,12}$", re.I)
 # Orders, threats and dismissals, in the corpus' four languages.
-_ORDER = re.compile(r"shut up|get lost|go away|go to hell|drop dead|i hate|hate you|kill you|screw you|halt die klappe|halt's maul|verschwinde|ich hasse|ferme-la|tais-toi|va-t'en|je te hais|je déteste|cállate|lárgate|te odio|vete al", re.I)
+ORDERS = (
+    "shut up", "get lost", "go to hell", "drop dead", "hate you", "kill you", "screw you", "halt die klappe", "verschwinde", "ich hasse", "tais-toi", "te hais", "cállate", "lárgate", "te odio",
+)
 #: Letters of a word given way to signs: id1ot, stup!d, l0ser, tr@sh.
-_DISGUISED = re.compile(r"(?<![\w@.])[a-z]+[01345@$!*]+[a-z]+(?![\w@.])", re.I)
-_PLAINED = str.maketrans("01345@$!*", "oieasasii")
-_CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
+SIGNS = "01345@$!*"
+_SIGNS = re.compile(r"[01345@$!*]+(?=[a-z])")
+_PLAINED = str.maketrans(SIGNS, "oieasasii")
+_CAPITALS = bytes(range(65, 91))
 #: Lengths of word beginnings that are mined, besides whole words.
 STEMS = (4, 5, 6)
 N_VOTERS = 12
@@ -58,6 +61,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def disguised_seed(lower: str) -> bool:
+    """Whether a seed word is spelled with signs for letters."""
+    if not any(c in lower for c in SIGNS):
+        return False
+    for m in _SIGNS.finditer(lower):
+        s, e = m.span()
+        if s and lower[s - 1].isalpha():
+            while s and not lower[s - 1].isspace() and m.start() - s < 16:
+                s -= 1
+            while e < len(lower) and not lower[e].isspace() and e - m.end() < 16:
+                e += 1
+            if lower[s:e].strip(".,;:?()\"'").translate(_PLAINED) in SEEDS:
+                return True
+    return False
+
+
 def tokens(word: str) -> list[str]:
     """What the lexicons know a word by: itself, and its beginnings marked with *."""
     return [word, *[word[:k] + "*" for k in STEMS if len(word) >= k]]
@@ -84,9 +103,11 @@ class Lexicon:
         """Classifier columns set, and votes."""
         here = hits.keys() & set(ws)
         base = len(self.index)
-        ordered = _ORDER.search(text) is not None
-        disguised = any(w.translate(_PLAINED).lower() in SEEDS for w in _DISGUISED.findall(text))
-        capitals = 4 * len(_CAPITALS.findall(text)) >= len(ws) > 0
+        lower = text.lower()
+        ordered = any(p in lower for p in ORDERS)
+        disguised = disguised_seed(lower)
+        raw = text.encode("utf-8", "surrogatepass")
+        capitals = 3 * (len(raw) - len(raw.translate(None, _CAPITALS))) >= len(raw) > 0
         exclaimed = 8 * text.count("!") >= len(ws) > 0
         if not here:
             cols = [base + k for k, on in ((3, ordered), (4, disguised), (5, capitals), (6, exclaimed)) if on]
@@ -96,7 +117,7 @@ class Lexicon:
         strong = [t for t in found if self.odds[t] >= 4]
         stems = [t for t in found if t.endswith("*")]
         most = max((self.odds[t] for t in found), default=0.0)
-        aimed, lower = False, text.lower()
+        aimed = False
         for w in here:
             at = lower.find(w)
             if at >= 0 and _ADDRESSED.search(lower[max(0, at - 16) : at]):

@@ -59,6 +59,22 @@ def test_pii_base_spans_equal_the_plain_rules():
         assert plain(t) == pii.base_spans(t)
 
 
+def test_pii_counts_and_hashes(spark):
+    def want(t):
+        base = pii.base_spans(t or "")  # held against the plain rules above
+        named = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in sorted(base))
+        return *(sum(k == j for _, k, _ in base) for j in range(4)), hashlib.sha256(named.encode()).hexdigest()
+
+    texts = ["mail a.b@c.de and 10.0.0.1 or 4111 1111 1111 1111, call +49 30 1234567", None, "", "x " * 60_000 + "z@y.org 300.1.1.1"]
+    rows = [(k, t, 5, "s") for k, t in enumerate(texts)] + [(0, texts[0], 5, "s"), (None, texts[0], None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_email int, spans string")
+    columns = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    got = sorted(((q["doc_id"], *(q[c] for c in columns)) for q in pii.find_spans(d).collect()), key=repr)
+    assert got == sorted(((i, *want(t)) for i, t, *_ in rows), key=repr)
+    docs = {q["doc_id"]: q["text"] for q in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert all(tuple(q[c] for c in columns) == want(docs[q["doc_id"]]) for q in pii.query(spark, "/root/testdata/sf0.001").collect())
+
+
 def test_pii_learns_secrets_and_redacts(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(k, f'prose words here token = "{key[k % 7:]}ab{k}" and mail{k}@example.com') for k in range(40)] + [(99, None), (98, ""), (97, "version 3.0 of plain words")]
@@ -280,6 +296,25 @@ def test_toxicity_held_out(spark, cases):
     assert toxicity.score_documents(d, y.limit(0)).count() == 400 and toxicity.score_documents(d.limit(0), y).isEmpty()
 
 
+def test_toxicity_query_and_clashing_names(spark):
+    got = toxicity.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(q["held_out"] == (zlib.crc32(str(q["doc_id"]).encode()) % 4 == 2) and q["predicted"] == int(q["score"] >= 0.3) and 0 <= q["score"] <= 1 for q in got)
+    d = spark.createDataFrame([(1, "you idiot", 9.0, "x"), (1, "you idiot", 9.0, "x"), (2, None, None, None)], "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([], "ident long, bad int")
+    out = toxicity.score_documents(d, labels, label_id="ident", label_col="bad")
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and len(out.select("score", "predicted").collect()) == 3
+
+
+def test_disguised_seeds_and_long_texts():
+    assert toxicity.disguised_seed("you id1ot.") and toxicity.disguised_seed("such stup!d words") and not toxicity.disguised_seed("mail45@example.org a1b2 3com 4you")
+    lexicon = toxicity.Lexicon({f"word{a}": 3.0 for a in "abcdefghij"})
+    text = " ".join(f"word{'abcdefghij'[k % 10]}" for k in range(100_000))
+    ws = toxicity.words(text)
+    cols, votes = lexicon.document(text, ws, lexicon.hits(set(ws)))
+    assert len(votes) == toxicity.N_VOTERS and set(range(10)) <= set(cols)
+
+
 def test_toxicity_keeps_every_token_that_passes(spark):
     words = [f"{a}{b}{c}rimo" for a in "bdfgklmn" for b in "aeiou" for c in "bdfgklmnprst"]
     rows = [(" ".join(words[k % 40 :: 40]), 1) for k in range(200)] + [("plain harmless prose", 0)] * 200
