@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -32,12 +38,30 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, *, first: str |
     return df
 
 
-def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """A Parquet file read only if its bytes have this hash."""
-    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).collect()
-    if [r["h"] for r in found] != [sha256]:
-        raise ValueError("the file's bytes have another hash")
-    return spark.read.parquet(path)
+def verified(spark: SparkSession, path: str, sha256: str | dict[str, str]) -> DataFrame:
+    """Parquet parsed from the very bytes that were hashed; sha256 is the file's hash, or one for each file name of a folder.
+
+    Each file is one value of a task, so files have to be of ordinary size; a
+    file with another hash or without one ends the query, a missing one too.
+    """
+    schema = spark.read.parquet(path).schema
+    target = to_arrow_schema(schema)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if isinstance(sha256, dict):
+        there = {r["path"].rsplit("/", 1)[-1] for r in files.select("path").collect()}  # names only
+        if there != set(sha256):
+            raise ValueError(f"files without a hash or missing: {sorted(there ^ set(sha256))}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = content.as_buffer()
+                want = sha256[name.rsplit("/", 1)[-1]] if isinstance(sha256, dict) else sha256
+                if hashlib.sha256(raw).hexdigest() != want:
+                    raise ValueError(f"{name}: the file's bytes have another hash")
+                yield from pq.read_table(pa.BufferReader(raw)).select(target.names).cast(target).to_batches()
+
+    return files.mapInArrow(run, schema)
 
 
 def write_new(df: DataFrame, path: str, *by: str) -> None:

@@ -127,6 +127,21 @@ def test_csv_rows_outside_the_days_end_the_read(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parts") + "/split=a").count() == 1
 
 
+def test_verified_reads_the_bytes_it_hashed(spark):
+    import hashlib
+
+    path = "/root/testdata/sf0.001/orders.parquet"
+    sha = hashlib.sha256(open(path, "rb").read()).hexdigest()
+    plain = spark.read.parquet(path)
+    found = tables.verified(spark, path, sha)
+    assert found.schema == plain.schema and found.exceptAll(plain).isEmpty() and found.count() == plain.count()
+    assert tables.verified(spark, path, {"orders.parquet": sha}).count() == plain.count()
+    with pytest.raises(Exception, match="another hash"):
+        tables.verified(spark, path, "0" * 64).collect()
+    with pytest.raises(ValueError, match="missing"):
+        tables.verified(spark, path, {"orders.parquet": sha, "more.parquet": sha})
+
+
 def test_models_beat_the_majority_and_folds_keep_labels(spark):
     r = np.random.default_rng(1)
     x = r.normal(0, 1, (200, 2))
