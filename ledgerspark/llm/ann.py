@@ -3,7 +3,7 @@
 A fast pseudo-rotation (three rounds of random signs and a Hadamard transform)
 turns a vector; its digit is the nearest signed axis. A table's code is made of
 digits with rotations of their own, the last one over fewer axes, so that it has
-about log2(rows / 8) bits: buckets stay small however many rows there are. Every
+about log2(rows / 2) bits: buckets stay small however many rows there are. Every
 vector lies in one bucket per table; a query looks into the buckets whose axes it
 leans to most, over all digits. All candidates met are ranked by the exact inner
 product. Where norms differ, one more coordinate makes the largest inner product
@@ -120,8 +120,8 @@ def calibrate(codes: Codes, sample: np.ndarray, k: int, aim: float, most: int, q
 
 
 def fitted(size: int, norm: float, extend: bool, tables: int, rows: int, sample: np.ndarray, k: int, aim: float, most: int) -> tuple[Codes, int]:
-    """The longest code of at most log2(rows / 8) bits that reaches the aim, and its number of probes."""
-    bits = max(1, (rows // 8).bit_length() - 1)
+    """The longest code of at most log2(rows / 2) bits that reaches the aim, and its number of probes."""
+    bits = max(1, (rows // 2).bit_length() - 1)
     while True:
         codes = Codes(size, norm, extend, tables, bits)
         count = calibrate(codes, sample, k, aim, most)
@@ -131,7 +131,7 @@ def fitted(size: int, norm: float, extend: bool, tables: int, rows: int, sample:
 
 
 def nearest(
-    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 8, sample: int = 20_000, aim: float = 0.95, block: int = 8192, most: int = 2048
+    vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 8, sample: int = 20_000, aim: float = 0.94, block: int = 8192, most: int = 2048
 ) -> DataFrame:
     """The k nearest rows found for each row that is_query (a condition): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
