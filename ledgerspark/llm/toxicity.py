@@ -40,6 +40,7 @@ from .common import drawn, fold, forget, map_arrow, materialize, table
 #: Insults that need no corpus to be known.
 SEEDS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown clowns bastard filth vermin imbecile retard jerk".split())
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|usted|ihr)\b[^.!?\n]{0,12}$", re.I)
 # Orders, threats and dismissals, in the corpus' four languages.
 ORDERS = (
@@ -58,7 +59,11 @@ PATTERNS = 8
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters, lower-cased: what _WORD finds, of which ASCII signs and digits are split off by table."""
+    found = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).decode("utf-8", "surrogatepass").split()
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ((w,) if w.isalpha() else _WORD.findall(w))]
 
 
 def disguised_seed(lower: str) -> bool:

@@ -306,6 +306,13 @@ def test_toxicity_query_and_clashing_names(spark):
     assert out.columns == ["doc_id", "text", "score", "predicted"] and len(out.select("score", "predicted").collect()) == 3
 
 
+def test_words_of_letters():
+    r = random.Random(7)
+    for _ in range(5000):
+        t = "".join(r.choice("abZÉß 1_²«»\xa0\u2019.\n-İ٣ªǅ") for _ in range(r.randint(0, 14)))
+        assert toxicity.words(t) == re.findall(r"[^\W\d_]+", t.lower())
+
+
 def test_disguised_seeds_and_long_texts():
     assert toxicity.disguised_seed("you id1ot.") and toxicity.disguised_seed("such stup!d words") and not toxicity.disguised_seed("mail45@example.org a1b2 3com 4you")
     lexicon = toxicity.Lexicon({f"word{a}": 3.0 for a in "abcdefghij"})
