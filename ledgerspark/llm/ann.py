@@ -159,7 +159,8 @@ def nearest(
     total = stored.count()
     some = np.array([np.frombuffer(r["v"], packed) for r in drawn(stored, total, sample, "vec_id", "v").select("v").collect()], float)
     codes, count = fitted(size, longest, shortest < longest * (1 - 1e-6), tables, total, some, k, aim, most)
-    rest = codes.bits - min(codes.bits, max(0, (total // block).bit_length()))  # bits of a code behind its group's
+    # bits of a code behind its group's: groups of about `block` rows, but at least eight a table, to share the work
+    rest = codes.bits - min(codes.bits, max(3, (total // block).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
