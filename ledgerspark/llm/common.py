@@ -69,13 +69,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete the folders of materialized tables that no later plan reads."""
     for df in tables:
         if path := getattr(df, "_shared_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete_folder(df.sparkSession, path)
 
 
 def fold(column: str, modulus: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
+from . import ann, bpe, html_text, language_id, lexical, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_text.query,
     "op9_near_dedup": near_dedup.query,
     "op10_bpe_trie": bpe.query,
+    "op11_lexical_search": lexical.query,
+    "op12_language_id": language_id.query,
 }
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op11_lexical_search": lexical.SQL}
