@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, language_id, lexical, lm_scoring, mixing, near_dedup, pii, quality, suffix_dedup, toxicity
+from . import ann, bpe, html_text, language_id, lexical, lm_scoring, mixing, near_dedup, phrases, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_bpe_trie": bpe.query,
     "op11_lexical_search": lexical.query,
     "op12_language_id": language_id.query,
+    "op13_phrase_mining": phrases.query,
 }
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op11_lexical_search": lexical.SQL}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op11_lexical_search": lexical.SQL, "op13_phrase_mining": phrases.SQL}
