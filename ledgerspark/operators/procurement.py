@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources import tables
+from ..sources.shared import written
+from . import trailing
+from .trailing import numbered
 
 DAYS, LEAST = 90, 20
 #: Half-open periods; a date outside all of them has none.
@@ -39,7 +42,6 @@ def ratio(value: Column, reference: Column, support: Column, zero: str = "zero_r
     return F.when(enough, F.try_divide(value, reference)), reason
 
 
-METRICS = ("unit_price", "quantity", "line_total")
 #: The six features and which reference divides them.
 RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio", "pair_price_ratio")
 
@@ -48,68 +50,54 @@ def blocks(day: Column, span: int) -> Column:
     return F.floor(day / span)
 
 
-def order_statistics(values: np.ndarray) -> tuple[float, float, float, float]:
-    """Quartiles, and the median distance from the median (MAD)."""
-    q1, q2, q3 = np.quantile(values, (0.25, 0.5, 0.75))
-    return q1, q2, q3, float(np.median(np.abs(values - q2)))
+#: What supports are counted by.
+SUPPORTS = {"item": ("item",), "pair": ("item", "supplier_id"), "supplier": ("supplier_id",), "unit": ("unit",), "window": ()}
 
 
-def trailing_references(lines: DataFrame, span: int = 30) -> DataFrame:
-    """lines (with `day`) and the statistics of their item's lines of the 90 days before, where there are LEAST of them.
+def trailing_supports(d: DataFrame) -> DataFrame:
+    """(kind, item, supplier_id, unit, day, n): the lines of the 90 days before a day, for every kind of support.
 
-    A line is sent to the blocks of `span` days that can refer to it, so a task
-    holds an item's lines of span + 90 days and not its whole history. A block
-    sorts the references of a day once for all lines of that day; the counts and
-    medians by supplier come from one sort by supplier and day.
+    Lines are counted once by all keys and the day, then by the keys of each
+    kind; windows run over days, of which a key has few, never over lines.
     """
-    d = lines.where(F.col("item").isNotNull() & F.col("day").isNotNull())
-    ops = d.withColumn("block", blocks(F.col("day"), span))
-    refs = d.select(F.col("item").alias("r_item"), F.col("day").alias("r_day"), F.col("supplier_id").alias("r_supplier_id"), *[F.col(c).cast("double").alias(f"r_{c}") for c in METRICS],
-                    F.explode(F.sequence(blocks(F.col("day") + 1, span), blocks(F.col("day") + DAYS, span))).alias("r_block"))
-    made = ["q1", "median_price", "q3", "mad_price", "median_quantity", "median_total", "pair_median"]
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.num_rows
-        out, counts = np.full((n, len(made)), np.nan), np.zeros((n, 2), np.int64)
-        if n and right.num_rows:
-            day, at = right["r_day"].to_numpy(), left["day"].to_numpy()
-            price, quantity, total = (right[f"r_{c}"].to_numpy(zero_copy_only=False) for c in METRICS)
-            order = np.argsort(day, kind="stable")
-            day, price, quantity, total = day[order], price[order], quantity[order], total[order]
-            for x in np.unique(at):
-                mine = at == x
-                low, high = np.searchsorted(day, (x - DAYS, x))
-                counts[mine, 0] = high - low
-                if high - low >= LEAST:
-                    p, q, t = (v[low:high][~np.isnan(v[low:high])] for v in (price, quantity, total))
-                    if len(p):
-                        out[mine, :4] = order_statistics(p)
-                    out[mine, 4:6] = [np.median(v) if len(v) else np.nan for v in (q, t)]
-            _, code = np.unique(np.array([*left["supplier_id"].to_pylist(), *right["r_supplier_id"].to_pylist()], object).astype(str), return_inverse=True)
-            width = int(max(day[-1], at.max())) + DAYS + 2
-            floor = int(min(day[0], at.min())) - DAYS - 1
-            step = width - floor
-            key = code[n:][order] * step + (day - floor)
-            by = np.argsort(key, kind="stable")
-            key, paired = key[by], price[by]
-            own = code[:n] * step + (at - floor)
-            low, high = np.searchsorted(key, own - DAYS), np.searchsorted(key, own)
-            counts[:, 1] = high - low
-            for j in np.flatnonzero(counts[:, 1] >= LEAST).tolist():
-                v = paired[low[j] : high[j]]
-                v = v[~np.isnan(v)]
-                out[j, 6] = np.median(v) if len(v) else np.nan
-        columns = {c: left[c] for c in left.column_names if c != "block"}
-        return pa.table(columns | {"n_item": pa.array(counts[:, 0]), "n_pair": pa.array(counts[:, 1])} | {c: pa.array(out[:, k], from_pandas=True) for k, c in enumerate(made)})
-
-    schema = StructType([*d.schema.fields, StructField("n_item", LongType()), StructField("n_pair", LongType()), *[StructField(c, DoubleType()) for c in made]])
-    return ops.groupBy("item", "block").cogroup(refs.groupBy("r_item", "r_block")).applyInArrow(block, schema)
-
-
-def trailing_support(lines: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Per day and keys the number of lines of the 90 days before, from counts by day: no key gathers its lines."""
-    daily = lines.where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(F.count("*").alias("c"))
-    return daily.select(*keys, "day", F.coalesce(F.sum("c").over(window(*keys) if keys else W.partitionBy(F.lit(0)).orderBy("day").rangeBetween(-DAYS, -1)), F.lit(0)).alias(name))
+    cells = d.where(F.col("day").isNotNull()).groupBy("item", "supplier_id", "unit", "day").agg(F.count("*").alias("c"))
+    kinds = {f.name: f.dataType for f in d.schema.fields}
+    key = lambda kind, keys: F.struct(F.lit(kind).alias("kind"), *[(F.col(k) if k in keys else F.lit(None).cast(kinds[k])).alias(k) for k in ("item", "supplier_id", "unit")])
+    daily = cells.select("day", "c", F.explode(F.array(*[key(k, keys) for k, keys in SUPPORTS.items()])).alias("k")).groupBy("k", "day").agg(F.sum("c").alias("c"))
+    return daily.select("k.*", "day", F.coalesce(F.sum("c").over(window("k")), F.lit(0)).alias("n"))
+
+
+def joined(d: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """d with the other columns of found, whose keys may be null and are distinct."""
+    of = {k: f"__of_{k}" for k in keys}
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(of[k]))
+    return d.join(found.withColumnsRenamed(of), same, "left").drop(*of.values())
+
+
+#: The measures by number, and the quantiles of each; the first three are of an item, the last of an item and supplier.
+MEASURES = {0: "unit_price", 1: "quantity", 2: "line_total", 3: "unit_price"}
+SHARES = {0: (0.25, 0.5, 0.75), 1: (0.5,), 2: (0.5,), 3: (0.5,)}
+
+
+def trailing_references(d: DataFrame, supports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per (item, day) and per (item, supplier, day) with LEAST lines in the 90 days before, their order statistics."""
+    enough = supports.where((F.col("n") >= LEAST) & F.col("item").isNotNull())
+    items, pairs = enough.where("kind = 'item'").select("item", "day"), enough.where("kind = 'pair'").select("item", "supplier_id", "day")
+    item_ids, pair_ids = numbered(items.select("item").distinct()), numbered(pairs.select("item", "supplier_id").distinct())
+    group = lambda m: F.col("pair_id" if m == 3 else "id") * trailing.MEASURES + m
+    values = F.array(*[F.struct(group(m).alias("g"), F.col(c).cast("double").alias("x")) for m, c in MEASURES.items()])
+    named = joined(d.select("item", "supplier_id", "day", *sorted(set(MEASURES.values()))).join(item_ids, "item"), pair_ids.withColumnRenamed("id", "pair_id"), "item", "supplier_id")
+    entries = named.select("day", F.explode(values).alias("e")).where("e.g IS NOT NULL AND day IS NOT NULL")
+    entries = entries.select("e.g", (F.col("day") + 1).alias("since"), (F.col("day") + DAYS).alias("until"), "e.x")
+    asked = items.join(item_ids, "item").select(F.explode(F.array(*[group(m) for m in range(3)])).alias("g"), "day")
+    asked = asked.unionByName(joined(pairs, pair_ids.withColumnRenamed("id", "pair_id"), "item", "supplier_id").select(group(3).alias("g"), "day"))
+    found = trailing.order_statistics(entries, asked, SHARES, (0,), days=DAYS).withColumns({"measure": F.col("g") % trailing.MEASURES, "id": F.floor(F.col("g") / trailing.MEASURES)})
+    of = lambda m, what: F.max(F.when((F.col("measure") == m) & (F.col("what") == what), F.col("value")))
+    per_item = found.where("measure < 3").groupBy("id", "day").agg(of(0, 0).alias("q1"), of(0, 1).alias("median_price"), of(0, 2).alias("q3"), of(0, -1).alias("mad_price"), of(1, 0).alias("median_quantity"), of(2, 0).alias("median_total"))
+    per_pair = found.where("measure = 3").select("id", "day", F.col("value").alias("pair_median"))
+    return per_item.join(item_ids, "id").drop("id"), per_pair.join(pair_ids, "id").drop("id")
 
 
 def features(lines: DataFrame, covered_from=None) -> DataFrame:
@@ -120,13 +108,15 @@ def features(lines: DataFrame, covered_from=None) -> DataFrame:
     Lines without an item or a date have no references and are left out.
     """
     d = lines.withColumn("day", F.unix_date("order_date").cast("long"))
-    for name, keys in (("n_supplier", ("supplier_id",)), ("n_unit", ("unit",)), ("n_window", ())):
-        found = trailing_support(d, name, *keys).toDF(*[f"of_{k}" for k in keys], "of_day", name)
-        same = F.col("day") == F.col("of_day")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-        d = d.join(found, same).drop("of_day", *[f"of_{k}" for k in keys])
-    d = trailing_references(d).withColumn("iqr", F.col("q3") - F.col("q1"))
+    supports = written(trailing_supports(d), "supports")
+    per_item, per_pair = trailing_references(d, supports)
+    d = d.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    for kind, keys in SUPPORTS.items():
+        found = supports.where(F.col("kind") == kind).select(*keys, "day", F.col("n").alias(f"n_{kind}"))
+        if kind in ("item", "pair"):
+            found = joined(found, per_item if kind == "item" else per_pair, *keys, "day")
+        d = joined(d, found, *keys, "day")
+    d = d.withColumn("iqr", F.col("q3") - F.col("q1"))
     price, n = F.col("unit_price"), F.col("n_item")
     made = {
         "price_ratio": ratio(price, F.col("median_price"), n), "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n, "zero_iqr"),
