@@ -137,6 +137,7 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[int]]]:
     if not html:
         return []
     at, n = 0, len(html)
+    headless = False  # no </head> lies ahead
     while at < n:
         m = _TAG.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -165,8 +166,9 @@ def blocks_of(html: str | None) -> list[tuple[str, frozenset[int]]]:
             page.close(tag)
             continue
         if tag in _RAW and not m[3].endswith("/"):
-            end = _RAW[tag].search(html, at)
+            end = None if headless and tag == "head" else _RAW[tag].search(html, at)
             if end is None and tag == "head":
+                headless = True
                 continue
             at = end.end() if end else n
             continue
