@@ -268,7 +268,14 @@ def _sums(cols: pa.Array, n: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.nda
     return out
 
 
-def fit(rows: DataFrame, size: int, ridge: float = 1.0, rounds: int = 25) -> Classifier:
+def add(group: pa.Table) -> pa.Table:
+    """The sum of the vectors of a group."""
+    vectors = group["sums"].combine_chunks()
+    total = np.asarray(vectors.flatten()).reshape(len(vectors), -1).sum(0)
+    return pa.table({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+
+def fit(rows: DataFrame, size: int, ridge: float = 1.0, rounds: int = 25, parts: int = 32) -> Classifier:
     """rows: cols, n, y (summed posterior labels). Each round the workers sum gradients, the driver takes a damped step.
 
     The step of a column is its gradient over a bound of the curvature, so that the loss does not rise.
@@ -285,7 +292,9 @@ def fit(rows: DataFrame, size: int, ridge: float = 1.0, rounds: int = 25) -> Cla
                 total += _sums(batch.column(0), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy(), at)
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
 
-        got = np.array([r["sums"] for r in map_arrow(rows, run, "sums array<double>", rows=20_000).collect()])
+        # partitions' sums are added up in groups, so that the driver gets `parts` vectors at most
+        sums = map_arrow(rows, run, "sums array<double>", rows=20_000).groupBy((F.spark_partition_id() % parts).alias("g")).applyInArrow(add, "sums array<double>")
+        got = np.array([r["sums"] for r in sums.collect()])
         gradient, bend = got.sum(0).reshape(2, size + 1) if len(got) else np.zeros((2, size + 1))
         new = at - np.clip((gradient + penalty * at) / (bend + penalty), -2, 2)
         speed, w = new - w, new
