@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import forget, map_arrow, materialize, shared_dir, table
+from .common import delete_folder, forget, map_arrow, materialize, shared_dir, table
 from .shingles import mix
 
 _U = np.uint64
@@ -432,7 +432,16 @@ def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     rows.repartition(buckets, "batch").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "batch").saveAsTable(name)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.table(name), buckets, size
+    rows = spark.table(name)
+    rows._dealt = (name, path)
+    return rows, buckets, size
+
+
+def drop_dealt(rows: DataFrame) -> None:
+    """The table that dealt() wrote goes, from the catalog and from the shared folder."""
+    name, path = rows._dealt
+    rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    delete_folder(rows.sparkSession, path)
 
 
 def each_group(f, **options):
@@ -450,7 +459,10 @@ def each_batch(f, **options):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, crowd: int = 4096, with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with_text)."""
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, with_text).
+
+    The result is written to the shared folder; every table made on the way goes.
+    """
     rows, tasks, size = dealt(docs, id_col, text_col)
     routes = Routes(max(tasks, size // (18 * ROUTE_ANCHORS)).bit_length())
     batches = lambda answers: rows.groupBy("batch").cogroup(answers.groupBy("batch"))
@@ -458,7 +470,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = materialize(asked.groupBy("route").applyInArrow(each_group(answer, crowd=crowd), ANSWER), "told")
     offered = batches(told).applyInArrow(each_batch(offer, width=width, routes=routes), "route long, batch long, anchors binary, hashes binary, lows binary")
     numbered = materialize(offered.groupBy("route").applyInArrow(number, ANSWER), "numbered")
-    told = told.unionByName(numbered)
+    asked_all, told = told, told.unionByName(numbered)
     sent = batches(told).applyInArrow(each_batch(send, width=width, tasks=tasks), "task long, anchor long, label long, low long, passage binary")
     merged = materialize(sent.groupBy("task").applyInArrow(each_group(merge, width=width), "label long, lows binary"), "merged")
 
@@ -471,7 +483,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     back = map_arrow(numbered.select("batch", "third"), labels, "batch long, label long").join(merged, "label")
     back = back.select("batch", F.lit(2).alias("kind"), F.col("label").alias("key"), F.col("lows").alias("first"), F.lit(None).cast("binary").alias("second"), F.lit(None).cast("binary").alias("third"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return batches(told.unionByName(back)).applyInArrow(each_batch(cut, width=width, with_text=with_text), schema).withColumnRenamed("id", id_col)
+    done = materialize(batches(told.unionByName(back)).applyInArrow(each_batch(cut, width=width, with_text=with_text), schema), "cut")
+    drop_dealt(rows)
+    forget(asked_all, numbered, merged)
+    return done.withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
