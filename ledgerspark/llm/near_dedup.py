@@ -176,7 +176,7 @@ def fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int, each: int = 32) -> DataFrame:
+def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int, each: int = 32, block: int = 1024) -> DataFrame:
     """(cid, root) for every class (cid: the row that stands for it, n, regs, bitmap).
 
     Pairs are met at once when there are at most `each` for every entry of a bucket.
@@ -218,10 +218,14 @@ def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, per
         size = F.col("c").cast("double")
         pairs_left = per_root.groupBy("value").agg(((F.sum(size) * F.sum(size) - F.sum(size * size)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
         if pairs_left <= each * total:
-            of = left.join(classes.select("cid", *BITS), "cid")
-            side = lambda k, x: of.select("value", F.col("cid").alias(k), *[F.col(c).alias(x + c) for c in ("n", "c", "root", *BITS)])
+            # a bucket of m entries becomes a square of blocks, of about `block` entries a side, so that no task meets all its pairs
+            sizes = per_root.groupBy("value").agg(F.ceil(F.sum("c") / block).alias("blocks"))
+            of = left.join(classes.select("cid", *BITS), "cid").join(sizes, "value").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("blocks")))
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+            place = {"u": ("own", "other"), "v": ("other", "own")}
+            side = lambda k, x: of.withColumn("other", every).select("value", *[F.col(c).alias(to) for c, to in zip(place[k], ("i", "j"))], F.col("cid").alias(k), *[F.col(c).alias(x + c) for c in ("n", "c", "root", *BITS)])
             can = (F.col("u") < F.col("v")) & (F.col("aroot") != F.col("broot")) & (F.least("ac", "bc") * (100 + percent) >= (F.col("an") + F.col("bn")) * percent)
-            pairs = side("u", "a").join(side("v", "b"), "value").where(can & may_link("a", "b", F.col("an"), F.col("bn"), percent))
+            pairs = side("u", "a").join(side("v", "b"), ["value", "i", "j"]).where(can & may_link("a", "b", F.col("an"), F.col("bn"), percent))
             pairs = pairs.select("u", "v", F.col("aroot").alias("ru"), F.col("broot").alias("rv")).distinct()
             roots = contract(left, roots, confirmed(pairs, classes, texts, width, percent))[1]
             forget(left)
