@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .profile import quantiles
+
 EULER = 0.5772156649015329
 
 
@@ -34,6 +36,7 @@ def grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> tuple[np.
         if depth < limit and len(part) > 1 and len(usable):
             c = int(random.choice(usable))
             t = random.uniform(low[c], high[c])
+            t = t if t < high[c] else low[c]  # rounding may reach the upper end; both sides keep rows
             side = part[:, c] <= t
             column[at], threshold[at] = c, t
             left[at], right[at] = node(part[side], depth + 1), node(part[~side], depth + 1)
@@ -46,16 +49,22 @@ def grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> tuple[np.
 class IsolationForest:
     def __init__(self, trees: int = 200, sample: int = 256, seed: int = 42):
         self.trees, self.sample, self.seed = trees, sample, seed
+        self.contamination = self.threshold = None
+
+    def fit(self, df: DataFrame, columns: list[str], key: list[str] | None = None) -> IsolationForest:
+        """Each tree sees at most `sample` rows; the driver gets trees * sample rows at most.
 
-    def fit(self, df: DataFrame, columns: list[str]) -> IsolationForest:
-        """Each tree sees at most `sample` rows; the driver gets trees * sample rows at most, drawn by hash."""
-        self.columns = columns
+        Rows are drawn by a hash of their key (all columns of df, if none is given),
+        so that rows with equal values are drawn one by one; rows with equal keys
+        as well go together.
+        """
+        self.columns, key = columns, key or df.columns
         total = df.count()
         want = min(total, self.trees * self.sample)
-        h = F.xxhash64(F.lit(self.seed), *columns)
+        h = F.xxhash64(F.lit(self.seed), *key)
         share = min(1.0, (want + 10 * want**0.5 + 10) / max(total, 1))  # what can be among them, before the order
-        rows = df.select(*[F.col(c).cast("double") for c in columns])
-        drawn = rows.where(F.pmod(h, F.lit(1 << 31)) <= F.lit(int(share * (1 << 31)))).orderBy(h).limit(want)
+        near = df.where(F.pmod(h, F.lit(1 << 31)) <= F.lit(int(share * (1 << 31))))
+        drawn = near.orderBy(h, *key, *columns).limit(want).select(*[F.col(c).cast("double") for c in columns])
         x = np.array([tuple(r) for r in drawn.collect()], float).reshape(-1, len(columns))
         if not len(x) or not np.isfinite(x.astype(np.float32)).all():
             raise ValueError("training rows must exist and be finite")
@@ -64,6 +73,16 @@ class IsolationForest:
         self.nodes = [grow(x[random.choice(len(x), min(self.psi, len(x)), replace=False)], random, limit) for _ in range(self.trees)]
         return self
 
+    def calibrate(self, df: DataFrame, contamination: float) -> IsolationForest:
+        """The score above which the given share of df lies (linear between neighbours); kept with the model."""
+        self.contamination = contamination
+        self.threshold = quantiles(self.score(df), "anomaly_score", [1 - contamination]).first()["q0"]
+        return self
+
+    def flagged(self, df: DataFrame, name: str = "flag") -> DataFrame:
+        """Df with its scores, and 1 for those above the threshold; equality is 0."""
+        return self.score(df).withColumn(name, (F.col("anomaly_score") > self.threshold).cast("int"))
+
     def score_array(self, x: np.ndarray) -> np.ndarray:
         """Higher is more anomalous: 2^(-mean depth / c(psi))."""
         total = np.zeros(len(x))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from . import carried
 from .profile import running
 
 
@@ -37,11 +38,8 @@ def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, ident: str, score: str, name: str) -> DataFrame:
-    """Ranks 1, 2, 3, ... by score, highest first, ids breaking ties; only rows of one score meet in a task."""
-    counts = df.groupBy(F.col(score).alias("__at")).agg(F.count("*").alias("__c"))
-    above = running(counts, {"__c": "__upto"}, "__at", descending=True).select("__at", (F.col("__upto") - F.col("__c")).alias("__above"))
-    inside = F.row_number().over(W.partitionBy(score).orderBy(ident))
-    return df.withColumn("__inside", inside).join(above, F.col(score) == F.col("__at")).withColumn(name, (F.col("__above") + F.col("__inside")).cast("long")).drop("__at", "__above", "__inside")
+    """Ranks 1, 2, 3, ... by score, highest first, ids breaking ties."""
+    return carried.ranked(df, score, [ident], name).withColumn(name, F.col(name).cast("long"))
 
 
 def budget(n, percent: int):
@@ -77,23 +75,20 @@ def overlap(df: DataFrame, ident: str, a: str, b: str, label: str, k: int) -> Da
     return t.withColumns({"overlap": F.round(F.col("common") / k, 9), "jaccard": F.round(F.try_divide("common", "either"), 9), "net": F.col("gained") - F.col("forgone")})
 
 
-def replacement_rank(d: DataFrame, key: str, score: str, changed: Column) -> DataFrame:
-    """W09 for every row: its rank, and its rank if its score alone became `changed`; both counted, whole-number scores and keys.
+def replacement_rank(d: DataFrame, key: str, score: str, changed: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """W09 for every row: its rank among its group, and its rank if its score alone became `changed`.
 
-    Rows above are counted by score, those of the same score by key; rows of the
-    own key do not stand in its way.
+    Higher scores come first, keys break ties. Peers keep their scores; rows of
+    the own key do not stand in its way. A missing score ranks last, a row
+    whose changed score is missing ranks first.
     """
-    rows = d.select(F.col(key).alias("doc_id"), F.col(score).cast("long").alias("s"), changed.cast("long").alias("t")).withColumn("row", F.monotonically_increasing_id())
-    held = rows.select("doc_id", "row", F.col("s").alias("at"), F.lit(1).alias("real"))
-    asked = rows.select("doc_id", "row", F.col("t").alias("at"), F.lit(0).alias("real"))
-    both = held.unionByName(asked)
-    by_score = both.groupBy("at").agg(F.sum("real").alias("c"))
-    above = by_score.select("at", F.coalesce(F.sum("c").over(W.orderBy(F.desc_nulls_last("at")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    tied = F.coalesce(F.sum("real").over(W.partitionBy("at").orderBy("doc_id").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("real"))).over(W.partitionBy("doc_id").orderBy(-F.col("at")).rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    same = F.row_number().over(W.partitionBy("at", "doc_id", "real").orderBy("row")) - 1
-    placed = both.withColumn("tied", tied).withColumn("own", own).withColumn("same", same)
-    placed = placed.join(above, placed["at"].eqNullSafe(above["at"])).select("doc_id", "row", "real", placed["at"].alias("at"), (F.col("above") + F.col("tied")).alias("ahead"), "own", "same")
-    before = placed.where("real = 1").select("row", "doc_id", (F.col("ahead") + F.col("same") + 1).alias("before_rank"))
-    after = placed.where("real = 0").select("row", F.when(F.col("at").isNull(), 1).otherwise(F.col("ahead") - F.col("own") + 1).alias("after_rank"))
-    return before.join(after, "row").select("doc_id", F.col("before_rank").cast("long").alias("before_rank"), F.col("after_rank").cast("long").alias("after_rank"))
+    rows = d.select(*by, key, F.col(score).cast("double").alias("__score"), changed.cast("double").alias("__changed"))
+    before = carried.ranked(rows, "__score", [key], "before_rank", by)
+    asked = before.select(*by, key, F.col("__changed").alias("at"), "before_rank")
+    held = before.select(*by, key, F.col("__score").alias("at"))
+    found = carried.ahead(held, asked, "at", [key], by)
+    # of a row's own key those above it are taken off
+    own = held.groupBy(*by, key).agg(F.collect_list("at").alias("own"))
+    found = found.join(own, [*by, key], "left")
+    above = F.when(F.col("at").isNull(), 0).otherwise(F.size(F.filter(F.coalesce("own", F.array().cast("array<double>")), lambda s: s > F.col("at"))))
+    return found.select(*by, F.col(key), F.col("before_rank").cast("long").alias("before_rank"), (F.col("ahead") - above + 1).cast("long").alias("after_rank"))

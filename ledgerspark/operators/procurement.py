@@ -13,7 +13,7 @@ from . import trailing
 from .trailing import numbered
 
 DAYS, LEAST = 90, 20
-#: Half-open periods; a date outside all of them has none.
+#: Half-open periods.
 PERIODS = (("warmup", "1992-01-01", "1992-07-01"), ("development", "1992-07-01", "1996-01-01"), ("validation", "1996-01-01", "1998-01-01"), ("retrospective", "1998-01-01", "2003-01-01"))
 SCENARIOS = (("A", 1.5, 1), ("B", 2.0, 1), ("C", 1.0, 3), ("D", 1.0, None), ("E", 1.5, 3))
 
@@ -24,7 +24,8 @@ def window(*keys: str):
 
 
 def period(day: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """The period of a date; none of a missing date; a date outside all periods ends the query."""
+    out = F.when(day.isNotNull(), F.raise_error(F.concat(F.lit("outside all periods: "), day.cast("string"))).cast("string"))
     for name, a, b in PERIODS:
         out = F.when((day >= F.lit(a)) & (day < F.lit(b)), F.lit(name)).otherwise(out)
     return out
@@ -135,11 +136,9 @@ def eligibility(featured: DataFrame) -> DataFrame:
     d = featured.withColumn("period", period(F.col("order_date")))
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     counts = [F.count("*").alias("n"), n(F.col("price_ratio").isNotNull()).alias("eligible"), n(F.col("price_ratio_reason") == "insufficient_history").alias("insufficient"), n(F.col("price_ratio_reason") == "zero_reference").alias("zero")]
-    parts = d.groupBy("period", "category").agg(*counts)
-    names = ("n", "eligible", "insufficient", "zero")
-    whole = parts.groupBy("period").agg(*[F.sum(c).alias(c) for c in names]).withColumn("category", F.lit(None).cast("string"))
+    sets = d.groupingSets([[F.col("period"), F.col("category")], [F.col("period")]], "period", "category").agg(*counts)
     every = spark.createDataFrame([(name,) for name, *_ in PERIODS], "period string")
-    found = every.join(parts.unionByName(whole), "period", "left").fillna(0, list(names))
+    found = every.join(sets, "period", "left").fillna(0, ["n", "eligible", "insufficient", "zero"])
     return found.select("period", "category", "n", "eligible", (F.col("n") - F.col("eligible")).alias("excluded"), "insufficient", "zero")
 
 

@@ -6,20 +6,30 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 64
+#: Cuts of an order: one for each CUT_ROWS rows, within these bounds.
+CUTS, CUT_ROWS = (64, 1024), 1 << 16
+
+
+def range_of(x: Column, edges: list[float]) -> Column:
+    """How many of the sorted edges lie below x: looked up among every 32nd, then among 32."""
+    listed = lambda e: F.expr(f"array({', '.join(f'{v!r}D' for v in e)})") if e else F.array().cast("array<double>")
+    below = lambda of: F.size(F.filter(of, lambda e: e < x))
+    coarse = 32 * below(listed(edges[31::32]))
+    return coarse + below(F.slice(listed(edges), coarse + 1, 32))
 
 
 def running(rows: DataFrame, totals: dict[str, str], x: str, *by: str, descending: bool = False) -> DataFrame:
     """Running sums in the order of a number x, per group, without a task that holds a whole group.
 
     totals: name of the running sum by summed column; x has to be there and to be
-    distinct within a group. Rows are cut at approximate quantiles of x (at most
-    64 numbers on the driver); sums run inside a cut, and cuts are offset by the
-    sums of those before, of which a group has at most 65.
+    distinct within a group. Rows are cut at approximate quantiles of x, of which
+    there are more the more rows there are (at most 1023 numbers on the driver);
+    sums run inside a cut, and cuts are offset by the sums of those before.
     """
     at = F.col(x).cast("double")
-    edges = sorted(set(rows.select(at.alias("x")).approxQuantile("x", [k / BUCKETS for k in range(1, BUCKETS)], 0.5 / BUCKETS)))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < at)) if edges else F.lit(0)
+    n, found = rows.agg(F.count("*"), F.percentile_approx(at, [k / CUTS[1] for k in range(1, CUTS[1])], 10_000)).first()
+    step = CUTS[1] // max(CUTS[0], min(CUTS[1], n // CUT_ROWS))
+    bucket = range_of(at, sorted({e for e in (found or [])[step - 1 :: step] if abs(e) < float("inf")}))
     placed = rows.withColumn("__part", bucket)
     one = [F.col(c) for c in by] or [F.lit(0)]
     order = F.desc if descending else F.asc

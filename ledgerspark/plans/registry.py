@@ -164,7 +164,7 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = d.where("period = 'development'")
     if learn.isEmpty():  # no line has enough history there: nothing can be scored
         return d.limit(0).select(*_KEY, "period", F.lit(None).cast("double").alias("anomaly_score"))
-    model = IsolationForest(trees=100).fit(learn, columns)
+    model = IsolationForest(trees=200).fit(learn, columns, _KEY)
     return model.score(d).select(*_KEY, "period", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
@@ -176,4 +176,4 @@ def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double")), ["length", "quality"], "y", "doc_id")
 
 
-from . import inventory  # noqa: E402, F401  its queries register themselves here
+from . import experiments, inventory  # noqa: E402, F401  their queries register themselves here

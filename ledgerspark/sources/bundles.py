@@ -113,7 +113,7 @@ def save_forest(spark: SparkSession, model: IsolationForest, path: str) -> str:
     """A fitted forest as a bundle of its nodes; the hash that pins it."""
     rows = [(t, k, int(c), float(x), int(a), int(b), float(n)) for t, tree in enumerate(model.nodes) for k, (c, x, a, b, n) in enumerate(zip(*tree))]
     nodes = spark.createDataFrame(rows, "tree int, node int, column int, threshold double, left int, right int, length double")
-    publish({"nodes": nodes}, path, {"columns": list(model.columns), "psi": int(model.psi), "trees": len(model.nodes), "seed": model.seed, "sample": model.sample})
+    publish({"nodes": nodes}, path, {"columns": list(model.columns), "psi": int(model.psi), "trees": len(model.nodes), "seed": model.seed, "sample": model.sample, "contamination": model.contamination, "threshold": model.threshold})
     return fingerprint(nodes)["hash"]
 
 
@@ -123,7 +123,7 @@ def load_forest(spark: SparkSession, path: str, pinned: str) -> IsolationForest:
     if fingerprint(tables["nodes"])["hash"] != pinned:
         raise ValueError("the model is not the pinned one")
     model = IsolationForest(meta["trees"], meta["sample"], meta["seed"])
-    model.columns, model.psi = meta["columns"], meta["psi"]
+    model.columns, model.psi, model.contamination, model.threshold = (meta[k] for k in ("columns", "psi", "contamination", "threshold"))
     trees: list[list] = [[] for _ in range(meta["trees"])]
     for r in tables["nodes"].orderBy("tree", "node").collect():  # trees x at most 512 nodes
         trees[r["tree"]].append((r["column"], r["threshold"], r["left"], r["right"], r["length"]))
