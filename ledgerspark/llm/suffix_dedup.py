@@ -91,12 +91,18 @@ def passages(raw: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     if not len(firsts):
         none = np.zeros(0, np.int64)
         return np.zeros(0, _U), none, none, none, none
-    cuts = np.unique(np.concatenate([firsts, ends[:-1], np.maximum(ends[1:] - width + 1, ends[:-1])]))
-    cuts = cuts[cuts < len(raw) - width + 1]
+    # cuts in order, by marks: starts of runs and texts, and the first start that no longer holds a whole string
+    total = len(raw) - width + 1
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[firsts] = True
+    run = np.cumsum(begins[:total], dtype=np.int32)
+    begins[ends[:-1]] = True
+    begins[np.maximum(ends[1:] - width + 1, ends[:-1])] = True
+    cuts = np.flatnonzero(begins[:total])
     doc = np.searchsorted(ends, cuts, "right") - 1
-    count = np.diff(np.append(cuts, len(raw) - width + 1))
+    count = np.diff(np.append(cuts, total))
     whole = cuts + width <= ends[doc + 1]
-    place = places[np.searchsorted(firsts, cuts, "right") - 1][whole]
+    place = places[run[cuts] - 1][whole]
     words = raw[place[:, None] + np.arange(GRAM)].view("<u8").astype(_U)
     anchor = mix(words[:, 0] * _U(0x9E3779B97F4A7C15) + mix(words[:, 1] + _U(1)))
     return anchor, place, cuts[whole], count[whole], doc[whole]
