@@ -101,17 +101,25 @@ def trailing_references(d: DataFrame, supports: DataFrame) -> tuple[DataFrame, D
     return per_item.join(item_ids, "id").drop("id"), per_pair.join(pair_ids, "id").drop("id")
 
 
-def features(lines: DataFrame, covered_from=None) -> DataFrame:
+def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None) -> DataFrame:
     """The nine features, their reasons, MAD and all support counts of every line.
 
+    only (po_id, order_date, occurrence): for these lines alone; the others are
+    their history.
+
     covered_from (a date) says from when on the history is complete; lines whose
     90 days begin before it have the reason `incomplete_coverage` and no feature.
     Lines without an item or a date have no references and are left out.
     """
     d = lines.withColumn("day", F.unix_date("order_date").cast("long"))
-    supports = written(trailing_supports(d), "supports")
-    per_item, per_pair = trailing_references(d, supports)
-    d = d.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    supports = trailing_supports(d)
+    history, d = d, d.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    if only is not None:
+        d = d.join(only, ["po_id", "order_date", "occurrence"], "left_semi")
+        supports = supports.join(d.select("day").distinct(), "day", "left_semi")
+    supports = written(supports, "supports")
+    asked = supports if only is None else supports.join(d.select("item", "day").distinct(), ["item", "day"], "left_semi")
+    per_item, per_pair = trailing_references(history, asked)
     for kind, keys in SUPPORTS.items():
         found = supports.where(F.col("kind") == kind).select(*keys, "day", F.col("n").alias(f"n_{kind}"))
         if kind in ("item", "pair"):

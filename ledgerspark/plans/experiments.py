@@ -6,13 +6,16 @@ oracle, and with a fitted forest, which has tests of its properties.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import carried, experiments as E, invoices, metrics
+from ..functions import variants as V
+from ..operators import carried, experiments as E, invoices, metrics, prepared, procurement
 from ..operators.forest import IsolationForest
 from ..operators.procurement import SCENARIOS
 from ..sources import tables
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 from . import catalog
 from .registry import evaluated, features, query
 
@@ -217,3 +220,42 @@ def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval of the difference of two rules' accuracies over 2,000 paired draws of all labelled documents."""
     drawn = E.paired_bootstrap(evaluated(spark, sf_dir), "y", (F.col("score") > 2000).cast("int"), (F.col("quality") == 0).cast("int"))
     return E.interval(drawn, "difference")
+
+
+# F28
+
+
+@query("f28_variants", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, lower(json_type(props)) AS kind, lower(replace(json_type(props, '$.k'), 'UBIGINT', 'number')) AS member_kind, json_merge_patch(props, '{"k": null}')::VARCHAR AS without,
+    json_merge_patch(props, json_object('u', user_id))::VARCHAR AS joined, to_json({'event_id': event_id, 'event_type': event_type})::VARCHAR AS of_row FROM events""")
+def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a member, kinds, an object without a key, two objects joined, a row as an object."""
+    d = tables.read(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "props"]).withColumn("v", V.value(F.col("props")))
+    return d.select(
+        "event_id", V.member(F.col("v"), "$.k", "long").alias("k"), V.kind(F.col("v")).alias("kind"), V.kind(V.member(F.col("v"), "$.k", "variant")).alias("member_kind"), V.text(V.minus(F.col("v"), "k")).alias("without"),
+        V.text(V.concat(F.col("v"), F.to_variant_object(F.struct(F.col("user_id").alias("u"))))).alias("joined"), V.text(V.of_row("event_id", "event_type")).alias("of_row"),
+    )
+
+
+@query("f28_each_member", """SELECT key, replace(lower(replace(type, 'UBIGINT', 'number')), 'varchar', 'string') AS kind, count(*) AS n, count(DISTINCT value) AS different FROM
+    (SELECT e.key, e.type, e.value FROM (SELECT to_json({'o_custkey': o_custkey, 'o_orderpriority': o_orderpriority, 'o_orderstatus': o_orderstatus}) AS j FROM orders) o, json_each(o.j) e) GROUP BY 1, 2""")
+def f28_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as objects, a row for each member of each."""
+    d = tables.read(spark, sf_dir, "orders", ["o_custkey", "o_orderpriority", "o_orderstatus"]).select(V.of_row("o_custkey", "o_orderpriority", "o_orderstatus").alias("v"))
+    rows = V.each(d, "v").select("key", V.kind(F.col("value")).alias("kind"), V.text(F.col("value")).alias("value"))
+    return rows.groupBy("key", "kind").agg(F.count("*").alias("n"), F.count_distinct("value").alias("different"))
+
+
+# D23
+
+
+@query("d23_prepared_operations", f"""WITH {catalog.FEATURES}, lt AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY order_date DESC, po_id DESC, occurrence DESC) AS k, count(*) OVER (PARTITION BY item) AS c FROM features)
+  SELECT po_id, order_date, occurrence, item, n_item, n_pair, CASE WHEN ok THEN 'eligible' ELSE 'unavailable' END AS status, {", ".join(f"CASE WHEN ok THEN round({c}, 6) + 0 END AS {c}" for c in prepared.VALUES)}
+  FROM (SELECT *, price_ratio IS NOT NULL AND quantity_ratio IS NOT NULL AND total_ratio IS NOT NULL AND price_iqr_distance IS NOT NULL AND relative_iqr IS NOT NULL AS ok FROM lt) x WHERE k = 1 AND c > 20""")
+def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every authorised operation prepared from the few folders of the laid-out lines that its history lies in."""
+    lines = procurement.occurrences(tables.purchase_lines(spark, sf_dir))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    store = prepared.lay_out(lines, path)
+    d = prepared.prepare(store, prepared.authorised(lines))
+    supports = ["n_item", "n_pair"]
+    return d.select("po_id", "order_date", "occurrence", "item", *supports, "status", *[F.when(F.col("values").isNotNull(), F.round(c, 6) + 0.0).alias(c) for c in prepared.VALUES])
