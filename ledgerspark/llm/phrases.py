@@ -198,7 +198,7 @@ def best_of(rows: DataFrame, per, order: list, best: int) -> DataFrame:
     """The `best` rows of each `per` with their rank: windows over salted groups of about GROUP_ROWS rows, level by level."""
     groups = rows.count() // GROUP_ROWS + 1
     rows = rows.withColumn("__group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    while groups > 1:
+    while groups > 1 and 2 * best <= GROUP_ROWS:
         w = Window.partitionBy(per, "__group").orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)
         groups = -(-groups * best // GROUP_ROWS)
