@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources import tables
 from ..sources.shared import written
@@ -47,9 +44,6 @@ def ratio(value: Column, reference: Column, support: Column, zero: str = "zero_r
 RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio", "total_ratio", "pair_price_ratio")
 
 
-def blocks(day: Column, span: int) -> Column:
-    return F.floor(day / span)
-
 
 #: What supports are counted by.
 SUPPORTS = {"item": ("item",), "pair": ("item", "supplier_id"), "supplier": ("supplier_id",), "unit": ("unit",), "window": ()}
@@ -253,20 +247,6 @@ def comparable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def comparable_prices(lines: DataFrame) -> DataFrame:
-    """P19 with D15: references that agree in every key, known by both clocks, with their support and exact median.
-
-    A reference goes to the one or two 90-day blocks that can refer to it, so the
-    join is on all keys and the block, and dates only refine it.
-    """
-    ops = lines.withColumn("block", blocks(F.col("day"), DAYS))
-    refs = lines.select(*GROUP_KEYS, *[F.col(c).alias(f"r_{c}") for c in ("po_id", "day", "supplier_id", "quantity", "cents")], available_from(F.col("day"), F.col("part_id")).alias("known"), F.explode(F.sequence(blocks(F.col("day") + 1, DAYS), blocks(F.col("day") + DAYS, DAYS))).alias("block"))
-    day = F.col("day")
-    met = ops.join(refs, [*GROUP_KEYS, "block"]).where((F.col("r_po_id") != F.col("po_id")) & (F.col("r_day") >= day - DAYS) & (F.col("r_day") < day) & (F.col("known") < day) & (~F.col("same_only") | (F.col("quantity") == F.col("r_quantity"))))
-    found = met.groupBy("po_id", "part_id", "supplier_id", "day", "cents").agg(F.count("*").alias("n"), F.count_distinct("r_day").alias("dates"), F.count_distinct("r_supplier_id").alias("suppliers"), F.percentile("r_cents", 0.5).alias("median"))
-    return found.withColumn("twice_median_cents", (2 * F.col("median")).cast("long")).drop("median")
-
-
 def available_from(line_day: Column, part: Column) -> Column:
     """J13's second clock: the day on which a line becomes known."""
     return line_day + F.pmod(part, F.lit(30))
@@ -286,13 +266,15 @@ def two_clock_counts(lines: DataFrame) -> DataFrame:
     return d.join(counts, ["item", "day"]).select("po_id", "part_id", "supplier_id", F.col("day").cast("long").alias("day"), "n")
 
 
-def exclusion_reasons(lines: DataFrame) -> DataFrame:
+def exclusion_reasons(lines: DataFrame, available: Column, comparable: Column) -> DataFrame:
     """P20 over all pairs of operation and line of one item: reason, n; self > outside > not available > incomparable.
 
-    Pairs are counted by day and item, those of an id with itself by windows over
-    the id; no pair is made.
+    available and comparable: what the line itself has to be (what hangs on the
+    operation too, its clock and its keys, is in prices.price_analysis). Pairs are
+    counted by day and item, those of an id with itself by windows over the id;
+    no pair is made.
     """
-    kind = F.when(F.pmod("part_id", F.lit(3)) == 0, 0).when(F.col("unit") != "A", 1).otherwise(2)
+    kind = F.when(~available, 0).when(~comparable, 1).otherwise(2)
     kinds = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)) for k in range(3)]
     d = lines.where(F.col("item").isNotNull()).select("po_id", "item", F.unix_date("order_date").alias("day"), kind.alias("kind"))
     daily = d.groupBy("item", "day").agg(F.count("*").alias("ops"), *[c.alias(f"k{k}") for k, c in enumerate(kinds)])
@@ -305,48 +287,3 @@ def exclusion_reasons(lines: DataFrame) -> DataFrame:
     left = [F.col(f"k{k}") - F.col(f"o{k}") for k in range(3)]
     counted = {"self": F.col("own"), "outside_window": F.col("pairs") - F.col("own") - left[0] - left[1] - left[2], "not_available": left[0], "incomparable": left[1], "comparable": left[2]}
     return t.select(F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), c.cast("long").alias("n")) for r, c in counted.items()])).alias("x")).select("x.*").where("n > 0")
-
-
-def price_references(lines: DataFrame, span: int = 45) -> DataFrame:
-    """D15 for every line: the references of its item by both clocks, without its own id, and their exact median.
-
-    A line is sent to the blocks of `span` days that can refer to it; a block
-    sorts the references of a day once for all its operations.
-    """
-    day = F.unix_date("order_date").cast("long")
-    d = lines.where(F.col("item").isNotNull() & F.col("order_date").isNotNull()).select("item", day.alias("day"), available_from(day, F.col("part_id")).alias("known"), "po_id", "part_id", "supplier_id", F.round(F.col("unit_price") * 100).cast("long").alias("cents"))
-    at = lambda c: F.floor(c / span)
-    ops = d.withColumn("block", at(F.col("day")))
-    refs = d.select(*[F.col(c).alias(f"r_{c}") for c in d.columns], F.explode(F.sequence(at(F.col("day") + 1), at(F.col("day") + DAYS))).alias("r_block"))
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, r = left["day"].to_numpy(), {c: right[f"r_{c}"].to_numpy() for c in ("day", "known", "supplier_id")}
-        price = right["r_cents"].to_numpy(zero_copy_only=False).astype(float)
-        ids = {}
-        for k, i in enumerate(right["r_po_id"].to_pylist()):
-            ids.setdefault(i, []).append(k)
-        own = left["po_id"].to_pylist()
-        out = np.zeros((len(own), 3), np.int64)
-        twice = np.full(len(own), np.nan)
-
-        def measure(k):
-            p = price[k]
-            p = p[~np.isnan(p)]
-            return (len(k), len(np.unique(r["day"][k])), len(np.unique(r["supplier_id"][k]))), np.rint(2 * np.median(p)) if len(p) else np.nan
-
-        for x in np.unique(asked):
-            fits = (r["day"] >= x - DAYS) & (r["day"] < x) & (r["known"] < x)
-            every = np.flatnonzero(fits)
-            shared = measure(every)
-            for j in np.flatnonzero(asked == x):
-                mine = [k for k in ids.get(own[j], ()) if fits[k]] if own[j] is not None else []
-                out[j], twice[j] = measure(np.setdiff1d(every, mine, assume_unique=True)) if mine else shared
-        made = {c: pa.array(out[:, k]) for k, c in enumerate(("n", "dates", "suppliers"))}
-        return pa.table({c: left[c] for c in ("po_id", "part_id", "supplier_id", "day", "cents")} | made | {"twice": pa.array(twice, pa.float64(), from_pandas=True)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("po_id", "part_id", "supplier_id", "day", "cents")) + ", n long, dates long, suppliers long, twice double"
-    t = ops.groupBy("item", "block").cogroup(refs.groupBy("r_item", "r_block")).applyInArrow(block, schema)
-    enough, twice = F.col("n") >= LEAST, F.col("twice").cast("long")
-    percent = F.round(F.try_divide((2 * F.col("cents") - twice) * 100.0, twice), 6) + 0.0
-    return t.select("po_id", "part_id", "supplier_id", "day", "n", "dates", "suppliers", F.when(~enough, F.lit("insufficient_history")).alias("reason"), F.when(enough, twice).alias("twice_median_cents"), F.when(enough, percent).alias("percent_difference"))

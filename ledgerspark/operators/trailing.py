@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.shared import written
@@ -38,7 +39,7 @@ def ranges(counted: DataFrame, cuts: int) -> DataFrame:
 
 
 def grid(asked: pa.Table, events: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one group: the visible values by asked day and range, and each range's smallest and largest value."""
+    """Of one group: the visible values by ask and range, without those to skip, and each range's smallest and largest value."""
     day, r, c = (events[k].to_numpy() for k in ("at", "r", "c"))
     size = int(r.max()) + 1 if len(r) else 0
     low, high = np.full(size, np.inf), np.full(size, -np.inf)
@@ -47,17 +48,22 @@ def grid(asked: pa.Table, events: pa.Table) -> tuple[np.ndarray, np.ndarray, np.
     days, row = np.unique(day, return_inverse=True)
     changes = np.zeros((len(days) + 1, size), np.int64)
     np.add.at(changes, (row + 1, r), c)
-    return np.cumsum(changes, 0)[np.searchsorted(days, asked["day"].to_numpy(), "right")], low, high, days
+    counts = np.cumsum(changes, 0)[np.searchsorted(days, asked["day"].to_numpy(), "right")]
+    if "skip" in asked.column_names:
+        skip = asked["skip"].combine_chunks()
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(skip), 0))
+        np.subtract.at(counts, (np.repeat(np.arange(len(lengths)), lengths), np.searchsorted(high, np.asarray(skip.flatten()))), 1)
+    return counts, low, high, days
 
 
-ASK = "g long, day long, n long, what int, slot int, r int, low long, high long, weight double, center double"
+ASK = "g long, day long, who long, n long, what int, slot int, r int, low long, high long, weight double, center double"
 
 
 def table(group: pa.Table, columns: dict) -> pa.Table:
     """columns of arrays, with `row` (of the group's table) giving g and day."""
     row = pa.array(columns.pop("row"))
     kinds = {"n": pa.int64(), "what": pa.int32(), "slot": pa.int32(), "r": pa.int32(), "low": pa.int64(), "high": pa.int64(), "weight": pa.float64(), "center": pa.float64()}
-    return pa.table({"g": group["g"].take(row), "day": group["day"].take(row)} | {k: pa.array(columns[k], t, from_pandas=True) for k, t in kinds.items()})
+    return pa.table({"g": group["g"].take(row), "day": group["day"].take(row), "who": group["who"].take(row)} | {k: pa.array(columns[k], t, from_pandas=True) for k, t in kinds.items()})
 
 
 def places(shares: dict[int, tuple[float, ...]]):
@@ -117,40 +123,53 @@ def distances(asked: pa.Table, events: pa.Table) -> pa.Table:
     return flat(asked, made)
 
 
-def fetched(asks: DataFrame, counted: DataFrame, days: int) -> DataFrame:
-    """(g, day, n, what, value) of asks: the visible values of the asked ranges, ordered and counted off."""
+def fetched(asks: DataFrame, counted: DataFrame, days: int, skipped: DataFrame | None = None) -> DataFrame:
+    """(g, day, who, n, what, value) of asks: the visible values of the asked ranges, ordered and counted off.
+
+    skipped (g, who, r, x): values that an ask leaves out, once for each row.
+    """
     block = lambda c: F.floor(c / SPAN)
     cell = F.col("block") * (1 << 20) + F.col("r")
-    spread = asks.withColumn("block", F.explode(F.sequence(block(F.col("day") - (days - 1)), block(F.col("day"))))).withColumn("cell", cell).drop("block", "r")
+    spread = asks.withColumn("block", F.explode(F.sequence(block(F.col("day") - (days - 1)), block(F.col("day"))))).withColumn("cell", cell).drop("block")
     held = counted.withColumn("block", block(F.col("since"))).select("g", cell.alias("cell"), "since", "until", "x", "c")
-    met = spread.join(held, ["g", "cell"]).where((F.col("since") <= F.col("day")) & (F.col("day") <= F.col("until")))
+    met = spread.join(held, ["g", "cell"]).where((F.col("since") <= F.col("day")) & (F.col("day") <= F.col("until"))).drop("cell", "since", "until")
+    if skipped is not None:
+        met = met.unionByName(asks.join(skipped, ["g", "who", "r"]).withColumn("c", F.lit(-1).cast("long")).select(*met.columns))
     v = F.when(F.col("center").isNull(), F.col("x")).otherwise(F.abs(F.col("x") - F.col("center")))
     ask = F.col("day") * (1 << 24) + (F.col("what") + 1) * (1 << 16) + F.col("slot") + 1
-    met = met.select("g", ask.alias("ask"), "day", "n", "what", "low", "high", "weight", v.alias("v"), "c")
-    met = met.withColumn("upto", F.sum("c").over(W.partitionBy("g", "ask").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    holds = lambda rank: (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("c") < F.col(rank))
+    met = met.select("g", ask.alias("ask"), "day", "who", "n", "what", "low", "high", "weight", v.alias("v"), "c")
+    # what is skipped comes first among equal values, so that it takes the first of them
+    met = met.withColumn("upto", F.sum("c").over(W.partitionBy("g", "who", "ask").orderBy("v", "c").rowsBetween(W.unboundedPreceding, 0)))
+    holds = lambda rank: (F.col("c") > 0) & (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("c") < F.col(rank))
     hit = met.where(holds("low") | holds("high")).withColumns({"v0": F.when(holds("low"), F.col("v")), "v1": F.when(holds("high"), F.col("v"))})
-    both = hit.groupBy("g", "day", "what").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.max("v0").alias("v0"), F.max("v1").alias("v1"))
-    return both.select("g", "day", "n", "what", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("weight")).alias("value"))
+    both = hit.groupBy("g", "day", "who", "what").agg(F.first("n").alias("n"), F.first("weight").alias("weight"), F.max("v0").alias("v0"), F.max("v1").alias("v1"))
+    return both.select("g", "day", "who", "n", "what", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("weight")).alias("value"))
 
 
 def order_statistics(entries: DataFrame, asked: DataFrame, shares: dict[int, tuple[float, ...]], with_mad: tuple[int, ...] = (), *, days: int, cuts: int = CUTS) -> DataFrame:
-    """(g, day, n, what, value): per asked group and day, each share's quantile (linear between neighbours) as what = 0, 1, ..., the MAD as -1.
+    """(g, day, who, n, what, value): per ask each share's quantile (linear between neighbours) as what = 0, 1, ..., the MAD as -1.
 
     entries (g, since, until, x): values of a group, visible for `days` days at
-    most; null and NaN values are left out. asked (g, day): distinct. A day
-    without a visible value gets no row. shares: by measure, g % MEASURES. For a
-    MAD the second share has to be 0.5.
+    most; null and NaN values are left out. asked (g, day): distinct; or (g, day,
+    who, skip), distinct with who, where skip lists visible values that the ask
+    leaves out, once each. An ask without a visible value gets no row. shares: by
+    measure, g % MEASURES. For a MAD the second share has to be 0.5; asks with
+    values to skip have none.
     """
-    wanted = written(asked, "asked")
+    own = "skip" in asked.columns
+    wanted = written(asked if own else asked.withColumn("who", F.lit(0).cast("long")), "asked")
     counted = entries.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.col("since") <= F.col("until")))
     counted = written(ranges(counted.groupBy("g", "since", "until", "x").agg(F.count("*").alias("c")), cuts), "counted")
     steps = F.array(F.struct(F.col("since").alias("at"), F.col("c").alias("c")), F.struct((F.col("until") + 1).alias("at"), (-F.col("c")).alias("c")))
     events = counted.select("g", "r", "x", F.explode(steps).alias("e")).groupBy("g", F.col("e.at").alias("at"), "r").agg(F.sum("e.c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
     by = lambda d: d.groupBy("g")
-    found = written(fetched(by(wanted).cogroup(by(events)).applyInArrow(places(shares), ASK), counted, days), "quantiles")
+    skipped = None
+    if own:
+        places_of = counted.select("g", "x", "r").distinct()
+        skipped = wanted.select("g", "who", F.explode("skip").alias("x")).join(places_of, ["g", "x"])
+    found = written(fetched(by(wanted).cogroup(by(events)).applyInArrow(places(shares), ASK), counted, days, skipped), "quantiles")
     if with_mad:
-        centers = found.where((F.col("g") % MEASURES).isin(*with_mad) & (F.col("what") == 1)).select("g", "day", F.col("value").alias("center"))
+        centers = found.where((F.col("g") % MEASURES).isin(*with_mad) & (F.col("what") == 1) & (F.col("who") == 0)).select("g", "day", "who", F.col("value").alias("center"))
         found = found.unionByName(written(fetched(by(centers).cogroup(by(events)).applyInArrow(distances, ASK), counted, days), "distances"))
     return found
 

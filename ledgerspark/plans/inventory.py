@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import functions as X
-from ..operators import invoices, metrics, models, procurement, profile, store, versions
+from ..operators import invoices, metrics, models, prices, procurement, profile, store, versions
 from ..sources import tables
 from . import catalog
 from .registry import evaluated, features, query
@@ -536,7 +536,28 @@ def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT po_id, part_id, supplier_id, day, cents, count(*) AS n, count(DISTINCT rd) AS dates, count(DISTINCT rs) AS suppliers, (2 * quantile_cont(ref, 0.5))::BIGINT AS twice_median_cents FROM r GROUP BY ALL""")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that agree in every key of comparability, with equal quantity where only that is comparable."""
-    return procurement.comparable_prices(procurement.comparable_keys(spark, sf_dir))
+    d = _analysed(spark, sf_dir).where("n > 0")
+    return d.select("po_id", "part_id", "supplier_id", "day", "cents", "n", "dates", "suppliers", "twice_median_cents")
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15 on all keys; quantities have to agree where only equal ones are comparable."""
+    quantity = F.when(F.col("same_only"), F.col("quantity"))
+    keys = [F.col(c) for c in procurement.GROUP_KEYS if c != "item"]
+    return prices.price_analysis(procurement.comparable_keys(spark, sf_dir), procurement.available_from(F.col("day"), F.col("part_id")), ["item"], [*keys, quantity], least=1)
+
+
+_KEYED = f"""{catalog.LINES}, k AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS po_id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))::BIGINT AS day, p_brand AS item, p_type AS specification, l_returnflag AS unit, l_suppkey AS supplier_id,
+    l_quantity::BIGINT AS quantity, round(l_extendedprice / l_quantity * 100)::BIGINT AS cents, l_partkey AS part_id, l_linestatus AS zone, l_partkey % 3 AS packaging, o_orderpriority AS terms, l_linenumber % 2 = 0 AS same_only, row_number() OVER () AS rid FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+  j AS (SELECT o.rid, CASE WHEN r.po_id = o.po_id THEN 'self' WHEN r.day < o.day - 90 OR r.day >= o.day THEN 'outside' WHEN r.day + r.part_id % 30 >= o.day THEN 'late'
+    WHEN (r.specification, r.unit, r.packaging, r.terms, r.zone, r.same_only) <> (o.specification, o.unit, o.packaging, o.terms, o.zone, o.same_only) OR (o.same_only AND r.quantity <> o.quantity) THEN 'other' ELSE 'reference' END AS kind FROM k o JOIN k r ON r.item = o.item)"""
+
+
+@query("d15_exclusion_reasons", f"""WITH {_KEYED}, c AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{x}') AS {n}" for x, n in (("self", "n_self"), ("outside", "n_outside"), ("late", "n_not_available"), ("other", "n_incomparable"), ("reference", "n")))} FROM j GROUP BY rid)
+  SELECT po_id, part_id, supplier_id, day, cents, n_self, n_outside, n_not_available, n_incomparable, n FROM k JOIN c USING (rid)""")
+def d15_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every operation why each line of its item is or is no reference: own id, dates, the clock of knowledge, nine keys."""
+    return _analysed(spark, sf_dir).select("po_id", "part_id", "supplier_id", "day", "cents", "n_self", "n_outside", "n_not_available", "n_incomparable", "n")
 
 
 # the versioned store

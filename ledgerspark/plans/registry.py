@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import metrics, procurement
+from ..operators import metrics, prices, procurement
 from ..operators.forest import IsolationForest
 from ..sources import tables
 from . import catalog, dialect
@@ -128,12 +128,19 @@ def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.overlap(evaluated(spark, sf_dir), "doc_id", "score", "quality", "y", 50)
 
 
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their day as a number and their price in cents."""
+    d = tables.purchase_lines(spark, sf_dir)
+    return d.select("po_id", "part_id", "supplier_id", "item", F.unix_date("order_date").cast("long").alias("day"), F.round(F.col("unit_price") * 100).cast("long").alias("cents"))
+
+
 @query("d15_price", f"""WITH {catalog.LINES}, ops AS (SELECT *, row_number() OVER () AS rid, round(unit_price * 100)::BIGINT AS cents FROM lines),
   t AS (SELECT o.rid, any_value(o.po_id) AS po_id, any_value(o.part_id) AS part_id, any_value(o.supplier_id) AS supplier_id, any_value(o.day) AS day, any_value(o.cents) AS cents, count(l.rid) AS n, count(DISTINCT l.day) AS dates, count(DISTINCT l.supplier_id) AS suppliers, (2 * quantile_cont(l.cents, 0.5))::BIGINT AS twice
     FROM ops o LEFT JOIN ops l ON l.item = o.item AND l.po_id <> o.po_id AND l.day >= o.day - 90 AND l.day < o.day AND l.day + l.part_id % 30 < o.day GROUP BY o.rid)
   SELECT po_id, part_id, supplier_id, day, n, dates, suppliers, CASE WHEN n < 20 THEN 'insufficient_history' END AS reason, CASE WHEN n >= 20 THEN twice END AS twice_median_cents, CASE WHEN n >= 20 THEN round((2 * cents - twice) * 100.0::DOUBLE / twice, 6) + 0 END AS percent_difference FROM t""")
 def d15_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return procurement.price_references(tables.purchase_lines(spark, sf_dir))
+    d = prices.price_analysis(priced(spark, sf_dir), procurement.available_from(F.col("day"), F.col("part_id")), ["item"], [])
+    return d.select("po_id", "part_id", "supplier_id", "day", "n", "dates", "suppliers", "reason", "twice_median_cents", "percent_difference")
 
 
 @query("j13_two_clocks", f"""WITH {catalog.LINES}, ops AS (SELECT *, row_number() OVER () AS rid FROM lines)
@@ -145,7 +152,7 @@ def j13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p20_exclusion_reasons", f"""WITH {catalog.LINES}, tested AS (SELECT CASE WHEN l.po_id = o.po_id THEN 'self' WHEN l.day < o.day - 90 OR l.day >= o.day THEN 'outside_window' WHEN l.part_id % 3 = 0 THEN 'not_available' WHEN l.unit <> 'A' THEN 'incomparable' ELSE 'comparable' END AS reason FROM lines o JOIN lines l ON l.item = o.item)
   SELECT reason, count(*) AS n FROM tested GROUP BY reason""")
 def p20_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return procurement.exclusion_reasons(tables.purchase_lines(spark, sf_dir))
+    return procurement.exclusion_reasons(tables.purchase_lines(spark, sf_dir), F.pmod("part_id", F.lit(3)) != 0, F.col("unit") == "A")
 
 
 @query("w09_replacement_rank", f"""WITH {catalog.EVALUATED}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS before_rank FROM evaluated)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import variants as V
-from ledgerspark.operators import carried, experiments as E, metrics, prepared, procurement, trailing
+from ledgerspark.operators import carried, experiments as E, metrics, prepared, prices, procurement, trailing
 from ledgerspark.operators.forest import IsolationForest
 from ledgerspark.plans import registry
 from ledgerspark.sources import bundles
@@ -276,3 +276,33 @@ def test_json_values(spark):
     assert [got[k]["kind"] for k in range(1, 8)] == ["object", "array", None, None, "string", "object", "boolean"]
     assert got[1]["k"] == 5 and got[1]["less"] == '{"k":5}' and got[1]["more"] == '{"a":null,"b":[1,2],"k":9}' and got[6]["more"] == '{"k":9}' and got[2]["less"] is None
     assert [(q["id"], q["pos"], q["key"]) for q in V.each(d, "v").orderBy("id", "pos").collect()] == [(1, 0, "a"), (1, 1, "b"), (1, 2, "k"), (2, 0, None), (2, 1, None)]
+
+
+def test_price_analysis_against_plain_code(spark):
+    """Ids that repeat on several days, one group with half of all lines, null ids and prices."""
+    r = random.Random(9)
+    rows = [(k, r.choice(["own1", "own2", None, f"p{k}"]) if r.random() < 0.2 else f"p{k}", r.randint(0, 260), r.randint(0, 3), r.choice(["hot", "hot", "b", "c"]), r.choice("xy"), r.choice([100, 250, r.randint(1, 900), None]), r.randint(0, 40)) for k in range(700)]
+    d = spark.createDataFrame(rows, "k long, po_id string, day long, supplier_id long, item string, unit string, cents long, lag long")
+    got = {q["k"]: q for q in prices.price_analysis(d, F.col("day") + F.col("lag"), ["item"], [F.col("unit")], least=5).collect()}
+    assert len(got) == len(rows)
+    for k, po, day, supplier, item, unit, cents, lag in rows:
+        kinds, ref = {"self": 0, "outside": 0, "late": 0, "other": 0}, []
+        for x in rows:
+            if x[4] != item:
+                continue
+            if po is not None and x[1] == po:
+                kinds["self"] += 1
+            elif not day - 90 <= x[2] < day:
+                kinds["outside"] += 1
+            elif x[2] + x[7] >= day:
+                kinds["late"] += 1
+            elif x[5] != unit:
+                kinds["other"] += 1
+            else:
+                ref.append(x)
+        q = got[k]
+        assert (q["n_self"], q["n_outside"], q["n_not_available"], q["n_incomparable"], q["n"]) == (*kinds.values(), len(ref)), k
+        assert (q["dates"], q["suppliers"]) == (len({x[2] for x in ref}), len({x[3] for x in ref})), k
+        values = [x[6] for x in ref if x[6] is not None]
+        assert q["twice_median_cents"] == (None if len(ref) < 5 or not values else int(2 * np.median(values))), k
+        assert (q["reason"] == "insufficient_history") == (len(ref) < 5)
