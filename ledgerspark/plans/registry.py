@@ -183,4 +183,4 @@ def classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(evaluated(spark, sf_dir).withColumn("length", F.col("score").cast("double")), ["length", "quality"], "y", "doc_id")
 
 
-from . import experiments, inventory  # noqa: E402, F401  their queries register themselves here
+from . import experiments, inventory, ordered  # noqa: E402, F401  their queries register themselves here
