@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..sources import tables
 from ..sources.shared import written
-from . import trailing
+from . import carried, trailing
 from .trailing import numbered
 
 DAYS, LEAST = 90, 20
@@ -156,8 +156,7 @@ def commercial_rank(lines: DataFrame) -> DataFrame:
     """
     d = features(occurrences(lines)).where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull())
     d = d.withColumns({"period": period(F.col("order_date")), "score": F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9)})
-    rank = F.row_number().over(W.partitionBy("period").orderBy(F.desc("score"), "po_id", "order_date", "occurrence"))
-    return d.withColumn("rank", rank.cast("long"))
+    return carried.ranked(d, "score", ["po_id", "order_date", "occurrence"], "rank", ("period",))
 
 
 def counterfactuals(lines: DataFrame) -> DataFrame:
