@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import hmac_sha256, is_close
 from ..sources import tables
-from . import profile
+from . import carried, profile
 
 #: The SHA-256 thresholds of 70 % and 85 %.
 TRAIN_BELOW, VAL_BELOW = "b" + "3" * 63, "d" + "9" * 63
@@ -121,3 +121,47 @@ def drawn_per_group(rows: DataFrame, group: str, ident: str, key: bytes, each: i
 def blinded(rows: DataFrame, ident: str, key: bytes, prefix: str) -> DataFrame:
     """The id gives way to an alias of the keyed hash: prefix and 16 hexadecimal digits."""
     return rows.withColumn(ident, F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(hmac_sha256(key, F.col(ident).cast("string")), 1, 16))))
+
+
+def pools(rows: DataFrame, ident: str, a: str, b: str, budgets: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per budget (percent) every row's pool: among the first of both scores, of one alone, or of neither."""
+    d = rows.select(ident, a, b)
+    for x, name in ((a, "rank_a"), (b, "rank_b")):
+        d = carried.ranked(d, x, [ident], name)
+    d = d.crossJoin(d.agg(F.count("*").alias("n")))  # one row
+    d = d.withColumn("budget", F.explode(F.array(*[F.lit(x) for x in budgets])))
+    k = F.floor((F.col("n") * F.col("budget") + 99) / 100)
+    in_a, in_b = F.col("rank_a") <= k, F.col("rank_b") <= k
+    pool = F.when(in_a & in_b, "both").when(in_a, "a_only").when(in_b, "b_only").otherwise("neither")
+    return d.select("budget", pool.alias("pool"), ident)
+
+
+def review_sample(pooled: DataFrame, ident: str, key: bytes, each: int = 25) -> DataFrame:
+    """`each` rows of every budget and pool by keyed hash; a smaller pool ends the query."""
+    named = pooled.withColumn("stratum", F.concat_ws("/", F.col("budget").cast("string"), "pool"))
+    drawn = drawn_per_group(named, "stratum", ident, key, each)
+    parts = F.split("stratum", "/")
+    return drawn.select(parts[0].cast("int").alias("budget"), parts[1].alias("pool"), ident, "place")
+
+
+def review_packets(members: DataFrame, context: DataFrame, ident: str, aliased: dict[str, str], key: bytes, reviewers: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """Per reviewer a row for each drawn id, in an order of the reviewer's own, under aliases of the reviewer's own.
+
+    aliased: prefix by column of context whose values give way to aliases; other
+    columns of context are shown. An id that the context lacks ends the query; a
+    missing value has no alias.
+    """
+    ids = members.select(ident).distinct()
+    shown = profile.aligned(ids, context, ident).withColumn("reviewer", F.explode(F.array(*[F.lit(x) for x in reviewers])))
+    keyed = lambda *parts: hmac_sha256(key, F.to_json(F.array(*[p.cast("string") for p in parts])))
+    alias = lambda prefix, c, kind: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{prefix}-"), F.substring(keyed(F.lit(kind), F.col("reviewer"), F.col(c)), 1, 16)))
+    d = shown.withColumn("place", F.row_number().over(W.partitionBy("reviewer").orderBy(keyed(F.lit("order"), F.col("reviewer"), F.col(ident)), ident)))  # quotas x pools rows
+    d = d.withColumns({"case_id": alias("C", ident, "case"), **{c: alias(prefix, c, c) for c, prefix in aliased.items()}})
+    return d.select("reviewer", "place", "case_id", *[c for c in context.columns if c != ident])
+
+
+def standardised(rows: DataFrame, columns: tuple[str, ...], learn: Column) -> DataFrame:
+    """The columns as distances from the mean of the rows to learn from, in their population deviations; none where that is 0."""
+    told = rows.where(learn).agg(*[f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("d", F.stddev_pop))])  # one row
+    d = rows.crossJoin(told)
+    return d.withColumns({c: F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__d_{c}")) for c in columns}).drop(*told.columns)

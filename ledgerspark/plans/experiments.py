@@ -259,3 +259,24 @@ def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = prepared.prepare(store, prepared.authorised(lines))
     supports = ["n_item", "n_pair"]
     return d.select("po_id", "order_date", "occurrence", "item", *supports, "status", *[F.when(F.col("values").isNotNull(), F.round(c, 6) + 0.0).alias(c) for c in prepared.VALUES])
+
+
+# D22, A17
+
+_SEED = b"review-seed"
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = invoices.featured(invoices.invoices(spark, sf_dir)).select("invoice_id", F.round("supplier_amount_zscore", 6).alias("z"), "amount")
+    # ids repeat; a case is one row of an id
+    d = d.groupBy("invoice_id").agg(F.max("z").alias("z"), F.max("amount").alias("amount"))
+    return d, invoices.pools(d, "invoice_id", "z", "amount")
+
+
+@query("d22_review_packets")
+def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reviewers' rows of five invoices of every pool and budget, under aliases."""
+    members = invoices.review_sample(_reviewed(spark, sf_dir)[1], "invoice_id", _SEED, 5)
+    columns = ["supplier_id", "department_id", "invoice_date", "amount", "payment_terms", "submission_hour"]
+    context = invoices.invoices(spark, sf_dir).groupBy("invoice_id").agg(*[F.min(c).alias(c) for c in columns])
+    return invoices.review_packets(members, context, "invoice_id", {"supplier_id": "F", "department_id": "D"}, _SEED)

@@ -483,6 +483,23 @@ def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WHOLE = ", ".join(f"'{c}'" for c in invoices.FEATURES), ", ".join(f"{c}::DOUBLE" for c in invoices.FEATURES)
 
 
+@query("a17_standardised", f"""WITH f AS ({ORACLES["d01_all_features"]}), m AS (SELECT {", ".join(f"avg({c}::DOUBLE) AS m_{c}, stddev_pop({c}::DOUBLE) AS d_{c}" for c in invoices.FEATURES)} FROM f WHERE split = 'train')
+  SELECT invoice_id, split, {", ".join(f"round(({c} - m_{c}) / nullif(d_{c}, 0), 5) + 0 AS {c}" for c in invoices.FEATURES)} FROM f CROSS JOIN m""")
+def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nineteen features scaled by TRAIN."""
+    d = invoices.standardised(d01(spark, sf_dir), invoices.FEATURES, F.col("split") == "train")
+    return d.select("invoice_id", "split", *[(F.round(c, 5) + 0.0).alias(c) for c in invoices.FEATURES])
+
+
+@query("d22_pool_sizes", f"""WITH f AS ({ORACLES["d01_all_features"]}), r AS (SELECT invoice_id, max(supplier_amount_zscore) AS z, max(amount) AS amount FROM f GROUP BY invoice_id),
+  k AS (SELECT *, row_number() OVER (ORDER BY z DESC, invoice_id) AS a, row_number() OVER (ORDER BY amount DESC, invoice_id) AS b, count(*) OVER () AS n FROM r), b AS (SELECT unnest([1, 5, 10]) AS budget)
+  SELECT budget, CASE WHEN a <= (n * budget + 99) // 100 AND b <= (n * budget + 99) // 100 THEN 'both' WHEN a <= (n * budget + 99) // 100 THEN 'a_only' WHEN b <= (n * budget + 99) // 100 THEN 'b_only' ELSE 'neither' END AS pool, count(*) AS n FROM k CROSS JOIN b GROUP BY ALL""".replace("CROSS JOIN b GROUP", "CROSS JOIN b bb GROUP"))
+def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many invoices are in each pool of each budget, by z-score and by amount."""
+    d = d01(spark, sf_dir).groupBy("invoice_id").agg(F.max("supplier_amount_zscore").alias("z"), F.max("amount").alias("amount"))
+    return invoices.pools(d, "invoice_id", "z", "amount").groupBy("budget", "pool").agg(F.count("*").alias("n"))
+
+
 @query("a06_census", f"""WITH f AS ({ORACLES["d01_all_features"]}), v AS (SELECT unnest([{_WHOLE[0]}]) AS feature, unnest([{_WHOLE[1]}]) AS x FROM f)
   SELECT feature, CAST(count(*) FILTER (x IS NULL) AS BIGINT) AS missing, CAST(count(*) FILTER (NOT isfinite(x)) AS BIGINT) AS infinite FROM v GROUP BY feature""")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
