@@ -306,3 +306,53 @@ def test_price_analysis_against_plain_code(spark):
         values = [x[6] for x in ref if x[6] is not None]
         assert q["twice_median_cents"] == (None if len(ref) < 5 or not values else int(2 * np.median(values))), k
         assert (q["reason"] == "insufficient_history") == (len(ref) < 5)
+
+
+def test_review_packets_follow_the_keyed_hash(spark):
+    import hashlib
+    import hmac
+
+    from ledgerspark.operators import invoices
+
+    key, r = b"k", random.Random(2)
+    said = lambda *parts: hmac.new(key, json.dumps(list(map(str, parts)), separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+    rows = [(f"i{k:03d}", r.randint(0, 30) * 1.0, r.random(), r.choice(["s1", "s2", None]), k) for k in range(400)]
+    d = spark.createDataFrame(rows, "id string, a double, b double, supplier string, shown int")
+    top = lambda c, k: {x[0] for x in sorted(rows, key=lambda x: (-x[c], x[0]))[:k]}
+    want = {}
+    for budget in (5, 10):
+        k = -(-400 * budget // 100)
+        a, b = top(1, k), top(2, k)
+        for x in rows:
+            want[budget, x[0]] = "both" if x[0] in a & b else "a_only" if x[0] in a else "b_only" if x[0] in b else "neither"
+    pooled = invoices.pools(d, "id", "a", "b", (5, 10))
+    assert {(q["budget"], q["id"]): q["pool"] for q in pooled.collect()} == want
+    drawn = invoices.review_sample(pooled.where("pool <> 'both'"), "id", key, 7)
+    got = {(q["budget"], q["pool"], q["id"]) for q in drawn.collect()}
+    chosen = set()
+    for budget in (5, 10):
+        for pool in ("a_only", "b_only", "neither"):
+            members = [i for (x, i), p in want.items() if (x, p) == (budget, pool)]
+            chosen |= {(budget, pool, i) for i in sorted(members, key=lambda i: (said(f"{budget}/{pool}", i), i))[:7]}
+    assert got == chosen
+    with pytest.raises(Exception, match="too few rows"):
+        invoices.review_sample(pooled, "id", key, 300).collect()
+    packets = invoices.review_packets(drawn, d.select("id", "supplier", "shown"), "id", {"supplier": "F"}, key).collect()
+    ids = {i for *_, i in chosen}
+    by_id = {x[0]: x for x in rows}
+    for reviewer in "AB":
+        order = sorted(ids, key=lambda i: (said("order", reviewer, i), i))
+        mine = sorted((q["place"], q["case_id"], q["supplier"], q["shown"]) for q in packets if q["reviewer"] == reviewer)
+        assert mine == [(n + 1, "C-" + said("case", reviewer, i)[:16], None if by_id[i][3] is None else "F-" + said("supplier", reviewer, by_id[i][3])[:16], by_id[i][4]) for n, i in enumerate(order)]
+
+
+def test_standardised_columns(spark):
+    from ledgerspark.operators import invoices
+
+    rows = [(k, "train" if k % 3 else "val", float(k * k % 17), 4.0, None if k == 5 else k * 0.5) for k in range(60)]
+    d = spark.createDataFrame(rows, "k int, split string, x double, same double, y double")
+    got = {q["k"]: q for q in invoices.standardised(d, ("x", "same", "y"), F.col("split") == "train").collect()}
+    for c, at in (("x", 2), ("y", 4)):
+        train = np.array([q[at] for q in rows if q[1] == "train" and q[at] is not None])
+        for q in rows:
+            assert got[q[0]]["same"] is None and (got[q[0]][c] is None if q[at] is None else abs(got[q[0]][c] - (q[at] - train.mean()) / train.std()) < 1e-9)
