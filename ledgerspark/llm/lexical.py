@@ -96,7 +96,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Po
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, blocks))
     name = f"postings_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    postings.repartition(buckets, "term", "block").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "term", "block").saveAsTable(name)
+    postings.repartition(buckets, "term", "block").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "term", "block").sortBy("term").saveAsTable(name)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     rows = spark.table(name)
