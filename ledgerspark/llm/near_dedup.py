@@ -176,7 +176,7 @@ def fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int, each: int = 32, block: int = 1024) -> DataFrame:
+def link_classes(rows: DataFrame, classes: DataFrame, text: str, width: int, percent: int, each: int = 32, *, block: int = 1024) -> DataFrame:
     """(cid, root) for every class (cid: the row that stands for it, n, regs, bitmap).
 
     Pairs are met at once when there are at most `each` for every entry of a bucket.
