@@ -17,7 +17,7 @@ from ..sources.shared import written
 from . import carried
 from .forest import IsolationForest
 from .procurement import PERIODS, SCENARIOS, commercial_deviation, counterfactual_features, period
-from .profile import quantiles
+from .profile import near_quantiles, quantiles
 
 MODEL_FEATURES = ["price_ratio", "quantity_ratio", "total_ratio", "price_iqr_distance", "relative_iqr"]
 KEY = ["po_id", "order_date", "occurrence"]
@@ -60,7 +60,7 @@ def score_report(scored: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.2
     """Per period n, min, max, mean, std, p01 to p99, and how many reach the development's P95 and P99 (ties count)."""
     spark = scored.sparkSession
     names = [f"p{round(100 * q):02d}" for q in shares]
-    q = quantiles(scored, "score", list(shares), "period").toDF("period", "n", *names)
+    q = near_quantiles(scored, "score", list(shares), "period").toDF("period", "n", *names)
     basic = scored.groupBy("period").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
     marks = q.where("period = 'development'").select(F.col("p95").alias("at95"), F.col("p99").alias("at99"))  # one row
     reach = lambda mark: F.sum(F.coalesce(F.col("score") >= F.col(mark), F.lit(False)).cast("long"))  # noqa: E731  none where the development has no scores
@@ -120,6 +120,20 @@ def both_ranked(lines: DataFrame, a: Method, b: Method, k: int = 30) -> DataFram
     return d.withColumns({"in_a": F.col("rank_a") <= k, "in_b": F.col("rank_b") <= k})
 
 
+def both_selected(lines: DataFrame, a: Method, b: Method, k: int = 30) -> DataFrame:
+    """both_ranked() without the ranks: a period's first k by each score are found by a limit per task and period, so that no other line is sorted across tasks.
+
+    The selections (periods x k rows at most) are joined by broadcast.
+    """
+    d = b(a(lines).withColumnRenamed("score", "score_a")).withColumnRenamed("score", "score_b")
+    out = d
+    for x in "ab":
+        first = F.row_number().over(W.partitionBy("period").orderBy(F.desc_nulls_last(f"score_{x}"), *map(F.asc, KEY)))
+        chosen = written(d.select("period", *KEY, f"score_{x}").withColumn("__rank", first).where(F.col("__rank") <= k).select(*KEY), f"first-{x}")
+        out = out.join(F.broadcast(chosen.withColumn(f"in_{x}", F.lit(True))), KEY, "left").fillna(False, [f"in_{x}"])
+    return out
+
+
 def overlap_by_period(both: DataFrame) -> DataFrame:
     """Per period: the two selections' sizes, what they share, and each one's score at the boundary with its ties."""
     n = lambda c: F.sum(c.cast("long"))
@@ -169,7 +183,9 @@ def profiles(both: DataFrame) -> DataFrame:
     )
     values = [*MODEL_FEATURES, "price_log", "quantity_log"]
     long = d.select("period", "set", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in values])).alias("v")).select("period", "set", "v.feature", "v.x")
-    five = quantiles(long, "x", [0, 0.05, 0.5, 0.95, 1], "period", "set", "feature").drop("n").withColumnsRenamed({f"q{k}": c for k, c in enumerate(("low", "p05", "median", "p95", "high"))})
+    shares, by = [0, 0.05, 0.5, 0.95, 1], ["period", "set", "feature"]
+    five = near_quantiles(long.where("set = 'population'"), "x", shares, *by).unionByName(quantiles(long.where("set <> 'population'"), "x", shares, *by))
+    five = five.drop("n").withColumnsRenamed({f"q{k}": c for k, c in enumerate(("low", "p05", "median", "p95", "high"))})
     return five.join(counted, ["period", "set"])
 
 
@@ -243,7 +259,7 @@ def development_marks(lines: DataFrame, methods: dict[str, Method]) -> DataFrame
     """(method, p95, p99) of the development period's scores."""
     out = None
     for name, method in methods.items():
-        row = quantiles(method(lines.where("period = 'development'")), "score", [0.95, 0.99]).select(F.lit(name).alias("method"), F.col("q0").alias("p95"), F.col("q1").alias("p99"))
+        row = near_quantiles(method(lines.where("period = 'development'")), "score", [0.95, 0.99]).select(F.lit(name).alias("method"), F.col("q0").alias("p95"), F.col("q1").alias("p99"))
         out = row if out is None else out.unionByName(row)
     return out
 

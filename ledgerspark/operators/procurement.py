@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..sources import tables
-from ..sources.shared import written
+from ..sources.shared import small, written
 from . import carried, trailing
+from .profile import near_quantiles
 from .trailing import numbered
 
 DAYS, LEAST = 90, 20
@@ -49,17 +50,15 @@ RATIOS = ("price_ratio", "price_iqr_distance", "relative_iqr", "quantity_ratio",
 SUPPORTS = {"item": ("item",), "pair": ("item", "supplier_id"), "supplier": ("supplier_id",), "unit": ("unit",), "window": ()}
 
 
-def trailing_supports(d: DataFrame) -> DataFrame:
-    """(kind, item, supplier_id, unit, day, n): the lines of the 90 days before a day, for every kind of support.
+def trailing_supports(d: DataFrame, kind: str) -> DataFrame:
+    """(keys of the kind, day, n): the lines of the 90 days before a day.
 
-    Lines are counted once by all keys and the day, then by the keys of each
-    kind; windows run over days, of which a key has few, never over lines.
+    Lines are counted by keys and day first; windows run over days, of which a
+    key has few, never over lines.
     """
-    cells = d.where(F.col("day").isNotNull()).groupBy("item", "supplier_id", "unit", "day").agg(F.count("*").alias("c"))
-    kinds = {f.name: f.dataType for f in d.schema.fields}
-    key = lambda kind, keys: F.struct(F.lit(kind).alias("kind"), *[(F.col(k) if k in keys else F.lit(None).cast(kinds[k])).alias(k) for k in ("item", "supplier_id", "unit")])
-    daily = cells.select("day", "c", F.explode(F.array(*[key(k, keys) for k, keys in SUPPORTS.items()])).alias("k")).groupBy("k", "day").agg(F.sum("c").alias("c"))
-    return daily.select("k.*", "day", F.coalesce(F.sum("c").over(window("k")), F.lit(0)).alias("n"))
+    keys = SUPPORTS[kind]
+    daily = d.where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(F.count("*").alias("c"))
+    return daily.select(*keys, "day", F.coalesce(F.sum("c").over(window(*keys)), F.lit(0)).alias("n"))
 
 
 def joined(d: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
@@ -76,56 +75,76 @@ MEASURES = {0: "unit_price", 1: "quantity", 2: "line_total", 3: "unit_price"}
 SHARES = {0: (0.25, 0.5, 0.75), 1: (0.5,), 2: (0.5,), 3: (0.5,)}
 
 
-def trailing_references(d: DataFrame, supports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per (item, day) and per (item, supplier, day) with LEAST lines in the 90 days before, their order statistics."""
-    enough = supports.where((F.col("n") >= LEAST) & F.col("item").isNotNull())
-    items, pairs = enough.where("kind = 'item'").select("item", "day"), enough.where("kind = 'pair'").select("item", "supplier_id", "day")
-    item_ids, pair_ids = numbered(items.select("item").distinct()), numbered(pairs.select("item", "supplier_id").distinct())
+def trailing_references(d: DataFrame, items: DataFrame, pairs: DataFrame | None = None, mad: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Of asked (item, day) and (item, supplier, day), the order statistics of the lines in the 90 days before; MAD and pairs only if asked for."""
+    item_ids = numbered(items.select("item").distinct())
+    pair_ids = None if pairs is None else numbered(pairs.select("item", "supplier_id").distinct()).withColumnRenamed("id", "pair_id")
     group = lambda m: F.col("pair_id" if m == 3 else "id") * trailing.MEASURES + m
-    values = F.array(*[F.struct(group(m).alias("g"), F.col(c).cast("double").alias("x")) for m, c in MEASURES.items()])
-    named = joined(d.select("item", "supplier_id", "day", *sorted(set(MEASURES.values()))).join(item_ids, "item"), pair_ids.withColumnRenamed("id", "pair_id"), "item", "supplier_id")
-    entries = named.select("day", F.explode(values).alias("e")).where("e.g IS NOT NULL AND day IS NOT NULL")
-    entries = entries.select("e.g", (F.col("day") + 1).alias("since"), (F.col("day") + DAYS).alias("until"), "e.x")
+    measures = {m: c for m, c in MEASURES.items() if m < 3 or pairs is not None}
+    named = d.select("item", "supplier_id", "day", *sorted(set(measures.values()))).join(item_ids, "item")
+    named = named if pairs is None else joined(named, pair_ids, "item", "supplier_id")
+    values = F.array(*[F.struct(group(m).alias("g"), F.col(c).cast("double").alias("x")) for m, c in measures.items()])
+    counted = named.select("day", F.explode(values).alias("e")).where("e.g IS NOT NULL AND day IS NOT NULL").groupBy("e.g", "day", "e.x").agg(F.count("*").alias("c"))
+    entries = counted.select("g", (F.col("day") + 1).alias("since"), (F.col("day") + DAYS).alias("until"), "x", "c")
     asked = items.join(item_ids, "item").select(F.explode(F.array(*[group(m) for m in range(3)])).alias("g"), "day")
-    asked = asked.unionByName(joined(pairs, pair_ids.withColumnRenamed("id", "pair_id"), "item", "supplier_id").select(group(3).alias("g"), "day"))
-    found = trailing.order_statistics(entries, asked, SHARES, (0,), days=DAYS).withColumns({"measure": F.col("g") % trailing.MEASURES, "id": F.floor(F.col("g") / trailing.MEASURES)})
+    if pairs is not None:
+        asked = asked.unionByName(joined(pairs, pair_ids, "item", "supplier_id").select(group(3).alias("g"), "day"))
+    found = trailing.order_statistics(entries, asked, SHARES, (0,) if mad else (), days=DAYS).withColumns({"measure": F.col("g") % trailing.MEASURES, "id": F.floor(F.col("g") / trailing.MEASURES)})
     of = lambda m, what: F.max(F.when((F.col("measure") == m) & (F.col("what") == what), F.col("value")))
-    per_item = found.where("measure < 3").groupBy("id", "day").agg(of(0, 0).alias("q1"), of(0, 1).alias("median_price"), of(0, 2).alias("q3"), of(0, -1).alias("mad_price"), of(1, 0).alias("median_quantity"), of(2, 0).alias("median_total"))
-    per_pair = found.where("measure = 3").select("id", "day", F.col("value").alias("pair_median"))
-    return per_item.join(item_ids, "id").drop("id"), per_pair.join(pair_ids, "id").drop("id")
+    more = [of(0, -1).alias("mad_price")] if mad else []
+    per_item = found.where("measure < 3").groupBy("id", "day").agg(of(0, 0).alias("q1"), of(0, 1).alias("median_price"), of(0, 2).alias("q3"), *more, of(1, 0).alias("median_quantity"), of(2, 0).alias("median_total"))
+    per_item = per_item.join(item_ids, "id").drop("id")
+    if pairs is None:
+        return per_item, None
+    per_pair = found.where("measure = 3").select(F.col("id").alias("pair_id"), "day", F.col("value").alias("pair_median"))
+    return per_item, per_pair.join(pair_ids, "pair_id").drop("pair_id")
 
 
-def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None) -> DataFrame:
+def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None, kinds: tuple[str, ...] = tuple(SUPPORTS), mad: bool = True) -> DataFrame:
     """The nine features, their reasons, MAD and all support counts of every line.
 
     only (po_id, order_date, occurrence): for these lines alone; the others are
     their history.
 
+    kinds, mad: which supports are counted besides those of the item, and whether
+    MAD is found; without `pair` there is no pair_price_ratio. The lines are
+    written once; tables by item, unit or day are joined to them without a
+    shuffle of the lines as long as they are small.
+
     covered_from (a date) says from when on the history is complete; lines whose
     90 days begin before it have the reason `incomplete_coverage` and no feature.
     Lines without an item or a date have no references and are left out.
     """
-    d = lines.withColumn("day", F.unix_date("order_date").cast("long"))
-    supports = trailing_supports(d)
-    history, d = d, d.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    history = written(lines.withColumn("day", F.unix_date("order_date").cast("long")), "lines")
+    d = history.where(F.col("item").isNotNull() & F.col("day").isNotNull())
+    kinds = tuple(k for k in SUPPORTS if k == "item" or k in kinds)
     if only is not None:
         d = d.join(only, ["po_id", "order_date", "occurrence"], "left_semi")
-        supports = supports.join(d.select("day").distinct(), "day", "left_semi")
-    supports = written(supports, "supports")
-    asked = supports if only is None else supports.join(d.select("item", "day").distinct(), ["item", "day"], "left_semi")
-    per_item, per_pair = trailing_references(history, asked)
-    for kind, keys in SUPPORTS.items():
-        found = supports.where(F.col("kind") == kind).select(*keys, "day", F.col("n").alias(f"n_{kind}"))
-        if kind in ("item", "pair"):
-            found = joined(found, per_item if kind == "item" else per_pair, *keys, "day")
-        d = joined(d, found, *keys, "day")
+        days, asked_items = d.select("day").distinct(), d.select("item", "day").distinct()
+    supports = {}
+    for kind in kinds:
+        found = trailing_supports(history, kind)
+        supports[kind] = written(found if only is None else found.join(days, "day", "left_semi"), f"support-{kind}")
+    enough = {k: supports[k].where((F.col("n") >= LEAST) & F.col("item").isNotNull()) for k in ("item", "pair") if k in kinds}
+    if only is not None:
+        enough = {k: v.join(asked_items, ["item", "day"], "left_semi") for k, v in enough.items()}
+    per = dict(zip(("item", "pair"), trailing_references(history, enough["item"].drop("n"), enough["pair"].drop("n") if "pair" in kinds else None, mad)))
+    for kind in kinds:
+        keys, found = SUPPORTS[kind], supports[kind].withColumnRenamed("n", f"n_{kind}")
+        if kind == "pair":
+            d = joined(d, small(written(per["pair"], "pair-references")), *keys, "day")
+        elif kind == "item":
+            found = written(joined(found, per["item"], *keys, "day"), "references")
+        d = joined(d, small(found), *keys, "day")
     d = d.withColumn("iqr", F.col("q3") - F.col("q1"))
     price, n = F.col("unit_price"), F.col("n_item")
     made = {
         "price_ratio": ratio(price, F.col("median_price"), n), "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n, "zero_iqr"),
         "relative_iqr": ratio(F.col("iqr"), F.col("median_price"), n), "quantity_ratio": ratio(F.col("quantity"), F.col("median_quantity"), n),
-        "total_ratio": ratio(F.col("line_total"), F.col("median_total"), n), "pair_price_ratio": ratio(price, F.col("pair_median"), F.col("n_pair")),
+        "total_ratio": ratio(F.col("line_total"), F.col("median_total"), n),
     }
+    if "pair" in kinds:
+        made["pair_price_ratio"] = ratio(price, F.col("pair_median"), F.col("n_pair"))
     if covered_from is not None:
         short = F.date_sub("order_date", DAYS) < F.lit(covered_from)
         made = {k: (F.when(~short, v), F.when(short, F.lit("incomplete_coverage")).otherwise(r)) for k, (v, r) in made.items()}
@@ -154,8 +173,10 @@ def commercial_rank(lines: DataFrame) -> DataFrame:
 
     Scores are compared at nine digits, so that the order does not hang on the last bit of a logarithm.
     """
-    d = features(occurrences(lines)).where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull())
-    d = d.withColumns({"period": period(F.col("order_date")), "score": F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9)})
+    columns = ("item", "supplier_id", "quantity", "unit_price", "line_total")  # no more is written
+    d = features(occurrences(lines).select("po_id", "order_date", "occurrence", *columns), kinds=(), mad=False).where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull())
+    score = F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9)
+    d = d.select("po_id", "order_date", "occurrence", period(F.col("order_date")).alias("period"), score.alias("score"))
     return carried.ranked(d, "score", ["po_id", "order_date", "occurrence"], "rank", ("period",))
 
 
@@ -203,9 +224,10 @@ def counterfactual_features(featured: DataFrame) -> DataFrame:
     """The features of changed lines against the frozen references of the unchanged ones."""
     price, n = F.col("price1"), F.col("n_item")
     total = F.col("price1") * F.col("quantity1")
-    return changed(featured).withColumns({
+    paired = {"pair_price_ratio": ratio(price, F.col("pair_median"), F.col("n_pair"))[0]} if "pair_median" in featured.columns else {}
+    return changed(featured).withColumns(paired | {
         "price_ratio": ratio(price, F.col("median_price"), n)[0], "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n)[0], "quantity_ratio": ratio(F.col("quantity1"), F.col("median_quantity"), n)[0],
-        "total_ratio": ratio(total, F.col("median_total"), n)[0], "pair_price_ratio": ratio(price, F.col("pair_median"), F.col("n_pair"))[0],
+        "total_ratio": ratio(total, F.col("median_total"), n)[0],
     })
 
 
@@ -221,8 +243,10 @@ def paired_effects(pairs: DataFrame, least: int = 10) -> DataFrame:
     """Effects per period and scenario, and per category where it has `least` pairs."""
     delta = F.col("after") - F.col("before")
     n = lambda c: F.sum(c.cast("long"))
+
     def report(*keys: str) -> DataFrame:
-        return pairs.groupBy(*keys).agg(F.count("*").alias("valid"), n(delta > 0).alias("increased"), n(delta < 0).alias("decreased"), F.avg(delta).alias("mean_delta"), F.percentile(delta, 0.5).alias("median_delta"))
+        counts = pairs.groupBy(*keys).agg(F.count("*").alias("valid"), n(delta > 0).alias("increased"), n(delta < 0).alias("decreased"), F.avg(delta).alias("mean_delta"))
+        return joined(counts, near_quantiles(pairs.withColumn("delta", delta), "delta", [0.5], *keys).select(*keys, F.col("q0").alias("median_delta")), *keys)
 
     both = report("period", "scenario", "category").unionByName(report("period", "scenario").withColumn("category", F.lit(None).cast("string")))
     shown = F.col("category").isNull() | (F.col("valid") >= least)

@@ -6,6 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.shared import small, written
+
 #: Cuts of an order: one for each CUT_ROWS rows, within these bounds.
 CUTS, CUT_ROWS = (64, 1024), 1 << 16
 
@@ -58,6 +60,11 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], *by: str) -> Da
         same = same & F.col(c).eqNullSafe(F.col(f"__of{k}"))
     run = running(counts, {"c": "last"}, "x", *by)
     keyed = (run.join(sums, same) if by else run.crossJoin(sums)).withColumn("first", F.col("last") - F.col("c") + 1)  # without groups: one row
+    return picked(keyed, shares, *by)
+
+
+def picked(keyed: DataFrame, shares: list[float], *by: str) -> DataFrame:
+    """The quantiles of counted values x, of which each takes the places first to last among the n of its group."""
     picks = []
     for k, q in enumerate(shares):
         at = F.lit(float(q)) * (F.col("n") - 1) + 1
@@ -69,6 +76,40 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], *by: str) -> Da
     return found.select(*by, "n", *[(F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * F.col(f"w{k}")).alias(f"q{k}") for k in range(len(shares))])
 
 
+#: Accuracy of the brackets around ranks: a bracket holds about 6 of NEAR values.
+NEAR = 2000
+
+
+def near_quantiles(rows: DataFrame, column: str, shares: list[float], *by: str) -> DataFrame:
+    """quantiles() of few and large groups, exact too: only the values in brackets around the ranks are shuffled, the others are counted.
+
+    rows is read twice. Brackets come from approximate quantiles; should a rank
+    lie outside its bracket, quantiles() decides.
+    """
+    values = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("x"))
+    asked = sorted({min(1.0, max(0.0, q + d)) for q in shares for d in (-3 / NEAR, 3 / NEAR)})
+    edges = values.groupBy(*[F.col(c).alias(f"__of{k}") for k, c in enumerate(by)]).agg(F.count("*").alias("n"), F.percentile_approx("x", asked, NEAR).alias("e"))
+    at = {q: F.col("e")[k] for k, q in enumerate(asked)}
+    low = lambda q: F.lit(float("-inf")) if q * NEAR <= 3 else at[max(0.0, q - 3 / NEAR)]
+    high = lambda q: F.lit(float("inf")) if (1 - q) * NEAR <= 3 else at[min(1.0, q + 3 / NEAR)]
+    brackets = F.array(*[F.struct(low(q).alias("low"), high(q).alias("high")) for q in shares])
+    edges = written(edges.select("n", *[f"__of{k}" for k in range(len(by))], brackets.alias("b")), "edges")
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__of{k}"))
+    met = values.join(small(edges), same) if by else values.crossJoin(F.broadcast(edges))  # without groups: one row
+    below = F.size(F.filter("b", lambda b: b["low"] < F.col("x"))) + F.size(F.filter("b", lambda b: b["high"] < F.col("x")))
+    kept = F.when(F.exists("b", lambda b: (b["low"] <= F.col("x")) & (F.col("x") <= b["high"])), F.col("x"))
+    counts = met.groupBy(*by, "n", below.alias("place"), kept.alias("x")).agg(F.count("*").alias("c"))
+    order = W.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("place", F.asc_nulls_first("x")).rowsBetween(W.unboundedPreceding, 0)
+    keyed = counts.withColumn("last", F.sum("c").over(order)).withColumn("first", F.col("last") - F.col("c") + 1)
+    found = written(picked(keyed, shares, *by), "near-quantiles")
+    missing = F.lit(False)
+    for k in range(len(shares)):
+        missing = missing | F.col(f"q{k}").isNull()
+    return found if found.where(missing).isEmpty() else quantiles(rows, column, shares, *by)
+
+
 def census(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column, how many values are missing and how many are infinite or no number."""
     one = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"m_{c}") for c in columns], *[F.sum((F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).cast("long")).alias(f"i_{c}") for c in columns])

@@ -150,7 +150,8 @@ def order_statistics(entries: DataFrame, asked: DataFrame, shares: dict[int, tup
     """(g, day, who, n, what, value): per ask each share's quantile (linear between neighbours) as what = 0, 1, ..., the MAD as -1.
 
     entries (g, since, until, x): values of a group, visible for `days` days at
-    most; null and NaN values are left out. asked (g, day): distinct; or (g, day,
+    most; null and NaN values are left out; with a column c they are counted and
+    distinct. asked (g, day): distinct; or (g, day,
     who, skip), distinct with who, where skip lists visible values that the ask
     leaves out, once each. An ask without a visible value gets no row. shares: by
     measure, g % MEASURES. For a MAD the second share has to be 0.5; asks with
@@ -159,7 +160,9 @@ def order_statistics(entries: DataFrame, asked: DataFrame, shares: dict[int, tup
     own = "skip" in asked.columns
     wanted = written(asked if own else asked.withColumn("who", F.lit(0).cast("long")), "asked")
     counted = entries.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.col("since") <= F.col("until")))
-    counted = written(ranges(counted.groupBy("g", "since", "until", "x").agg(F.count("*").alias("c")), cuts), "counted")
+    if "c" not in entries.columns:
+        counted = counted.groupBy("g", "since", "until", "x").agg(F.count("*").alias("c"))
+    counted = written(ranges(counted, cuts), "counted")
     steps = F.array(F.struct(F.col("since").alias("at"), F.col("c").alias("c")), F.struct((F.col("until") + 1).alias("at"), (-F.col("c")).alias("c")))
     events = counted.select("g", "r", "x", F.explode(steps).alias("e")).groupBy("g", F.col("e.at").alias("at"), "r").agg(F.sum("e.c").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
     by = lambda d: d.groupBy("g")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +29,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A written table of at most so many rows is broadcast, whatever the size of the data.
+SMALL = 1 << 17
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows (a count that reads no column)."""
+    return F.broadcast(table) if table.count() <= SMALL else table
