@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..sources.shared import written
+from ..sources.shared import small, written
 from . import carried
 from .forest import IsolationForest
 from .procurement import PERIODS, SCENARIOS, commercial_deviation, counterfactual_features, period
@@ -86,7 +86,7 @@ def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fiel
     def side(d: DataFrame, name: str, columns: list[str]) -> DataFrame:
         return d.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), *[F.first(c).alias(f"{name}_{c}") for c in columns])
 
-    stale = carried.ranked(ranking, "score", KEY, "due", ("period",))
+    stale = carried.ranked(ranking.select("period", *KEY, "score", "rank", *fields, *catalogued), "score", KEY, "due", ("period",))
     r = side(stale.withColumn("stale", (F.col("due") != F.col("rank")).cast("int")), "r", [*fields, *catalogued, "stale"])
     met = r.join(side(matrix, "m", fields), keys, "full").join(side(catalogue, "c", catalogued), keys, "full")
     finding = F.when((F.col("r_n") > 1) | (F.col("m_n") > 1) | (F.col("c_n") > 1), "repeated_key")
@@ -195,8 +195,9 @@ def profiles(both: DataFrame) -> DataFrame:
 def selected(lines: DataFrame, seed: int = 42, per_item: int = 5) -> DataFrame:
     """Of each evaluation period and item `per_item` eligible lines (all, if fewer), drawn by a keyed hash that no score enters."""
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), "period", "item", "po_id", F.col("order_date").cast("string"), F.col("occurrence").cast("string")), 256)
-    drawn = lines.where(F.col("period").isin(*EVALUATION)).withColumn("__draw", F.row_number().over(W.partitionBy("period", "item").orderBy(key)))
-    return drawn.where(F.col("__draw") <= per_item).drop("__draw")
+    drawn = lines.where(F.col("period").isin(*EVALUATION)).select("period", "item", *KEY).withColumn("__draw", F.row_number().over(W.partitionBy("period", "item").orderBy(key)))
+    drawn = small(written(drawn.where(F.col("__draw") <= per_item).select(*KEY), "drawn"))
+    return lines.join(drawn, KEY, "left_semi")
 
 
 def injected(chosen: DataFrame) -> DataFrame:
@@ -218,10 +219,13 @@ def experiment(lines: DataFrame, methods: dict[str, Method], seed: int = 42, per
     changes = written(injected(chosen), "injected")
     out = None
     for name, method in methods.items():
-        held = carried.ranked(method(lines).select("period", *KEY, "score"), "score", KEY, "rank_before", ("period",))
-        before = held.join(chosen.select(*KEY), KEY).select(*KEY, F.col("score").alias("score_before"), "rank_before")
-        asked = method(changes.where("applicable")).select("period", *KEY, "score", "scenario")
-        after = carried.ahead(held.select("period", *KEY, "score"), asked, "score", KEY, ("period",)).select(*KEY, "scenario", F.col("score").alias("score_after"), "ahead")
+        # ranks are within a period, so that no other period's lines are needed
+        held = written(method(lines.where(F.col("period").isin(*EVALUATION))).select("period", *KEY, "score"), "scores")
+        asked = held.join(small(chosen.select(*KEY)), KEY, "left_semi").select("period", *KEY, "score", F.lit(None).cast("string").alias("scenario"))
+        asked = asked.unionByName(method(changes.where("applicable")).select("period", *KEY, "score", "scenario"))
+        placed = written(carried.ahead(held, asked, "score", KEY, ("period",)), "placed")
+        before = placed.where("scenario IS NULL").select(*KEY, F.col("score").alias("score_before"), (F.col("ahead") + 1).alias("rank_before"))
+        after = placed.where("scenario IS NOT NULL").select(*KEY, "scenario", F.col("score").alias("score_after"), "ahead")
         row = changes.select(*KEY, "period", "item", "category", "scenario", "applicable").join(before, KEY).join(after, [*KEY, "scenario"], "left")
         # the line's own unchanged score stood before its changed one where it is higher
         own = (F.col("score_before") > F.col("score_after")).cast("long")
@@ -259,7 +263,8 @@ def development_marks(lines: DataFrame, methods: dict[str, Method]) -> DataFrame
     """(method, p95, p99) of the development period's scores."""
     out = None
     for name, method in methods.items():
-        row = near_quantiles(method(lines.where("period = 'development'")), "score", [0.95, 0.99]).select(F.lit(name).alias("method"), F.col("q0").alias("p95"), F.col("q1").alias("p99"))
+        scores = written(method(lines.where("period = 'development'")).select("score"), "scores")
+        row = near_quantiles(scores, "score", [0.95, 0.99]).select(F.lit(name).alias("method"), F.col("q0").alias("p95"), F.col("q1").alias("p99"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .profile import quantiles
+from ..sources.shared import written
+from .profile import near_quantiles
 
 EULER = 0.5772156649015329
 
@@ -46,6 +47,36 @@ def grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> tuple[np.
     return tuple(map(np.array, (column, threshold, left, right, length)))
 
 
+#: Trees of at most so many levels are scored in the complete layout.
+LEVELS = 12
+
+
+def complete(nodes: list[tuple[np.ndarray, ...]]) -> tuple[int, list[tuple[np.ndarray, ...]]] | None:
+    """Trees as complete ones (children of k: 2k, 2k + 1), where leaves repeat down to the last level; None if they are too deep."""
+
+    def levels(tree, k: int = 0) -> int:
+        return 0 if tree[0][k] < 0 else 1 + max(levels(tree, tree[2][k]), levels(tree, tree[3][k]))
+
+    depth = max(1, max(map(levels, nodes), default=1))
+    if depth > LEVELS:
+        return None
+    out = []
+    for column, threshold, left, right, length in nodes:
+        c, t, last = np.zeros(1 << depth, np.intp), np.zeros(1 << depth), np.zeros(1 << depth)
+        stack = [(0, 1)]
+        while stack:
+            k, at = stack.pop()
+            if at >= 1 << depth:
+                last[at - (1 << depth)] = length[k]
+                continue
+            inner = column[k] >= 0
+            if inner:
+                c[at], t[at] = column[k], threshold[k]
+            stack += [(left[k] if inner else k, 2 * at), (right[k] if inner else k, 2 * at + 1)]
+        out.append((c, t, last))
+    return depth, out
+
+
 class IsolationForest:
     def __init__(self, trees: int = 200, sample: int = 256, seed: int = 42):
         self.trees, self.sample, self.seed = trees, sample, seed
@@ -76,7 +107,8 @@ class IsolationForest:
     def calibrate(self, df: DataFrame, contamination: float) -> IsolationForest:
         """The score above which the given share of df lies (linear between neighbours); kept with the model."""
         self.contamination = contamination
-        self.threshold = quantiles(self.score(df), "anomaly_score", [1 - contamination]).first()["q0"]
+        scores = written(self.score(df).select("anomaly_score"), "scores")  # read more than once
+        self.threshold = near_quantiles(scores, "anomaly_score", [1 - contamination]).first()["q0"]
         return self
 
     def flagged(self, df: DataFrame, name: str = "flag") -> DataFrame:
@@ -85,7 +117,21 @@ class IsolationForest:
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
         """Higher is more anomalous: 2^(-mean depth / c(psi))."""
+        return 2 ** (-(self.depths(x, complete(self.nodes)) / len(self.nodes)) / max(float(average_path(self.psi)), 1e-12))
+
+    def depths(self, x: np.ndarray, trees) -> np.ndarray:
+        """The sum of all trees' depths; trees: complete(self.nodes)."""
         total = np.zeros(len(x))
+        if trees is not None:
+            flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+            for column, threshold, last in trees[1]:
+                at = np.ones(len(x), np.intp)
+                for _ in range(trees[0]):
+                    go = flat.take(base + column.take(at)) <= threshold.take(at)
+                    at += at + 1
+                    at -= go
+                total += last.take(at - (1 << trees[0]))
+            return total
         for column, threshold, left, right, length in self.nodes:
             at = np.zeros(len(x), int)
             while True:
@@ -96,14 +142,15 @@ class IsolationForest:
                 go = x[live, c[live]] <= threshold[at[live]]
                 at[live] = np.where(go, left[at[live]], right[at[live]])
             total += length[at]
-        return 2 ** (-(total / len(self.nodes)) / max(float(average_path(self.psi)), 1e-12))
+        return total
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         columns, at = self.columns, [df.columns.index(c) for c in self.columns]
+        trees, n, scale = complete(self.nodes), len(self.nodes), max(float(average_path(self.psi)), 1e-12)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in at], 1) if b.num_rows else np.zeros((0, len(columns)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(self.score_array(x))], [*b.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(2 ** (-(self.depths(x, trees) / n) / scale))], [*b.schema.names, name])
 
         return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))

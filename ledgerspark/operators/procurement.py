@@ -206,6 +206,7 @@ def matrices(featured: DataFrame) -> DataFrame:
     daily = d.groupBy("period", "order_date").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("period").orderBy("order_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     daily = daily.select(F.col("period").alias("of_period"), F.col("order_date").alias("of_date"), before.alias("before"))
+    daily = small(written(daily, "daily"))
     own = F.row_number().over(W.partitionBy("period", "order_date").orderBy("po_id", "occurrence")) - 1
     numbered = d.withColumn("own", own).join(daily, F.col("period").eqNullSafe(F.col("of_period")) & (F.col("order_date") == F.col("of_date")))
     return numbered.withColumn("index", F.col("before") + F.col("own")).drop("own", "before", "of_period", "of_date")

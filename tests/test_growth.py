@@ -49,3 +49,28 @@ def test_selections_are_those_of_the_ranks(spark):
     ranked, chosen = E.both_ranked(lines, E.distance, E.rule, 7), E.both_selected(lines, E.distance, E.rule, 7)
     same = [c for c in chosen.columns]
     assert lines.count() > 500 and sorted(map(repr, ranked.select(*same).collect())) == sorted(map(repr, chosen.collect()))
+
+
+def test_places_among_all_rows_write_the_asked_ones_alone(spark, monkeypatch):
+    r, tables, keep = random.Random(2), [], carried.written
+    monkeypatch.setattr(carried, "written", lambda d, label: tables.append(keep(d, label)) or tables[-1])
+    rows = [(r.choice([None, "a", "b"]), r.choice([None, float(r.randint(0, 9))]), k) for k in range(3000)]
+    held = spark.createDataFrame(rows, "g string, s double, k long")
+    asked = held.where("k % 300 = 7 AND s IS NOT NULL")
+    got = {q["k"]: q["ahead"] for q in carried.ahead(held, asked, "s", ["k"], ("g",)).collect()}
+    want = {k: sum(h == g and t is not None and (t > s or t == s and j < k) for h, t, j in rows) for g, s, k in rows if k % 300 == 7 and s is not None}
+    assert got == want and len(tables) == 1 and tables[0].count() < 100
+
+
+def test_complete_trees_score_like_walked_ones():
+    import numpy as np
+
+    from ledgerspark.operators.forest import IsolationForest, complete, grow
+
+    random_ = np.random.default_rng(4)
+    x = np.round(random_.lognormal(0, 1, (600, 3)), 1)
+    model = IsolationForest(trees=20)
+    model.psi, model.nodes = 256, [grow(x[random_.choice(600, 256)], random_, 8) for _ in range(20)]
+    x[5, 1] = np.nan
+    assert complete(model.nodes) is not None
+    assert np.array_equal(model.depths(x, complete(model.nodes)), model.depths(x, None))
