@@ -73,26 +73,29 @@ def joined(d: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
 #: The measures by number, and the quantiles of each; the first three are of an item, the last of an item and supplier.
 MEASURES = {0: "unit_price", 1: "quantity", 2: "line_total", 3: "unit_price"}
 SHARES = {0: (0.25, 0.5, 0.75), 1: (0.5,), 2: (0.5,), 3: (0.5,)}
+#: An item's measures by name.
+OF = {"price": 0, "quantity": 1, "total": 2}
 
 
-def trailing_references(d: DataFrame, items: DataFrame, pairs: DataFrame | None = None, mad: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Of asked (item, day) and (item, supplier, day), the order statistics of the lines in the 90 days before; MAD and pairs only if asked for."""
+def trailing_references(d: DataFrame, items: DataFrame, pairs: DataFrame | None = None, mad: bool = True, of: tuple[str, ...] = tuple(OF)) -> tuple[DataFrame, DataFrame | None]:
+    """Of asked (item, day) and (item, supplier, day), the order statistics of the lines in the 90 days before; MAD, pairs and measures only if asked for."""
     item_ids = numbered(items.select("item").distinct())
     pair_ids = None if pairs is None else numbered(pairs.select("item", "supplier_id").distinct()).withColumnRenamed("id", "pair_id")
     group = lambda m: F.col("pair_id" if m == 3 else "id") * trailing.MEASURES + m
-    measures = {m: c for m, c in MEASURES.items() if m < 3 or pairs is not None}
-    named = d.select("item", "supplier_id", "day", *sorted(set(measures.values()))).join(item_ids, "item")
+    asked_of = sorted(OF[x] for x in of)
+    measures = {m: c for m, c in MEASURES.items() if m in asked_of or m == 3 and pairs is not None}
+    named = d.select("item", *([] if pairs is None else ["supplier_id"]), "day", *sorted(set(measures.values()))).join(item_ids, "item")
     named = named if pairs is None else joined(named, pair_ids, "item", "supplier_id")
     values = F.array(*[F.struct(group(m).alias("g"), F.col(c).cast("double").alias("x")) for m, c in measures.items()])
     counted = named.select("day", F.explode(values).alias("e")).where("e.g IS NOT NULL AND day IS NOT NULL").groupBy("e.g", "day", "e.x").agg(F.count("*").alias("c"))
     entries = counted.select("g", (F.col("day") + 1).alias("since"), (F.col("day") + DAYS).alias("until"), "x", "c")
-    asked = items.join(item_ids, "item").select(F.explode(F.array(*[group(m) for m in range(3)])).alias("g"), "day")
+    asked = items.join(item_ids, "item").select(F.explode(F.array(*[group(m) for m in asked_of])).alias("g"), "day")
     if pairs is not None:
         asked = asked.unionByName(joined(pairs, pair_ids, "item", "supplier_id").select(group(3).alias("g"), "day"))
     found = trailing.order_statistics(entries, asked, SHARES, (0,) if mad else (), days=DAYS).withColumns({"measure": F.col("g") % trailing.MEASURES, "id": F.floor(F.col("g") / trailing.MEASURES)})
-    of = lambda m, what: F.max(F.when((F.col("measure") == m) & (F.col("what") == what), F.col("value")))
-    more = [of(0, -1).alias("mad_price")] if mad else []
-    per_item = found.where("measure < 3").groupBy("id", "day").agg(of(0, 0).alias("q1"), of(0, 1).alias("median_price"), of(0, 2).alias("q3"), *more, of(1, 0).alias("median_quantity"), of(2, 0).alias("median_total"))
+    one = lambda m, what: F.max(F.when((F.col("measure") == m) & (F.col("what") == what), F.col("value")))
+    named_of = {0: {"q1": 0, "median_price": 1, "q3": 2, **({"mad_price": -1} if mad else {})}, 1: {"median_quantity": 0}, 2: {"median_total": 0}}
+    per_item = found.where("measure < 3").groupBy("id", "day").agg(*[one(m, what).alias(name) for m in asked_of for name, what in named_of[m].items()])
     per_item = per_item.join(item_ids, "id").drop("id")
     if pairs is None:
         return per_item, None
@@ -100,16 +103,17 @@ def trailing_references(d: DataFrame, items: DataFrame, pairs: DataFrame | None
     return per_item, per_pair.join(pair_ids, "pair_id").drop("pair_id")
 
 
-def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None, kinds: tuple[str, ...] = tuple(SUPPORTS), mad: bool = True) -> DataFrame:
+def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None, kinds: tuple[str, ...] = tuple(SUPPORTS), mad: bool = True, of: tuple[str, ...] = tuple(OF)) -> DataFrame:
     """The nine features, their reasons, MAD and all support counts of every line.
 
     only (po_id, order_date, occurrence): for these lines alone; the others are
     their history.
 
     kinds, mad: which supports are counted besides those of the item, and whether
-    MAD is found; without `pair` there is no pair_price_ratio. The lines are
-    written once; tables by item, unit or day are joined to them without a
-    shuffle of the lines as long as they are small.
+    MAD is found; without `pair` there is no pair_price_ratio. of: the measures
+    (price always) that are referred to; the columns of the others are not read.
+    The lines are written once; tables by item, unit or day are joined to them
+    without a shuffle of the lines as long as they are small.
 
     covered_from (a date) says from when on the history is complete; lines whose
     90 days begin before it have the reason `incomplete_coverage` and no feature.
@@ -128,7 +132,7 @@ def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None,
     enough = {k: supports[k].where((F.col("n") >= LEAST) & F.col("item").isNotNull()) for k in ("item", "pair") if k in kinds}
     if only is not None:
         enough = {k: v.join(asked_items, ["item", "day"], "left_semi") for k, v in enough.items()}
-    per = dict(zip(("item", "pair"), trailing_references(history, enough["item"].drop("n"), enough["pair"].drop("n") if "pair" in kinds else None, mad)))
+    per = dict(zip(("item", "pair"), trailing_references(history, enough["item"].drop("n"), enough["pair"].drop("n") if "pair" in kinds else None, mad, of)))
     for kind in kinds:
         keys, found = SUPPORTS[kind], supports[kind].withColumnRenamed("n", f"n_{kind}")
         if kind == "pair":
@@ -140,9 +144,12 @@ def features(lines: DataFrame, covered_from=None, only: DataFrame | None = None,
     price, n = F.col("unit_price"), F.col("n_item")
     made = {
         "price_ratio": ratio(price, F.col("median_price"), n), "price_iqr_distance": ratio(price - F.col("median_price"), F.col("iqr"), n, "zero_iqr"),
-        "relative_iqr": ratio(F.col("iqr"), F.col("median_price"), n), "quantity_ratio": ratio(F.col("quantity"), F.col("median_quantity"), n),
-        "total_ratio": ratio(F.col("line_total"), F.col("median_total"), n),
+        "relative_iqr": ratio(F.col("iqr"), F.col("median_price"), n),
     }
+    if "quantity" in of:
+        made["quantity_ratio"] = ratio(F.col("quantity"), F.col("median_quantity"), n)
+    if "total" in of:
+        made["total_ratio"] = ratio(F.col("line_total"), F.col("median_total"), n)
     if "pair" in kinds:
         made["pair_price_ratio"] = ratio(price, F.col("pair_median"), F.col("n_pair"))
     if covered_from is not None:
@@ -157,7 +164,9 @@ def eligibility(featured: DataFrame) -> DataFrame:
     d = featured.withColumn("period", period(F.col("order_date")))
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     counts = [F.count("*").alias("n"), n(F.col("price_ratio").isNotNull()).alias("eligible"), n(F.col("price_ratio_reason") == "insufficient_history").alias("insufficient"), n(F.col("price_ratio_reason") == "zero_reference").alias("zero")]
-    sets = d.groupingSets([[F.col("period"), F.col("category")], [F.col("period")]], "period", "category").agg(*counts)
+    fine = written(d.groupBy("period", "category").agg(*counts), "eligibility")  # lines are counted once
+    whole = fine.groupBy("period").agg(*[F.sum(c).alias(c) for c in ("n", "eligible", "insufficient", "zero")])
+    sets = fine.unionByName(whole.withColumn("category", F.lit(None).cast("string")))
     every = spark.createDataFrame([(name,) for name, *_ in PERIODS], "period string")
     found = every.join(sets, "period", "left").fillna(0, ["n", "eligible", "insufficient", "zero"])
     return found.select("period", "category", "n", "eligible", (F.col("n") - F.col("eligible")).alias("excluded"), "insufficient", "zero")
@@ -173,8 +182,7 @@ def commercial_rank(lines: DataFrame) -> DataFrame:
 
     Scores are compared at nine digits, so that the order does not hang on the last bit of a logarithm.
     """
-    columns = ("item", "supplier_id", "quantity", "unit_price", "line_total")  # no more is written
-    d = features(occurrences(lines).select("po_id", "order_date", "occurrence", *columns), kinds=(), mad=False).where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull())
+    d = features(occurrences(lines).select("po_id", "order_date", "occurrence", "item", "quantity", "unit_price"), kinds=(), mad=False, of=("price", "quantity")).where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull())
     score = F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9)
     d = d.select("po_id", "order_date", "occurrence", period(F.col("order_date")).alias("period"), score.alias("score"))
     return carried.ranked(d, "score", ["po_id", "order_date", "occurrence"], "rank", ("period",))
@@ -216,8 +224,8 @@ def changed(featured: DataFrame) -> DataFrame:
     """Lines with references under each scenario: price1, quantity1; those that a scenario would not change are left out."""
     table = featured.sparkSession.createDataFrame(SCENARIOS, "scenario string, factor double, times int")
     tenth = F.greatest(F.lit(1), F.round(F.col("quantity").cast("decimal(18,1)") * F.lit("0.1").cast("decimal(2,1)"), 0).cast("bigint"))
-    d = featured.crossJoin(F.broadcast(table))  # five rows: the scenario table is the bound
-    d = d.withColumns({"price1": F.col("unit_price") * F.col("factor"), "quantity1": F.when(F.col("times").isNull(), tenth).otherwise(F.col("quantity") * F.col("times"))})
+    d = featured.withColumn("__tenth", tenth).crossJoin(F.broadcast(table))  # five rows: the scenario table is the bound
+    d = d.withColumns({"price1": F.col("unit_price") * F.col("factor"), "quantity1": F.when(F.col("times").isNull(), F.col("__tenth")).otherwise(F.col("quantity") * F.col("times"))}).drop("__tenth")
     return d.where((F.col("scenario") != "D") | (F.col("quantity1") != F.col("quantity")))
 
 
@@ -237,19 +245,18 @@ def rule_experiment(featured: DataFrame) -> DataFrame:
     d = featured.where(F.col("price_ratio").isNotNull() & F.col("quantity_ratio").isNotNull()).withColumn("period", period(F.col("order_date")))
     d = d.where(F.col("period").isin("validation", "retrospective")).withColumn("before", F.round(commercial_deviation(F.col("price_ratio"), F.col("quantity_ratio")), 9))
     after = commercial_deviation(F.col("price1") / F.col("median_price"), F.col("quantity1") / F.col("median_quantity"))
-    return changed(d).withColumn("after", F.round(after, 9)).select("po_id", "order_date", "occurrence", "period", "category", "scenario", "before", "after")
+    return changed(d).withColumn("after", F.round(after, 9)).select(*[c for c in ("po_id", "order_date", "occurrence") if c in featured.columns], "period", "category", "scenario", "before", "after")
 
 
 def paired_effects(pairs: DataFrame, least: int = 10) -> DataFrame:
     """Effects per period and scenario, and per category where it has `least` pairs."""
-    delta = F.col("after") - F.col("before")
+    d = written(pairs.select("period", "scenario", "category", (F.col("after") - F.col("before")).alias("delta")), "deltas")  # read three times
     n = lambda c: F.sum(c.cast("long"))
-
-    def report(*keys: str) -> DataFrame:
-        counts = pairs.groupBy(*keys).agg(F.count("*").alias("valid"), n(delta > 0).alias("increased"), n(delta < 0).alias("decreased"), F.avg(delta).alias("mean_delta"))
-        return joined(counts, near_quantiles(pairs.withColumn("delta", delta), "delta", [0.5], *keys).select(*keys, F.col("q0").alias("median_delta")), *keys)
-
-    both = report("period", "scenario", "category").unionByName(report("period", "scenario").withColumn("category", F.lit(None).cast("string")))
+    # a row for the pair's category and one for all of them
+    levels = d.select("period", "scenario", F.explode(F.array(F.struct(F.lit(True).alias("each"), "category"), F.struct(F.lit(False).alias("each"), F.lit(None).cast("string").alias("category")))).alias("l"), "delta").select("period", "scenario", "l.each", "l.category", "delta")
+    keys = ["period", "scenario", "each", "category"]
+    counts = levels.groupBy(*keys).agg(F.count("*").alias("valid"), n(F.col("delta") > 0).alias("increased"), n(F.col("delta") < 0).alias("decreased"), F.avg("delta").alias("mean_delta"))
+    both = joined(counts, near_quantiles(levels, "delta", [0.5], *keys).select(*keys, F.col("q0").alias("median_delta")), *keys)
     shown = F.col("category").isNull() | (F.col("valid") >= least)
     rounded = {"increased": F.col("increased"), "decreased": F.col("decreased"), "mean_delta": F.round("mean_delta", 6) + 0.0, "median_delta": F.round("median_delta", 6) + 0.0}
     return both.select("period", "scenario", "category", "valid", *[F.when(shown, c).alias(k) for k, c in rounded.items()])

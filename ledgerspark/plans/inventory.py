@@ -554,7 +554,7 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN category IS NULL OR count(*) >= 10 THEN round(avg(after - before), 6) + 0 END AS mean_delta, CASE WHEN category IS NULL OR count(*) >= 10 THEN round(quantile_cont(after - before, 0.5), 6) + 0 END AS median_delta FROM y GROUP BY GROUPING SETS ((period, scenario), (period, scenario, category))""")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scenarios do to the rule's score of every line of the evaluation periods."""
-    return procurement.paired_effects(procurement.rule_experiment(features(spark, sf_dir)))
+    return procurement.paired_effects(procurement.rule_experiment(features(spark, sf_dir, "category", of=("price", "quantity"), keyed=False)))
 
 
 @query("d18_imputed_matrix", """WITH f AS (SELECT user_id, sha256(user_id::VARCHAR) AS h, avg(CASE WHEN event_type = 'click' THEN value END) AS clicks, avg(CASE WHEN event_type = 'purchase' THEN value END) AS purchases, max(CASE WHEN event_type = 'view' THEN value END) AS views FROM events GROUP BY user_id),

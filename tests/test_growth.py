@@ -74,3 +74,35 @@ def test_complete_trees_score_like_walked_ones():
     x[5, 1] = np.nan
     assert complete(model.nodes) is not None
     assert np.array_equal(model.depths(x, complete(model.nodes)), model.depths(x, None))
+
+
+def test_queries_write_no_more_of_the_lines_than_they_read(spark, monkeypatch):
+    from ledgerspark.plans import registry
+
+    asked, keep = [], procurement.written
+    monkeypatch.setattr(procurement, "written", lambda d, label: asked.append((label, d.columns, plan(d))) or keep(d, label))
+    registry.QUERIES["a30_directions"](spark, "/root/testdata/sf0.001")
+    (columns, text), = [(c, p) for label, c, p in asked if label == "lines"]
+    assert sorted(columns) == ["category", "day", "item", "order_date", "quantity", "unit_price"] and "Window" not in text
+    d = purchases(spark)
+    whole, few = procurement.features(d, kinds=(), mad=False), procurement.features(d.drop("line_total"), kinds=(), mad=False, of=("price", "quantity"))
+    assert "total_ratio" not in few.columns
+    same = [c for c in few.columns if c in whole.columns]
+    assert sorted(map(repr, whole.select(*same).collect())) == sorted(map(repr, few.select(*same).collect()))
+
+
+def test_effects_read_their_pairs_from_one_written_table(spark, monkeypatch):
+    import statistics
+
+    tables, keep = [], procurement.written
+    monkeypatch.setattr(procurement, "written", lambda d, label: tables.append(d) or keep(d, label))
+    r = random.Random(3)
+    rows = [(r.choice("vr"), r.choice("AB"), r.choice([None, "x", "y"]), float(r.randint(0, 9)), float(r.randint(0, 9))) for _ in range(600)] + [("v", "A", "rare", 1.0, 2.0)]
+    got = {(q["period"], q["scenario"], q["category"], q["valid"]): (q["increased"], q["median_delta"]) for q in procurement.paired_effects(spark.createDataFrame(rows, "period string, scenario string, category string, before double, after double")).collect()}
+    assert tables and tables[0].columns == ["period", "scenario", "category", "delta"] and len(got) == 17
+    for p in "vr":
+        for s in "AB":
+            for keeps, c in ((lambda x: True, None), (lambda x: x is None, None), (lambda x: x == "x", "x")):
+                d = [b - a for q, t, k, a, b in rows if (q, t) == (p, s) and keeps(k)]
+                assert got[p, s, c, len(d)] == (sum(x > 0 for x in d), statistics.median(d))
+    assert got["v", "A", "rare", 1] == (None, None)
