@@ -12,19 +12,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..sources.shared import written
+from ..sources.shared import SMALL, small, written
 from . import trailing
 from .procurement import DAYS, LEAST, joined
 
 BLOCK = 90
 
 
-def covering(intervals: DataFrame, days: DataFrame, name: str) -> DataFrame:
-    """days (g, day) with the number of intervals (g, since, until, c) of the group that hold the day."""
-    ends = F.array(F.struct(F.col("since").alias("day"), F.col("c").alias("x")), F.struct((F.col("until") + 1).alias("day"), (-F.col("c")).alias("x")))
-    steps = intervals.where("since <= until").select("g", F.explode(ends).alias("e")).groupBy("g", F.col("e.day").alias("day")).agg(F.sum("e.x").alias("x"))
-    both = steps.withColumn("asked", F.lit(0)).unionByName(days.select("g", "day", F.lit(0).cast("long").alias("x"), F.lit(1).alias("asked"))).groupBy("g", "day").agg(F.sum("x").alias("x"), F.max("asked").alias("asked"))
-    return both.withColumn(name, F.sum("x").over(W.partitionBy("g").orderBy("day"))).where("asked = 1").select("g", "day", name)
+def covering(intervals: dict[str, DataFrame], days: DataFrame) -> DataFrame:
+    """days (g, day; they may repeat) with, by name, how many of the intervals (g, since, until) of the group hold the day; all names in one shuffle and one running sum."""
+    ends = F.explode(F.array(F.struct(F.col("since").alias("day"), F.lit(1).cast("long").alias("x")), F.struct((F.col("until") + 1).alias("day"), F.lit(-1).cast("long").alias("x")))).alias("e")
+    none = F.lit(0).cast("long")
+    steps = days.select("g", "day", *[none.alias(k) for k in intervals], F.lit(1).alias("asked"))
+    for name, spans in intervals.items():
+        steps = steps.unionByName(spans.where("since <= until").select("g", ends).select("g", "e.day", *[(F.col("e.x") if k == name else none).alias(k) for k in intervals], F.lit(0).alias("asked")))
+    both = steps.groupBy("g", "day").agg(*[F.sum(k).alias(k) for k in intervals], F.max("asked").alias("asked"))
+    upto = W.partitionBy("g").orderBy("day")
+    return both.select("g", "day", "asked", *[F.sum(k).over(upto).alias(k) for k in intervals]).where("asked = 1").drop("asked")
+
+
+def coded(d: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """A written table with a number for each combination of the columns' values.
+
+    Columns of few values are numbered one by one (a broadcast for each) and their
+    numbers combined, so that no row is shuffled. Where a column has many, the
+    combinations are numbered and joined.
+    """
+    near = d.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+    out, code, size = d, F.lit(0).cast("long"), 1
+    if max(near) <= SMALL // 2:
+        for k, c in enumerate(columns):
+            values = written(d.select(F.col(c).alias(f"__v{k}")).distinct().coalesce(1).withColumn(f"__n{k}", F.monotonically_increasing_id()), "values")  # from 0
+            n = max(values.count(), 1)
+            out, code, size = out.join(F.broadcast(values), F.col(c).eqNullSafe(F.col(f"__v{k}"))), code * n + F.col(f"__n{k}"), size * n
+        if size < 1 << 55:
+            return out.withColumn(name, code).drop(*[f"__{x}{k}" for k in range(len(columns)) for x in "vn"])
+    return joined(d, trailing.numbered(d.select(*columns).distinct()).withColumnRenamed("id", name), *columns)
 
 
 def earliest_two(d: DataFrame, *keys: str) -> DataFrame:
@@ -39,7 +62,11 @@ def visible_from(day: Column, known: Column) -> Column:
     return F.greatest(day, known) + 1
 
 
-def price_analysis(lines: DataFrame, known: Column, scope: list[str], keys: list[Column], least: int = LEAST) -> DataFrame:
+#: What price_analysis() finds: why lines are no references; distinct days and suppliers of the references; their median.
+PARTS = ("reasons", "spread", "median")
+
+
+def price_analysis(lines: DataFrame, known: Column, scope: list[str], keys: list[Column], least: int = LEAST, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """D15 for every line: reasons why lines of its scope are no references (P20), support, exact median and difference.
 
     lines: po_id, day, supplier_id, cents, the columns of scope. known: the day
@@ -48,20 +75,21 @@ def price_analysis(lines: DataFrame, known: Column, scope: list[str], keys: list
     n_incomparable, in this precedence, and n of the references. Lines without a
     day or a scope column have no result; a line without an id is nobody's own;
     a reference without a price counts in n and not in the median. Fewer than
-    `least` references give no median.
+    `least` references give no median. parts: what is found besides n.
     """
+    reasons, spread, median = (x in parts for x in PARTS)
     d = lines.withColumns({"known": known, **{f"__k{k}": c for k, c in enumerate(keys)}})
     for c in (*scope, "day"):
         d = d.where(F.col(c).isNotNull())
     names = [f"__k{k}" for k in range(len(keys))]
-    of_scope, of_keys = trailing.numbered(d.select(*scope).distinct()), trailing.numbered(d.select(*scope, *names).distinct())
-    d = joined(joined(d, of_scope.withColumnRenamed("id", "s"), *scope), of_keys.withColumnRenamed("id", "g"), *scope, *names).drop(*names)
-    d = d.withColumns({"since": visible_from(F.col("day"), F.col("known")), "until": F.col("day") + DAYS, "row": F.monotonically_increasing_id() + 1})
-    d = written(d, "operations")
-    # what an operation's own id contributes
-    mine = d.where("po_id IS NOT NULL").select("row", "po_id", "s", "g", "day")
-    theirs = d.select("po_id", "s", *[F.col(c).alias(f"r_{c}") for c in ("g", "day", "supplier_id", "cents", "since", "until")])
-    pairs = mine.join(theirs, ["po_id", "s"])
+    d = written(d.withColumn("row", F.monotonically_increasing_id() + 1), "operations")  # the joins of the input are made once
+    d = coded(coded(d, scope, "s"), [*scope, *names], "g") if reasons or not names else coded(d, [*scope, *names], "g").withColumn("s", F.col("g"))
+    d = d.drop(*names).withColumns({"since": visible_from(F.col("day"), F.col("known")), "until": F.col("day") + DAYS})
+    # what an operation's own id contributes: only lines that share id and scope with another are paired
+    shared = d.where("po_id IS NOT NULL").select("row", "po_id", "s", "g", "day", "supplier_id", "cents", "since", "until")
+    shared = written(shared.withColumn("twins", F.count("*").over(W.partitionBy("po_id", "s"))).where("twins > 1").drop("twins"), "shared")
+    theirs = shared.select("po_id", "s", *[F.col(c).alias(f"r_{c}") for c in ("g", "day", "supplier_id", "cents", "since", "until")])
+    pairs = shared.select("row", "po_id", "s", "g", "day").join(theirs, ["po_id", "s"])
     inside = (F.col("r_day") >= F.col("day") - DAYS) & (F.col("r_day") < F.col("day"))
     seen = (F.col("r_since") <= F.col("day")) & (F.col("day") <= F.col("r_until"))
     alike = F.col("r_g") == F.col("g")
@@ -69,53 +97,59 @@ def price_analysis(lines: DataFrame, known: Column, scope: list[str], keys: list
     own = written(pairs.groupBy("row", "po_id", "g", "day").agg(
         F.count("*").alias("o_self"), n(inside).alias("o_inside"), n(seen).alias("o_seen"), n(seen & alike).alias("o_alike"), F.sort_array(F.collect_list(F.when(seen & alike, F.col("r_cents").cast("double")))).alias("skip"),
         F.collect_set(F.when(seen & alike, F.col("r_day"))).alias("own_days"), F.collect_set(F.when(seen & alike, F.col("r_supplier_id"))).alias("own_suppliers")), "own")
-    special = own.where("o_alike > 0")
-    # days and suppliers that only the own id has
-    by_day, by_supplier = written(earliest_two(d, "g", "day"), "by-day"), written(earliest_two(d, "g", "supplier_id", "day"), "by-supplier")
-    other = F.when(F.col("first_id").eqNullSafe(F.col("po_id")), F.col("second")).otherwise(F.col("first"))
-    lost = special.select("row", "po_id", "g", F.col("day").alias("at"), F.explode("own_days").alias("day")).join(by_day, ["g", "day"]).where(other.isNull() | (other >= F.col("at"))).groupBy("row").agg(F.count("*").alias("lost_days"))
-    block = lambda c: F.floor(c / BLOCK)
-    asked = special.select("row", "po_id", "g", F.col("day").alias("at"), F.explode("own_suppliers").alias("supplier_id")).withColumn("block", F.explode(F.sequence(block(F.col("at") - DAYS), block(F.col("at") - 1))))
-    held = asked.join(by_supplier.withColumn("block", block(F.col("day"))), ["g", "supplier_id", "block"]).where((F.col("day") >= F.col("at") - DAYS) & (F.col("day") < F.col("at")) & (other < F.col("at"))).select("row", "supplier_id").distinct()
-    kept = held.groupBy("row").agg(F.count("*").alias("kept_suppliers"))
+    special = written(own.where("o_alike > 0"), "special")
+    mine = own.select("row", "o_self", "o_inside", "o_seen", "o_alike", F.size("own_suppliers").alias("o_suppliers"))
     # shared figures by group and day
-    days_of = d.select("g", "day").distinct()
-    scope_days = d.select(F.col("s").alias("g"), "day").distinct()
-    counted = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("c"))
-    by_scope = d.withColumn("g", F.col("s"))
-    window = counted(by_scope.withColumn("since", F.col("day") + 1), "g", "since", "until")
-    one = F.lit(1).cast("long").alias("c")
-    day_spans = by_day.select("g", visible_from(F.col("day"), F.col("first")).alias("since"), (F.col("day") + DAYS).alias("until"), one)
-    spans = by_supplier.where("supplier_id IS NOT NULL").select("g", "supplier_id", visible_from(F.col("day"), F.col("first")).alias("since"), (F.col("day") + DAYS).alias("until")).where("since <= until")
-    order = W.partitionBy("g", "supplier_id").orderBy("since", "until")
-    islands = spans.withColumn("new", (F.col("since") > F.coalesce(F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-(1 << 40))) + 1).cast("int")).withColumn("island", F.sum("new").over(order))
-    islands = islands.groupBy("g", "supplier_id", "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).select("g", "since", "until", one)
-    figures = days_of
-    for name, spans_of in (("n_all", counted(d, "g", "since", "until")), ("dates", day_spans), ("suppliers", islands)):
-        figures = figures.join(covering(spans_of, days_of, name), ["g", "day"])
-    scoped = covering(window, scope_days, "inside").join(covering(counted(by_scope, "g", "since", "until"), scope_days, "seen"), ["g", "day"])
-    scoped = scoped.join(d.groupBy(F.col("s").alias("g")).agg(F.count("*").alias("total")), "g").withColumnRenamed("g", "s")
-    figures, scoped = written(figures, "figures"), written(scoped, "scoped")
-    # medians: one ask for a group and day, and one for each operation that leaves its own out
-    enough = figures.where(F.col("n_all") >= least).select(F.col("g"), "day")
-    asks = enough.select((F.col("g") * trailing.MEASURES).alias("g"), "day", F.lit(0).cast("long").alias("who"), F.array().cast("array<double>").alias("skip"))
-    asks = asks.unionByName(special.join(enough, ["g", "day"]).select((F.col("g") * trailing.MEASURES).alias("g"), "day", F.col("row").alias("who"), "skip"))
-    entries = d.select((F.col("g") * trailing.MEASURES).alias("g"), "since", "until", F.col("cents").cast("double").alias("x"))
-    found = trailing.order_statistics(entries, asks, {0: (0.5,)}, days=DAYS).select(F.floor(F.col("g") / trailing.MEASURES).alias("g"), "day", "who", (2 * F.col("value")).cast("long").alias("twice"))
-    own = own.select("row", "o_self", "o_inside", "o_seen", "o_alike", F.size("own_suppliers").alias("o_suppliers"))
-    out = d.join(figures, ["g", "day"]).join(scoped, ["s", "day"])
-    for more in (own, lost, kept):
-        out = out.join(more, "row", "left")
-    out = out.fillna(0, ["o_self", "o_inside", "o_seen", "o_alike", "o_suppliers", "lost_days", "kept_suppliers"])
-    out = out.withColumn("who", F.when(F.col("o_alike") > 0, F.col("row")).otherwise(0)).join(found, ["g", "day", "who"], "left")
-    inside, seen, n = F.col("inside") - F.col("o_inside"), F.col("seen") - F.col("o_seen"), F.col("n_all") - F.col("o_alike")
-    out = out.withColumns({
-        "n_self": F.col("o_self"), "n_outside": F.col("total") - F.col("o_self") - inside, "n_not_available": inside - seen, "n_incomparable": seen - n, "n": n,
-        "dates": F.col("dates") - F.col("lost_days"), "suppliers": F.col("suppliers") - (F.col("o_suppliers") - F.col("kept_suppliers")),
-    })
-    enough = F.col("n") >= least
-    percent = F.round(F.try_divide((2 * F.col("cents") - F.col("twice")) * 100.0, F.col("twice")), 6) + 0.0
-    return out.select(
-        *[c for c in lines.columns if c not in ("known",)], "n_self", "n_outside", "n_not_available", "n_incomparable", "n", "dates", "suppliers",
-        F.when(~enough, F.lit("insufficient_history")).alias("reason"), F.when(enough, F.col("twice")).alias("twice_median_cents"), F.when(enough, percent).alias("percent_difference"),
-    )
+    intervals = {"n_all": d.select("g", "since", "until")}
+    if spread:
+        by_supplier = written(d.groupBy("g", "supplier_id", "day").agg(F.min("known").alias("known")), "by-supplier")
+        of_first = lambda *by: by_supplier.groupBy(*by).agg(F.min("known").alias("known"))
+        ends = (visible_from(F.col("day"), F.col("known")).alias("since"), (F.col("day") + DAYS).alias("until"))
+        spans = by_supplier.where("supplier_id IS NOT NULL").select("g", "supplier_id", *ends).where("since <= until")
+        order = W.partitionBy("g", "supplier_id").orderBy("since", "until")
+        islands = spans.withColumn("new", (F.col("since") > F.coalesce(F.max("until").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-(1 << 40))) + 1).cast("int")).withColumn("island", F.sum("new").over(order))
+        islands = islands.groupBy("g", "supplier_id", "island").agg(F.min("since").alias("since"), F.max("until").alias("until"))
+        intervals |= {"dates": of_first("g", "day").select("g", *ends), "suppliers": islands.select("g", "since", "until")}
+        # days and suppliers that only the own id has
+        own_days = special.select("row", "po_id", "g", F.col("day").alias("at"), F.explode("own_days").alias("day"))
+        own_suppliers = special.select("row", "po_id", "g", F.col("day").alias("at"), F.explode("own_suppliers").alias("supplier_id"))
+        of = lambda asked, *by: d.select("g", "supplier_id", "day", "po_id", "known").join(small(written(asked.select(*by).distinct(), "asked")), list(by), "left_semi")
+        by_day, by_both = earliest_two(of(own_days, "g", "day"), "g", "day"), earliest_two(of(own_suppliers, "g", "supplier_id"), "g", "supplier_id", "day")
+        other = F.when(F.col("first_id").eqNullSafe(F.col("po_id")), F.col("second")).otherwise(F.col("first"))
+        lost = own_days.join(by_day, ["g", "day"]).where(other.isNull() | (other >= F.col("at"))).groupBy("row").agg(F.count("*").alias("lost_days"))
+        block = lambda c: F.floor(c / BLOCK)
+        asked = own_suppliers.withColumn("block", F.explode(F.sequence(block(F.col("at") - DAYS), block(F.col("at") - 1))))
+        held = asked.join(by_both.withColumn("block", block(F.col("day"))), ["g", "supplier_id", "block"]).where((F.col("day") >= F.col("at") - DAYS) & (F.col("day") < F.col("at")) & (other < F.col("at"))).select("row", "supplier_id").distinct()
+        mine = mine.join(lost, "row", "left").join(held.groupBy("row").agg(F.count("*").alias("kept_suppliers")), "row", "left")
+    figures = written(covering(intervals, d.select("g", "day")), "figures")
+    if median:  # one ask for a group and day, and one for each operation that leaves its own out
+        enough = figures.where(F.col("n_all") >= least).select("g", "day")
+        number = (F.col("g") * trailing.MEASURES).alias("g")
+        asks = enough.select(number, "day", F.lit(0).cast("long").alias("who"), F.array().cast("array<double>").alias("skip"))
+        asks = asks.unionByName(small(special).join(enough, ["g", "day"]).select(number, "day", F.col("row").alias("who"), "skip"))
+        entries = d.select(number, "since", "until", F.col("cents").cast("double").alias("x"))
+        found = trailing.order_statistics(entries, asks, {0: (0.5,)}, days=DAYS).select(F.floor(F.col("g") / trailing.MEASURES).alias("g"), "day", "who", (2 * F.col("value")).cast("long").alias("twice"))
+        figures = written(figures.join(found.where("who = 0").drop("who"), ["g", "day"], "left"), "figures")
+        mine = mine.join(found.where("who <> 0").select(F.col("who").alias("row"), F.col("twice").alias("own_twice")), "row", "left")
+    out = d.drop("since", "until").join(small(figures), ["g", "day"])
+    if reasons:
+        of_scope = lambda *c: d.select(F.col("s").alias("g"), *c)
+        scoped = covering({"inside": of_scope((F.col("day") + 1).alias("since"), "until"), "seen": of_scope("since", "until")}, of_scope("day"))
+        scoped = written(scoped.join(of_scope().groupBy("g").agg(F.count("*").alias("total")), "g").withColumnRenamed("g", "s"), "scoped")
+        out = out.join(small(scoped), ["s", "day"])
+    out = out.join(small(written(mine, "mine")), "row", "left").withColumn("o_self", F.coalesce("o_self", F.col("po_id").isNotNull().cast("long")))
+    out = out.fillna(0, [c for c in mine.columns if c.startswith(("o_", "lost_", "kept_"))])
+    count = F.col("n_all") - F.col("o_alike")
+    made = {"n": count}
+    if reasons:
+        inside, seen = F.col("inside") - F.col("o_inside"), F.col("seen") - F.col("o_seen")
+        made = {"n_self": F.col("o_self"), "n_outside": F.col("total") - F.col("o_self") - inside, "n_not_available": inside - seen, "n_incomparable": seen - count} | made
+    if spread:
+        made |= {"dates": F.col("dates") - F.col("lost_days"), "suppliers": F.col("suppliers") - (F.col("o_suppliers") - F.col("kept_suppliers"))}
+    out = out.withColumns(made)
+    enough, told = F.col("n") >= least, [F.when(F.col("n") < least, F.lit("insufficient_history")).alias("reason")]
+    if median:
+        out = out.withColumn("twice", F.when(F.col("o_alike") > 0, F.col("own_twice")).otherwise(F.col("twice")))
+        percent = F.round(F.try_divide((2 * F.col("cents") - F.col("twice")) * 100.0, F.col("twice")), 6) + 0.0
+        told += [F.when(enough, F.col("twice")).alias("twice_median_cents"), F.when(enough, percent).alias("percent_difference")]
+    return out.select(*[c for c in lines.columns if c not in ("known",)], *made, *told)

@@ -106,3 +106,24 @@ def test_effects_read_their_pairs_from_one_written_table(spark, monkeypatch):
                 d = [b - a for q, t, k, a, b in rows if (q, t) == (p, s) and keeps(k)]
                 assert got[p, s, c, len(d)] == (sum(x > 0 for x in d), statistics.median(d))
     assert got["v", "A", "rare", 1] == (None, None)
+
+
+def test_price_analysis_makes_only_the_asked_parts_and_pairs_only_shared_ids(spark, monkeypatch):
+    from ledgerspark.operators import prices
+
+    r, tables, keep = random.Random(8), {}, prices.written
+    rows = [(k, r.choice([None, *[f"P{i}" for i in range(250)]]), r.choice([None, "I", "J"]), r.choice([None, "u", "w"]), r.randint(0, 150), r.randint(0, 20), r.choice([None, 1, 2, 3]), r.choice([None, 100, 250, 300])) for k in range(800)]
+    d = spark.createDataFrame(rows, "k long, po_id string, item string, unit string, day long, lag long, supplier_id long, cents long")
+    run = lambda *parts: prices.price_analysis(d, F.col("day") + F.col("lag"), ["item"], [F.col("unit")], least=3, parts=parts)
+    whole = {q["k"]: q.asDict() for q in run(*prices.PARTS).collect()}
+    monkeypatch.setattr(prices, "written", lambda f, label: tables.setdefault(label, keep(f, label)))
+    reasons = [q.asDict() for q in run("reasons").collect()]
+    assert not {"by-supplier", "twice_median_cents"} & {*tables, *reasons[0]}
+    shared = [q["po_id"] for q in tables["shared"].select("po_id").collect()]
+    assert 0 < len(shared) < len(whole) and None not in shared
+    monkeypatch.setattr(prices, "written", keep)
+    others = [q.asDict() for q in run("spread", "median").collect()]
+    monkeypatch.setattr(prices, "SMALL", 0)  # combinations are numbered and joined
+    joined = {q["k"]: q.asDict() for q in run(*prices.PARTS).collect()}
+    assert joined == whole and "n_self" not in others[0]
+    assert len(reasons) == len(others) == len(whole) and all(whole[q["k"]] | q == whole[q["k"]] for q in reasons + others)
