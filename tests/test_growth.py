@@ -116,7 +116,7 @@ def test_price_analysis_makes_only_the_asked_parts_and_pairs_only_shared_ids(spa
     d = spark.createDataFrame(rows, "k long, po_id string, item string, unit string, day long, lag long, supplier_id long, cents long")
     run = lambda *parts: prices.price_analysis(d, F.col("day") + F.col("lag"), ["item"], [F.col("unit")], least=3, parts=parts)
     whole = {q["k"]: q.asDict() for q in run(*prices.PARTS).collect()}
-    monkeypatch.setattr(prices, "written", lambda f, label: tables.setdefault(label, keep(f, label)))
+    monkeypatch.setattr(prices, "written", lambda f, label: tables.update({label: keep(f, label)}) or tables[label])
     reasons = [q.asDict() for q in run("reasons").collect()]
     assert not {"by-supplier", "twice_median_cents"} & {*tables, *reasons[0]}
     shared = [q["po_id"] for q in tables["shared"].select("po_id").collect()]
