@@ -49,10 +49,16 @@ def grow(rows: np.ndarray, random: np.random.Generator, limit: int) -> tuple[np.
 
 #: Trees of at most so many levels are scored in the complete layout.
 LEVELS = 12
+#: Rows scored at once, so that what a tree reads of them stays in a core's cache; levels whose nodes are compared with all of them.
+ROWS, TOP = 1 << 14, 3
 
 
-def complete(nodes: list[tuple[np.ndarray, ...]]) -> tuple[int, list[tuple[np.ndarray, ...]]] | None:
-    """Trees as complete ones (children of k: 2k, 2k + 1), where leaves repeat down to the last level; None if they are too deep."""
+def complete(nodes: list[tuple[np.ndarray, ...]]) -> tuple[int, list[np.ndarray], list[tuple[np.ndarray, ...]]] | None:
+    """Trees as complete ones (children of k: 2k, 2k + 1), where leaves repeat down to the last level; None if they are too deep.
+
+    Thresholds are given as their places among all of their column, which come
+    second: x <= t holds where as many of these lie below x as below t, or fewer.
+    """
 
     def levels(tree, k: int = 0) -> int:
         return 0 if tree[0][k] < 0 else 1 + max(levels(tree, tree[2][k]), levels(tree, tree[3][k]))
@@ -60,9 +66,12 @@ def complete(nodes: list[tuple[np.ndarray, ...]]) -> tuple[int, list[tuple[np.nd
     depth = max(1, max(map(levels, nodes), default=1))
     if depth > LEVELS:
         return None
+    width = max(1, 1 + max((int(tree[0].max()) for tree in nodes), default=0))
+    cuts = [np.unique(np.concatenate([np.zeros(0), *[tree[1][tree[0] == c] for tree in nodes]])) for c in range(width)]
+    kind = np.min_scalar_type(max(map(len, cuts)))
     out = []
     for column, threshold, left, right, length in nodes:
-        c, t, last = np.zeros(1 << depth, np.intp), np.zeros(1 << depth), np.zeros(1 << depth)
+        c, t, last = np.zeros(1 << depth, np.intp), np.zeros(1 << depth, kind), np.zeros(1 << depth)
         stack = [(0, 1)]
         while stack:
             k, at = stack.pop()
@@ -71,10 +80,40 @@ def complete(nodes: list[tuple[np.ndarray, ...]]) -> tuple[int, list[tuple[np.nd
                 continue
             inner = column[k] >= 0
             if inner:
-                c[at], t[at] = column[k], threshold[k]
+                c[at], t[at] = column[k], np.searchsorted(cuts[column[k]], threshold[k])
             stack += [(left[k] if inner else k, 2 * at), (right[k] if inner else k, 2 * at + 1)]
         out.append((c, t, last))
-    return depth, out
+    return depth, cuts, out
+
+
+def descend(x: np.ndarray, depth: int, cuts: list[np.ndarray], trees: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """The sum of the complete trees' depths: the first levels by comparing all rows with each of their few nodes, the others by looking up each row's own."""
+    n, kind = len(x), trees[0][1].dtype
+    placed = np.stack([np.searchsorted(c, x[:, k]).astype(kind) for k, c in enumerate(cuts)])
+    flat, base, total = placed.ravel(), np.arange(n), np.zeros(n)
+    at, where, own, limit = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n, kind), np.empty(n, kind)
+    go = np.empty(n, bool)
+    for column, threshold, last in trees:
+        sides, first = [], list(zip(column[: 1 << TOP].tolist(), threshold[: 1 << TOP]))
+        at[:] = 1
+        for level in range(min(TOP, depth)):
+            nodes = [placed[c] > t for c, t in first[1 << level : 2 << level]]
+            for side in reversed(sides):  # of two neighbours the one on the row's side
+                nodes = [a ^ ((a ^ b) & side) for a, b in zip(nodes[::2], nodes[1::2])]
+            sides.append(nodes[0])
+            at += at
+            at += nodes[0]
+        offsets = column * n
+        for _ in range(TOP, depth):
+            offsets.take(at, out=where, mode="clip")
+            where += base
+            flat.take(where, out=own, mode="clip")
+            threshold.take(at, out=limit, mode="clip")
+            np.greater(own, limit, out=go)
+            at += at
+            at += go
+        total += last.take(at - (1 << depth))
+    return total
 
 
 class IsolationForest:
@@ -123,14 +162,8 @@ class IsolationForest:
         """The sum of all trees' depths; trees: complete(self.nodes)."""
         total = np.zeros(len(x))
         if trees is not None:
-            flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
-            for column, threshold, last in trees[1]:
-                at = np.ones(len(x), np.intp)
-                for _ in range(trees[0]):
-                    go = flat.take(base + column.take(at)) <= threshold.take(at)
-                    at += at + 1
-                    at -= go
-                total += last.take(at - (1 << trees[0]))
+            for k in range(0, len(x), ROWS):
+                total[k : k + ROWS] = descend(x[k : k + ROWS], *trees)
             return total
         for column, threshold, left, right, length in self.nodes:
             at = np.zeros(len(x), int)

@@ -86,8 +86,11 @@ def trailing_references(d: DataFrame, items: DataFrame, pairs: DataFrame | None
     measures = {m: c for m, c in MEASURES.items() if m in asked_of or m == 3 and pairs is not None}
     named = d.select("item", *([] if pairs is None else ["supplier_id"]), "day", *sorted(set(measures.values()))).join(item_ids, "item")
     named = named if pairs is None else joined(named, pair_ids, "item", "supplier_id")
-    values = F.array(*[F.struct(group(m).alias("g"), F.col(c).cast("double").alias("x")) for m, c in measures.items()])
-    counted = named.select("day", F.explode(values).alias("e")).where("e.g IS NOT NULL AND day IS NOT NULL").groupBy("e.g", "day", "e.x").agg(F.count("*").alias("c"))
+    # a line is shuffled once, by item and day, before its measures are spread; what is counted by day then meets in few tasks
+    pair = lambda m: F.col("pair_id") if m == 3 else F.lit(None).cast("long")
+    values = F.array(*[F.struct(F.lit(m).alias("m"), pair(m).alias("p"), F.col(c).cast("double").alias("x")) for m, c in measures.items()])
+    spread = named.where("day IS NOT NULL").drop("item", "supplier_id").repartition("id", "day").select("id", "day", F.explode(values).alias("e")).where("e.m <> 3 OR e.p IS NOT NULL")
+    counted = spread.groupBy("id", "day", "e.m", "e.p", "e.x").agg(F.count("*").alias("c")).select((F.coalesce("p", "id") * trailing.MEASURES + F.col("m")).alias("g"), "day", "x", "c")
     entries = counted.select("g", (F.col("day") + 1).alias("since"), (F.col("day") + DAYS).alias("until"), "x", "c")
     asked = items.join(item_ids, "item").select(F.explode(F.array(*[group(m) for m in asked_of])).alias("g"), "day")
     if pairs is not None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..sources.shared import written
+from ..sources.shared import SMALL, written
 
 SPAN = 30
 #: Ranges of a group with many rows; a range of a 90-day window of n values holds about n / CUTS.
@@ -126,12 +126,19 @@ def distances(asked: pa.Table, events: pa.Table) -> pa.Table:
 def fetched(asks: DataFrame, counted: DataFrame, days: int, skipped: DataFrame | None = None) -> DataFrame:
     """(g, day, who, n, what, value) of asks: the visible values of the asked ranges, ordered and counted off.
 
+    Values of ranges that nobody asks for in their block of days are not shuffled
+    as long as the asked ones are few.
+
     skipped (g, who, r, x): values that an ask leaves out, once for each row.
     """
     block = lambda c: F.floor(c / SPAN)
     cell = F.col("block") * (1 << 20) + F.col("r")
+    asks = written(asks, "asks")
     spread = asks.withColumn("block", F.explode(F.sequence(block(F.col("day") - (days - 1)), block(F.col("day"))))).withColumn("cell", cell).drop("block")
     held = counted.withColumn("block", block(F.col("since"))).select("g", cell.alias("cell"), "since", "until", "x", "c")
+    cells = written(spread.select("g", "cell").distinct(), "cells")
+    if cells.count() <= SMALL:
+        held = held.join(F.broadcast(cells), ["g", "cell"], "left_semi")
     met = spread.join(held, ["g", "cell"]).where((F.col("since") <= F.col("day")) & (F.col("day") <= F.col("until"))).drop("cell", "since", "until")
     if skipped is not None:
         met = met.unionByName(asks.join(skipped, ["g", "who", "r"]).withColumn("c", F.lit(-1).cast("long")).select(*met.columns))

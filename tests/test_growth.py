@@ -127,3 +127,37 @@ def test_price_analysis_makes_only_the_asked_parts_and_pairs_only_shared_ids(spa
     joined = {q["k"]: q.asDict() for q in run(*prices.PARTS).collect()}
     assert joined == whole and "n_self" not in others[0]
     assert len(reasons) == len(others) == len(whole) and all(whole[q["k"]] | q == whole[q["k"]] for q in reasons + others)
+
+
+def test_item_values_are_counted_where_their_lines_meet(spark, monkeypatch):
+    import re
+
+    from ledgerspark.operators import trailing
+
+    plans, keep = {}, trailing.written
+    monkeypatch.setattr(trailing, "written", lambda d, label: plans.setdefault(label, plan(d)) and keep(d, label))
+    d = purchases(spark)
+    few = procurement.features(d, kinds=(), mad=False)
+    # lines meet by item and day, their values are not shuffled again; what nobody asks for is not fetched
+    assert re.search(r"hashpartitioning\(id#\d+L?, day#", plans["counted"]) and not re.search(r"hashpartitioning\([^)]*x#", plans["counted"])
+    assert {"asks", "cells"} <= {*plans}
+    monkeypatch.setattr(trailing, "SMALL", 0)
+    whole = procurement.features(d, kinds=(), mad=False)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, few.collect()))
+
+
+def test_trees_compare_places_in_blocks(monkeypatch):
+    import numpy as np
+
+    from ledgerspark.operators import forest
+
+    random_ = np.random.default_rng(9)
+    x = random_.lognormal(0, 1, (700, 4))
+    x[3, 0], x[4, 1] = np.nan, np.inf
+    model = forest.IsolationForest(trees=9)
+    model.psi, model.nodes = 64, [forest.grow(x[5:][random_.choice(695, 64)], random_, 6) for _ in range(8)] + [forest.grow(np.ones((3, 4)), random_, 2)]
+    depth, cuts, trees = forest.complete(model.nodes)
+    assert len(cuts) == 4 and all(t.dtype == np.uint8 or t.dtype == np.uint16 for _, t, _ in trees)
+    monkeypatch.setattr(forest, "ROWS", 128)
+    assert np.array_equal(model.depths(x, (depth, cuts, trees)), model.depths(x, None))
+    assert len(model.depths(x[:0], (depth, cuts, trees))) == 0
