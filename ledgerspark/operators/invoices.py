@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import hmac_sha256, is_close
 from ..sources import tables
+from ..sources.shared import SMALL, small, written
 from . import carried, profile
 
 #: The SHA-256 thresholds of 70 % and 85 %.
@@ -53,7 +54,13 @@ def references(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """Ids, split, label and the nineteen features, from TRAIN's references only."""
+    """Ids, split, label and the nineteen features, from TRAIN's references only.
+
+    rows is written once, since every reference reads it. The references of a
+    supplier and a department are brought together first, so that the rows are
+    joined once, and without a shuffle as long as these are few.
+    """
+    rows = written(rows, "invoices")
     r = references(rows)
     d = rows.join(r["supplier"].drop("scountry"), "supplier_id", "left").join(r["department"], "department_id", "left").join(r["pair"], ["supplier_id", "department_id"], "left").join(r["country"], "country", "left").crossJoin(r["overall"])  # one row
     weekday = F.weekday("invoice_date")
@@ -97,7 +104,7 @@ def history_faults(r: dict[str, DataFrame]) -> DataFrame:
 
 
 def drift(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Per column the distance of TRAIN's and VAL's distributions and how many of VAL lie outside TRAIN's range; all columns in one pass."""
+    """Per column the distance of TRAIN's and VAL's distributions and how many of VAL lie outside TRAIN's range; all columns in one pass, whose counts are written."""
     sides = rows.where(F.col("split").isin("train", "val"))
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")
     one = lambda side: F.sum((F.col("split") == side).cast("long"))
@@ -106,6 +113,7 @@ def drift(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     ends = counts.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.min(known).alias("low"), F.max(known).alias("high"))
     run = profile.running(counts, {"a": "ua", "b": "ub"}, "x", "feature").join(F.broadcast(ends), "feature")  # a row for each column
     out = F.when((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.col("b")).otherwise(0)
+    counts = written(counts, "counts")  # read four times
     return run.groupBy("feature").agg(F.max(F.abs(F.try_divide("ua", "na") - F.try_divide("ub", "nb"))).alias("distance"), F.sum(out).alias("outside"))
 
 
