@@ -62,7 +62,11 @@ def featured(rows: DataFrame) -> DataFrame:
     """
     rows = written(rows, "invoices")
     r = references(rows)
-    d = rows.join(r["supplier"].drop("scountry"), "supplier_id", "left").join(r["department"], "department_id", "left").join(r["pair"], ["supplier_id", "department_id"], "left").join(r["country"], "country", "left").crossJoin(r["overall"])  # one row
+    keys = ["supplier_id", "department_id"]
+    of = rows.select(*keys).distinct().join(r["pair"], keys, "left").join(r["supplier"].drop("scountry"), "supplier_id", "left").join(r["department"], "department_id", "left")
+    of, countries = small(written(of.withColumnsRenamed({k: f"__{k}" for k in keys}), "invoice-references")), small(written(r["country"].withColumnRenamed("country", "__country"), "countries"))
+    same = F.col("supplier_id").eqNullSafe(F.col("__supplier_id")) & F.col("department_id").eqNullSafe(F.col("__department_id"))
+    d = rows.join(of, same, "left").join(countries, F.col("country") == F.col("__country"), "left").crossJoin(F.broadcast(written(r["overall"], "overall")))  # one row
     weekday = F.weekday("invoice_date")
     hour, dow, month = _cycle(F.col("submission_hour"), 24), _cycle(weekday, 7), _cycle(F.month("invoice_date") - 1, 12)
     smean = F.coalesce("smean", "gmean")
@@ -109,19 +113,28 @@ def drift(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")
     one = lambda side: F.sum((F.col("split") == side).cast("long"))
     counts = sides.select("split", values).where("v.x IS NOT NULL").groupBy("v.feature", "v.x").agg(one("train").alias("a"), one("val").alias("b"))
+    counts = written(counts, "counts")  # read four times
     known = F.when(F.col("a") > 0, F.col("x"))
     ends = counts.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.min(known).alias("low"), F.max(known).alias("high"))
     run = profile.running(counts, {"a": "ua", "b": "ub"}, "x", "feature").join(F.broadcast(ends), "feature")  # a row for each column
     out = F.when((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.col("b")).otherwise(0)
-    counts = written(counts, "counts")  # read four times
     return run.groupBy("feature").agg(F.max(F.abs(F.try_divide("ua", "na") - F.try_divide("ub", "nb"))).alias("distance"), F.sum(out).alias("outside"))
 
 
 def drawn_per_group(rows: DataFrame, group: str, ident: str, key: bytes, each: int) -> DataFrame:
     """`each` rows of every group, by keyed hash of group and id; a smaller group ends the query, its quota is not changed."""
-    d = rows.select(group, ident, hmac_sha256(key, F.to_json(F.array(F.col(group).cast("string"), F.col(ident).cast("string")))).alias("__key"))
-    chosen = d.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("__key", ident))).where(F.col("place") <= each).drop("__key")
-    sizes = d.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    keyed = rows.select(group, ident, hmac_sha256(key, F.to_json(F.array(F.col(group).cast("string"), F.col(ident).cast("string")))).alias("__key"))
+    sizes = written(rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n")), "sizes")
+    # keys are spread evenly: all but surely the first ones lie below this, and only those are sorted
+    share = F.least(F.lit(1.0), (each + 10 * each**0.5 + 10) / F.col("__n"))
+    edge = F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * (1 << 32)).cast("long"))), 8, "0"))
+    same = lambda d: d[group].eqNullSafe(F.col("__group"))
+    near = keyed.join(small(sizes.withColumn("__edge", edge)), same(keyed)).where(F.col("__edge").isNull() | (F.col("__key") < F.col("__edge"))).drop("__group", "__n", "__edge")
+    first = lambda d: d.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("__key", ident))).where(F.col("place") <= each).drop("__key")
+    chosen = written(first(near), "drawn")
+    got = chosen.groupBy(F.col(group).alias("__of")).agg(F.count("*").alias("__got"))
+    short = sizes.join(got, F.col("__group").eqNullSafe(F.col("__of")), "left").where(F.coalesce("__got", F.lit(0)) < F.least(F.lit(each), F.col("__n")))
+    chosen = chosen if short.isEmpty() else first(keyed)
     enough = F.when(F.col("__n") < each, F.raise_error(F.concat(F.lit("too few rows in "), F.col("__group").cast("string"))).cast(rows.schema[group].dataType)).otherwise(F.col(group))
     return chosen.join(sizes, chosen[group].eqNullSafe(F.col("__group"))).withColumn(group, enough).drop("__group", "__n")
 
@@ -131,17 +144,48 @@ def blinded(rows: DataFrame, ident: str, key: bytes, prefix: str) -> DataFrame:
     return rows.withColumn(ident, F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(hmac_sha256(key, F.col(ident).cast("string")), 1, 16))))
 
 
+def boundaries(rows: DataFrame, score: str, ident: str, ks: list[int]) -> dict[int, tuple[float | None, object]]:
+    """For each place k the row that takes it by score (highest first, missing last) and id: its score and id.
+
+    Scores are counted, which finds the place's score; only the rows that share it
+    are ordered by id (two values for each k on the driver), across tasks where they are many.
+    """
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("x")).agg(F.count("*").alias("c"))
+    run = written(profile.running(written(counts, "scores"), {"c": "upto"}, "x", descending=True), "running")
+    scored = run.agg(F.sum("c")).first()[0] or 0
+    found = {}
+    for k in ks:
+        at, before = (None, scored) if k > scored else run.where((F.col("upto") >= k) & (F.col("upto") - F.col("c") < k)).select("x", F.col("upto") - F.col("c")).first()
+        tied = rows.where(F.col(score).isNull() if at is None else F.col(score) == F.lit(at)).select(ident)
+        skip = k - before - 1
+        last = tied.orderBy(ident).offset(skip).limit(1) if skip < SMALL else carried.carried(tied, [F.asc(ident)], F.lit(1), "ahead").where(F.col("ahead") == skip).select(ident)
+        found[k] = at, last.first()[0]
+    return found
+
+
 def pools(rows: DataFrame, ident: str, a: str, b: str, budgets: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Per budget (percent) every row's pool: among the first of both scores, of one alone, or of neither."""
-    d = rows.select(ident, a, b)
-    for x, name in ((a, "rank_a"), (b, "rank_b")):
-        d = carried.ranked(d, x, [ident], name)
-    d = d.crossJoin(d.agg(F.count("*").alias("n")))  # one row
-    d = d.withColumn("budget", F.explode(F.array(*[F.lit(x) for x in budgets])))
-    k = F.floor((F.col("n") * F.col("budget") + 99) / 100)
-    in_a, in_b = F.col("rank_a") <= k, F.col("rank_b") <= k
-    pool = F.when(in_a & in_b, "both").when(in_a, "a_only").when(in_b, "b_only").otherwise("neither")
-    return d.select("budget", pool.alias("pool"), ident)
+    """Per budget (percent) every row's pool: among the first of both scores, of one alone, or of neither.
+
+    Ids are distinct. No row is ranked: each is compared with the row that takes
+    the budget's last place.
+    """
+    d = written(rows.select(ident, a, b), "pooled")
+    n = d.count()
+    ks = {x: (n * x + 99) // 100 for x in budgets}
+    edges = {x: boundaries(d, x, ident, sorted({k for k in ks.values() if 0 < k < n})) for x in (a, b)}
+
+    def inside(x: str, k: int) -> Column:
+        if not 0 < k < n:
+            return F.lit(k > 0)
+        score, last = edges[x][k]
+        early = F.col(ident).isNull() | F.coalesce(F.col(ident) <= F.lit(last), F.lit(False))
+        if score is None:  # the rows with a score are fewer than k
+            return F.col(x).isNotNull() | early
+        return F.coalesce((F.col(x) > F.lit(score)) | ((F.col(x) == F.lit(score)) & early), F.lit(False))
+
+    pool = lambda k: F.when(inside(a, k) & inside(b, k), "both").when(inside(a, k), "a_only").when(inside(b, k), "b_only").otherwise("neither")
+    made = F.array(*[F.struct(F.lit(x).alias("budget"), pool(k).alias("pool")) for x, k in ks.items()])
+    return d.select(F.explode(made).alias("p"), ident).select("p.budget", "p.pool", ident)
 
 
 def review_sample(pooled: DataFrame, ident: str, key: bytes, each: int = 25) -> DataFrame:
