@@ -36,13 +36,13 @@ def near(store: DataFrame, requests: DataFrame) -> DataFrame:
     return store.join(months(requests), ["bucket", "month"], "left_semi").drop("bucket", "month")
 
 
-def prepare(store: DataFrame, requests: DataFrame) -> DataFrame:
+def prepare(store: DataFrame, requests: DataFrame, mad: bool = True) -> DataFrame:
     """Each request's line with its nine features, their reasons and supports; its status and its vector, if all five values are there.
 
     Only the lines of the requests' own buckets are read, so supports that count
-    other items' lines (supplier, unit, window) are left out.
+    other items' lines (supplier, unit, window) are left out, and not counted.
     """
-    found = features(near(store, requests), only=requests.select(*KEY)).drop("n_supplier", "n_unit", "n_window")
+    found = features(near(store, requests), only=requests.select(*KEY), kinds=("pair",), mad=mad)
     complete = F.lit(True)
     for c in VALUES:
         complete = complete & F.col(c).isNotNull()
