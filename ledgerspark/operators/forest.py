@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.shared import written
@@ -145,14 +145,20 @@ class IsolationForest:
 
     def calibrate(self, df: DataFrame, contamination: float) -> IsolationForest:
         """The score above which the given share of df lies (linear between neighbours); kept with the model."""
+        return self.threshold_of(written(self.score(df).select("anomaly_score"), "scores"), contamination)  # read more than once
+
+    def threshold_of(self, scored: DataFrame, contamination: float) -> IsolationForest:
+        """calibrate() on rows that have their scores."""
         self.contamination = contamination
-        scores = written(self.score(df).select("anomaly_score"), "scores")  # read more than once
-        self.threshold = near_quantiles(scores, "anomaly_score", [1 - contamination]).first()["q0"]
+        self.threshold = near_quantiles(scored, "anomaly_score", [1 - contamination]).first()["q0"]
         return self
 
+    def flag(self) -> Column:
+        return (F.col("anomaly_score") > self.threshold).cast("int")
+
     def flagged(self, df: DataFrame, name: str = "flag") -> DataFrame:
         """Df with its scores, and 1 for those above the threshold; equality is 0."""
-        return self.score(df).withColumn(name, (F.col("anomaly_score") > self.threshold).cast("int"))
+        return self.score(df).withColumn(name, self.flag())
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
         """Higher is more anomalous: 2^(-mean depth / c(psi))."""
