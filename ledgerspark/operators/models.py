@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import written
+from . import carried
 from .metrics import confusion
 
 
 def folds(df: DataFrame, label: str, ident: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified folds, dealt within each label in a keyed order."""
+    """Stratified folds, dealt within each label in a keyed order, by sorted ranges rather than a task for each label; written once."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")), 256)
-    return df.withColumn("fold", F.row_number().over(W.partitionBy(label).orderBy(order, ident)) % k)
+    keyed = df.withColumn("__order", order)
+    dealt = carried.carried(keyed, [F.asc(label), F.asc("__order"), F.asc(ident)], F.lit(1), "fold")
+    dealt = carried.since_start(dealt, "fold", label)
+    return written(dealt.withColumn("fold", ((F.col("fold") + 1) % k).cast("int")).drop("__order"), "folds")
 
 
 def compare(df: DataFrame, columns: list[str], label: str, ident: str, trees: int = 100) -> DataFrame:
@@ -43,18 +48,19 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, ident: str, k
 
     Everything that is learned, medians and scales included, is learned from the other folds.
     """
-    d = folds(df, label, ident, k).withColumns({c: F.col(c).cast("double") for c in columns})
+    d = folds(df.select(ident, label, *columns), label, ident, k).withColumns({c: F.col(c).cast("double") for c in columns})
     filled = [f"{c}_filled" for c in columns]
     out = None
     for fold in range(k):
         train, test = d.where(F.col("fold") != fold), d.where(F.col("fold") == fold)
         n = train.count()
-        prepare = [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
+        # both models share the fold's preparation
+        prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(train)
+        ready, asked = prepare.transform(train), prepare.transform(test)
         for name, model in (("logistic", LogisticRegression(featuresCol="x", labelCol=label, regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)), ("forest", RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, seed=42))):
-            fitted = Pipeline(stages=[*prepare, model]).fit(train)
-            last = fitted.stages[-1]
+            last = model.fit(ready)
             told = last.coefficients.toArray() if name == "logistic" else last.featureImportances.toArray()
-            scored = fitted.transform(test).withColumn("p", F.col("prediction").cast("int"))
+            scored = last.transform(asked).withColumn("p", F.col("prediction").cast("int"))
             row = confusion(scored, label, "p").select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "f1_macro", "balanced_accuracy", *[F.lit(float(v)).alias(f"weight_{c}") for c, v in zip(columns, told)])
             out = row if out is None else out.unionByName(row)
     return out

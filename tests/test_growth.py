@@ -161,3 +161,53 @@ def test_trees_compare_places_in_blocks(monkeypatch):
     monkeypatch.setattr(forest, "ROWS", 128)
     assert np.array_equal(model.depths(x, (depth, cuts, trees)), model.depths(x, None))
     assert len(model.depths(x[:0], (depth, cuts, trees))) == 0
+
+
+def test_pools_and_draws_rank_no_row(spark, monkeypatch):
+    from ledgerspark.operators import invoices
+
+    r = random.Random(6)
+    rows = [(f"i{k:04}", r.choice([None, 1.0, 2.0, r.random()]), float(r.randint(0, 9))) for k in range(900)]
+    d = spark.createDataFrame(rows, "id string, a double, b double")
+    first = lambda c, k: {q[0] for q in sorted(rows, key=lambda q: (q[c] is None, -(q[c] or 0), q[0]))[:k]}
+    want = {(x, i): {(1, 1): "both", (1, 0): "a_only", (0, 1): "b_only", (0, 0): "neither"}[i in first(1, k), i in first(2, k)] for x, k in ((1, 9), (40, 360), (90, 810)) for i, *_ in rows}
+    ranked = []
+    monkeypatch.setattr(invoices.carried, "ranked", lambda *a: ranked.append(a))
+    for limit in (1 << 17, 0):
+        monkeypatch.setattr(invoices, "SMALL", limit)
+        assert {(q["budget"], q["id"]): q["pool"] for q in invoices.pools(d, "id", "a", "b", (1, 40, 90)).collect()} == want
+    assert not ranked and invoices.pools(d.limit(0), "id", "a", "b").count() == 0
+    # of a large group only rows with small keys are sorted
+    labels, keep = [], invoices.written
+    monkeypatch.setattr(invoices, "written", lambda f, label: labels.append(label) or keep(f, label))
+    groups = spark.range(3000).selectExpr("id", "if(id < 8, 'few', 'many') AS g")
+    got = sorted((q["g"], q["place"], q["id"]) for q in invoices.drawn_per_group(groups, "g", "id", b"s", 6).collect())
+    import hashlib
+    import hmac
+    import json
+    key = lambda g, i: hmac.new(b"s", json.dumps([g, str(i)], separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+    plain = [(g, n + 1, i) for g, ids in (("few", range(8)), ("many", range(8, 3000))) for n, i in enumerate(sorted(ids, key=lambda i: key(g, i))[:6])]
+    assert got == plain and "sizes" in labels
+
+
+def test_invoice_rows_and_counts_are_written_once(spark, monkeypatch):
+    from ledgerspark.operators import invoices, models
+    from ledgerspark.plans import experiments
+
+    made, keep = [], invoices.written
+    monkeypatch.setattr(invoices, "written", lambda f, label: made.append((label, plan(f))) or keep(f, label))
+    rows = invoices.invoices(spark, "/root/testdata/sf0.001")
+    d = invoices.featured(rows)
+    assert "lineitem" not in plan(d) and [x for x, p in made if "lineitem" in p] == ["invoices"]
+    invoices.drift(d, ("amount", "is_weekend"))
+    assert made[-1][0] == "counts"
+    # m06 scores a row once, d23 numbers lines once, folds are dealt without a task for each label
+    scored = []
+    monkeypatch.setattr(experiments.IsolationForest, "score", lambda self, f, name="anomaly_score", run=experiments.IsolationForest.score: scored.append(name) or run(self, f, name))
+    experiments.m06(spark, "/root/testdata/sf0.001")
+    assert scored == ["anomaly_score"]
+    asked = []
+    monkeypatch.setattr(experiments.prepared, "authorised", lambda f, run=experiments.prepared.authorised: asked.append(plan(f)) or run(f))
+    assert "mad_price" not in experiments.d23(spark, "/root/testdata/sf0.001").columns and "Window" not in asked[0]
+    folds = models.folds(spark.range(100).selectExpr("id", "id % 3 AS y"), "y", "id")
+    assert "Window" not in plan(folds) and folds.groupBy("y", "fold").count().count() == 15
