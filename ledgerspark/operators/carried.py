@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.shared import written
+from ..sources.shared import small, written
 
 
 def carried(rows: DataFrame, order: list[Column], weight: Column, name: str, only: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -59,10 +59,14 @@ def carried(rows: DataFrame, order: list[Column], weight: Column, name: str, onl
 
 
 def since_start(rows: DataFrame, before: str, *by: str) -> DataFrame:
-    """rows whose `before` counts from the start of the row's group, where the groups lead the order."""
+    """rows whose `before` counts from the start of the row's group, where the groups lead the order.
+
+    The groups are counted first, so that rows are not shuffled by group where there are few.
+    """
     if not by:
         return rows
     first = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(before).alias("__first"))
+    first = small(first)
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))

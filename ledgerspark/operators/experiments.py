@@ -74,29 +74,39 @@ def score_report(scored: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.2
 # J25
 
 
-def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fields: list[str], catalogued: list[str]) -> DataFrame:
+def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fields: list[str], catalogued: list[str], told: DataFrame | None = None) -> DataFrame:
     """One row per key of KEY and period in any table, with the first thing that disagrees, or none.
 
     Checked in this order: repeated keys, rows missing from the ranking, the
     matrix or the catalogue, ranks that are not 1, 2, 3, ... by score, the
     fields of ranking and matrix, the catalogued fields.
+
+    told: the ranking's fields, where they are kept apart from its scores and
+    ranks; a key without them counts as not ranked. Only keys, scores and ranks
+    are sorted; rows of all tables meet in one shuffle by key.
     """
     keys = [*KEY, "period"]
-
-    def side(d: DataFrame, name: str, columns: list[str]) -> DataFrame:
-        return d.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"), *[F.first(c).alias(f"{name}_{c}") for c in columns])
-
-    stale = carried.ranked(ranking.select("period", *KEY, "score", "rank", *fields, *catalogued), "score", KEY, "due", ("period",))
-    r = side(stale.withColumn("stale", (F.col("due") != F.col("rank")).cast("int")), "r", [*fields, *catalogued, "stale"])
-    met = r.join(side(matrix, "m", fields), keys, "full").join(side(catalogue, "c", catalogued), keys, "full")
-    finding = F.when((F.col("r_n") > 1) | (F.col("m_n") > 1) | (F.col("c_n") > 1), "repeated_key")
-    for table, said in (("r", "not_ranked"), ("m", "not_in_matrix"), ("c", "not_in_catalogue")):
-        finding = finding.when(F.col(f"{table}_n").isNull(), said)
-    finding = finding.when(F.col("r_stale") == 1, "rank")
-    for c in fields:
-        finding = finding.when(~F.col(f"r_{c}").eqNullSafe(F.col(f"m_{c}")), c)
-    for c in catalogued:
-        finding = finding.when(~F.col(f"r_{c}").eqNullSafe(F.col(f"c_{c}")), c)
+    due = carried.ranked(ranking.select("period", *KEY, "score", "rank"), "score", KEY, "due", ("period",))
+    sides = [("r", ranking if told is None else told, [*fields, *catalogued]), ("m", matrix, fields), ("c", catalogue, catalogued), ("stale", due.where("due <> rank"), [])]
+    if told is not None:
+        sides.append(("k", ranking, []))
+    kinds, rows = sides[0][1].schema, None
+    for name, d, columns in sides:
+        own = [F.col(c) if c in columns else F.lit(None).cast(kinds[c].dataType).alias(c) for c in (*fields, *catalogued)]
+        d = d.select(*keys, F.lit(name).alias("side"), *own)
+        rows = d if rows is None else rows.unionByName(d)
+    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    n = lambda side: F.count(of(side, "side"))
+    pairs = [*[("m", c) for c in fields], *[("c", c) for c in catalogued]]
+    both = [F.first(of(side, c), True).alias(f"{side}_{c}") for s, c in pairs for side in ("r", s)]
+    met = rows.repartition(*keys).groupBy(*keys).agg(*[n(name).alias(f"{name}_n") for name, *_ in sides], *both)
+    ranked = "k_n" if told is not None else "r_n"
+    finding = F.when((F.col("r_n") > 1) | (F.col(ranked) > 1) | (F.col("m_n") > 1) | (F.col("c_n") > 1), "repeated_key")
+    for table, said in (("r_n", "not_ranked"), (ranked, "not_ranked"), ("m_n", "not_in_matrix"), ("c_n", "not_in_catalogue")):
+        finding = finding.when(F.col(table) == 0, said)
+    finding = finding.when(F.col("stale_n") > 0, "rank")
+    for side, c in pairs:
+        finding = finding.when(~F.col(f"r_{c}").eqNullSafe(F.col(f"{side}_{c}")), c)
     return met.select(*keys, finding.alias("finding"))
 
 
