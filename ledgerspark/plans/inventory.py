@@ -582,15 +582,15 @@ def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT po_id, part_id, supplier_id, day, cents, count(*) AS n, count(DISTINCT rd) AS dates, count(DISTINCT rs) AS suppliers, (2 * quantile_cont(ref, 0.5))::BIGINT AS twice_median_cents FROM r GROUP BY ALL""")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that agree in every key of comparability, with equal quantity where only that is comparable."""
-    d = _analysed(spark, sf_dir, "spread", "median").where("n > 0")
-    return d.select("po_id", "part_id", "supplier_id", "day", "cents", "n", "dates", "suppliers", "twice_median_cents")
+    columns = ["po_id", "part_id", "supplier_id", "day", "cents"]
+    return _analysed(spark, sf_dir, "spread", "median", shown=columns).where("n > 0").select(*columns, "n", "dates", "suppliers", "twice_median_cents")
 
 
-def _analysed(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+def _analysed(spark: SparkSession, sf_dir: str, *parts: str, shown: list[str] | None = None) -> DataFrame:
     """D15 on all keys; quantities have to agree where only equal ones are comparable."""
     quantity = F.when(F.col("same_only"), F.col("quantity"))
     keys = [F.col(c) for c in procurement.GROUP_KEYS if c != "item"]
-    return prices.price_analysis(procurement.comparable_keys(spark, sf_dir), procurement.available_from(F.col("day"), F.col("part_id")), ["item"], [*keys, quantity], least=1, parts=parts)
+    return prices.price_analysis(procurement.comparable_keys(spark, sf_dir), procurement.available_from(F.col("day"), F.col("part_id")), ["item"], [*keys, quantity], least=1, parts=parts, shown=shown)
 
 
 _KEYED = f"""{catalog.LINES}, k AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS po_id, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))::BIGINT AS day, p_brand AS item, p_type AS specification, l_returnflag AS unit, l_suppkey AS supplier_id,
