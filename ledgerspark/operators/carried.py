@@ -14,18 +14,20 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..sources.shared import small, written
 
 
-def carried(rows: DataFrame, order: list[Column], weight: Column, name: str, only: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def carried(rows: DataFrame, order: list[Column], weight: Column, name: str, only: Column | None = None, by: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
     """rows with, in the column `name`, the sum of `weight` over all rows that come before in `order` (a total order).
 
     Rows are range-partitioned and sorted; a partition sums its own, and the
     partitions' sums are carried on (a row for each partition on the driver).
     rows is read twice. only: the rows to return; the others are counted, and no
-    more of them is written than the first ones of each group of `by`.
+    more of them is written than the first ones of each group of `by`. without:
+    columns that are only sorted by; they are neither written nor returned.
     """
     some = only is not None
     kept = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
     sorted_rows = rows.withColumns({"__weight": weight.cast("long"), "__keep": kept}).repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = StructType([*[StructField(f.name, f.dataType) for f in sorted_rows.schema.fields], StructField("__part", LongType()), StructField("__before", LongType())])
+    told = [k for k, c in enumerate(sorted_rows.columns) if c not in without]
+    schema = StructType([*[StructField(f.name, f.dataType) for f in sorted_rows.schema.fields if f.name not in without], StructField("__part", LongType()), StructField("__before", LongType())])
     at, keep, *groups = [sorted_rows.columns.index(c) for c in ("__weight", "__keep", *by)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +37,7 @@ def carried(rows: DataFrame, order: list[Column], weight: Column, name: str, onl
                 continue
             own = b.column(at).to_numpy()
             upto = before + np.cumsum(own)
-            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(own), part)), pa.array(upto - own)], schema.names)
+            out = pa.RecordBatch.from_arrays([*[b.column(k) for k in told], pa.array(np.full(len(own), part)), pa.array(upto - own)], schema.names)
             before, kinds = int(upto[-1]), out.schema
             if some:
                 wanted = b.column(keep).to_numpy(zero_copy_only=False).copy()
@@ -73,10 +75,10 @@ def since_start(rows: DataFrame, before: str, *by: str) -> DataFrame:
     return rows.join(first, same).withColumn(before, F.col(before) - F.col("__first")).drop("__first", *[f"__{c}" for c in by])
 
 
-def ranked(rows: DataFrame, score: str, ties: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks 1, 2, 3, ... per group by score, highest first, null scores last; ties are settled by the named columns."""
+def ranked(rows: DataFrame, score: str, ties: list[str], name: str, by: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks 1, 2, 3, ... per group by score, highest first, null scores last; ties are settled by the named columns. without: see carried()."""
     order = [*map(F.asc, by), F.desc_nulls_last(score), *map(F.asc, ties)]
-    found = since_start(carried(rows, order, F.lit(1), name), name, *by)
+    found = since_start(carried(rows, order, F.lit(1), name, without=without), name, *by)
     return found.withColumn(name, F.col(name) + 1)
 
 

@@ -83,26 +83,30 @@ def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fiel
 
     told: the ranking's fields, where they are kept apart from its scores and
     ranks; a key without them counts as not ranked. Only keys, scores and ranks
-    are sorted; rows of all tables meet in one shuffle by key.
+    are sorted; rows of all tables meet in one shuffle by key, a table that is
+    both matrix and catalogue once.
     """
     keys = [*KEY, "period"]
-    due = carried.ranked(ranking.select("period", *KEY, "score", "rank"), "score", KEY, "due", ("period",))
-    sides = [("r", ranking if told is None else told, [*fields, *catalogued]), ("m", matrix, fields), ("c", catalogue, catalogued), ("stale", due.where("due <> rank"), [])]
-    if told is not None:
-        sides.append(("k", ranking, []))
-    kinds, rows = sides[0][1].schema, None
-    for name, d, columns in sides:
+    due = carried.ranked(ranking.select("period", *KEY, "score", "rank"), "score", KEY, "due", ("period",), without=("score",))
+    one = catalogue is matrix
+    sides = {"r": (ranking if told is None else told, [*fields, *catalogued]), "m": (matrix, [*fields, *catalogued] if one else fields), "stale": (due.where("due <> rank"), [])}
+    sides |= {} if one else {"c": (catalogue, catalogued)}
+    sides |= {} if told is None else {"k": (ranking, [])}
+    number = {name: k for k, name in enumerate(sides)}
+    kinds, rows = sides["r"][0].schema, None
+    for name, (d, columns) in sides.items():
         own = [F.col(c) if c in columns else F.lit(None).cast(kinds[c].dataType).alias(c) for c in (*fields, *catalogued)]
-        d = d.select(*keys, F.lit(name).alias("side"), *own)
+        d = d.select(*keys, F.lit(number[name]).alias("side"), *own)
         rows = d if rows is None else rows.unionByName(d)
-    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    of = lambda side, c: F.when(F.col("side") == number[side], F.col(c))
     n = lambda side: F.count(of(side, "side"))
-    pairs = [*[("m", c) for c in fields], *[("c", c) for c in catalogued]]
+    listed = "m" if one else "c"
+    pairs = [*[("m", c) for c in fields], *[(listed, c) for c in catalogued]]
     both = [F.first(of(side, c), True).alias(f"{side}_{c}") for s, c in pairs for side in ("r", s)]
-    met = rows.repartition(*keys).groupBy(*keys).agg(*[n(name).alias(f"{name}_n") for name, *_ in sides], *both)
+    met = rows.repartition(*keys).groupBy(*keys).agg(*[n(name).alias(f"{name}_n") for name in sides], *both)
     ranked = "k_n" if told is not None else "r_n"
-    finding = F.when((F.col("r_n") > 1) | (F.col(ranked) > 1) | (F.col("m_n") > 1) | (F.col("c_n") > 1), "repeated_key")
-    for table, said in (("r_n", "not_ranked"), (ranked, "not_ranked"), ("m_n", "not_in_matrix"), ("c_n", "not_in_catalogue")):
+    finding = F.when((F.col("r_n") > 1) | (F.col(ranked) > 1) | (F.col("m_n") > 1) | (F.col(f"{listed}_n") > 1), "repeated_key")
+    for table, said in (("r_n", "not_ranked"), (ranked, "not_ranked"), ("m_n", "not_in_matrix"), (f"{listed}_n", "not_in_catalogue")):
         finding = finding.when(F.col(table) == 0, said)
     finding = finding.when(F.col("stale_n") > 0, "rank")
     for side, c in pairs:

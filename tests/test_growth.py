@@ -225,6 +225,11 @@ def test_reconciled_tables_meet_in_one_shuffle_and_sort_no_field(spark, monkeypa
     assert plan(apart).count("Exchange hashpartitioning(po_id") == 1 and "FullOuter" not in plan(apart)
     assert not {*fields, "category"} & {c for columns in sorted_columns for c in columns}
     assert apart.where("finding IS NOT NULL").isEmpty() and apart.count() == lines.count() > 500
+    # a table that is both matrix and catalogue is shuffled once; what is only sorted by is not written
+    one = E.reconciled(ranking, lines, lines, fields, ["category"], told=told)
+    assert plan(one).count("Project") < plan(apart).count("Project") and sorted(map(repr, one.collect())) == sorted(map(repr, apart.collect()))
+    ranks = carried.ranked(told.select("period", *E.KEY, "score"), "score", E.KEY, "rank", ("period",), without=("score",))
+    assert "score" not in ranks.columns and sorted(map(repr, ranks.collect())) == sorted(map(repr, ranking.select(*ranks.columns).collect()))
     # faults of fields and of either part of the ranking
     some = lines.groupBy("po_id").count().where("count = 1").orderBy("po_id").first()["po_id"]
     mine = F.col("po_id") == some
