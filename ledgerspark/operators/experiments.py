@@ -74,7 +74,7 @@ def score_report(scored: DataFrame, shares: tuple[float, ...] = (0.01, 0.05, 0.2
 # J25
 
 
-def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fields: list[str], catalogued: list[str], told: DataFrame | None = None) -> DataFrame:
+def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fields: list[str], catalogued: list[str], told: DataFrame | None = None, stands: tuple[str, str] | None = None) -> DataFrame:
     """One row per key of KEY and period in any table, with the first thing that disagrees, or none.
 
     Checked in this order: repeated keys, rows missing from the ranking, the
@@ -84,7 +84,9 @@ def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fiel
     told: the ranking's fields, where they are kept apart from its scores and
     ranks; a key without them counts as not ranked. Only keys, scores and ranks
     are sorted; rows of all tables meet in one shuffle by key, a table that is
-    both matrix and catalogue once.
+    both matrix and catalogue once. stands: of such a table the two conditions
+    that say which of its rows stand in the matrix and which in the catalogue
+    (all, if none are named).
     """
     keys = [*KEY, "period"]
     due = carried.ranked(ranking.select("period", *KEY, "score", "rank"), "score", KEY, "due", ("period",), without=("score",))
@@ -93,20 +95,24 @@ def reconciled(ranking: DataFrame, matrix: DataFrame, catalogue: DataFrame, fiel
     sides |= {} if one else {"c": (catalogue, catalogued)}
     sides |= {} if told is None else {"k": (ranking, [])}
     number = {name: k for k, name in enumerate(sides)}
+    inside = dict(zip(("m", "c"), map(F.expr, stands))) if one and stands else {}
     kinds, rows = sides["r"][0].schema, None
     for name, (d, columns) in sides.items():
         own = [F.col(c) if c in columns else F.lit(None).cast(kinds[c].dataType).alias(c) for c in (*fields, *catalogued)]
-        d = d.select(*keys, F.lit(number[name]).alias("side"), *own)
+        both = inside if name == "m" else {}
+        at = [F.coalesce(both.get(x, F.lit(True)), F.lit(False)).alias(f"in_{x}") for x in inside]
+        d = d.select(*keys, F.lit(number[name]).alias("side"), *at, *own)
         rows = d if rows is None else rows.unionByName(d)
     of = lambda side, c: F.when(F.col("side") == number[side], F.col(c))
     n = lambda side: F.count(of(side, "side"))
     listed = "m" if one else "c"
     pairs = [*[("m", c) for c in fields], *[(listed, c) for c in catalogued]]
     both = [F.first(of(side, c), True).alias(f"{side}_{c}") for s, c in pairs for side in ("r", s)]
-    met = rows.repartition(*keys).groupBy(*keys).agg(*[n(name).alias(f"{name}_n") for name in sides], *both)
+    met = rows.repartition(*keys).groupBy(*keys).agg(*[n(name).alias(f"{name}_n") for name in sides], *[F.count(F.when(F.col(f"in_{x}"), of("m", "side"))).alias(f"in_{x}_n") for x in inside], *both)
     ranked = "k_n" if told is not None else "r_n"
-    finding = F.when((F.col("r_n") > 1) | (F.col(ranked) > 1) | (F.col("m_n") > 1) | (F.col(f"{listed}_n") > 1), "repeated_key")
-    for table, said in (("r_n", "not_ranked"), (ranked, "not_ranked"), ("m_n", "not_in_matrix"), (f"{listed}_n", "not_in_catalogue")):
+    in_matrix, in_catalogue = ("in_m_n", "in_c_n") if inside else ("m_n", f"{listed}_n")
+    finding = F.when((F.col("r_n") > 1) | (F.col(ranked) > 1) | (F.col(in_matrix) > 1) | (F.col(in_catalogue) > 1), "repeated_key")
+    for table, said in (("r_n", "not_ranked"), (ranked, "not_ranked"), (in_matrix, "not_in_matrix"), (in_catalogue, "not_in_catalogue")):
         finding = finding.when(F.col(table) == 0, said)
     finding = finding.when(F.col("stale_n") > 0, "rank")
     for side, c in pairs:

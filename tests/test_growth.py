@@ -228,6 +228,9 @@ def test_reconciled_tables_meet_in_one_shuffle_and_sort_no_field(spark, monkeypa
     # a table that is both matrix and catalogue is shuffled once; what is only sorted by is not written
     one = E.reconciled(ranking, lines, lines, fields, ["category"], told=told)
     assert plan(one).count("Project") < plan(apart).count("Project") and sorted(map(repr, one.collect())) == sorted(map(repr, apart.collect()))
+    some_rows = E.reconciled(ranking, lines, lines, fields, ["category"], told=told, stands=("part_id % 7 <> 2", "part_id % 5 <> 3"))
+    two = E.reconciled(ranking, lines.where("part_id % 7 <> 2"), catalogue.join(lines.where("part_id % 5 <> 3").select(*E.KEY), E.KEY, "left_semi"), fields, ["category"], told=told)
+    assert sorted(map(repr, some_rows.collect())) == sorted(map(repr, two.collect())) and {q["finding"] for q in two.collect()} == {None, "not_in_matrix", "not_in_catalogue"}
     ranks = carried.ranked(told.select("period", *E.KEY, "score"), "score", E.KEY, "rank", ("period",), without=("score",))
     assert "score" not in ranks.columns and sorted(map(repr, ranks.collect())) == sorted(map(repr, ranking.select(*ranks.columns).collect()))
     # faults of fields and of either part of the ranking
